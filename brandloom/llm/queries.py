@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, sharding
 from .common import table
 
 
@@ -13,4 +13,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding)}
