@@ -27,4 +27,21 @@ SELECT f.doc_id, coalesce(len(f.w), 0)::BIGINT AS n_words, coalesce(h.n_hit, 0):
 FROM folded f LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1}
+OP3 = r"""
+WITH split AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50)),
+least AS (SELECT gram, min(doc_id) AS first FROM windows GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT doc_id, p FROM (
+    SELECT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN least USING (gram) WHERE doc_id > first)),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM split),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES = {"op1_decontamination": OP1, "op3_substring_dedup": OP3}
