@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, sharding, simhash, substring_dedup
+from . import bpe, decontamination, sharding, simhash, substring_dedup
 from .common import table
 
 
@@ -25,4 +26,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op5_simhash)}
+def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op5_simhash, op9_bpe)}
