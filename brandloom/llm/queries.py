@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, sharding, simhash, substring_dedup
+from . import bpe, decontamination, sharding, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -30,4 +30,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op5_simhash, op9_bpe)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op5_simhash, op9_bpe, op10_toxicity)}
