@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, sharding, simhash, substring_dedup, toxicity
+from . import bpe, decontamination, pii, sharding, simhash, substring_dedup, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json")))
 
@@ -35,4 +39,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op5_simhash, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op5_simhash, op7_pii, op9_bpe, op10_toxicity)}
