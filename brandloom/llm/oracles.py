@@ -44,4 +44,23 @@ SELECT s.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT
 FROM split s LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES = {"op1_decontamination": OP1, "op3_substring_dedup": OP3}
+OP6 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, 20 + length(role) + length(text)
+    + length(regexp_replace(role || text, '[^\\]', '', 'g'))
+    + len(regexp_extract_all(role, '\[/?INST\]|</?s>')) + len(regexp_extract_all(text, '\[/?INST\]|</?s>')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM sized)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(upto) FILTER (role = 'assistant' OR k = n), 0)::BIGINT AS formatted_chars
+FROM summed GROUP BY conv_id
+"""
+
+ORACLES = {"op6_chat": OP6, "op1_decontamination": OP1, "op3_substring_dedup": OP3}
