@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, html_text, pii, sharding, simhash, substring_dedup, toxicity
-from .common import table
+from . import audio, bpe, chat, decontamination, html_text, pii, sharding, simhash, substring_dedup, toxicity
+from .common import stored, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds recordings: each vector of embeddings is played as one. Queries: the ids divisible by 50."""
+    prints = stored(audio.fingerprints(audio.recordings(table(spark, sf_dir, "embeddings")), "vec_id", "wav"), "prints")
+    asked = F.col("vec_id") % 50 == 0
+    return audio.summary(prints, audio.matches(prints.where(asked), prints, "vec_id"), asked, "vec_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("word_bpe_49k.json")))
 
@@ -48,4 +56,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op4_html_text, op5_simhash, op6_chat, op7_pii, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op4_html_text, op5_simhash, op6_chat, op7_pii, op8_audio, op9_bpe, op10_toxicity)}
