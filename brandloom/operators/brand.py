@@ -84,7 +84,7 @@ def merge_dossier(existing: DataFrame, profile: DataFrame, key: str, lists: list
     new = profile.select(key, *[F.col(c).alias(f"__{c}") for c in lists])
     out = existing.join(new, key, "left").withColumns({c: distinct_texts(F.concat(F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"__{c}", F.array().cast("array<string>"))), fold=False) for c in lists})
     if summary and suffix:
-        out = out.withColumn(summary, F.when(F.contains(F.col(summary), F.col(suffix)), F.col(summary)).otherwise(F.trim(F.concat_ws(" ", summary, suffix))))
+        out = out.withColumn(summary, F.when(F.contains(F.col(summary), F.lit(suffix)), F.col(summary)).otherwise(F.trim(F.concat_ws(" ", summary, F.lit(suffix)))))
     return out.drop(*[f"__{c}" for c in lists])
 
 
