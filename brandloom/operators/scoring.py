@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp, distinct_texts, round_half_up
-from ..functions.text import jaccard, keyword_hits, overlap, phrase, phrase_similarity, tokens
+from ..functions.text import jaccard, keyword_hits, overlap, phrase, tokens
 from ..plans.rules import INTENT_KEYWORDS, MODULES, POLICIES
 
 NONE = "array<string>"
@@ -32,25 +32,35 @@ def mean(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
 
 
+def let(x: Column, use) -> Column:
+    """use(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def best_of(wanted: Column, offered: Column, likeness) -> Column:
     """Mean over wanted of the best likeness among offered."""
     return mean(F.transform(wanted, lambda w: F.array_max(F.transform(offered, lambda o: likeness(w, o)))))
 
 
+def term(p: Column) -> Column:
+    return F.struct(p.alias("p"), tokens(p).alias("t"))
+
+
+def terms(phrases: Column) -> Column:
+    """Each phrase with its tokens."""
+    return F.transform(phrases, term)
+
+
 def niche_affinity(category: Column, niche: Column) -> Column:
-    a, b = phrase(F.coalesce(category, F.lit(""))), phrase(F.coalesce(niche, F.lit("")))
+    """category, niche: terms of one phrase each."""
+    a, b = category["p"], niche["p"]
     return (
         F.when((a == "") | (b == ""), result(F.lit(0), F.lit(0.1))).when(a == b, result(F.lit(1), F.lit(0.95)))
         .when(F.contains(a, b) | F.contains(b, a), result(F.lit(0.75), F.lit(0.8)))
-        .when(overlap(tokens(a), tokens(b)) >= 0.5, result(F.lit(0.55), F.lit(0.65))).otherwise(result(F.lit(0), F.lit(0.85)))
+        .when(overlap(category["t"], niche["t"]) >= 0.5, result(F.lit(0.55), F.lit(0.65))).otherwise(result(F.lit(0), F.lit(0.85)))
     )
 
 
-def terms(phrases: Column) -> Column:
-    """Each phrase with its tokens."""
-    return F.transform(phrases, lambda p: F.struct(p.alias("p"), tokens(p).alias("t")))
-
-
 def topic_similarity(wanted: Column, offered: Column, signal_confidence: Column) -> Column:
     """wanted, offered: terms."""
     nb, nc = F.size(wanted), F.size(offered)
@@ -70,27 +80,30 @@ def _part(x: Column, low: float = 0.0) -> Column:
     return F.coalesce(x.cast("double"), F.lit(low))
 
 
-def platform_alignment(wanted: Column, platforms: Column, metrics: Column, primary: Column) -> Column:
-    """wanted, platforms: normal names. metrics may be null."""
+def presence_of(platforms: Column, metrics: Column, primary: Column) -> Column:
+    """Struct of what platform_alignment needs of a creator: names it is on, names measured, and the most views."""
     keys = F.coalesce(F.map_keys(metrics), F.array().cast(NONE))
-    present = F.array_distinct(F.array_compact(F.concat(platforms, keys, F.array(primary))))
     most = F.coalesce(F.array_max(F.transform(F.map_values(metrics), lambda m: _part(m["avg_views"]))), F.lit(0.0))
+    return F.struct(F.array_distinct(F.array_compact(F.concat(platforms, keys, F.array(primary)))).alias("names"), keys.alias("keys"), most.alias("most"))
+
+
+def platform_alignment(wanted: Column, presence: Column, metrics: Column) -> Column:
+    """wanted: normal names; presence: what presence_of gives. metrics may be null."""
+    present, keys, most = presence["names"], presence["keys"], presence["most"]
 
-    def strength(p):
-        m = F.try_element_at(metrics, p)
+    def measured(m):
         views, followers = _part(m["avg_views"]), _part(m["followers"])
         by_views = 0.35 * F.log1p(views) / F.log1p(F.greatest(views, most))
         by_followers = 0.18 * clamp(F.log1p(F.greatest(F.lit(0.0), followers)) / F.log1p(F.lit(1e6)))
-        known = 0.35 + F.when((views > 0) & (most > 0), by_views).otherwise(by_followers) + 0.2 * clamp(_part(m["engagement_rate"]) / 0.07) + 0.1 * clamp(_part(m["confidence"])) + 0.06 * clamp(_part(m["sample_size"]) / 6)
-        return F.when(~F.array_contains(present, p), F.lit(0.0)).when(m.isNull(), F.lit(0.42)).otherwise(clamp(known))
+        return clamp(0.35 + F.when((views > 0) & (most > 0), by_views).otherwise(by_followers) + 0.2 * clamp(_part(m["engagement_rate"]) / 0.07) + 0.1 * clamp(_part(m["confidence"])) + 0.06 * clamp(_part(m["sample_size"]) / 6))
 
+    strength = lambda p: F.when(~F.array_contains(present, p), F.lit(0.0)).when(~F.array_contains(keys, p), F.lit(0.42)).otherwise(let(F.try_element_at(metrics, p), measured))
     n = F.size(wanted)
-    presence = F.size(F.filter(wanted, lambda p: F.array_contains(present, p))) / n
-    measured = F.size(F.filter(wanted, lambda p: F.array_contains(keys, p))) / n
-    confidence = clamp(0.35 + 0.3 * presence + 0.28 * measured + 0.05 * F.least(F.lit(1.0), n / 4))
+    share = lambda names: F.size(F.array_intersect(wanted, names)) / n
+    confidence = clamp(0.35 + 0.3 * share(present) + 0.28 * share(keys) + 0.05 * F.least(F.lit(1.0), n / 4))
     return (
         F.when(n == 0, result(F.lit(0.5), F.lit(0.2))).when(F.size(present) == 0, result(F.lit(0), F.lit(0.4)))
-        .otherwise(result(clamp(mean(F.transform(wanted, strength))), confidence))
+        .otherwise(result(let(mean(F.transform(wanted, strength)), lambda x: clamp(x)), confidence))
     )
 
 
@@ -149,11 +162,25 @@ def trusted_weights(base: Column, modules: Column) -> Column:
 
 
 def priority_boost(priorities: Column, signals: Column) -> Column:
-    """boost and the (up to three) priorities, of likeness 0.34 or more, that earn it; both lists are phrases."""
-    rated = F.transform(priorities, lambda p, i: F.struct(F.coalesce(F.array_max(F.transform(signals, lambda s: phrase_similarity(p, s))), F.lit(0.0)).alias("likeness"), (-i).alias("rank"), p.alias("priority")))
-    top = F.slice(F.reverse(F.array_sort(F.filter(rated, lambda r: r["likeness"] >= 0.34))), 1, 3)
-    boost = F.least(F.lit(0.16), 0.04 * F.size(top) + 0.07 * mean(F.transform(top, lambda r: r["likeness"])))
-    return F.struct(F.when(F.size(top) > 0, boost).otherwise(0.0).alias("boost"), F.transform(top, lambda r: r["priority"]).alias("matched"))
+    """boost and the (up to three) priorities, of likeness 0.34 or more, that earn it; both lists are terms."""
+
+    def rate(p, i):
+        likeness = F.coalesce(F.array_max(F.transform(signals, lambda s: term_similarity(p, s))), F.lit(0.0))
+        return F.struct(likeness.alias("likeness"), (-i).alias("rank"), p["p"].alias("priority"))
+
+    def boost(top):
+        return F.struct(F.when(F.size(top) > 0, F.least(F.lit(0.16), 0.04 * F.size(top) + 0.07 * mean(F.transform(top, lambda r: r["likeness"])))).otherwise(0.0).alias("boost"), F.transform(top, lambda r: r["priority"]).alias("matched"))
+
+    return let(F.slice(F.reverse(F.array_sort(F.filter(F.transform(priorities, rate), lambda r: r["likeness"] >= 0.34))), 1, 3), boost)
+
+
+def term_similarity(a: Column, b: Column) -> Column:
+    """1 if equal, 0.84 if one contains the other, else the token overlap; a and b are terms."""
+    x, y = a["p"], b["p"]
+    return (
+        F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0))
+        .when(F.contains(x, y) | F.contains(y, x), F.lit(0.84)).otherwise(overlap(a["t"], b["t"]))
+    )
 
 
 def _phrases(*names: str) -> Column:
@@ -161,21 +188,21 @@ def _phrases(*names: str) -> Column:
 
 
 def prepare_brands(brands: DataFrame) -> DataFrame:
-    """What the pairs need of a brand, worked out once: __topics, __audience, __platforms, __priorities, __base."""
+    """What the pairs need of a brand, worked out once: __topics, __audience, __platforms, __priorities, __category, __base."""
     staged = brands.withColumn("__texts", _phrases("goals", "campaign_angles", "match_topics")).withColumn("__intent", intent_vector(F.col("__texts")))
     return staged.select(
         *brands.columns, terms(_phrases("match_topics", "campaign_angles", "goals")).alias("__topics"), terms(_phrases("target_audience")).alias("__audience"),
-        _phrases("preferred_platforms").alias("__platforms"), _phrases("priority_niches", "priority_topics").alias("__priorities"), blended_weights(F.col("__intent")).alias("__base"),
+        _phrases("preferred_platforms").alias("__platforms"), terms(_phrases("priority_niches", "priority_topics")).alias("__priorities"), term(phrase(F.coalesce("category", F.lit("")))).alias("__category"), blended_weights(F.col("__intent")).alias("__base"),
     )
 
 
 def prepare_creators(creators: DataFrame) -> DataFrame:
-    """What the pairs need of a creator, worked out once: __offered, __offered_audience, __present, __derived, __signals, __fit."""
+    """What the pairs need of a creator, worked out once: __offered, __offered_audience, __presence, __signals, __niche, __fit."""
     staged = creators.withColumn("__derived", derived_engagement(F.col("metrics")))
     signals = distinct_texts(F.transform(F.concat(F.array(F.coalesce("niche", F.lit(""))), some("topics"), some("audience_types")), phrase))
     return staged.select(
-        *creators.columns, terms(_phrases("topics")).alias("__offered"), terms(_phrases("audience_types")).alias("__offered_audience"), _phrases("platforms").alias("__present"),
-        signals.alias("__signals"), engagement_fit(F.col("estimated_engagement"), F.col("__derived")).alias("__fit"),
+        *creators.columns, terms(_phrases("topics")).alias("__offered"), terms(_phrases("audience_types")).alias("__offered_audience"), presence_of(_phrases("platforms"), F.col("metrics"), F.col("primary_platform")).alias("__presence"),
+        terms(signals).alias("__signals"), term(phrase(F.coalesce("niche", F.lit("")))).alias("__niche"), engagement_fit(F.col("estimated_engagement"), F.col("__derived")).alias("__fit"),
     )
 
 
@@ -184,8 +211,8 @@ def score_prepared(pairs: DataFrame) -> DataFrame:
     c, conf = F.col, F.coalesce(F.col("signal_confidence"), F.lit(0.0))
     staged = pairs.withColumns({
         "modules": F.struct(
-            niche_affinity(c("category"), c("niche")).alias("niche"), topic_similarity(c("__topics"), c("__offered"), conf).alias("topic"),
-            platform_alignment(c("__platforms"), c("__present"), c("metrics"), c("primary_platform")).alias("platform"),
+            niche_affinity(c("__category"), c("__niche")).alias("niche"), topic_similarity(c("__topics"), c("__offered"), conf).alias("topic"),
+            platform_alignment(c("__platforms"), c("__presence"), c("metrics")).alias("platform"),
             audience_fit(c("__audience"), c("__offered_audience"), conf).alias("audience"), c("__fit").alias("engagement"),
         ),
         "__boost": priority_boost(c("__priorities"), c("__signals")),
@@ -206,7 +233,10 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000) -> DataFrame:
     """Every brand with every creator. Brands are counted: up to most_brands are broadcast, more go in rounds of as many."""
+    spark = creators.sparkSession
     brands, creators = prepare_brands(brands), prepare_creators(creators)
+    # A creator costs a score for every brand, so creators are dealt to all cores before they are paired.
+    creators = creators.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), creators.columns[0])
     rounds = max(1, -(-brands.count() // most_brands))
     parts = [brands] if rounds == 1 else [brands.where(F.pmod(F.hash(*brands.columns[:1]), F.lit(rounds)) == k) for k in range(rounds)]
     return reduce(DataFrame.unionByName, [score_prepared(creators.crossJoin(F.broadcast(part))) for part in parts])

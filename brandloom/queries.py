@@ -94,7 +94,8 @@ def pairs(spark, d) -> DataFrame:
 def score_niche_affinity(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", F.element_at(F.lit(["building", "auto mobile", "machinery tools", "household", "furniture shop", ""]), F.col("n_nationkey") % 6 + 1).alias("category"))
     c = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("niche"))
-    m = scoring.niche_affinity(F.col("category"), F.col("niche"))
+    m = scoring.niche_affinity(F.col("a"), F.col("b"))
+    n, c = n.withColumn("a", scoring.term(text.phrase("category"))), c.withColumn("b", scoring.term(text.phrase("niche")))
     return c.crossJoin(F.broadcast(n)).select("n_nationkey", "c_custkey", m["score"].alias("score"), m["confidence"].alias("confidence"))  # 25 nations
 
 
@@ -143,7 +144,7 @@ def policy_blend_reweight(spark, d):
 def priority_boost_top3(spark, d):
     p = table(spark, d, "part").select("p_partkey", text.phrase("p_name").alias("name"), text.phrase("p_type").alias("type"))
     wanted = F.lit(["small ring", "ring", "large bolt", "economy", "promo gear"])
-    b = p.withColumn("b", scoring.priority_boost(wanted, F.array("name", "type")))
+    b = p.withColumn("b", scoring.priority_boost(scoring.terms(wanted), scoring.terms(F.array("name", "type"))))
     return b.select("p_partkey", coerce.round_half_up("b.boost", 6).alias("boost"), joined(F.col("b.matched")).alias("matched"))
 
 
