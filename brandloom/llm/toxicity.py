@@ -34,6 +34,7 @@ LEAST_DOCS = 4
 LEAST_CHI2 = 10.0
 RANK = 6
 EPOCHS = 30
+LEAST_STEPS = 1_500
 BATCH = 128
 RATE = 0.02
 DECAY = 3e-3
@@ -87,8 +88,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int = 7)
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     sizes = np.array([len(r) for r in rows])
     flat, begins = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // len(rows)) if len(rows) > BATCH else LEAST_STEPS)
     step = 0
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         order = random.permutation(len(rows))
         for at in range(0, len(order), BATCH):
             own = order[at : at + BATCH]
@@ -107,7 +109,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int = 7)
                 g = g + (DECAY / len(own)) * p * (k > 0)
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.001 * (g * g - second[k])
-                p -= RATE * 0.9**epoch * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+                p -= RATE * 0.04 ** (epoch / epochs) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return float(params[0][0]), params[1], params[2]
 
 
