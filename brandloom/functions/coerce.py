@@ -32,7 +32,7 @@ def string_list(x: Column | str, lone: str = "drop") -> Column:
     """An array of non-empty strings from JSON text. Text that isn't a JSON array: drop it, wrap it, or split it at commas (lone)."""
     x = col(x)
     parsed = F.from_json(x, "array<string>")
-    other = {"drop": F.array().cast("array<string>"), "wrap": F.array(x), "csv": F.transform(F.split(x, ","), F.trim)}[lone]
+    other = {"drop": F.array().cast("array<string>"), "wrap": F.array(x), "csv": F.transform(F.split(x, ","), lambda s: F.trim(s))}[lone]
     is_json = F.coalesce(F.trim(x).startswith("["), F.lit(False)) & parsed.isNotNull()
     return F.coalesce(F.filter(F.when(is_json, parsed).otherwise(other), lambda s: s.isNotNull() & (s != "")), F.array().cast("array<string>"))
 

@@ -156,7 +156,7 @@ def clean_text(x: Column | str, most: int = 450) -> Column:
 
 
 def lines(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(col(text), "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(text), "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def offer_candidates(page: Column | str, text: Column | str, most: int = 25) -> Column:
