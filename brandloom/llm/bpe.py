@@ -6,7 +6,7 @@ encoding of what precedes it ends with a token that it can stand beside. Two tok
 crosses their border: walking up the right edge of the first and the left edge of the second in the order of the merges,
 the pair that faces each other at a moment must not have a merge due before either of them is merged away. The ids follow
 from the back-pointers. Words repeat, so what was found for a word, a run of non-spaces and a pair of tokens is kept, up
-to a bound.
+to a bound; of words and runs, those met lately stay.
 
 Texts are normalised and split as the vocabulary file says: NFC, white space runs to a space, lower case, then
 contractions, runs of letters, single digits, runs of other signs. Special tokens in a text become their ids. Decoding
@@ -19,6 +19,7 @@ null ids are returned as they are. Other columns play no part.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 
 import ahocorasick
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 END = "</w>"
-KEPT = 150_000
+KEPT = 250_000
 
 #: The splitting pattern and white space of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -60,7 +61,6 @@ class Bpe:
         self.of_byte = {b: c for b, c in enumerate(self.letters)}
         inner = lambda s: s[: -len(END) - 1] + _closed(s[-len(END) - 1]) if s.endswith(END) and len(s) > len(END) else s
         self.id_of = {inner(s): i for s, i in vocab.items()}
-        self.length = {i: len(s) for s, i in self.id_of.items()}
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(merges):
@@ -68,14 +68,14 @@ class Bpe:
             self.rank.setdefault((left, right), rank)
             self.parts.setdefault(whole, (left, right, rank))
         self.ends = ahocorasick.Automaton()
-        for s, i in self.id_of.items():
-            self.ends.add_word(s, i)
+        for letters, i in self.id_of.items():
+            self.ends.add_word(letters, (i, len(letters)))
         self.ends.make_automaton()
         self.edges: tuple[dict, dict] = ({}, {})
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.split = regex.compile(SPLIT).findall
         self.spaces = regex.compile(SPACE + "+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
@@ -95,27 +95,25 @@ class Bpe:
         return known
 
     def can_stand(self, left: int, right: int) -> bool:
-        pair = (left, right)
-        known = self.beside.get(pair)
-        if known is None:
-            xs, ys = self._edge(left, 1), self._edge(right, 0)
-            i = j = 0
-            known = True
-            while True:
-                (x, x_until), (y, y_until) = xs[i], ys[j]
-                due = self.rank.get((x, y), _NEVER)
-                if due < x_until and due <= y_until and due != _NEVER:  # of equal merges the left one comes first
-                    known = False
-                    break
-                if x_until == y_until == _NEVER:
-                    break
-                if x_until <= y_until:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.beside) >= 8 * KEPT:
-                self.beside.clear()
-            self.beside[pair] = known
+        """Whether no merge crosses the border of two tokens that follow each other."""
+        xs, ys = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        known = True
+        while True:
+            (x, x_until), (y, y_until) = xs[i], ys[j]
+            due = self.rank.get((x, y), _NEVER)
+            if due < x_until and due <= y_until and due != _NEVER:  # of equal merges the left one comes first
+                known = False
+                break
+            if x_until == y_until == _NEVER:
+                break
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
+        if len(self.beside) >= 4 * KEPT:
+            self.beside.clear()
+        self.beside[left << 32 | right] = known
         return known
 
     def _is_whole(self, token: int) -> bool:
@@ -148,47 +146,52 @@ class Bpe:
 
     def encode_letters(self, letters: str) -> list[int]:
         """The ids of one word, whose last letter is closed."""
-        last = [-1] * (len(letters) + 1)
-        length, can_stand = self.length, self.can_stand
-        for end, token in self.ends.iter(letters):  # by end, longest first
+        n = len(letters)
+        last, before = [-1] * (n + 1), [0] * (n + 1)
+        beside = self.beside.get
+        for end, (token, length) in self.ends.iter(letters):  # by end, longest first
             end += 1
             if last[end] < 0:
-                begin = end - length[token]
-                if begin == 0:
-                    if self._is_whole(token):
-                        last[end] = token
-                elif last[begin] >= 0 and can_stand(last[begin], token):
-                    last[end] = token
-        ids, at = [], len(letters)
+                begin = end - length
+                if begin:
+                    left = last[begin]
+                    if left < 0:
+                        continue
+                    fits = beside(left << 32 | token)
+                    if fits is None:
+                        fits = self.can_stand(left, token)
+                else:
+                    fits = self._is_whole(token)
+                if fits:
+                    last[end], before[end] = token, begin
+        ids, at = [], n
         while at:
             ids.append(last[at])
-            at -= length[last[at]]
-        return ids[::-1]
-
-    def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            letters = "".join(map(self.letters.__getitem__, word.encode()))
-            known = np.array(self.encode_letters(letters[:-1] + _closed(letters[-1])), dtype="<u4").tobytes()
-            if len(self.words) >= KEPT:
-                self.words.clear()
-            self.words[word] = known
-        return known
+            at = before[at]
+        ids.reverse()
+        return ids
 
     def _run(self, run: str) -> bytes:
-        known = b"".join(map(self._word, self.split(run)))
-        if len(self.runs) >= KEPT:
-            self.runs.clear()
-        self.runs[run] = known
-        return known
+        """The ids of a run of non-spaces, or of one word of it, that isn't in the newer of the two stores."""
+        ids = self.older.get(run)
+        if ids is None:
+            words = (run,) if run.isalpha() else self.split(run)
+            if len(words) == 1 and len(words[0]) == len(run):
+                letters = "".join(map(self.letters.__getitem__, run.encode()))
+                found = self.encode_letters(letters[:-1] + _closed(letters[-1]))
+                ids = struct.pack(f"<{len(found)}I", *found)
+            else:
+                ids = b"".join([self.known.get(w) or self._run(w) for w in words])
+        if len(self.known) >= KEPT:
+            self.older, self.known = self.known, {}
+        self.known[run] = ids
+        return ids
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # split() takes these for spaces
-        runs = self.spaces.split(text) if odd else text.split()
-        lowered = (" ".join(runs).replace("Σ", "σ")).lower()  # letter by letter: no final sigma
-        known, make = self.runs.get, self._run
-        return b"".join([known(r) or make(r) for r in (self.spaces.split(lowered) if odd else lowered.split())])
+        make = self._run
+        return b"".join([self.known.get(r) or make(r) for r in (self.spaces.split(text) if odd else text.split())])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
