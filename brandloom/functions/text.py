@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .coerce import col, round_half_up
 
 
+def let(x: Column, use) -> Column:
+    """use(x), with x worked out once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strings(*values: str) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
@@ -21,15 +26,14 @@ def tokens(x: Column | str) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two token arrays; 0 if either is empty."""
-    both = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    """Of two token arrays (distinct, without nulls); 0 if either is empty."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.arrays_overlap(a, b), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
 
 
 def overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the smaller set; 0 if either is empty."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / least)
+    return F.when(F.arrays_overlap(a, b), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0)
 
 
 def phrase_similarity(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp, distinct_texts, round_half_up
-from ..functions.text import has_keyword, strings, title_case
+from ..functions.text import has_keyword, let, strings, title_case
 from ..plans import rules
 
 
@@ -16,11 +16,15 @@ def _hits(text: Column, words: tuple[str, ...]) -> Column:
 
 def niche_of(text: Column, table=rules.NICHES) -> Column:
     """Struct of niche, score, topics and audiences: the rule with the largest share of its keywords in text (lower-cased); of equals the first."""
-    best = F.array_max(F.array(*[F.struct((_hits(text, words) / len(words)).alias("score"), F.lit(-i).alias("i")) for i, (_, words, _, _) in enumerate(table)]))
+    rated = F.array_max(F.array(*[F.struct((_hits(text, words) / len(words)).alias("score"), F.lit(-i).alias("i")) for i, (_, words, _, _) in enumerate(table)]))
     default = next(i for i, r in enumerate(table) if r[0] == rules.DEFAULT_NICHE)
-    at = F.when(best["score"] > 0, -best["i"]).otherwise(default) + 1
-    pick = lambda k: F.element_at(F.array(*[strings(*r[k]) for r in table]), at)
-    return F.struct(F.element_at(strings(*[r[0] for r in table]), at).alias("niche"), best["score"].alias("score"), pick(2).alias("topics"), pick(3).alias("audiences"))
+
+    def named(best):
+        at = F.when(best["score"] > 0, -best["i"]).otherwise(default) + 1
+        pick = lambda k: F.element_at(F.array(*[strings(*r[k]) for r in table]), at)
+        return F.struct(F.element_at(strings(*[r[0] for r in table]), at).alias("niche"), best["score"].alias("score"), pick(2).alias("topics"), pick(3).alias("audiences"))
+
+    return let(rated, named)
 
 
 def signals(text: Column, table) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp, distinct_texts, round_half_up
-from ..functions.text import jaccard, keyword_hits, overlap, phrase, tokens
+from ..functions.text import jaccard, keyword_hits, let, overlap, phrase, tokens
 from ..plans.rules import INTENT_KEYWORDS, MODULES, POLICIES
 
 NONE = "array<string>"
@@ -32,11 +32,6 @@ def mean(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
 
 
-def let(x: Column, use) -> Column:
-    """use(x), with x worked out once."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def best_of(wanted: Column, offered: Column, likeness) -> Column:
     """Mean over wanted of the best likeness among offered."""
     return mean(F.transform(wanted, lambda w: F.array_max(F.transform(offered, lambda o: likeness(w, o)))))
