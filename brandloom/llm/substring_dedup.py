@@ -184,7 +184,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
 
     found = stored(named.mapInArrow(_find_paths(span), f"id {kind}, body long, edge long, path long, first int, windows int"), "paths")
     met = found.groupBy("edge").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("path").alias("p0"), F.max("path").alias("p1"))
-    met = met.where("least < most").select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches"))
+    # As a table of its own, so that the join deals both sides anew and AQE can split a k-mer that is met very often.
+    met = stored(met.where("least < most").select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches")), "met")
     repeated = stored(found.join(met, "edge"), "repeated")
 
     straight = repeated.where(~F.col("branches") & (F.col("id") > F.col("least"))).select("id", "body", F.struct("first", "windows").alias("at"))
