@@ -4,7 +4,7 @@ Token k-mers are the edges of a De Bruijn graph over the whole corpus. Every win
 of them, and is assigned to the one with the least hash (the leftmost on ties), which depends on its words alone. So
 equal windows of different documents meet at equal k-mers, and only about one k-mer in twenty has to be moved. Windows
 that follow each other and share a k-mer form a path of the graph, written once with its source coordinates
-(document, first window, number of windows) and a hash of all words along it.
+(document, first window, number of windows) and a hash of all words along it; a path that a document repeats is one row.
 
 1. Paths are grouped by k-mer in Spark. A k-mer met in one document only is dropped.
 2. Where all paths through a k-mer are alike it does not branch: the path is compacted to its smallest document, and
@@ -114,6 +114,21 @@ def paths(words_of_docs: list[list[bytes]], known: WordHash, span: int = SPAN, k
     return doc[begin], edges[chosen[run]].view(np.int64), whole.view(np.int64), (begin - first[doc[begin]]).astype(np.int32), windows.astype(np.int32)
 
 
+def once_a_document(found):
+    """paths' arrays with one entry for each document and path: its first place, and a list of its other places or None.
+
+    A line that a document repeats has the same few paths over and over; they are one row each.
+    """
+    doc, edges, whole, first, windows = found
+    order = np.lexsort((first, whole, edges, doc))
+    doc, edges, whole, first, windows = (x[order] for x in found)
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (edges[1:] != edges[:-1]) | (whole[1:] != whole[:-1])))
+    heads = np.flatnonzero(new)
+    sizes = np.diff(np.concatenate((heads, [len(doc)])))
+    others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes - 1))).astype(np.int32)), pa.array(first[~new]), mask=pa.array(sizes == 1))
+    return doc[heads], edges[heads], whole[heads], first[heads], windows[heads], others
+
+
 def _find_paths(span: int):
     def run(batches):
         known = WordHash()
@@ -128,8 +143,9 @@ def _find_paths(span: int):
                     held.append(words)
                     at += 1
                 if (found := paths(held, known, span)) is not None:
+                    found = once_a_document(found)
                     rows = pa.array(found[0] + begin)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found[1:])], ["id", "body", "edge", "path", "first", "windows"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found[1:5]), found[5]], ["id", "body", "edge", "path", "first", "windows", "others"])
 
     return run
 
@@ -163,7 +179,7 @@ def _cut(span: int):
                 total = len(words)
                 if spans:
                     edge = np.zeros(total + 1, dtype=np.int32)
-                    at = np.array([(s["first"], s["first"] + s["windows"] + span - 1) for s in spans])
+                    at = np.array([(f, f + s["windows"] + span - 1) for s in spans for f in (s["first"], *(s["others"] or ()))])
                     np.add.at(edge, at[:, 0], 1)
                     np.add.at(edge, at[:, 1], -1)
                     words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
@@ -182,13 +198,13 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
     named = rows.where(F.col("id").isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
 
-    found = stored(named.mapInArrow(_find_paths(span), f"id {kind}, body long, edge long, path long, first int, windows int"), "paths")
+    found = stored(named.mapInArrow(_find_paths(span), f"id {kind}, body long, edge long, path long, first int, windows int, others array<int>"), "paths")
     met = found.groupBy("edge").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("path").alias("p0"), F.max("path").alias("p1"))
     # As a table of its own, so that the join deals both sides anew and AQE can split a k-mer that is met very often.
     met = stored(met.where("least < most").select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches")), "met")
     repeated = stored(found.join(met, "edge"), "repeated")
 
-    straight = repeated.where(~F.col("branches") & (F.col("id") > F.col("least"))).select("id", "body", F.struct("first", "windows").alias("at"))
+    straight = repeated.where(~F.col("branches") & (F.col("id") > F.col("least"))).select("id", "body", F.struct("first", "windows", "others").alias("at"))
     branching = repeated.where("branches")
     sources = branching.groupBy("edge", "path").agg(F.min(F.struct("id", "body", "first", "windows")).alias("s"))
     sources = sources.groupBy(F.col("s.id").alias("id"), F.col("s.body").alias("body")).agg(F.collect_list(F.struct("edge", "path", "s.first", "s.windows")).alias("sources"))
@@ -196,14 +212,14 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
     earliest = windows.groupBy("digest").agg(F.min("id").alias("least"))
     judged = windows.select("edge", "path", "offset", "digest").join(earliest, "digest").groupBy("edge", "path").agg(F.collect_set(F.struct("offset", "least")).alias("judged"))
     bent = (
-        branching.select("edge", "path", "id", "body", "first")
+        branching.select("edge", "path", "id", "body", "first", "others")
         .join(judged, ["edge", "path"])
-        .select("id", "body", F.explode(F.expr("transform(filter(judged, j -> j.least < id), j -> struct(first + j.offset as first, 1 as windows))")).alias("at"))
+        .select("id", "body", F.explode(F.expr("transform(filter(judged, j -> j.least < id), j -> struct(first + j.offset as first, 1 as windows, transform(others, o -> o + j.offset) as others))")).alias("at"))
     )
     spans = straight.unionByName(bent).groupBy("id", "body").agg(F.collect_set("at").alias("spans"))
     out = f"id {kind}, n_words long, n_removed long, kept string"
     cut = named.join(spans, ["id", "body"], "left").select("id", "text", "spans").mapInArrow(_cut(span), out)
-    whole = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<struct<first:int,windows:int>>").alias("spans")).mapInArrow(_cut(span), out)
+    whole = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<struct<first:int,windows:int,others:array<int>>>").alias("spans")).mapInArrow(_cut(span), out)
     return cut.unionByName(whole).withColumnRenamed("id", id_col)
 
 

@@ -315,3 +315,16 @@ def test_search_against_brute_force():
 def test_unreadable_and_silent_recordings():
     for data in (None, b"", b"no wav", audio.play([0.0] * 64, 1), audio.play(None, 1)):
         assert len(audio.integers(audio.chroma(audio.read_wav(data)))[0]) == 0
+
+
+def test_paths_of_a_document_are_gathered():
+    rng = random.Random(9)
+    docs = [["x"] * 80, [rng.choice("abc") for _ in range(150)], "one two three four five".split() * 30]
+    words = [[w.encode() for w in d] for d in docs]
+    found = substring_dedup.paths(words, substring_dedup.WordHash(), span=10, k=4)
+    doc, edges, whole, first, windows, others = substring_dedup.once_a_document(found)
+    flat = [(int(d), int(e), int(p), int(f), int(w)) for d, e, p, a, w, o in zip(doc, edges, whole, first, windows, others.to_pylist(), strict=True) for f in (a, *(o or ()))]
+    assert sorted(flat) == sorted(zip(*(x.tolist() for x in found), strict=True))
+    assert len({(d, e, p) for d, e, p in zip(doc.tolist(), edges.tolist(), whole.tolist(), strict=True)}) == len(doc) < len(flat)
+    covered = {(d, f + i) for d, _, _, f, w in flat for i in range(w)}
+    assert covered == {(i, s) for i, d in enumerate(docs) for s in range(len(d) - 9)}
