@@ -1,0 +1,136 @@
+"""Near copies by the Jaccard similarity of their 5-word shingles: nominated by MinHash bands, verified exactly.
+
+Texts are lower-cased (A-Z) and split at white space, as in simhash; texts of equal words are one from the start. Two texts
+are linked if their sets of shingles have a Jaccard similarity of LEAST or more. A text of fewer words than a shingle is
+one shingle; texts without words are equal.
+
+Search: BANDS bands of ROWS least hashes each. At similarity 0.8 a pair shares no band once in 300,000 pairs, above it more
+seldom still. What shares a band is a candidate, whatever the band holds, and only the sets themselves decide.
+Candidates are taken twice: first every text with the least of its band, then, where a band holds texts of several
+components of those links, every pair of them that lies in different components. Pairs within a component can't join
+anything, so no link is lost, and a band of many copies costs as many comparisons as it has texts.
+
+Edge cases: rows with a null id take no part and stay. Repeated ids are one row. Other columns play no part.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import blobs, stored
+from .simhash import LOWER, components
+
+SHINGLE = 5
+LEAST = 0.8
+SEED = 42
+BANDS, ROWS = 24, 4
+PIECE = 4_096
+
+_random = np.random.default_rng(20)
+_XOR, _ODD = (_random.integers(0, 1 << 64, size=(BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(k) for k in (0, 1))
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    n = max(1, len(words) - shingle + 1)
+    begins = np.concatenate(([0], ends[: n - 1])).tolist()
+    ends = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins, ends, strict=True)], dtype=np.uint64))
+
+
+def words_digest(text: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(text.translate(LOWER).split()))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of ROWS least hashes and the number of the band."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), PIECE):
+        least = np.minimum(least, ((hashes[at : at + PIECE][None, :] ^ _XOR) * _ODD).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def _binary(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
+
+
+def _digests(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), _binary([words_digest(t) for t in blobs(batch.column(1))])], [batch.schema.field(0).name, "key"])
+
+
+def _sketches(batches):
+    for batch in batches:
+        found = [bands(shingles(t)) for t in blobs(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "bands"])
+
+
+def _sets(batches):
+    for batch in batches:
+        found = [shingles(t).view(np.int64) for t in blobs(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those pairs (u, v) of keys whose texts (key, text) are similar enough."""
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    sets = stored(texts.join(needed, "key", "left_semi").select("key", "text").mapInArrow(_sets, "key binary, shingles array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= least * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
+
+
+def near_copies(docs: DataFrame, id_col="doc_id", text_col="text", least: float = LEAST) -> DataFrame:
+    """id_col and component_id (the least id reachable over links) for every row."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    keys = stored(docs.select(id_col, text_col).mapInArrow(_digests, f"`{id_col}` {kind}, key binary"), "keys")
+    distinct = stored(keys.groupBy("key").agg(F.min(id_col).alias("least")), "distinct")
+    # One row of each text; an id may come with several texts, so that the text's own digest is asked for as well.
+    chosen = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(distinct, F.col("__id") == F.col("least"), "left_semi")
+    digested = chosen.select("__id", "text").mapInArrow(_with_digest, f"__id {kind}, text string, key binary")
+    texts = stored(digested.join(distinct, (F.col("__id") == F.col("least")) & (digested["key"] == distinct["key"]), "left_semi").dropDuplicates(["key"]).select("key", "text"), "texts")
+
+    spread = texts.select("key", "text").mapInArrow(_sketches, "key binary, bands array<long>").select("key", F.explode("bands").alias("band"))
+    spread = stored(spread, "bands")
+    held = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1").select("band", "first")
+    met = stored(spread.join(held, "band"), "met")
+    stars = verified(met.where("key <> first").select(F.col("first").alias("u"), F.col("key").alias("v")).distinct(), texts, least)
+    stars = stored(stars, "stars")
+
+    found = components(stars)
+    rooted = stored(met.select("band", "key").join(found, met["key"] == found["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    a = rooted.join(mixed, "band", "left_semi")
+    b = a.select("band", F.col("key").alias("other"), F.col("root").alias("other_root"))
+    rest = a.join(b, "band").where("root < other_root").select(F.least("key", "other").alias("u"), F.greatest("key", "other").alias("v")).distinct()
+    links = stored(stars.unionByName(verified(rest, texts, least)), "links")
+
+    found = components(links)
+    rooted = distinct.join(found, distinct["key"] == found["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return keys.join(named, "key").select(id_col, "component_id")
+
+
+def _with_digest(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, _binary([words_digest(t) for t in blobs(batch.column(1))])], ["__id", "text", "key"])
+
+
+def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", least: float = LEAST) -> DataFrame:
+    """docs with all their columns, less all but the least id of each component. Rows with a null id stay."""
+    groups = near_copies(docs.where(F.col(id_col).isNotNull()), id_col, text_col, least)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
+    first = docs.join(kept, docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col])
+    return first.unionByName(docs.where(F.col(id_col).isNull()))
