@@ -4,10 +4,13 @@ A recording (WAV, 16-bit PCM) becomes frames of twelve pitch-class energies, eac
 image of the frames, sixteen filters compare two regions of a window of SPAN frames; each value is cut into four levels,
 written as two bits of a Gray code, so that one position gives one 32-bit integer. Windows that touch silence give none.
 
-Recordings are aligned by offset histograms: equal integers of two recordings vote for the difference of their positions;
-the offset with the most votes (VOTES or more) is judged by the share of differing bits over the overlap. The queries are
-a stated set, taken in blocks of BLOCK recordings: a block's integers are broadcast (BLOCK times the integers of a
-recording), and every recording is held against them where it lies.
+Recordings are aligned by histograms of differing bits: at every offset at which two recordings overlap by OVERLAP
+positions or more, the differing bits of all positions are counted, and the offset with the least share of them is the
+pair's, if the share is ERROR or less. No integers need be equal, so every pair within ERROR is found. The work grows with
+the product of two recordings' lengths. The queries are a stated set, taken in blocks of BLOCK recordings: a block's
+integers are broadcast (BLOCK times the integers of a recording), and every recording is held against them where it lies.
+
+Frames and hops are as long in seconds at every sampling rate.
 
 Edge cases: a null, empty, unreadable or silent recording has no integers and matches nothing. Channels are averaged.
 Repeated rows are recordings of their own with the same id. A query doesn't match rows of its own id. Null ids take no
@@ -31,7 +34,9 @@ SPAN = 8
 QUIET = 1e-4
 LEVEL = 0.1
 BLOCK = 1_000
-VOTES, OVERLAP, ERROR = 2, 16, 0.2
+OVERLAP, ERROR = 16, 0.2
+#: Positions of queries that are held against a recording at once.
+CELLS = 1 << 15
 
 GRAY = (0, 1, 3, 2)
 #: (kind, lowest pitch class, pitch classes, frames) of each filter; kind 0 halves by pitch, 1 by time, 2 is a chequerboard.
@@ -40,22 +45,31 @@ FILTERS = tuple((k % 3, (5 * k) % (13 - h), h, 4 if k % 2 else 8) for k, h in en
 
 def read_wav(data: bytes | None) -> np.ndarray:
     """Samples from -1 to 1, channels averaged, at the recording's own rate."""
+    return read_recording(data)[0]
+
+
+def read_recording(data: bytes | None) -> tuple[np.ndarray, int]:
+    """(samples as read_wav gives them, their rate)."""
     if not data:
-        return np.zeros(0)
+        return np.zeros(0), RATE
     try:
         with wave.open(io.BytesIO(data)) as w:
-            if w.getsampwidth() != 2:
-                return np.zeros(0)
+            if w.getsampwidth() != 2 or w.getframerate() <= 0:
+                return np.zeros(0), RATE
             samples = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2") / 32768
-            return samples[: len(samples) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1)
+            return samples[: len(samples) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
     except (wave.Error, EOFError):
-        return np.zeros(0)
+        return np.zeros(0), RATE
+
+
+def _frame(rate: int) -> int:
+    return max(1, round(FRAME * rate / RATE))
 
 
 @functools.lru_cache(maxsize=4)
 def _pitch_classes(rate: int) -> np.ndarray:
     """(bins, 12): which pitch class each frequency from 200 to 3500 Hz belongs to."""
-    hz = np.fft.rfftfreq(FRAME, 1 / rate)
+    hz = np.fft.rfftfreq(_frame(rate), 1 / rate)
     out = np.zeros((len(hz), 12), dtype=np.float32)
     for k in np.flatnonzero((hz >= 200) & (hz <= 3500)):
         out[k, int(round(12 * np.log2(hz[k] / 440))) % 12] = 1
@@ -64,11 +78,13 @@ def _pitch_classes(rate: int) -> np.ndarray:
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
     """(frames, 12) of unit length; zeros where it is silent."""
-    if len(samples) < FRAME:
+    frame = _frame(rate)
+    if len(samples) < frame:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
+    starts = np.arange((len(samples) - frame) * RATE // (HOP * rate) + 1) * rate * HOP // RATE
+    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), frame)[starts] * np.hanning(frame).astype(np.float32)
     energy = (np.abs(np.fft.rfft(frames, axis=1)) ** 2).astype(np.float32) @ _pitch_classes(rate)
-    energy /= FRAME
+    energy /= frame * frame / FRAME
     size = np.linalg.norm(energy, axis=1, keepdims=True)
     return np.where(size > QUIET, energy / np.maximum(size, 1e-12), 0)
 
@@ -107,7 +123,7 @@ def fingerprints(media: DataFrame, id_col: str, wav_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [integers(chroma(read_wav(w))) for w in batch.column(1).to_pylist()]
+            found = [integers(chroma(*read_recording(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([p.view(np.int32).tolist() for _, p in found], pa.list_(pa.int32()))],
                 [id_col, "at", "prints"],
@@ -123,37 +139,51 @@ def bit_error(a_at, a, b_at, b, offset: int) -> tuple[int, float]:
 
 
 class QueryBlock:
-    """The integers of a block of recordings, sorted."""
+    """The integers of a block of recordings, in grids of recordings of like lengths."""
 
     def __init__(self, rows: list[tuple[int, list[int], list[int]]]):
         self.ids = [r[0] for r in rows]
         self.at = [np.array(r[1], dtype=np.int32) for r in rows]
         self.prints = [np.array(r[2], dtype=np.int32).view(np.uint32) for r in rows]
-        flat = np.concatenate([*self.prints, np.zeros(0, dtype=np.uint32)])
-        order = np.argsort(flat, kind="stable")
-        self.sorted = flat[order]
-        self.owner = np.repeat(np.arange(len(rows)), [len(p) for p in self.prints])[order]
-        self.place = np.concatenate([*self.at, np.zeros(0, dtype=np.int32)])[order]
+        length = {k: int(at[-1] - at[0]) + 1 for k, at in enumerate(self.at) if len(at) >= OVERLAP}
+        self.grids, own = [], []
+        for k in sorted(length, key=length.get):
+            if own and (len(own) + 1) * length[k] > CELLS:
+                self.grids.append(self._grid(own, length[own[-1]]))
+                own = []
+            own.append(k)
+        if own:
+            self.grids.append(self._grid(own, length[own[-1]]))
+
+    def _grid(self, own: list[int], n: int):
+        """Numbers of queries, their last cells' positions, their integers from the last to the first, and 255 where there is one."""
+        last = np.array([int(self.at[k][0]) + n - 1 for k in own])
+        grid, there = np.zeros((len(own), n), dtype=np.uint32), np.zeros((len(own), n), dtype=np.uint8)
+        for i, k in enumerate(own):
+            grid[i, last[i] - self.at[k]] = self.prints[k]
+            there[i, last[i] - self.at[k]] = 255
+        return np.array(own), last, grid, there
 
     def align(self, at: np.ndarray, prints: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query's number, offset, overlap, error) for each query that the recording aligns with."""
-        low, high = np.searchsorted(self.sorted, prints, "left"), np.searchsorted(self.sorted, prints, "right")
-        n = high - low
-        if not n.sum():
+        if len(at) < OVERLAP:
             return []
-        hits = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        offset = np.repeat(at, n).astype(np.int64) - self.place[hits]
-        votes, count = np.unique((self.owner[hits].astype(np.int64) << 32) + (offset + (1 << 31)), return_counts=True)
-        best: dict[int, tuple[int, int]] = {}
-        for v, c in zip(votes[count >= VOTES].tolist(), count[count >= VOTES].tolist(), strict=True):
-            owner = v >> 32
-            if c > best.get(owner, (0, 0))[0]:
-                best[owner] = (c, (v & 0xFFFFFFFF) - (1 << 31))
-        out = []
-        for owner, (_, shift) in best.items():
-            overlap, error = bit_error(self.at[owner], self.prints[owner], at, prints, shift)
-            if overlap >= OVERLAP and error <= ERROR:
-                out.append((owner, shift, overlap, error))
+        out, begin = [], int(at[0])
+        for own, last, grid, there in self.grids:
+            n = grid.shape[1]
+            shape = (len(own), int(at[-1]) - begin + n)
+            kind = np.uint16 if 32 * min(len(at), n) < 1 << 16 else np.uint32
+            bits, overlap, one = np.zeros(shape, dtype=kind), np.zeros(shape, dtype=kind), there & 1
+            for p, x in zip((at - begin).tolist(), prints, strict=True):
+                bits[:, p : p + n] += np.bitwise_count(grid ^ x) & there
+                overlap[:, p : p + n] += one
+            row, column = np.nonzero((overlap >= OVERLAP) & (bits <= overlap * np.float32(32 * ERROR + 1e-3)))
+            best: dict[int, tuple[float, int, int]] = {}
+            for i, c, d, o in zip(row.tolist(), column.tolist(), bits[row, column].tolist(), overlap[row, column].tolist(), strict=True):
+                found = (d / o / 32, -o, begin + c - int(last[i]))
+                if found[0] <= ERROR and found < best.get(i, (2.0, 0, 0)):
+                    best[i] = found
+            out += [(int(own[i]), offset, -o, error) for i, (error, o, offset) in best.items()]
         return out
 
 
