@@ -4,7 +4,8 @@ Token k-mers are the edges of a De Bruijn graph over the whole corpus. Every win
 of them, and is assigned to the one with the least hash (the leftmost on ties), which depends on its words alone. So
 equal windows of different documents meet at equal k-mers, and only about one k-mer in twenty has to be moved. Windows
 that follow each other and share a k-mer form a path of the graph, written once with its source coordinates
-(document, first window, number of windows) and a hash of all words along it; a path that a document repeats is one row.
+(document, first window, number of windows) and two hashes of all words along it, one summed over the words' hashes and
+one over the words themselves (64 bits each); a path that a document repeats is one row. Paths are alike if both agree.
 
 1. Paths are grouped by k-mer in Spark. A k-mer met in one document only is dropped.
 2. Where all paths through a k-mer are alike it does not branch: the path is compacted to its smallest document, and
@@ -119,14 +120,21 @@ def once_a_document(found):
 
     A line that a document repeats has the same few paths over and over; they are one row each.
     """
-    doc, edges, whole, first, windows = found
-    order = np.lexsort((first, whole, edges, doc))
-    doc, edges, whole, first, windows = (x[order] for x in found)
+    order = np.lexsort((found[3], *found[5:], *found[2::-1]))
+    doc, edges, whole, first, windows, *proof = (x[order] for x in found)
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (edges[1:] != edges[:-1]) | (whole[1:] != whole[:-1])))
+    for p in proof:
+        new[1:] |= p[1:] != p[:-1]
     heads = np.flatnonzero(new)
     sizes = np.diff(np.concatenate((heads, [len(doc)])))
     others = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes - 1))).astype(np.int32)), pa.array(first[~new]), mask=pa.array(sizes == 1))
-    return doc[heads], edges[heads], whole[heads], first[heads], windows[heads], others
+    return doc[heads], edges[heads], whole[heads], first[heads], windows[heads], others, *(p[heads] for p in proof)
+
+
+def proofs(words_of_docs: list[list[bytes]], found, span: int = SPAN) -> np.ndarray:
+    """Hash of the words themselves along each path of paths' arrays."""
+    doc, _, _, first, windows = (x.tolist() for x in found)
+    return np.array([xxhash.xxh3_64_intdigest(b" ".join(words_of_docs[d][f : f + w + span - 1])) for d, f, w in zip(doc, first, windows, strict=True)], dtype=np.uint64).view(np.int64)
 
 
 def _find_paths(span: int):
@@ -143,9 +151,9 @@ def _find_paths(span: int):
                     held.append(words)
                     at += 1
                 if (found := paths(held, known, span)) is not None:
-                    found = once_a_document(found)
+                    found = once_a_document((*found, proofs(held, found, span)))
                     rows = pa.array(found[0] + begin)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found[1:5]), found[5]], ["id", "body", "edge", "path", "first", "windows", "others"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *map(pa.array, found[1:5]), found[5], pa.array(found[6])], ["id", "body", "edge", "path", "first", "windows", "others", "proof"])
 
     return run
 
@@ -153,7 +161,7 @@ def _find_paths(span: int):
 def _digest_windows(span: int):
     def run(batches):
         for batch in batches:
-            ids, edges, whole, offsets, digests = [], [], [], [], []
+            ids, edges, whole, proof, offsets, digests = [], [], [], [], [], []
             for i, (text, sources) in enumerate(zip(blobs(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
                 words = text.split()
                 for s in sources:
@@ -161,11 +169,12 @@ def _digest_windows(span: int):
                         ids.append(i)
                         edges.append(s["edge"])
                         whole.append(s["path"])
+                        proof.append(s["proof"])
                         offsets.append(o)
                         digests.append(hashlib.blake2b(b" ".join(words[s["first"] + o : s["first"] + o + span]), digest_size=16).digest())
                 if len(ids) > 50_000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(edges, pa.int64()), pa.array(whole, pa.int64()), pa.array(offsets, pa.int32()), pa.array(digests, pa.binary())], ["id", "edge", "path", "offset", "digest"])
-                    ids, edges, whole, offsets, digests = [], [], [], [], []
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int32())), pa.array(edges, pa.int64()), pa.array(whole, pa.int64()), pa.array(proof, pa.int64()), pa.array(offsets, pa.int32()), pa.array(digests, pa.binary())], ["id", "edge", "path", "proof", "offset", "digest"])
+                    ids, edges, whole, proof, offsets, digests = [], [], [], [], [], []
 
     return run
 
@@ -198,22 +207,22 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
     named = rows.where(F.col("id").isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
 
-    found = stored(named.mapInArrow(_find_paths(span), f"id {kind}, body long, edge long, path long, first int, windows int, others array<int>"), "paths")
-    met = found.groupBy("edge").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("path").alias("p0"), F.max("path").alias("p1"))
+    found = stored(named.mapInArrow(_find_paths(span), f"id {kind}, body long, edge long, path long, first int, windows int, others array<int>, proof long"), "paths")
+    met = found.groupBy("edge").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("path").alias("p0"), F.max("path").alias("p1"), F.min("proof").alias("q0"), F.max("proof").alias("q1"))
     # As a table of its own, so that the join deals both sides anew and AQE can split a k-mer that is met very often.
-    met = stored(met.where("least < most").select("edge", "least", (F.col("p0") != F.col("p1")).alias("branches")), "met")
+    met = stored(met.where("least < most").select("edge", "least", ((F.col("p0") != F.col("p1")) | (F.col("q0") != F.col("q1"))).alias("branches")), "met")
     repeated = stored(found.join(met, "edge"), "repeated")
 
     straight = repeated.where(~F.col("branches") & (F.col("id") > F.col("least"))).select("id", "body", F.struct("first", "windows", "others").alias("at"))
     branching = repeated.where("branches")
-    sources = branching.groupBy("edge", "path").agg(F.min(F.struct("id", "body", "first", "windows")).alias("s"))
-    sources = sources.groupBy(F.col("s.id").alias("id"), F.col("s.body").alias("body")).agg(F.collect_list(F.struct("edge", "path", "s.first", "s.windows")).alias("sources"))
-    windows = named.join(sources, ["id", "body"]).select("id", "text", "sources").mapInArrow(_digest_windows(span), f"id {kind}, edge long, path long, offset int, digest binary")
+    sources = branching.groupBy("edge", "path", "proof").agg(F.min(F.struct("id", "body", "first", "windows")).alias("s"))
+    sources = sources.groupBy(F.col("s.id").alias("id"), F.col("s.body").alias("body")).agg(F.collect_list(F.struct("edge", "path", "proof", "s.first", "s.windows")).alias("sources"))
+    windows = named.join(sources, ["id", "body"]).select("id", "text", "sources").mapInArrow(_digest_windows(span), f"id {kind}, edge long, path long, proof long, offset int, digest binary")
     earliest = windows.groupBy("digest").agg(F.min("id").alias("least"))
-    judged = windows.select("edge", "path", "offset", "digest").join(earliest, "digest").groupBy("edge", "path").agg(F.collect_set(F.struct("offset", "least")).alias("judged"))
+    judged = windows.select("edge", "path", "proof", "offset", "digest").join(earliest, "digest").groupBy("edge", "path", "proof").agg(F.collect_set(F.struct("offset", "least")).alias("judged"))
     bent = (
-        branching.select("edge", "path", "id", "body", "first", "others")
-        .join(judged, ["edge", "path"])
+        branching.select("edge", "path", "proof", "id", "body", "first", "others")
+        .join(judged, ["edge", "path", "proof"])
         .select("id", "body", F.explode(F.expr("transform(filter(judged, j -> j.least < id), j -> struct(first + j.offset as first, 1 as windows, transform(others, o -> o + j.offset) as others))")).alias("at"))
     )
     spans = straight.unionByName(bent).groupBy("id", "body").agg(F.collect_set("at").alias("spans"))
