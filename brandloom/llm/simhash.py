@@ -71,17 +71,17 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
 _BIT = np.array([np.uint64(1) << np.uint64(i) for i in range(64)], dtype=np.uint64)
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint's number, anchor) for every anchor within 2 of bits 1 to 63 of each fingerprint."""
-    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    syndrome = np.bitwise_xor.reduce(np.where(bits == 1, np.arange(64, dtype=np.uint8), 0), axis=1)
-    points = fps & ~np.uint64(1)
+def anchors(fps: np.ndarray, length: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint's number, anchor) for every anchor within 2 of bits 1 to length (2**k - 1) of each fingerprint."""
+    bits = np.unpackbits(fps.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=length + 1)
+    syndrome = np.bitwise_xor.reduce(np.where(bits == 1, np.arange(length + 1, dtype=np.uint8), 0), axis=1)
+    points = fps & np.uint64((1 << length + 1) - 2)
     rows, found = [], []
     for s in np.unique(syndrome):
         own = np.flatnonzero(syndrome == s)
         flips = np.zeros(1, dtype=np.uint64)  # a code word is its only anchor within 2: others differ from it in 3 bits or more
         if s:
-            i = np.arange(1, 64, dtype=np.uint8)
+            i = np.arange(1, length + 1, dtype=np.uint8)
             i = i[(i ^ s) > i]
             flips = np.concatenate(([_BIT[s]], _BIT[i] | _BIT[i ^ s]))
         rows.append(np.repeat(own, len(flips)))
@@ -175,11 +175,3 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text", threshold: int = THRESHOLD) -> DataFrame:
-    """docs with all their columns, less all but the least id of each component. Rows with a null id stay."""
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, threshold)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    first = docs.join(kept, docs[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col])
-    return first.unionByName(docs.where(F.col(id_col).isNull()))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from brandloom.llm import minhash, simhash
+from brandloom.llm import near_copies, simhash
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -42,8 +42,8 @@ def test_near_copies_against_brute_force(spark):
                 apart += (simhash.fingerprint((texts[i] or "").encode()) ^ simhash.fingerprint((texts[j] or "").encode())).bit_count() > simhash.THRESHOLD
     assert apart > 20  # copies that the op5 threshold doesn't link
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[5], 2)], "doc_id long, text string, size int").repartition(3)
-    assert {x.doc_id: x.component_id for x in minhash.near_copies(docs.where("doc_id is not null")).collect()} == {i: find(i) for i in range(len(texts))}
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(docs.where("doc_id is not null")).collect()} == {i: find(i) for i in range(len(texts))}
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(x.doc_id if x.doc_id is not None else -1 for x in kept.collect()) == [-1, *sorted({find(i) for i in range(len(texts))})]
-    assert minhash.near_copies(docs.limit(0)).count() == 0
+    assert near_copies.near_copies(docs.limit(0)).count() == 0
