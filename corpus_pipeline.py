@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandloom.llm import bpe, decontamination, minhash, pii, toxicity
+from brandloom.llm import bpe, decontamination, near_copies, pii, toxicity
 from brandloom.llm.common import stored, table
 
 
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (Jaccard 0.8 or more over 5-word shingles) the document with the least id stays."""
-    return minhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
