@@ -1,35 +1,44 @@
 """Benchmark decontamination.
 
-The normalised 13-word windows of the benchmark items (an item of fewer words is one window) form a hash set. While
-that set is within MAX_BROADCAST_WINDOWS it is broadcast, and each document is scanned where it lies: every window of
-L words contains exactly one of the k-grams at word positions 0, s, 2s, ... when s = L - k + 1, so only those k-grams
-are looked up; what they nominate is verified word by word. A larger benchmark is joined on window digests instead.
+The normalised 13-word windows of the benchmark items (an item of fewer words is one window) form a hash set, and each
+document is scanned against it where it lies. What is broadcast is a bit table of the windows' and their k-grams' hashes,
+SPARSE bits for each window and at most MOST_BITS in all, so that its size is bounded whatever the benchmark holds. Every
+window of L words contains exactly one of the k-grams at word positions 0, s, 2s, ... when s = L - k + 1, so only those
+k-grams are looked up; where one is found, the windows around it are. A bit can be set by chance: what the table nominates
+is joined with the windows themselves, by all of their words, and only that counts. The same plan serves a benchmark of any
+size; a larger one nominates more.
+
+Document rows are told apart by the numbers of a stored table, never by a hash. A window that is met in many documents is
+dealt to SALTS parts.
 
 Edge cases: a null or empty text has no words, no hits, and is clean. Items that are null or have no words are ignored;
 an item whose id is null still marks words but is not listed. Repeated items are listed once. Every document row gives
-one result row, repeated rows and null ids included. Other columns of either table play no part.
+one result row, repeated rows and null ids included. Texts of any length are scanned whole. An empty table of documents
+gives an empty result, an empty benchmark hits nothing. Other columns of either table play no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
-
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import blobs
+from .common import blobs, stored
 
 WINDOW = 13
 PROBE = 4
-MAX_BROADCAST_WINDOWS = 200_000
+SPARSE, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 29
+SALTS = 8
 
 #: Lower-cases A-Z; every other ASCII byte outside 0-9 and a-z becomes a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-FOUND = "n_words long, n_hit long, hit_words array<int>, item_ids array<string>, contaminated boolean"
+NOMINEES = "array<struct<window:binary,size:int,starts:array<int>>>"
+_nominees = pa.list_(pa.struct([("window", pa.binary()), ("size", pa.int32()), ("starts", pa.list_(pa.int32()))]))
+_hash = xxhash.xxh3_64_intdigest
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -41,149 +50,124 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] if words else []
 
 
-def is_contaminated(n_hit: int, n_words: int) -> bool:
-    return n_hit > 0 and 20 * n_hit >= n_words
+def hashes_of(words: list[bytes], window: int = WINDOW) -> set[int]:
+    """Hashes of an item's windows, and of the k-grams that nominate them (seeded by the window's size, which tells them apart)."""
+    size = min(window, len(words))
+    k = min(PROBE, size)
+    found = {_hash(w, window + size) for w in windows_of(words, window)}
+    return found | {_hash(b" ".join(words[i : i + k]), size) for i in range(len(words) - k + 1)} if words else found
 
 
-class WindowIndex:
-    """Hash set of the items' windows by length, with the k-grams that nominate them."""
+class BitTable:
+    """Which hashes there may be; bits: how many, a power of two; words: (number, 64 bits) of those that aren't 0."""
 
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        self.by_length: dict[int, tuple[dict[bytes, set], set]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            size = min(window, len(words))
-            owners, probes = self.by_length.setdefault(size, (defaultdict(set), set()))
-            for w in windows_of(words, window):
-                owners[w].add(item_id)
-            k = min(PROBE, size)
-            probes.update(b" ".join(words[i : i + k]) for i in range(len(words) - k + 1))
-
-    def scan(self, words: list[bytes]) -> tuple[set[int], set[str]]:
-        """Positions of the words that are hit, and the ids of the items found."""
-        hit: set[int] = set()
-        found: set = set()
-        n = len(words)
-        for size, (owners, probes) in self.by_length.items():
+    def __init__(self, bits: int, numbers: np.ndarray, words: np.ndarray, sizes: list[int]):
+        table = np.zeros(bits // 64, dtype="<u8")
+        table[numbers] = words
+        self.bits, self.sizes, self.mask = table.tobytes(), sizes, bits - 1
+
+    def nominate(self, words: list[bytes]) -> dict[tuple[int, bytes], list[int]]:
+        """(size, window) -> its starts, for all windows that may be an item's."""
+        out: dict[tuple[int, bytes], list[int]] = {}
+        n, bits, mask = len(words), self.bits, self.mask
+        for size in self.sizes:
             k = min(PROBE, size)
             step = size - k + 1
             for p in range(0, n - k + 1, step):
-                if b" ".join(words[p : p + k]) in probes:
+                h = _hash(b" ".join(words[p : p + k]), size) & mask
+                if bits[h >> 3] >> (h & 7) & 1:
                     for start in range(max(0, p - step + 1), min(p, n - size) + 1):
-                        if ids := owners.get(b" ".join(words[start : start + size])):
-                            hit.update(range(start, start + size))
-                            found |= ids
-        found.discard(None)
-        return hit, found
+                        window = b" ".join(words[start : start + size])
+                        h = _hash(window, WINDOW + size) & mask
+                        if bits[h >> 3] >> (h & 7) & 1:
+                            out.setdefault((size, window), []).append(start)
+        return out
 
 
-_index: dict[str, WindowIndex] = {}
+def _windows(batches):
+    for batch in batches:
+        items, sizes, windows = [], [], []
+        for item, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
+            words = words_of(text)
+            found = set(windows_of(words))
+            items += [item] * len(found)
+            sizes += [min(WINDOW, len(words))] * len(found)
+            windows += found
+        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(sizes, pa.int32()), pa.array(items, pa.string())], ["window", "size", "item"])
 
 
-def _index_for(items) -> WindowIndex:
-    """One index per worker process, kept while the same items are asked for."""
-    token, rows = items.value
-    if token not in _index:
-        _index.clear()
-        _index[token] = WindowIndex(rows)
-    return _index[token]
+def _hashes(batches):
+    for batch in batches:
+        found = set().union(*(hashes_of(words_of(t)) for t in blobs(batch.column(0))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, dtype=np.uint64, count=len(found)).view(np.int64))], ["h"])
 
 
-def _small_items(benchmark: DataFrame, item_col: str, text_col: str):
-    """The items, if their windows are few enough to be broadcast; else None."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
-    measured = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)), F.count("*")).first()
-    if measured[0] // 2 + measured[1] > MAX_BROADCAST_WINDOWS * 4:
-        return None
-    rows = [(r.item, bytes(r.text or b"")) for r in items.collect()]
-    if sum(len(windows_of(words_of(t))) for _, t in rows) > MAX_BROADCAST_WINDOWS:
-        return None
-    token = hashlib.sha256(repr(sorted(rows, key=repr)).encode()).hexdigest()
-    return benchmark.sparkSession.sparkContext.broadcast((token, rows))
+class Windows:
+    """A benchmark's windows as a stored table (window, size, items), and its bit table as a broadcast."""
 
+    def __init__(self, benchmark: DataFrame, item_col: str, text_col: str):
+        spark = benchmark.sparkSession
+        items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+        found = items.mapInArrow(_windows, "window binary, size int, item string")
+        self.rows = stored(found.groupBy("window", "size").agg(F.collect_set("item").alias("items")), "windows")  # collect_set leaves nulls out
+        measured = self.rows.groupBy("size").count().collect()  # WINDOW rows at most
+        bits = LEAST_BITS
+        while bits < min(MOST_BITS, SPARSE * sum(r["count"] for r in measured)):
+            bits *= 2
+        place = F.col("h").bitwiseAND(F.lit(bits - 1))
+        words = items.select("text").mapInArrow(_hashes, "h long").select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast((h & {bits - 1}L) & 63 as int))").alias("b"))
+        words = words.groupBy("k").agg(F.bit_or("b").alias("b")).toArrow()  # bits / 64 rows at most
+        self.table = spark.sparkContext.broadcast(BitTable(bits, words["k"].to_numpy(), words["b"].to_numpy().view(np.uint64), sorted(r["size"] for r in measured)))
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
-    """One row per document: its id, word count, positions of hit words, ids of the items found, and the verdict."""
-    docs = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
-    items = _small_items(benchmark, item_col, item_text_col)
-    if items is None:
-        return _find_by_join(docs, benchmark, id_col, item_col, item_text_col)
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index_for(items)
+
+def _scan(shared, schema):
+    """The rows, whose last column is the text, with it replaced by its word count and what the bit table nominates."""
+
+    def run(batches):
+        table = shared.value
         for batch in batches:
-            n_words, n_hit, hits, ids, verdicts = [], [], [], [], []
-            for text in blobs(batch.column(1)):
+            n_words, nominees = [], []
+            for text in blobs(batch.column(batch.num_columns - 1)):
                 words = words_of(text)
-                hit, found = index.scan(words)
                 n_words.append(len(words))
-                n_hit.append(len(hit))
-                hits.append(sorted(hit))
-                ids.append(sorted(found))
-                verdicts.append(is_contaminated(len(hit), len(words)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string())), pa.array(verdicts, pa.bool_())],
-                [id_col, "n_words", "n_hit", "hit_words", "item_ids", "contaminated"],
-            )
+                nominees.append([{"window": w, "size": size, "starts": starts} for (size, w), starts in table.nominate(words).items()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(nominees, _nominees)], schema.names)
 
-    return docs.mapInArrow(scan, f"`{id_col}` {id_type}, {FOUND}")
+    return run
 
 
-def _window_digests(df: DataFrame, sizes: list[int] | None) -> DataFrame:
-    """(key columns, n_words, size, start, digest) for each window; sizes None: an item's own windows."""
-    keys = df.columns[:-1]
-    types = [df.schema[k].dataType.simpleString() for k in keys]
+def _scanned(rows: DataFrame, windows: Windows) -> DataFrame:
+    """rows (one column, then the text): the column, n_words and nominees."""
+    schema = StructType([rows.schema[0]]).add("n_words", "long").add("nominees", _type(NOMINEES))
+    return rows.mapInArrow(_scan(windows.table, schema), schema)
 
-    def cut(batches):
-        for batch in batches:
-            rows, size_of, starts, digests = [], [], [], []
-            for i, text in enumerate(blobs(batch.column(len(keys)))):
-                words = words_of(text)
-                for size in [min(WINDOW, len(words))] if sizes is None else sizes:
-                    for start in range(len(words) - size + 1 if size else 0):
-                        rows.append(i)
-                        size_of.append(size)
-                        starts.append(start)
-                        digests.append(hashlib.blake2b(b" ".join(words[start : start + size]), digest_size=16).digest())
-                        if len(rows) == 20_000:
-                            yield pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in batch.columns[:-1]] + [pa.array(size_of, pa.int32()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], [*keys, "size", "start", "digest"])
-                            rows, size_of, starts, digests = [], [], [], []
-            if rows:
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in batch.columns[:-1]] + [pa.array(size_of, pa.int32()), pa.array(starts, pa.int32()), pa.array(digests, pa.binary())], [*keys, "size", "start", "digest"])
-
-    return df.mapInArrow(cut, ", ".join(f"`{k}` {t}" for k, t in zip(keys, types, strict=True)) + ", size int, start int, digest binary")
-
-
-def _find_by_join(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """The same rows for a benchmark beyond the broadcast bound: windows meet in a shuffled join on their digests."""
-    row_key = F.xxhash64(F.col(id_col), F.coalesce(F.col("__text"), F.lit(""))).alias("__row")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("__text"))
-    grams = _window_digests(items, None).select("item", "size", "digest").distinct()
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 13 values at most
-    found = (
-        _window_digests(docs.select(row_key, "__text").distinct(), sizes)
-        .join(grams, ["size", "digest"])
-        .groupBy("__row")
-        .agg(F.collect_set(F.struct("start", "size")).alias("at"), F.array_sort(F.collect_set("item")).alias("item_ids"))
-        .select("__row", F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda w: F.sequence(w["start"], w["start"] + w["size"] - 1))))).alias("hit_words"), "item_ids")
-    )
-    counted = docs.mapInArrow(_count_words, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, __text string, n_words long").select(id_col, row_key, "n_words")
-    n_hit = F.coalesce(F.size("hit_words"), F.lit(0)).cast("long")
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    return counted.join(found, "__row", "left").select(
-        id_col, "n_words", F.when(F.col("hit_words").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"),
-        F.coalesce("hit_words", none("int")).alias("hit_words"), F.coalesce("item_ids", none("string")).alias("item_ids"),
-        (F.col("hit_words").isNotNull() & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-    )
 
+def _type(ddl: str):
+    return StructType.fromDDL(f"x {ddl}")[0].dataType
 
-def _count_words(batches):
-    for batch in batches:
-        counts = pa.array([len(words_of(t)) for t in blobs(batch.column(1))], pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*batch.schema.names, "n_words"])
+
+def _judged(scanned: DataFrame, windows: Windows) -> DataFrame:
+    """row, n_hit, hit_words, item_ids and contaminated of each row (row, n_words, nominees) with a nominee that is an item's window."""
+    asked = scanned.where(F.size("nominees") > 0).select("row", "n_words", F.explode("nominees").alias("w")).select("row", "n_words", "w.*").withColumn("salt", F.pmod(F.hash("row"), F.lit(SALTS)))
+    known = windows.rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1)))
+    met = asked.join(known, ["window", "size", "salt"]).select("row", "n_words", places.alias("at"), "items")
+    hits = met.groupBy("row", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))
+    n_hit = F.size("hit_words").cast("long")
+    return hits.select("row", n_hit.alias("n_hit"), "hit_words", "item_ids", (20 * n_hit >= F.col("n_words")).alias("contaminated"))
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
+    """One row per document: its id, word count, positions of hit words, ids of the items found, and the verdict."""
+    windows = Windows(benchmark, item_col, item_text_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    scanned = stored(_scanned(rows, windows).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    judged = _judged(scanned, windows)
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    return scanned.select("row", "id", "n_words").join(judged, "row", "left").select(
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_words", none("int")).alias("hit_words"),
+        F.coalesce("item_ids", none("string")).alias("item_ids"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+    )
 
 
 def without_words(text: str, hit: set[int]) -> str:
@@ -203,40 +187,31 @@ def without_words(text: str, hit: set[int]) -> str:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
-    """docs with all their columns, less contaminated documents, or (remove="spans") with the hit words cut out."""
+    """docs with all their columns, less contaminated documents, or (remove="spans") with the hit words cut out.
+
+    Rows without a nominee pass where they are scanned; only the others are stored, numbered and judged.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
-    items = _small_items(benchmark, item_col, item_text_col)
-    if items is None:
-        return _decontaminate_by_join(docs, benchmark, remove, text_col, item_col, item_text_col)
+    windows = Windows(benchmark, item_col, item_text_col)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    scanned = _scanned(docs.select(whole, F.col(text_col).alias("text")), windows)
+    clean = scanned.where(F.size("nominees") == 0).select("whole.*")
+    suspects = stored(scanned.where(F.size("nominees") > 0).withColumn("row", F.monotonically_increasing_id()), "suspects")
+    judged = _judged(suspects, windows)
+    if remove == "documents":
+        return clean.unionByName(suspects.join(judged.where("contaminated"), "row", "left_anti").select("whole.*"))
     at = docs.columns.index(text_col)
 
-    def keep(batches):
-        index = _index_for(items)
+    def cut(batches):
         for batch in batches:
-            stays, cut = [], []
-            for text in blobs(batch.column(at)):
-                words = words_of(text)
-                hit, _ = index.scan(words)
-                stays.append(remove == "spans" or not is_contaminated(len(hit), len(words)))
-                cut.append(hit)
-            if remove == "spans" and any(cut):
-                changed = pa.array([t if t is None or not h else without_words(t, h) for t, h in zip(batch.column(at).to_pylist(), cut, strict=True)], batch.column(at).type)
-                batch = batch.set_column(at, batch.schema.field(at), changed)
-            yield batch.filter(pa.array(stays, pa.bool_()))
-
-    return docs.mapInArrow(keep, docs.schema)
+            hits = batch.column(batch.num_columns - 1).to_pylist()
+            column = batch.column(at)
+            changed = pa.array([t if t is None or not h else without_words(t, set(h)) for t, h in zip(column.to_pylist(), hits, strict=True)], column.type)
+            yield pa.RecordBatch.from_arrays([changed if i == at else c for i, c in enumerate(batch.columns[:-1])], batch.schema.names[:-1])
 
-
-def _decontaminate_by_join(docs, benchmark, remove, text_col, item_col, item_text_col):
-    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    verdicts = find_passages(docs.select(row.alias("__id"), F.col(text_col).alias("__body")), benchmark, "__id", "__body", item_col, item_text_col).where("n_hit > 0").dropDuplicates(["__id"])
-    if remove == "documents":
-        bad = verdicts.where("contaminated").select("__id")
-        return docs.join(bad, row == bad["__id"], "left_anti")
-    cut = F.udf(lambda t, hit: t if t is None or not hit else without_words(t, set(hit)), "string", useArrow=True)
-    marked = verdicts.select("__id", F.col("hit_words").alias("__hit"))
-    return docs.join(marked, row == marked["__id"], "left").withColumn(text_col, cut(F.col(text_col), F.col("__hit"))).select(*docs.columns)
+    hit = suspects.join(judged.select("row", F.col("hit_words").alias("hit_of_row")), "row", "left").select("whole.*", "hit_of_row")
+    return clean.unionByName(hit.mapInArrow(cut, docs.schema))
 
 
 def digest(found: DataFrame, id_col="doc_id") -> DataFrame:

@@ -35,10 +35,11 @@ def benchmark(spark):
     return spark.createDataFrame(rows, "item_id long, text string, doc_id int")
 
 
-@pytest.mark.parametrize("joined", [False, True])
-def test_decontamination(docs, empty, benchmark, monkeypatch, joined):
-    if joined:
-        monkeypatch.setattr(decontamination, "MAX_BROADCAST_WINDOWS", 0)
+@pytest.mark.parametrize("bits", [1 << 20, 64])
+def test_decontamination(docs, empty, benchmark, monkeypatch, bits):
+    """With 64 bits in all nearly every window is nominated by chance, and only its words decide."""
+    monkeypatch.setattr(decontamination, "LEAST_BITS", bits)
+    monkeypatch.setattr(decontamination, "MOST_BITS", bits)
     rows = decontamination.digest(decontamination.find_passages(docs, benchmark)).collect()
     assert len(rows) == len(ROWS)
     items = [("10", " ".join(f"p{i}" for i in range(5, 30))), ("9", "four"), ("none", "six")]
@@ -51,12 +52,20 @@ def test_decontamination(docs, empty, benchmark, monkeypatch, joined):
         want.append((doc_id, n, len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= n))
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
     assert decontamination.find_passages(empty, benchmark).count() == 0
+    assert decontamination.find_passages(docs, benchmark.limit(0)).where("n_hit > 0 or contaminated").count() == 0
     kept = decontamination.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == len(ROWS) - 4
     cut = {r.doc_id: r.text for r in decontamination.decontaminate(docs, benchmark, remove="spans").collect()}
     assert "p5" not in cut[2].split() and "p4" in cut[2].split() and "four" not in cut[3] and cut[4] is None
 
 
+def test_very_long_texts_are_scanned_whole(spark):
+    text = "word " * 300_000 + " ".join(f"p{i}" for i in range(13)) + " x" * 100_000 + "y" * 1_000_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = decontamination.find_passages(docs, spark.createDataFrame([(1, " ".join(f"P{i}" for i in range(13)))], "item_id long, text string")).first()
+    assert (row.n_words, row.n_hit, row.hit_words, row.item_ids, row.contaminated) == (400_013, 13, list(range(300_000, 300_013)), ["1"], False)
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, shards=3).collect()
     assert len(rows) == len(ROWS)

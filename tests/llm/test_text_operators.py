@@ -33,12 +33,23 @@ def brute_hits(text, items):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from("a b c é1 D".split()), max_size=60), st.lists(st.lists(st.sampled_from("a b c é1 d".split()), max_size=20), min_size=1, max_size=4))
-def test_windows_against_brute_force(doc, items):
+@given(st.lists(st.sampled_from("a b c é1 D".split()), max_size=60), st.lists(st.lists(st.sampled_from("a b c é1 d".split()), max_size=20), min_size=1, max_size=4), st.sampled_from([64, 1 << 16]))
+def test_windows_against_brute_force(doc, items, bits):
     items = [(str(i), " ".join(x)) for i, x in enumerate(items)]
-    index = decontamination.WindowIndex([(i, t.encode()) for i, t in items])
+    lists = [decontamination.words_of(t.encode()) for _, t in items]
+    places = {h & (bits - 1) for words in lists for h in decontamination.hashes_of(words)}
+    table = decontamination.BitTable(bits, np.arange(bits // 64), np.array([sum(1 << p % 64 for p in places if p // 64 == k) for k in range(bits // 64)], dtype=np.uint64), sorted({min(13, len(w)) for w in lists if w}))
+    owners = {}
+    for (i, _), words in zip(items, lists, strict=True):
+        for w in decontamination.windows_of(words):
+            owners.setdefault((min(13, len(words)), w), set()).add(i)
     text = ", ".join(doc)
-    assert index.scan(decontamination.words_of(text.encode())) == brute_hits(text, items)
+    hit, found = set(), set()
+    for (size, w), starts in table.nominate(decontamination.words_of(text.encode())).items():
+        if (size, w) in owners:
+            found |= owners[size, w]
+            hit.update(p for s in starts for p in range(s, s + size))
+    assert (hit, found) == brute_hits(text, items)
 
 
 def test_cutting_words():
