@@ -9,16 +9,21 @@ from the back-pointers. Words repeat, so what was found for a word, a run of non
 to a bound; of words and runs, those met lately stay.
 
 Texts are normalised and split as the vocabulary file says: NFC, white space runs to a space, lower case, then
-contractions, runs of letters, single digits, runs of other signs. Special tokens in a text become their ids. Decoding
-joins the tokens' strings by a space, as a file without a decoder has it.
+contractions, runs of letters, single digits, runs of other signs. Python's Unicode tables are of another version than the
+tokenizers library's: `odd_points` asks the library about every code point, and texts that hold one on which the two differ
+are normalised and split by the library, so that ids agree for every text. Special tokens in a text become their ids.
+Decoding joins the tokens' strings by a space, as a file without a decoder has it.
 
 Edge cases: a null or empty text has no tokens and decodes to the empty text. Rows are independent: repeated rows and
-null ids are returned as they are. Other columns play no part.
+null ids are returned as they are. Runs of any length without a space are encoded whole, in time that grows with their
+length. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import struct
 import unicodedata
 
@@ -33,6 +38,7 @@ from .common import texts
 
 END = "</w>"
 KEPT = 250_000
+LONGEST = 64
 
 #: The splitting pattern and white space of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -53,8 +59,53 @@ def _closed(letter: str) -> str:
     return chr(ord(letter) + 0x1000)
 
 
+def runs_of(text: str, spaces) -> list[str]:
+    """The runs of non-spaces of a text, normalised."""
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
+    odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # split() takes these for spaces
+    return spaces.split(text) if odd else text.split()
+
+
+@functools.lru_cache(maxsize=2)
+def _library(rules: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(rules)
+    return tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
+
+
+def library_words(rules: str, text: str) -> list[str]:
+    """A text's words, in byte letters, as the library normalises and splits it. rules: a vocabulary file without its vocabulary."""
+    normalize, split = _library(rules)
+    return [word for word, _ in split(normalize(text))]
+
+
+@functools.lru_cache(maxsize=2)
+def odd_points(rules: str) -> frozenset[str]:
+    """The characters on which this module and the library differ: by class, by case, by order among marks, or by composition."""
+    letters, split, spaces = _byte_letters(), regex.compile(SPLIT).findall, regex.compile(SPACE + "+")
+
+    def differ(text: str) -> bool:
+        return ["".join(map(letters.__getitem__, w.encode())) for r in runs_of(text, spaces) for w in split(r)] != library_words(rules, text)
+
+    def probe(c: str) -> str:  # what has no name has no place among marks either
+        return f"a{c}b {c}! " if unicodedata.category(c) == "Cn" else f"a{c}b {c}! a\u0301{c}\u0323b a{c}\u0301b "
+
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    found: set[str] = set()
+    for at in range(0, len(points), 256):
+        part = points[at : at + 256]
+        if differ("".join(map(probe, part))):
+            found.update(c for c in part if differ(probe(c)))
+    for c in points:
+        if unicodedata.decomposition(c) and (parts := unicodedata.normalize("NFD", c)) != c and differ(parts):
+            found.update(parts)
+    return frozenset(found)
+
+
 class Bpe:
-    def __init__(self, vocab: dict[str, int], merges: list[list[str]], special: dict[str, int]):
+    def __init__(self, vocab: dict[str, int], merges: list[list[str]], special: dict[str, int], odd: frozenset[str] = frozenset(), rules: str = ""):
+        self.odd, self.rules = odd, rules
         self.special = special
         self.strings = {i: s.encode() for s, i in (vocab | special).items()}
         self.letters = _byte_letters()
@@ -79,6 +130,7 @@ class Bpe:
         self.split = regex.compile(SPLIT).findall
         self.spaces = regex.compile(SPACE + "+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.mark = os.path.commonprefix(list(special))
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """From the letter at the token's left (0) or right (1) edge up to the token: (part, rank of the merge that takes it in)."""
@@ -182,20 +234,21 @@ class Bpe:
                 ids = struct.pack(f"<{len(found)}I", *found)
             else:
                 ids = b"".join([self.known.get(w) or self._run(w) for w in words])
-        if len(self.known) >= KEPT:
-            self.older, self.known = self.known, {}
-        self.known[run] = ids
+        if len(run) <= LONGEST:
+            if len(self.known) >= KEPT:
+                self.older, self.known = self.known, {}
+            self.known[run] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")  # split() takes these for spaces
+        if not text.isascii() and not self.odd.isdisjoint(text):
+            return b"".join([struct.pack(f"<{len(ids)}I", *ids) for ids in (self.encode_letters(w[:-1] + _closed(w[-1])) for w in library_words(self.rules, text))])
         make = self._run
-        return b"".join([self.known.get(r) or make(r) for r in (self.spaces.split(text) if odd else text.split())])
+        return b"".join([self.known.get(r) or make(r) for r in runs_of(text, self.spaces) if r])
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.marks is None or "<|" not in text:
+        if self.marks is None or self.mark not in text:
             return self._plain(text)
         return b"".join(np.array([self.special[p]], dtype="<u4").tobytes() if p in self.special else self._plain(p) for p in self.marks.split(text))
 
@@ -207,17 +260,20 @@ _built: dict[str, Bpe] = {}
 
 
 def _bpe_for(tables) -> Bpe:
-    name, vocab, merges, special = tables.value
+    name, *parts = tables.value
     if name not in _built:
         _built.clear()
-        _built[name] = Bpe(vocab, merges, special)
+        _built[name] = Bpe(*parts)
     return _built[name]
 
 
-def read_vocabulary(path: str) -> tuple[dict[str, int], list[list[str]], dict[str, int]]:
+def read_vocabulary(path: str) -> tuple[dict[str, int], list[list[str]], dict[str, int], frozenset[str], str]:
+    """What Bpe takes: tokens, merges, special tokens, odd characters, and the file's rules without its tokens."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
-    return file["model"]["vocab"], [list(m) if not isinstance(m, str) else m.split(" ") for m in file["model"]["merges"]], {t["content"]: t["id"] for t in file["added_tokens"]}
+    rules = json.dumps({**file, "model": {**file["model"], "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None})
+    merges = [list(m) if not isinstance(m, str) else m.split(" ") for m in file["model"]["merges"]]
+    return file["model"]["vocab"], merges, {t["content"]: t["id"] for t in file["added_tokens"]}, odd_points(rules), rules
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col="doc_id", text_col="text") -> DataFrame:

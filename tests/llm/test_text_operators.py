@@ -281,6 +281,25 @@ def test_ids_against_the_library(coder, library, text):
     assert np.frombuffer(coder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_code_point(coder, library):
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 512):
+        text = " ".join(f"a{c}b {c}\u0301\u0323x" for c in points[at : at + 512])
+        assert np.frombuffer(coder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, hex(at)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=30))
+def test_ids_of_any_text(coder, library, text):
+    assert np.frombuffer(coder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_very_long_run(coder, library):
+    text = "ab0" * 100_000 + "é" * 100_000 + "abra" * 100_000
+    assert np.frombuffer(coder.encode(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, coder.known)) <= bpe.LONGEST
+
+
 def test_stores_are_bounded(coder, library, monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 5)
     text = " ".join(f"word{i % 13}x" for i in range(60))
