@@ -3,24 +3,28 @@
 A recording (WAV, 16-bit PCM) becomes frames of twelve pitch-class energies, each scaled to length one. Over the integral
 image of the frames, sixteen filters compare two regions of a window of SPAN frames; each value is cut into four levels,
 written as two bits of a Gray code, so that one position gives one 32-bit integer. Windows that touch silence give none.
-
-Recordings are aligned by histograms of differing bits: at every offset at which two recordings overlap by OVERLAP
-positions or more, the differing bits of all positions are counted, and the offset with the least share of them is the
-pair's, if the share is ERROR or less. No integers need be equal, so every pair within ERROR is found. The work grows with
-the product of two recordings' lengths. The queries are a stated set, taken in blocks of BLOCK recordings: a block's
-integers are broadcast (BLOCK times the integers of a recording), and every recording is held against them where it lies.
-
 Frames and hops are as long in seconds at every sampling rate.
 
-Edge cases: a null, empty, unreadable or silent recording has no integers and matches nothing. Channels are averaged.
-Repeated rows are recordings of their own with the same id. A query doesn't match rows of its own id. Null ids take no
-part in matching. Other columns play no part.
+Recordings are found by an inverted index and aligned by histograms of offsets. Recordings of equal integers are one class
+from the start. Each integer of a class that holds a query is looked up as it is, and with every one or two of its bits
+changed that a move to a neighbouring level of one or two filters changes; the join with the integers of all classes is
+Spark's. A meeting must hold for the integers NEXT positions before and after as well (NEAR bits each), and then votes for
+the offset between its two positions. The votes are counted, and at each offset that has one the differing bits of all
+positions decide: a pair matches at the offset with the least share of them, if OVERLAP positions or more overlap there and
+the share is ERROR or less. The work follows the recordings and the meetings, not the pairs.
+
+Edge cases: a null, empty, unreadable, cut-off or silent recording has the integers of what can be read of it, and without
+any matches nothing. Channels are averaged. Sampling rates outside RATES count as unreadable. Repeated rows are recordings
+of their own with the same id. A query doesn't match rows of its own id. Null ids take no part in matching. An empty table
+gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
 
 import functools
 import io
+import itertools
+import struct
 import wave
 
 import numpy as np
@@ -28,15 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 RATE = 8_000
 FRAME, HOP = 2_048, 500
 SPAN = 8
 QUIET = 1e-4
 LEVEL = 0.1
-BLOCK = 1_000
 OVERLAP, ERROR = 16, 0.2
-#: Positions of queries that are held against a recording at once.
-CELLS = 1 << 15
+NEXT, NEAR = 8, 14
+RATES = (1_000, 400_000)
 
 GRAY = (0, 1, 3, 2)
 #: (kind, lowest pitch class, pitch classes, frames) of each filter; kind 0 halves by pitch, 1 by time, 2 is a chequerboard.
@@ -54,11 +59,13 @@ def read_recording(data: bytes | None) -> tuple[np.ndarray, int]:
         return np.zeros(0), RATE
     try:
         with wave.open(io.BytesIO(data)) as w:
-            if w.getsampwidth() != 2 or w.getframerate() <= 0:
+            channels, rate = w.getnchannels(), w.getframerate()
+            if w.getsampwidth() != 2 or not RATES[0] <= rate <= RATES[1]:
                 return np.zeros(0), RATE
-            samples = np.frombuffer(w.readframes(w.getnframes()), dtype="<i2") / 32768
-            return samples[: len(samples) // w.getnchannels() * w.getnchannels()].reshape(-1, w.getnchannels()).mean(axis=1), w.getframerate()
-    except (wave.Error, EOFError):
+            held = w.readframes(min(w.getnframes(), len(data)))
+            samples = np.frombuffer(held[: len(held) // 2 * 2], dtype="<i2") / 32768
+            return samples[: len(samples) // channels * channels].reshape(-1, channels).mean(axis=1), rate
+    except (wave.Error, EOFError, ValueError, RuntimeError, OverflowError, ZeroDivisionError, struct.error):  # damaged in one way or another
         return np.zeros(0), RATE
 
 
@@ -138,89 +145,92 @@ def bit_error(a_at, a, b_at, b, offset: int) -> tuple[int, float]:
     return (len(i), float(np.bitwise_count(a[i] ^ b[j]).mean() / 32)) if len(i) else (0, 1.0)
 
 
-class QueryBlock:
-    """The integers of a block of recordings, in grids of recordings of like lengths."""
-
-    def __init__(self, rows: list[tuple[int, list[int], list[int]]]):
-        self.ids = [r[0] for r in rows]
-        self.at = [np.array(r[1], dtype=np.int32) for r in rows]
-        self.prints = [np.array(r[2], dtype=np.int32).view(np.uint32) for r in rows]
-        length = {k: int(at[-1] - at[0]) + 1 for k, at in enumerate(self.at) if len(at) >= OVERLAP}
-        self.grids, own = [], []
-        for k in sorted(length, key=length.get):
-            if own and (len(own) + 1) * length[k] > CELLS:
-                self.grids.append(self._grid(own, length[own[-1]]))
-                own = []
-            own.append(k)
-        if own:
-            self.grids.append(self._grid(own, length[own[-1]]))
-
-    def _grid(self, own: list[int], n: int):
-        """Numbers of queries, their last cells' positions, their integers from the last to the first, and 255 where there is one."""
-        last = np.array([int(self.at[k][0]) + n - 1 for k in own])
-        grid, there = np.zeros((len(own), n), dtype=np.uint32), np.zeros((len(own), n), dtype=np.uint8)
-        for i, k in enumerate(own):
-            grid[i, last[i] - self.at[k]] = self.prints[k]
-            there[i, last[i] - self.at[k]] = 255
-        return np.array(own), last, grid, there
-
-    def align(self, at: np.ndarray, prints: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(query's number, offset, overlap, error) for each query that the recording aligns with."""
-        if len(at) < OVERLAP:
-            return []
-        out, begin = [], int(at[0])
-        for own, last, grid, there in self.grids:
-            n = grid.shape[1]
-            shape = (len(own), int(at[-1]) - begin + n)
-            kind = np.uint16 if 32 * min(len(at), n) < 1 << 16 else np.uint32
-            bits, overlap, one = np.zeros(shape, dtype=kind), np.zeros(shape, dtype=kind), there & 1
-            for p, x in zip((at - begin).tolist(), prints, strict=True):
-                bits[:, p : p + n] += np.bitwise_count(grid ^ x) & there
-                overlap[:, p : p + n] += one
-            row, column = np.nonzero((overlap >= OVERLAP) & (bits <= overlap * np.float32(32 * ERROR + 1e-3)))
-            best: dict[int, tuple[float, int, int]] = {}
-            for i, c, d, o in zip(row.tolist(), column.tolist(), bits[row, column].tolist(), overlap[row, column].tolist(), strict=True):
-                found = (d / o / 32, -o, begin + c - int(last[i]))
-                if found[0] <= ERROR and found < best.get(i, (2.0, 0, 0)):
-                    best[i] = found
-            out += [(int(own[i]), offset, -o, error) for i, (error, o, offset) in best.items()]
-        return out
-
-
-def matches(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
-    """query, match, offset, overlap, error. queries, rows: stored tables of fingerprints."""
-    spark = rows.sparkSession
-    queries = queries.where(F.col(id_col).isNotNull())
-    n = queries.count()
-    kind = rows.schema[id_col].dataType.simpleString()
-    schema = f"query {kind}, match {kind}, offset int, overlap int, error double"
-    blocks = max(1, -(-n // BLOCK))
-    out = None
-    for k in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(QueryBlock([(r[0], r[1], r[2]) for r in own.select(id_col, "at", "prints").collect()]))  # about BLOCK rows
-        found = rows.where(F.col(id_col).isNotNull()).select(id_col, "at", "prints").mapInArrow(_against(block), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+def _moves() -> list[list[int]]:
+    """For each level of a filter the changes of its two bits that take it to a neighbouring level."""
+    return [[GRAY[k] ^ GRAY[n] for n in (k - 1, k + 1) if 0 <= n < 4] for k in range(4)]
 
 
-def _against(block):
-    def run(batches):
-        for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for row, at, prints in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found = block.value.align(np.array(at, dtype=np.int32), np.array(prints, dtype=np.int32).view(np.uint32))
-                rows += [(block.value.ids[o], row, *rest) for o, *rest in found if block.value.ids[o] != row]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [batch.schema.field(0).type, batch.schema.field(0).type, pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query", "match", "offset", "overlap", "error"])
-
-    return run
+@functools.lru_cache(maxsize=1)
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """Changes of up to two bits, and for each the bits that say which integers it suits: (change, integer's bits that must be 1).
+
+    A filter at an outer level has one neighbour, one at an inner level two.
+    """
+    single = [(change << (2 * k), GRAY[level] << (2 * k), 3 << (2 * k)) for k in range(len(FILTERS)) for level, changes in enumerate(_moves()) for change in changes]
+    both = [(a | b, x | y, m | n) for (a, x, m), (b, y, n) in itertools.combinations(single, 2) if m != n]
+    table = np.array([(0, 0, 0), *single, *both], dtype=np.uint32)
+    return table[:, 0], table[:, 1:]
+
+
+def neighbours(print_: int) -> np.ndarray:
+    """The integer itself, and with one or two filters moved to a neighbouring level."""
+    change, suits = _masks()
+    x = np.uint32(print_)
+    return x ^ change[(x & suits[:, 1]) == suits[:, 0]]
+
+
+def _probe(batches):
+    """key, q, at, before, after: an entry of a query's class for each of its integer's neighbours."""
+    for batch in batches:
+        names = ["q", "at", "before", "after"]
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            keys = [neighbours(x) for x in part.column(4).to_numpy().view(np.uint32)]
+            rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), *(part.column(k).take(rows) for k in range(4))], ["key", *names])
+
+
+def _judge(batches):
+    """q, n, offset, overlap, error of each voted offset at which two recordings are alike."""
+    for batch in batches:
+        out = []
+        columns = [c.to_pylist() for c in batch.columns]
+        for q, n, offsets, a_at, a, b_at, b in zip(*columns, strict=True):
+            a_at, b_at = np.array(a_at, dtype=np.int32), np.array(b_at, dtype=np.int32)
+            a, b = np.array(a, dtype=np.int32).view(np.uint32), np.array(b, dtype=np.int32).view(np.uint32)
+            for offset in offsets:
+                overlap, error = bit_error(a_at, a, b_at, b, offset)
+                if overlap >= OVERLAP and error <= ERROR:
+                    out.append((q, n, offset, overlap, error))
+        found = list(zip(*out, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["q", "n", "offset", "overlap", "error"])
+
+
+def classes(prints: DataFrame, id_col: str, is_query) -> DataFrame:
+    """A stored table of the different recordings: n, at, prints, copies, least and most (ids), and whether a query is among them."""
+    rows = prints.where(F.col(id_col).isNotNull() & (F.size("prints") > 0))
+    held = rows.groupBy("at", "prints").agg(F.count("*").alias("copies"), F.min(id_col).alias("least"), F.max(id_col).alias("most"), F.bool_or(F.coalesce(is_query, F.lit(False))).alias("asked"))
+    return stored(held.withColumn("n", F.monotonically_increasing_id()), "classes")
+
+
+def aligned(found: DataFrame) -> DataFrame:
+    """q, n, offset, overlap, error for each class q with a query and each class n that it matches; q itself is one, if it is long enough."""
+    i = F.sequence(F.lit(0), F.size("at") - 1)
+
+    def entry(k):
+        place = F.get("at", k)
+        side = lambda step: F.when(F.get("at", k + step) == place + step, F.get("prints", k + step))
+        return F.struct(place.alias("at"), side(-NEXT).alias("before"), side(NEXT).alias("after"), F.get("prints", k).alias("key"))
+
+    entries = found.select("n", "asked", F.explode(F.transform(i, entry)).alias("e")).select("n", "asked", "e.*")
+    asked = entries.where("asked").select(F.col("n").alias("q"), F.col("at").alias("q_at"), F.col("before").alias("q_before"), F.col("after").alias("q_after"), "key")
+    probes = asked.mapInArrow(_probe, "key int, q long, q_at int, q_before int, q_after int")
+    near = lambda a, b: F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= NEAR, F.lit(True))
+    met = probes.join(entries.select("n", "at", "before", "after", "key"), "key").where(near("q_before", "before") & near("q_after", "after"))
+    votes = met.where("q <> n").groupBy("q", "n", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
+    offsets = votes.groupBy("q", "n").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))  # two recordings have as many as they have positions
+    a, b = (found.select(F.col("n").alias(k), F.col("at").alias(f"{k}_at"), F.col("prints").alias(f"{k}_prints")) for k in ("q", "n"))
+    judged = offsets.join(a, "q").join(b, "n").select("q", "n", "offsets", "q_at", "q_prints", "n_at", "n_prints").mapInArrow(_judge, "q long, n long, offset int, overlap int, error double")
+    best = judged.groupBy("q", "n").agg(F.min(F.struct("error", (-F.col("overlap")).alias("o"), "offset")).alias("b")).select("q", "n", "b.offset", (-F.col("b.o")).alias("overlap"), "b.error")
+    own = found.where(F.col("asked") & (F.size("prints") >= OVERLAP)).select(F.col("n").alias("q"), "n", F.lit(0).alias("offset"), F.size("prints").alias("overlap"), F.lit(0.0).alias("error"))
+    return best.unionByName(own)
 
 
 # Recordings for tables that have none.
 
 _STEPS, _STEP = 16, 2_000
+#: What the altered copies take in turn.
+COPY_PARTS, COPY_RATES = (160, 80, 40, 30, 25), (8_000, 11_025, 16_000)
 
 
 @functools.lru_cache(maxsize=1)
@@ -245,24 +255,65 @@ def play(vector: list[float] | None, rests: int) -> bytes | None:
     return out.getvalue()
 
 
-def recordings(vectors: DataFrame, id_col="vec_id", vector_col="embedding") -> DataFrame:
-    """id_col and wav: a recording of each vector, begun a little later for some ids than for others."""
+def altered(vector: list[float] | None, rests: int, parts: float, rate: int, seed: int) -> bytes | None:
+    """A copy that a search has to find: the vector with noise of 1 / parts in its numbers, played at another rate with noise in the sound."""
+    if not vector:
+        return None
+    r = np.random.default_rng(seed)
+    samples, own = read_recording(play([(x or 0) + n for x, n in zip(vector, r.normal(0, 1 / parts, len(vector)), strict=True)], rests))
+    sound = np.interp(np.arange(len(samples) * rate // own) * (own / rate), np.arange(len(samples)), samples)
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(sound + r.normal(0, 0.002, len(sound)), -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):  # a recording is some 70 kB
-                ids = batch.column(0).slice(at, 100)
-                wavs = [play(v, (i or 0) % 4) for i, v in zip(ids.to_pylist(), batch.column(1).slice(at, 100).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(wavs, pa.binary())], [id_col, "wav"])
 
-    return vectors.select(id_col, vector_col).mapInArrow(run, f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, wav binary")
+def recordings(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding") -> DataFrame:
+    """id_col, copy and wav: a recording of each vector, begun a little later for some ids than for others.
 
+    For each vector of a query there is an altered copy besides (copy is true, the id -1 - id): later, noisy, at another rate.
+    """
+    spark = vectors.sparkSession
+    rows = vectors.select(id_col, vector_col, F.coalesce(is_query, F.lit(False)).alias("asked"))
+    # A recording is much more work than its row is long, so rows are dealt to all cores first.
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
-def summary(prints: DataFrame, found: DataFrame, is_query, id_col: str) -> DataFrame:
-    """The op8 query's row for each recording: its fingerprint, and how many others it aligns with, and the best."""
-    best = found.groupBy("query").agg(F.count("*").alias("n"), F.min(F.struct("error", "match", "offset")).alias("b"))
-    rows = prints.join(best, prints[id_col] == best["query"], "left")
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):  # a recording is some 70 kB
+                ids, copies, wavs = [], [], []
+                for i, v, asked in zip(*(batch.column(k).slice(at, 100).to_pylist() for k in range(3)), strict=True):
+                    ids.append(i)
+                    copies.append(False)
+                    wavs.append(play(v, (i or 0) % 4))
+                    if asked and i is not None:
+                        ids.append(-1 - i)
+                        copies.append(True)
+                        wavs.append(altered(v, (i + 1) % 4, COPY_PARTS[i // 50 % len(COPY_PARTS)], COPY_RATES[i // 50 % len(COPY_RATES)], i))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(copies, pa.bool_()), pa.array(wavs, pa.binary())], [id_col, "copy", "wav"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, copy boolean, wav binary")
+
+
+def summary(prints: DataFrame, is_query, id_col: str) -> DataFrame:
+    """The op8 query's row for each recording: its fingerprint, and for queries how many others it aligns with, and the best.
+
+    prints: a stored table of fingerprints. A class of equal recordings is named by its least id; for that id itself by its greatest.
+    """
+    found = classes(prints, id_col, is_query)
+    pairs = stored(aligned(found), "pairs")
+    asked = prints.where(is_query & F.col(id_col).isNotNull() & (F.size("prints") > 0)).groupBy(F.col(id_col).alias("id"), "at", "prints").count()
+    asked = stored(asked.join(found.select("n", "at", "prints"), ["at", "prints"]).select("id", F.col("n").alias("q"), "count"), "asked")
+    own = asked.select("id", F.col("q").alias("n"), F.col("count").alias("own"))
+    named = F.when(F.col("least") != F.col("id"), F.col("least")).when(F.col("most") != F.col("id"), F.col("most"))
+    met = asked.select("id", "q").join(pairs, "q").join(found.select("n", "copies", "least", "most"), "n").join(own, ["id", "n"], "left")
+    best = met.groupBy("id", "q").agg(F.sum(F.col("copies") - F.coalesce("own", F.lit(0))).alias("n_of"), F.min(F.when(named.isNotNull(), F.struct("error", named.alias("match"), "offset"))).alias("b"))
+    best = best.join(found.select(F.col("n").alias("q"), F.col("at").alias("__at"), F.col("prints").alias("__prints")), "q")
+    rows = prints.join(best, (prints[id_col] == best["id"]) & (prints["at"] == best["__at"]) & (prints["prints"] == best["__prints"]), "left")
     return rows.select(
         id_col, F.size("prints").cast("long").alias("n_prints"), F.sha2(F.array_join("prints", ","), 256).alias("prints_sha256"), is_query.alias("is_query"),
-        F.when(is_query, F.coalesce("n", F.lit(0))).cast("long").alias("n_matches"), F.col("b.match").alias("best_match"), F.col("b.offset").alias("best_offset"), F.col("b.error").alias("best_error"),
+        F.when(is_query, F.coalesce("n_of", F.lit(0))).cast("long").alias("n_matches"), F.col("b.match").alias("best_match"), F.col("b.offset").alias("best_offset"), F.col("b.error").alias("best_error"),
     )

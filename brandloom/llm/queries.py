@@ -41,10 +41,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds recordings: each vector of embeddings is played as one. Queries: the ids divisible by 50."""
-    prints = stored(audio.fingerprints(audio.recordings(table(spark, sf_dir, "embeddings")), "vec_id", "wav"), "prints")
-    asked = F.col("vec_id") % 50 == 0
-    return audio.summary(prints, audio.matches(prints.where(asked), prints, "vec_id"), asked, "vec_id")
+    """No table holds recordings: each vector of embeddings is played as one, and those of queries (ids divisible by 50) once more, altered."""
+    vectors, asked = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0
+    prints = stored(audio.fingerprints(audio.recordings(vectors, asked), "vec_id", "wav"), "prints")
+    return audio.summary(prints, (F.col("vec_id") >= 0) & asked, "vec_id")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

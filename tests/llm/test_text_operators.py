@@ -310,38 +310,6 @@ def test_stores_are_bounded(coder, library, monkeypatch):
 # op8
 
 
-def prints(vector, rests):
-    return audio.integers(audio.chroma(audio.read_wav(audio.play(vector, rests))))
-
-
-def test_shifted_recordings_align():
-    r = np.random.default_rng(5)
-    v = (r.normal(size=64) / 8).tolist()
-    near = (np.array(v) + r.normal(size=64) / 160).tolist()
-    other = (r.normal(size=64) / 8).tolist()
-    a, b, c = prints(v, 0), prints(near, 3), prints(other, 1)
-    block = audio.QueryBlock([(7, a[0].tolist(), a[1].view(np.int32).tolist())])
-    ((owner, offset, overlap, error),) = block.align(*b)
-    assert (owner, offset) == (0, 12) and overlap >= audio.OVERLAP and error < audio.ERROR
-    assert block.align(*c) == []
-
-
-def test_search_against_brute_force():
-    r = np.random.default_rng(6)
-    base = r.normal(size=(12, 64)) / 8
-    vectors = np.concatenate([base, base + r.normal(size=base.shape) / 160, base + r.normal(size=base.shape) / 160])
-    found = [prints(v.tolist(), i % 4) for i, v in enumerate(vectors)]
-    block = audio.QueryBlock([(i, found[i][0].tolist(), found[i][1].view(np.int32).tolist()) for i in range(12)])
-    got = {(o, j) for j, f in enumerate(found) for o, *_ in block.align(*f) if o != j}
-    true = set()
-    for i in range(12):
-        for j, f in enumerate(found):
-            best = [audio.bit_error(*found[i], *f, s) for s in range(-12, 13)]
-            if i != j and any(n >= audio.OVERLAP and e <= audio.ERROR for n, e in best):
-                true.add((i, j))
-    assert got <= true and len(got) >= 0.9 * len(true) and len(true) >= 12
-
-
 def test_unreadable_and_silent_recordings():
     for data in (None, b"", b"no wav", audio.play([0.0] * 64, 1), audio.play(None, 1)):
         assert len(audio.integers(audio.chroma(audio.read_wav(data)))[0]) == 0
