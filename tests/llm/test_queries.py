@@ -165,8 +165,8 @@ def test_pii(docs, empty):
 
 def test_the_network_adds_and_spares():
     net = pii.trained()
-    x, y = pii.labelled_windows(200, seed=77)
-    tags, _ = net.decode(x)
+    x, y = pii.labelled_windows(300, seed=77)
+    tags = net.marginals(x).argmax(axis=2)
     inside = (x != pii.PAD) & (y > 0)
     assert (tags == y)[inside].mean() > 0.95
     found = pii.added_spans(["call (243) 555-7962 now", "Version 2.0, 2024-10-12, $300.50", ""], [[], [], []], net)

@@ -234,14 +234,14 @@ def test_gradients_of_the_network():
 
     def loss():
         e = net.emissions(x)[0]
-        _, _, total = net._marginals(e)
+        _, _, total = net._sums(e)
         gold = e[0][np.arange(3), y[0]] + net.p["s"][y[0]]
         for k in range(1, len(x)):
             gold = gold + net.p["t"][y[k - 1], y[k]] + e[k][np.arange(3), y[k]]
         return (total - gold).mean()
 
     grads = net.step(x, y)
-    for name in ("xf", "hb", "bf", "o", "ob"):
+    for name in ("x", "h", "b", "o", "ob", "t", "s"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         old = net.p[name][at]
         net.p[name][at] = old + 1e-4
