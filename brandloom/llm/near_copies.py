@@ -38,6 +38,8 @@ SEED = 42
 SUBS, LENGTH = 16, 31
 FAR = 18
 WEIGHT = 2_000_000
+#: Links that a task holds before it gives out what connects as much.
+PENDING = 1_000_000
 #: Rows of an anchor that are compared each with each; more go breadth first.
 FEW = 8
 
@@ -158,9 +160,28 @@ def _replicate(batches):
             yield pa.RecordBatch.from_arrays([_signed(anchor), pa.array(ids[at : at + 500][row]), _signed(sketches[row, -1])], ["anchor", "n", "signature"])
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what (u, v) connect: each number with the least of its component."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, label = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, least)
+            np.minimum.at(new, label[side], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def _compare(batches):
-    """(u, v) within each run of equal anchors of a partition that is sorted by anchor."""
+    """(u, v) within the runs of equal anchors of a partition that is sorted by anchor, as stars, so that partitions give like links."""
     held: list = []
+    pending, n_pending = [], 0
 
     def links(anchor, n, signature):
         first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
@@ -177,19 +198,26 @@ def _compare(batches):
             found = np.array(near_within(signature[own]), dtype=np.int64).reshape(-1, 2)
             u.append(n[own][found[:, 0]])
             v.append(n[own][found[:, 1]])
-        u, v = np.concatenate(u), np.concatenate(v)
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+        return stars(np.concatenate(u), np.concatenate(v))
+
+    def joined():
+        return pa.RecordBatch.from_arrays(list(map(pa.array, stars(*(np.concatenate(c) for c in zip(*pending, strict=True))))), ["u", "v"])
 
     for batch in batches:
         columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
         held = [np.concatenate(c) for c in zip(held, columns, strict=True)] if held else columns
         last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last run may go on in the next batch
         if last:
-            yield links(*(c[:last] for c in held))
+            pending.append(links(*(c[:last] for c in held)))
             held = [c[last:] for c in held]
+            n_pending += len(pending[-1][0])
+            if n_pending > PENDING:
+                yield joined()
+                pending, n_pending = [], 0
     if held and len(held[0]):
-        yield links(*held)
+        pending.append(links(*held))
+    if pending:
+        yield joined()
 
 
 def _decide(least: float):
