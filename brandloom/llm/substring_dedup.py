@@ -38,7 +38,8 @@ from .common import blobs, stored
 SPAN = 50
 EDGE = 12
 CHUNK_WORDS = 150_000
-KNOWN_WORDS = 400_000
+#: Words whose hashes a task keeps, and the longest of them, so that its memory is bounded.
+KNOWN_WORDS, LONGEST_WORD = 400_000, 64
 
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _ROOT = 0xD1342543DE82EF95
@@ -46,12 +47,14 @@ _BACK = pow(_ROOT, -1, 1 << 64)
 
 
 class WordHash(dict):
-    """word -> XXH64; forgotten when there are KNOWN_WORDS of them, so that memory is bounded."""
+    """word -> XXH64; forgotten when there are KNOWN_WORDS of them."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
 

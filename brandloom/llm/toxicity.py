@@ -5,9 +5,10 @@ A document's terms are its words and the beginnings of its longer words (which i
 weight to two terms that mean more together than apart, which additive weights miss.
 
 The model is fitted on at most SAMPLE labelled rows, those with the least hash of their id, taken from the training
-folds alone (crc32 of the id as text, modulo 3, is not 1). Equal texts count once in it. Buckets are chosen by their chi
-square in the sample, TERMS of them at most, counted by Spark. The fit is a few seconds of numpy on the driver, over a
-few integers a document. Every document is then scored whole, where it lies.
+folds alone (crc32 of the id as text, modulo 3, is not 1). Equal texts count once in it, and so does an id: with its first
+text. A bucket gets a weight and factors if its chi square in the sample is LEAST_CHI2 or more and LEAST_DOCS documents have
+it, counted by Spark; there are no more than 2**BITS. The fit is a few seconds of numpy on the driver, over a few integers a
+document. Every document is then scored whole, where it lies.
 
 Edge cases: a null or empty text has no terms and gets the base rate's score. A doc_id with several labels counts as
 toxic if any is. Without labels the score is 0.5 for all; with one class only, the smoothed base rate. A null id is in
@@ -29,7 +30,6 @@ from .common import stored, texts
 BITS = 20
 STEMS = (4, 5, 6)
 SAMPLE = 20_000
-TERMS = 6_000
 LEAST_DOCS = 4
 LEAST_CHI2 = 10.0
 RANK = 6
@@ -39,19 +39,22 @@ BATCH = 128
 RATE = 0.02
 DECAY = 3e-3
 THRESHOLD = 0.7
-KNOWN = 300_000
+#: Words whose buckets a task keeps, and the longest of them, so that its memory is bounded.
+KNOWN, LONGEST = 150_000, 40
 
 _word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 
 class Terms(dict):
-    """word -> its buckets; forgotten when there are KNOWN words, so that memory is bounded."""
+    """word -> its buckets; forgotten when there are KNOWN words."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KNOWN:
-            self.clear()
         terms = [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
-        found = self[word] = tuple(xxhash.xxh32_intdigest(t.encode()) >> (32 - BITS) for t in terms)
+        found = tuple(xxhash.xxh32_intdigest(t.encode()) >> (32 - BITS) for t in terms)
+        if len(word) <= LONGEST:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -146,15 +149,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col) != 1))
     labels = labels.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     picked = labels.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), F.col("__label").alias("label"))  # at most `sample` rows
-    rows = stored(rows, "labelled")
-    once = stored(rows.groupBy(F.md5(F.coalesce("text", F.lit("")))).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label"), "labelled")
+    rows = docs.select(F.col(id_col).alias("__key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), F.col("__key") == F.col("__id"))
+    rows = rows.groupBy("__id").agg(F.min("text").alias("text"), F.max("__label").alias("label"))  # at most `sample` rows, as an id counts once
+    once = stored(rows.groupBy("text").agg(F.max("label").alias("label")), "labelled")
     n, toxic = once.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     counts = once.mapInArrow(_count_terms, "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("t"))
     expected = F.col("n") * F.lit(toxic / max(n, 1))
     chi2 = (F.col("t") - expected) ** 2 / (expected * F.lit(1 - toxic / max(n, 1)) * (1 - F.col("n") / F.lit(n + 1)))
     top = counts.where(F.col("n") >= LEAST_DOCS).select("bucket", chi2.alias("chi2")) if 0 < toxic < n else counts.select("bucket", F.lit(0.0).alias("chi2"))
-    chosen = np.array([r[0] for r in top.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").limit(TERMS).collect()], dtype=np.int64)
+    chosen = np.array([r[0] for r in top.where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").collect()], dtype=np.int64)
     fitted = once.mapInArrow(_keep_terms({int(b): i for i, b in enumerate(chosen)}), "label int, terms array<int>").collect()
     fitted.sort(key=lambda r: (r[0], r[1]))  # as the tasks' order varies
     bias, weights, factors = fit([np.array(r[1], dtype=np.int64) for r in fitted], np.array([r[0] for r in fitted], dtype=float), len(chosen))
@@ -163,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
 def score(docs: DataFrame, model: FactorizationMachine, id_col="doc_id", text_col="text") -> DataFrame:
     """id_col, held_out, score and predicted for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # TERMS rows of RANK + 1 numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS rows of RANK + 1 numbers at most
 
     def run(batches):
         terms = Terms()

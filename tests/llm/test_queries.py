@@ -79,6 +79,24 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_placement_against_brute_force(spark):
+    """Every row goes where scheduling all groups and bundles on their own puts it, and slots are gapless."""
+    rows = [(i, ("x" * (i * 37 % 900)) + str(i % 90)) for i in range(600)] + [(1000 + i, "same text " * 40) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x for x in sharding.shard_documents(docs, shards=5).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    for t, ids in groups.items():
+        assert len({got[i].shard for i in ids}) == 1 and all(got[i].size == len(t.encode()) + 16 for i in ids)
+    loads = [sum(x.size for x in got.values() if x.shard == k) for k in range(5)]
+    exact = sharding.schedule({t: len(ids) * (len(t.encode()) + 16) for t, ids in groups.items()}, 5)
+    best = [sum(len(ids) * (len(t.encode()) + 16) for t, ids in groups.items() if exact[t] == k) for k in range(5)]
+    assert sum(loads) == sum(best) and max(loads) - min(loads) <= max(best) - min(best) + 0.02 * sum(loads) / 5
+    for k in range(5):
+        assert sorted(x.slot for x in got.values() if x.shard == k) == list(range(sum(x.shard == k for x in got.values())))
+
+
 def test_shards_are_near_equal(spark):
     many = spark.range(4_000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("x"), F.col("id")), (F.col("id") % 50).cast("int")).alias("text"))
     loads = [r[1] for r in sharding.shard_documents(many, shards=7).groupBy("shard").agg(F.sum("size")).collect()]
@@ -200,6 +218,33 @@ def test_toxicity(spark, docs, empty):
         assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.train(rows, few)).collect()} <= {0.5} or few.count()
 
 
+def test_scores_against_brute_force(spark, docs):
+    """score is sigmoid(bias + weights + every pair's product), over each distinct bucket of the whole text."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    terms = toxicity.Terms()
+    chosen = sorted({b for _, t, *_ in ROWS for b in toxicity.buckets(t or "", terms)})[::2]
+    model = toxicity.FactorizationMachine(-0.3, np.array(chosen), r.normal(0, 0.05, len(chosen)), r.normal(0, 0.05, (len(chosen), toxicity.RANK)))
+    want = []
+    for doc_id, text, *_ in ROWS:
+        rows = [chosen.index(b) for b in toxicity.buckets(text or "", terms) if b in chosen]
+        z = -0.3 + sum(model.weights[i] for i in rows) + sum(float(model.factors[i] @ model.factors[j]) for n, i in enumerate(rows) for j in rows[:n])
+        want.append((doc_id or 0, round(1 / (1 + math.exp(-z)), 6)))
+    got = toxicity.score(docs, model).collect()
+    assert sorted((x.doc_id or 0, round(x.score, 6)) for x in got) == sorted(want)
+    assert all(x.predicted == (x.score >= 0.7) and x.held_out == (__import__("zlib").crc32(str(x.doc_id if x.doc_id is not None else "").encode()) % 3 == 1) for x in got)
+
+
+def test_repeated_ids_count_once_in_the_sample(spark):
+    rows = spark.createDataFrame([(2, f"text number {i}") for i in range(500)] + [(3, "you idiot"), (5, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 3)) for i in range(20)], "doc_id long, toxic int")
+    model = toxicity.train(rows, labels, sample=10)
+    assert all(0 <= x.score <= 1 for x in toxicity.score(rows, model).collect())
+
+
 def test_a_pair_that_adds_more_than_its_parts():
     import numpy as np
 
@@ -223,3 +268,29 @@ def test_pipeline(spark, docs, tmp_path):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(d)).collect()}
     assert set(out) == {i for i in range(80) if i % 4} | {202}
     assert out[202].decoded.startswith("write</w> to</w> [</w> email</w>")
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ids that rows share, extra columns whose names clash, and empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, key string, n_words string, nominees int, whole string"
+    plain = " ".join(f"v{j}" for j in range(40))
+    rows = [
+        (1, None, None, None, None, 1, "k", None, 1, "w"), (2, "", "en", None, 0, 1, "k", None, 1, "w"), (3, plain, "en", "s", 9, 1, "k", None, 1, "w"), (3, plain + " and one more", "en", "s", 9, 2, None, "x", None, None),
+        (3, "quite another text than that", None, None, None, 3, None, None, 1, "w"), (None, plain, "en", "s", 9, 1, "k", None, 1, "w"), (None, None, None, None, None, None, None, None, None, None),
+        (4, "w " * 60_000 + "y" * 200_000, "en", "s", 9, 1, "k", None, 1, "w"), (5, plain, "en", "s", 9, 1, "k", None, 1, "w"), (5, plain, "en", "s", 9, 1, "k", None, 1, "w"),
+    ]
+    for name, own in (("some", rows), ("none", [])):
+        d = tmp_path / name
+        spark.createDataFrame(own, schema).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame([(3, 1, None), (None, 1, 1), (3, 0, 0)] if own else [], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame([(None, None), (1, "")] if own else [], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        held = spark.read.parquet(str(d / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, held, str(d))
+            assert kept.columns == held.columns and kept.dtypes == held.dtypes
+        out = sorted((x.doc_id or 0, x.n_tokens) for x in corpus_pipeline.run(spark, str(d)).collect())
+        # Texts of equal words are one group (1 and 2 have none); of near ones the least id stays; rows without an id stay.
+        assert [x[0] for x in out] == ([0, 0, 1, 3, 3, 4] if own else [])
