@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,10 +53,19 @@ def keyword_hits(texts: Column, keywords: tuple[str, ...]) -> Column:
 
 
 def has_keyword(text: Column, keyword: str) -> Column:
-    """text is lower-cased. A single word must stand alone (ASCII letters, digits and _ bind); a phrase may stand anywhere."""
-    if keyword.replace("_", "").isalnum():
-        return F.regexp_like(text, F.lit(f"(^|[^A-Za-z0-9_]){keyword}([^A-Za-z0-9_]|$)"))
-    return F.contains(text, F.lit(keyword))
+    """text is lower-cased. A keyword with a space may stand anywhere; any other must stand alone (ASCII letters, digits and _ bind)."""
+    if " " in keyword:
+        return F.contains(text, F.lit(keyword))
+    return F.regexp_like(text, F.lit(f"(^|[^A-Za-z0-9_]){re.escape(keyword)}([^A-Za-z0-9_]|$)"))
+
+
+def keywords_in(text: Column, keywords: list[str]) -> Column:
+    """Those of the keywords that has_keyword finds in text (lower-cased): its words are looked up all at once."""
+    single = [k for k in keywords if re.fullmatch("[a-z0-9_]+", k)]
+    phrases = [k for k in keywords if " " in k]
+    others = [k for k in keywords if k not in single and k not in phrases]
+    parts = [F.array_intersect(F.split(text, "[^a-z0-9_]+"), strings(*single)), F.filter(strings(*phrases), lambda p: F.contains(text, p))]
+    return F.concat(*parts, labels(*[(has_keyword(text, k), k) for k in others]))
 
 
 def any_word(text: Column, words: str) -> Column:
@@ -176,7 +187,8 @@ def bio(text: Column | str) -> Column:
 
 
 def title_case(handle: Column | str) -> Column:
-    return F.initcap(F.trim(F.regexp_replace(col(handle), r"[._-]+", " ")))
+    """A name from a handle, without leading @ signs."""
+    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(col(handle), "^@+", ""), r"[\s._-]+", " ")))
 
 
 def bundle(blocks: Column, each: int, count: int, most: int = 13_000) -> Column:
@@ -198,10 +210,40 @@ def first_json_object(x: Column | str) -> Column:
 
 
 def compact_count(n: Column | str) -> Column:
-    """1.2M, 3k, 812."""
+    """1.2M, 3.0K, 812."""
     n = col(n).cast("double")
-    shown = lambda x, s: F.concat(F.regexp_replace(F.format_string("%.1f", round_half_up(x, 1)), r"\.0$", ""), F.lit(s))
-    return F.when(n >= 1e6, shown(n / 1e6, "M")).when(n >= 1e3, shown(n / 1e3, "k")).otherwise(n.cast("long").cast("string"))
+    shown = lambda x, s: F.concat(F.format_string("%.1f", x), F.lit(s))
+    return F.when(n >= 1e6, shown(n / 1e6, "M")).when(n >= 1e3, shown(n / 1e3, "K")).otherwise(n.cast("long").cast("string"))
+
+
+def percent(x: Column | str) -> Column:
+    """A share as 3.2%; a dash where there is none."""
+    x = col(x).cast("double")
+    return F.when(x.isNull() | F.isnan(x), "—").otherwise(F.concat(F.format_string("%.1f", x * 100), F.lit("%")))
+
+
+def source_label(x: Column | str) -> Column:
+    """Short name of a creator's source."""
+    low = F.lower(F.coalesce(col(x), F.lit("")))
+    return F.when(low == "", "unknown").when(F.contains(low, F.lit("synthetic")), "synthetic").when(F.contains(low, F.lit("stan_pipeline")), "stan pipeline").otherwise(F.replace(low, F.lit("_"), F.lit(" ")))
+
+
+def quick_replies(text: Column | str) -> Column:
+    """The options A to D that a text lists line by line, up to four; null if there is one at most."""
+    options = F.filter(F.transform(lines(text), lambda s: F.trim(F.regexp_extract(s, r"(?i)^[A-D][).:-]\s*(.+)$", 1))), lambda s: s != "")
+    return F.when(F.size(options) >= 2, F.slice(options, 1, 4))
+
+
+def profile_name(title: Column | str) -> Column:
+    """The name in a store page's title."""
+    clean = F.trim(F.regexp_replace(clean_text(title, 200), r"(?i)\|\s*stan.*$", ""))
+    before = F.trim(F.regexp_extract(clean, r"^(.*?)\s*\(@", 1))
+    return F.substring(F.nullif(F.coalesce(F.nullif(before, F.lit("")), clean), F.lit("")), 1, 120)
+
+
+def title_handle(title: Column | str) -> Column:
+    """The handle in a page's title: (@handle)."""
+    return F.substring(F.nullif(F.trim(F.regexp_replace(F.regexp_extract(col(title), r"\(@([^)]+)\)", 1), "^@+", "")), F.lit("")), 1, 80)
 
 
 def follower_band(n: Column | str) -> Column:

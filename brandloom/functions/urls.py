@@ -15,7 +15,7 @@ RESERVED_X = ("home", "search", "explore", "i", "intent")
 RESERVED_INSTAGRAM = ("p", "reel", "explore")
 HANDLE_FORMS = {"x": "[A-Za-z0-9_]{1,15}", "instagram": "[A-Za-z0-9._]{2,30}", "linkedin": "[A-Za-z0-9_%-]{2,120}", "tiktok": "[A-Za-z0-9._]{2,24}", "youtube": "[A-Za-z0-9._-]{2,60}"}
 TRACKING = "utm_|fbclid|gclid|si"
-PLATFORM_ALIASES = (("instagram", "insta"), ("tiktok", "tiktok"), ("youtube", "youtube"), ("linkedin", "linkedin"))
+PLATFORM_ALIASES = (("instagram", "insta"), ("tiktok", "tiktok"), ("youtube", "youtu"), ("x", "x.com"), ("x", "twitter"), ("linkedin", "linkedin"))
 SHORT_ALIASES = {"ig": "instagram", "tt": "tiktok", "yt": "youtube", "in": "linkedin", "twitter": "x", "x": "x"}
 STORE_HOST = "stan.store"
 
@@ -139,6 +139,22 @@ def unwrapped(href: Column | str) -> Column:
     return F.when(F.regexp_like(raw, F.lit("(?i)^https?://")), raw).when(raw.startswith("/url?"), F.nullif(target("q"), F.lit(""))).when(raw.startswith("/l/?"), F.nullif(target("uddg"), F.lit("")))
 
 
+def resolved(href: Column | str, base: Column | str) -> Column:
+    """href as a whole URL, read from a page at base."""
+    h, b = F.trim(col(href)), col(base)
+    site = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    here = F.regexp_extract(b, r"^[^?#]*", 0)
+    folder = F.when(here == site, F.concat(site, F.lit("/"))).otherwise(F.regexp_extract(here, r"^(.*/)", 1))
+    full = (
+        F.when(F.regexp_like(h, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), h).when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
+        .when(h.startswith("/"), F.concat(site, h)).when(h.startswith("?"), F.concat(here, h)).when(h.startswith("#"), F.concat(F.regexp_extract(b, r"^[^#]*", 0), h)).otherwise(F.concat(folder, h))
+    )
+    full = F.regexp_replace(full, r"/(?:\./)+", "/")
+    for _ in range(4):
+        full = F.regexp_replace(full, r"(?<=[^/:])/[^/?#]+/\.\./", "/")
+    return full
+
+
 def is_page(url: Column | str) -> Column:
     return F.coalesce(F.regexp_like(F.lower(col(url)), F.lit("^https?://")) & ~F.regexp_like(F.lower(path(url)), F.lit(r"\.(pdf|jpg|jpeg|png|webp|svg|gif|zip|mp4|mov)$")), F.lit(False))
 
@@ -161,6 +177,34 @@ def with_scheme(x: Column | str) -> Column:
     return F.when(F.contains(host(full), F.lit(".")) | (host(full) == "localhost"), full)
 
 
+def favicon(x: Column | str) -> Column:
+    """Where the icon of an input's site is served."""
+    return F.concat(F.lit("https://www.google.com/s2/favicons?domain="), host(with_scheme(x)), F.lit("&sz=128"))
+
+
+def plain_handle(raw: Column | str) -> Column:
+    """Lower-cased, without leading @ signs and what no handle holds."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(col(raw)), "^@+", ""), "[^a-zA-Z0-9._-]", ""))
+
+
+def link_handle(link: Column | str) -> Column:
+    """The handle that a link to a store or a platform shows; null without a path."""
+    h, parts = host(link), path_parts(link)
+    first, second = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    on = lambda name: F.contains(h, F.lit(name))
+    tube = on("youtube.com") | on("youtu.be")
+    shown = F.when(on("linkedin.com") & (first == "in"), second).when(tube & first.isin("channel", "c", "user", "@"), second).otherwise(first)
+    return F.when(F.size(parts) > 0, plain_handle(shown))
+
+
+def link_platform(link: Column | str) -> Column:
+    """The platform that a link's host names, null if none."""
+    h, out = host(link), F.when(F.lit(False), "")
+    for name, part in (("instagram", "instagram.com"), ("tiktok", "tiktok.com"), ("youtube", "youtube.com"), ("youtube", "youtu.be"), ("x", "x.com"), ("x", "twitter.com"), ("linkedin", "linkedin.com")):
+        out = out.when(F.contains(h, F.lit(part)), name)
+    return out
+
+
 def brand_name(url: Column | str) -> Column:
     """A name from the first label of a host."""
     words = F.filter(F.split(F.get(F.split(without_www(host(url)), r"\."), F.lit(0)), "[-_]"), lambda w: w != "")

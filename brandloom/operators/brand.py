@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import distinct_texts, round_half_up
-from ..functions.text import any_word, bundle, labels
+from ..functions.text import any_word, bundle, labels, phrase
 from ..plans import rules
 
 
@@ -100,3 +100,51 @@ def page_bundle(pages: DataFrame, key: str, order: str, text: str, each: int, co
 def first_source(*sources: Column) -> Column:
     """The first source that has text."""
     return F.coalesce(*[F.nullif(F.trim(s), F.lit("")) for s in sources])
+
+
+def _chunks(phrases: Column) -> Column:
+    """What phrases list, cleaned: no stop words, nothing short, nothing that only asks."""
+    parts = F.flatten(F.transform(phrases, lambda p: F.split(p, r"(?i),|/|&|(?<![a-z0-9_])and(?![a-z0-9_])")))
+    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(F.regexp_replace(phrase(p), "^(for|about|around|the|some|more|mostly|with) ", ""), " (for|audiences?|content|profiles?)$", "")))
+    noise = F.array(*map(F.lit, rules.PRIORITY_NOISE))
+    return F.filter(bare, lambda p: (F.length(p) >= 3) & ~p.isin(*rules.PRIORITY_STOP) & ~F.arrays_overlap(F.split(p, " "), noise))
+
+
+def priority_niches(text: Column | str, most: int = 6) -> Column:
+    """The niches of creators that a text asks for."""
+    text = F.col(text) if isinstance(text, str) else text
+    asked = r"(?i)(?<![A-Za-z0-9_])(?:looking for|look for|need|want|seeking|searching for|priorit(?:ize|ise)|focus(?:ing)? on|lean(?:ing)? into)\s+([a-z0-9][a-z0-9\s,&/+-]{1,56}?)\s+(?:influencers|creators)(?![A-Za-z0-9_])"
+    named = r"(?i)(?<![A-Za-z0-9_])([a-z0-9][a-z0-9\s,&/+-]{1,36}?)\s+(?:influencers|creators)(?![A-Za-z0-9_])"
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (asked, named)])
+    return F.slice(F.array_distinct(_chunks(found)), 1, most)
+
+
+def priority_topics(text: Column | str, niches: Column, most: int = 8) -> Column:
+    """The niches, and the topics that a text asks to be covered."""
+    text = F.col(text) if isinstance(text, str) else text
+    pattern = r"(?i)(?<![A-Za-z0-9_])(?:content about|topics around|focus on topics|covering)\s+([a-z0-9][a-z0-9\s,&/+-]{1,56})(?=$|[.!?,])"
+    return F.slice(F.array_distinct(F.concat(niches, _chunks(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))), 1, most)
+
+
+def site_searches(df: DataFrame, host: str, name: str) -> DataFrame:
+    """df with one row for each search over the brand's own site (label, query, place); the brand's name goes first where it is known."""
+    site = F.concat(F.lit("site:"), F.col(host), F.lit(" "))
+    one = lambda label, words: F.struct(F.lit(label).alias("label"), F.concat(site, words).alias("query"))
+    fixed = F.array(*[one(label, F.lit(words)) for label, words in rules.SITE_SEARCHES])
+    named = F.trim(F.coalesce(name, F.lit("")))
+    with_name = F.concat(F.array(one("brand-overview", F.concat(F.lit('"'), named, F.lit('"')))), fixed)
+    return df.select("*", F.posexplode(F.when(named == "", fixed).otherwise(with_name)).alias("place", "__s")).select("*", "__s.*").drop("__s")
+
+
+def web_searches(df: DataFrame, host: str, name: str) -> DataFrame:
+    """df with one row for each search on the open web (query, place)."""
+    named = F.coalesce(F.nullif(F.trim(F.col(name)), F.lit("")), F.col(host))
+    return df.select("*", F.posexplode(F.array(*[F.concat(named, F.lit(f" {words}")) for words in rules.WEB_SEARCHES])).alias("place", "query"))
+
+
+def analysis_source(df: DataFrame, pages: str, fetched: str, searched: str, site: str, web: str, challenged: str) -> DataFrame:
+    """df with source and context: the first of its texts that is there. A challenged site is searched for before it is read again."""
+    order = lambda names: [F.when(F.trim(F.col(n)) != "", F.struct(F.lit(n).alias("source"), F.col(n).alias("context"))) for n in names]
+    plain, shut = F.coalesce(*order([pages, fetched, site, searched, web])), F.coalesce(*order([pages, fetched, searched, site, web]))
+    found = F.when(F.coalesce(F.col(challenged), F.lit(False)), shut).otherwise(plain)
+    return df.withColumn("source", F.coalesce(found["source"], F.lit("model"))).withColumn("context", found["context"])

@@ -10,7 +10,7 @@ from ..functions import urls as u
 from ..plans import rules
 from .importer import extraction_confidence
 from .ranking import capped, latest
-from .upsert import stable_id
+from .upsert import stable_id, upsert
 
 
 def explode_results(payloads: DataFrame, results: str = "results") -> DataFrame:
@@ -19,6 +19,22 @@ def explode_results(payloads: DataFrame, results: str = "results") -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("__i", "__r")], "__r.*", F.coalesce("__r.position", F.col("__i") + 1).alias("place")).drop("position").withColumnRenamed("place", "position")
 
 
+#: What a search payload looks like.
+SERP = "run string, query string, results array<struct<title:string,snippet:string,url:string,position:int,raw:string>>"
+
+
+def ingest(existing: DataFrame, payloads: DataFrame) -> DataFrame:
+    """existing raw accounts with a batch of search payloads (SERP) put in, by run, query and URL.
+
+    Redirect links are followed first. A result without a raw payload keeps its whole row as one; unreadable URLs are left out.
+    """
+    rows = explode_results(payloads).withColumn("raw", F.coalesce("raw", F.to_json(F.struct("title", "snippet", "url", "position"))))
+    rows = rows.withColumn("url", F.coalesce(u.unwrapped("url"), F.col("url")))
+    out = normalize(rows, "url", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")))
+    out = out.withColumn("id", raw_account_id("run", "query", "url")).select(*existing.columns)
+    return upsert(existing, out, ["id"], [F.col("position")])
+
+
 def normalize(rows: DataFrame, url: str, title: Column, snippet: Column) -> DataFrame:
     """Search rows as raw accounts; rows whose URL can't be read are left out."""
     said = F.concat_ws(" ", title, snippet, url)
@@ -55,19 +71,38 @@ def accept(rows: DataFrame, url: str, agent: str, query: str, position: str, kee
     return capped(once, query, agent, position, per_query, per_agent)
 
 
-def looks_challenged(page: Column | str, least: int = 2) -> Column:
+def accept_by_plan(rows: DataFrame, url: str, agent: str, query: str, position: str, blob: Column, per_query: int = 10, per_agent: int = 20) -> DataFrame:
+    """Rows whose agent is one of the search plans and that fit it, each canonical URL once, under both caps."""
+    fits = F.lit(False)
+    for name, _, hosts, prefix, terms in rules.PLANS:
+        fits = fits | ((F.col(agent) == name) & fits_plan(F.col(url), blob, hosts, prefix, terms))
+    return accept(rows, url, agent, query, position, fits & u.is_page(url) & ~u.is_search_host(url), per_query, per_agent)
+
+
+def grouped_by_query(rows: DataFrame, query: str, url: str, position: str) -> DataFrame:
+    """query (trimmed; blank ones are dropped), n, n_urls and the first URL of each group, in the order of positions."""
+    named = rows.withColumn("query", F.trim(F.col(query))).where("query <> ''")
+    return named.groupBy("query").agg(F.count("*").alias("n"), F.count_distinct(url).alias("n_urls"), F.min_by(url, position).alias("first_url"), F.min(position).alias("place"))
+
+
+def looks_challenged(page: Column | str, least: int = 2, marks: tuple[str, ...] = rules.CHALLENGE_MARKS) -> Column:
     low = F.lower(F.col(page) if isinstance(page, str) else page)
-    return sum((F.contains(low, F.lit(m)).cast("int") for m in rules.CHALLENGE_MARKS), F.lit(0)) >= least
+    return sum((F.contains(low, F.lit(m)).cast("int") for m in marks), F.lit(0)) >= least
+
+
+def hrefs(page: Column) -> Column:
+    """What the page's links say, in order: quoted in either way, or bare."""
+    found = F.regexp_extract_all(page, F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.filter(F.transform(found, lambda h: F.trim(F.regexp_replace(h, "^[\"']|[\"']$", ""))), lambda h: h != "")
 
 
-def interesting_links(page: Column, base_host: Column, most: int = 8) -> Column:
-    """Links to the same host, by their hints, without junk, in page order."""
-    hrefs = F.regexp_extract_all(page, F.lit(r'(?i)<a[^>]*\shref="([^"]*)"'), F.lit(1))
-    full = F.transform(hrefs, lambda h: F.when(h.startswith("/"), F.concat(F.lit("http://"), base_host, h)).otherwise(h))
-    bare = F.transform(full, lambda x: F.regexp_replace(x, "#.*$", ""))
-    own = F.filter(bare, lambda x: F.coalesce(u.host(x) == base_host, F.lit(False)))
-    hinted = F.regexp_like
-    kept = F.filter(own, lambda x: (F.lower(u.path(x)) != "/") & ~hinted(F.lower(u.path(x)), F.lit(rules.PAGE_JUNK)) & hinted(F.lower(u.path(x)), F.lit("|".join(rules.PAGE_HINTS))))
+def interesting_links(page: Column, base: Column, most: int = 8) -> Column:
+    """Links to the base URL's host, whole, by their hints, without junk, in page order."""
+    full = F.transform(hrefs(page), lambda h: u.resolved(h, base))
+    own = F.filter(full, lambda x: F.coalesce(u.without_www(u.host(x)) == u.without_www(u.host(base)), F.lit(False)))
+    path = lambda x: F.lower(u.path(x))
+    like = F.regexp_like
+    kept = F.filter(own, lambda x: ~path(x).isin("", "/") & ~like(path(x), F.lit(rules.PAGE_JUNK)) & like(path(x), F.lit("|".join(rules.PAGE_HINTS))))
     return F.slice(F.array_distinct(kept), 1, most)
 
 
@@ -78,10 +113,13 @@ def extract(accounts: DataFrame, texts: Column) -> DataFrame:
     return out.withColumn("confidence", extraction_confidence(F.col("store_slug").isNotNull(), F.col("followers").isNotNull(), F.col("profile_url").isNotNull(), F.col("handle").isNotNull(), ig & F.col("profile_url").isNotNull(), ig & F.col("handle").isNotNull()))
 
 
-def extraction_stats(rows: DataFrame) -> DataFrame:
+def extraction_stats(source: DataFrame, extracted: DataFrame) -> DataFrame:
+    """One row over source rows and what was extracted of them; failed: rows that couldn't be read."""
     count = lambda c, name: F.count_if(c).alias(name)
     has = lambda c: F.col(c).isNotNull()
-    return rows.agg(
-        F.count("*").alias("processed"), count(has("store_slug"), "with_slug"), count(has("followers"), "with_followers"), count(has("profile_url"), "with_profile"), count(has("handle"), "with_handle"),
-        count(F.col("platform") == "unknown", "unknown_platform"), count(F.col("confidence") >= 0.5, "confident"), count(F.col("confidence").isNull(), "failed"),
+    seen = extracted.agg(
+        F.count("*").alias("read"), count(has("store_slug"), "with_slug"), count(has("followers"), "with_followers"), count(has("profile_url"), "with_profile"), count(has("handle"), "with_handle"),
+        count(F.col("platform") == "unknown", "unknown_platform"), count(F.col("confidence") >= 0.5, "confident"),
     )
+    both = source.agg(F.count("*").alias("processed")).crossJoin(seen)  # one row each
+    return both.withColumn("failed", F.col("processed") - F.col("read")).drop("read")

@@ -47,6 +47,16 @@ def matches_search(term: str, *columns: Column) -> Column:
     return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(term.strip().lower()))
 
 
+def search(df: DataFrame, platform: str = "all", group: str = "all", term: str = "", platforms: str = "platforms", niche: str = "niche", blob: tuple[str, ...] = ()) -> DataFrame:
+    """Creators on a platform, in a niche group, whose blob columns (strings or arrays) hold the term; "all" and "" ask for nothing."""
+    out = df
+    if platform != "all":
+        out = out.where(F.array_contains(platforms, platform))
+    if group != "all":
+        out = out.where(niche_group(F.col(niche)) == group)
+    return out.where(matches_search(term, *map(F.col, blob))) if term.strip() else out
+
+
 def positive_total(values: Column) -> Column:
     return F.aggregate(F.filter(values, lambda v: v > 0), F.lit(0.0), lambda s, v: s + v)
 

@@ -3,8 +3,8 @@
 An account with a known slug gets that identity. A new slug opens an identity, unless its account's domain has one already:
 then it gets that one, and the slug is not recorded. An account without slug gets or opens its domain's identity, and one
 without either is queued. Only the first account of each (slug, domain) pair can change anything, so pairs are reduced to
-their first account, split by the components of the graph of slugs and domains, and folded in order in each component; all
-accounts are then resolved by joins.
+their first account. Pairs that share neither slug nor domain with another are settled as they are; the others are split by
+the components of the graph of slugs and domains, and folded in order in each component. All accounts are then resolved by joins.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host, on_host, store_slug, without_www
 from ..plans.rules import SEARCH_HOSTS, SOCIAL_HOSTS
+from ..sources.shared import stored
+from .graph import components
 from .upsert import stable_id
 
 
@@ -45,20 +47,22 @@ def anchors(accounts: DataFrame, slug: Column, url: Column, text: Column) -> Dat
 
 
 def _components(pairs: DataFrame) -> DataFrame:
-    """(slug, domain, component): least-label propagation over the graph of slugs and domains; few rounds, as components are small."""
-    edges = pairs.select(F.coalesce(F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain")).alias("a"), F.coalesce(F.concat(F.lit("d:"), "domain"), F.concat(F.lit("s:"), "slug")).alias("b")).distinct()
-    labels = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().withColumn("label", F.col("node"))
-    both = edges.union(edges.select("b", "a")).toDF("node", "near").checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("near"), F.col("label").alias("l")), "near").groupBy("node").agg(F.min("l").alias("l"))
-        step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("l", "label")).alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("node", F.coalesce("far", "label").alias("label")).checkpoint()
-        changed = step.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = step
-        if not changed:
-            key = F.coalesce(F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain"))
-            return pairs.withColumn("node", key).join(labels, "node").select("slug", "domain", "order", F.col("label").alias("component"))
+    """(slug, domain, order, component) over the graph of slugs and domains."""
+    slug, domain = F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain")
+    found = components(pairs.where("slug is not null and domain is not null").select(slug.alias("u"), domain.alias("v")))
+    key = F.coalesce(slug, domain)
+    return pairs.join(found, key == found["node"], "left").select("slug", "domain", "order", F.coalesce("root", key).alias("component"))
+
+
+def _split(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose slug and domain are met in no other pair, and the others."""
+    counted = first
+    for name in ("slug", "domain"):
+        held = first.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias(f"__{name}"))
+        counted = counted.join(held, name, "left")
+    alone = F.coalesce(F.greatest("__slug", "__domain"), F.lit(1)) == 1
+    counted = stored(counted.select("slug", "domain", "order", alone.alias("alone")), "pairs")
+    return counted.where("alone").drop("alone"), counted.where("not alone").drop("alone")
 
 
 def _fold(rows):
@@ -81,16 +85,66 @@ def _fold(rows):
     return pd.DataFrame(out, columns=["kind", "name", "anchor", "since"])
 
 
-def resolve(accounts: DataFrame, order: str) -> DataFrame:
-    """accounts (slug, domain, and a long column that orders them without ties) with identity_id; null where queued."""
-    anchored = accounts.where("slug IS NOT NULL OR domain IS NOT NULL")
-    first = anchored.groupBy("slug", "domain").agg(F.min(order).alias("order"))
-    known = _components(first).groupBy("component").applyInPandas(_fold, "kind string, name string, anchor string, since long").checkpoint()
-    by_slug = known.where("kind = 'slug'").select(F.col("name").alias("slug"), F.col("anchor").alias("__s"), F.col("since").alias("__s_since"))
-    by_domain = known.where("kind = 'domain'").select(F.col("name").alias("domain"), F.col("anchor").alias("__d"))
-    joined = accounts.join(by_slug, "slug", "left").join(by_domain, "domain", "left")
-    anchor = F.when(F.col("__s").isNotNull() & (F.col("__s_since") <= F.col(order)), F.col("__s")).otherwise(F.col("__d"))
-    return joined.withColumn("identity_id", F.when(anchor.isNotNull(), stable_id("ci", anchor))).drop("__s", "__s_since", "__d")
+KNOWN = "kind string, name string, anchor string, since long"
+
+
+def resolve(accounts: DataFrame, order: str, known: DataFrame | None = None) -> DataFrame:
+    """accounts (slug, domain, and a long column that orders them without ties) with identity_id; null where queued.
+
+    known: anchors of identities that earlier runs have opened (kind: slug or domain, name, identity_id). They count from
+    before the first account, so that runs over parts of the accounts, each given what the runs before it opened, give the
+    identities of one run over all of them.
+    """
+    return _resolved(accounts, order, known)[0]
+
+
+def _resolved(accounts: DataFrame, order: str, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    spark = accounts.sparkSession
+    held = known if known is not None else spark.createDataFrame([], "kind string, name string, identity_id string")
+    slugs, domains = (held.where(F.col("kind") == k).select(F.col("name").alias(k), F.col("identity_id").alias(f"__known_{k}")) for k in ("slug", "domain"))
+    rows = accounts.join(slugs, "slug", "left").join(domains, "domain", "left")
+    # A known slug or domain opens nothing; only the rest is folded.
+    open_rows = rows.where(F.coalesce("__known_slug", "__known_domain").isNull() & F.coalesce("slug", "domain").isNotNull())
+    first = open_rows.groupBy("slug", "domain").agg(F.min(order).alias("order"))
+    alone, shared = _split(first)
+    anchor = F.coalesce(F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain"))
+    entry = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"), anchor.alias("anchor"), F.col("order").alias("since"))
+    plain = alone.select(F.explode(F.array(entry("slug"), entry("domain"))).alias("e")).select("e.*").where("name is not null")
+    opened = stored(_components(shared).groupBy("component").applyInPandas(_fold, KNOWN).unionByName(plain), "identities")
+    by_slug = opened.where("kind = 'slug'").select(F.col("name").alias("slug"), F.col("anchor").alias("__s"), F.col("since").alias("__s_since"))
+    by_domain = opened.where("kind = 'domain'").select(F.col("name").alias("domain"), F.col("anchor").alias("__d"))
+    joined = rows.join(by_slug, "slug", "left").join(by_domain, "domain", "left")
+    named = lambda c: F.when(c.isNotNull(), stable_id("ci", c))
+    own = F.when(F.col("__s_since") <= F.col(order), F.col("__s"))
+    identity = F.coalesce("__known_slug", named(own), "__known_domain", named(F.col("__d")))
+    out = joined.withColumn("identity_id", identity).drop("__s", "__s_since", "__d", "__known_slug", "__known_domain")
+    return out, opened.select("kind", "name", stable_id("ci", F.col("anchor")).alias("identity_id")).unionByName(held)
+
+
+def resolve_run(accounts: DataFrame, order: str, known: DataFrame | None = None, linked: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A run's tables: links (accounts with an identity, and why), queue (accounts without, with the candidate by handle), known and stats.
+
+    accounts: order, slug, domain, reason (as anchors gives it), account, handle and platform. linked: handle, platform,
+    identity_id and created_at of accounts linked before.
+    """
+    spark = accounts.sparkSession
+    rows, opened = _resolved(accounts, order, known)
+    rows = stored(rows, "resolved")
+    links = rows.where("identity_id is not null").withColumnRenamed("reason", "linkage_reason")
+    held = linked if linked is not None else spark.createDataFrame([], "handle string, platform string, identity_id string, created_at timestamp")
+    queue = candidate_identity(rows.where("identity_id is null").select("account", "handle", "platform"), held)
+    queue = queue.withColumn("reason", F.lit("no slug, personal domain or cross link"))
+    created = opened.agg(F.count_distinct("identity_id").alias("n")) if known is None else opened.join(known.select("identity_id").distinct(), "identity_id", "left_anti").agg(F.count_distinct("identity_id").alias("n"))
+    return {"links": links, "queue": queue, "known": opened, "stats": identity_stats(rows).crossJoin(created.withColumnRenamed("n", "created"))}
+
+
+def identity_stats(rows: DataFrame) -> DataFrame:
+    """One row: processed, merged_by_slug, merged_by_domain, merged_by_cross_link and queued. rows: reason and identity_id."""
+    n = lambda *reasons: F.count_if(F.col("identity_id").isNotNull() & F.col("reason").isin(*reasons))
+    return rows.agg(
+        F.count("*").alias("processed"), n("stan_slug").alias("merged_by_slug"), n("personal_domain").alias("merged_by_domain"),
+        n("cross_link_stan_slug", "cross_link_personal_domain").alias("merged_by_cross_link"), F.count_if(F.col("identity_id").isNull()).alias("queued"),
+    )
 
 
 def resolve_fast(accounts: DataFrame, order: str) -> DataFrame:
@@ -101,8 +155,13 @@ def resolve_fast(accounts: DataFrame, order: str) -> DataFrame:
 
 
 def candidate_identity(queued: DataFrame, linked: DataFrame) -> DataFrame:
-    """queued (account, handle, platform) with the latest identity that has the handle on another platform, and the confidence in it."""
-    other = linked.select(F.col("handle").alias("handle"), F.col("platform").alias("__p"), F.col("identity_id").alias("__i"), F.col("created_at").alias("__t"))
-    found = queued.join(other, "handle").where(F.col("__p") != F.coalesce("platform", F.lit("unknown")))
-    best = found.groupBy("account").agg(F.max(F.struct("__t", "__i")).alias("b")).select("account", F.col("b.__i").alias("candidate"))
-    return queued.join(best, "account", "left").withColumn("confidence", F.when(F.col("candidate").isNotNull(), 0.55).otherwise(0.3))
+    """queued (account, handle, platform) with the latest identity that has the handle on another platform, and the confidence in it.
+
+    Of each handle only the latest identity of each platform can count, so accounts meet a handful of rows, however often a handle is linked.
+    """
+    latest = linked.groupBy("handle", F.col("platform").alias("__p")).agg(F.max(F.struct("created_at", "identity_id")).alias("__l"))
+    by_handle = latest.groupBy("handle").agg(F.collect_list(F.struct("__p", "__l")).alias("__of"))
+    other = F.filter("__of", lambda x: x["__p"] != F.coalesce("platform", F.lit("unknown")))
+    best = F.array_max(F.transform(other, lambda x: x["__l"]))["identity_id"]
+    found = queued.join(by_handle, "handle", "left").withColumn("candidate", best).drop("__of")
+    return found.withColumn("confidence", F.when(F.col("candidate").isNotNull(), 0.55).otherwise(0.3))

@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coerce import clamp, distinct_texts, round_half_up
-from ..functions.text import has_keyword, let, strings, title_case
+from ..functions.coerce import clamp, distinct_texts, finite, round_half_up
+from ..functions.text import keywords_in, let, strings, title_case
+from ..functions.urls import normal_platform
 from ..plans import rules
+from .social import primary_score
 
 
-def _hits(text: Column, words: tuple[str, ...]) -> Column:
-    return sum((has_keyword(text, w).cast("int") for w in words), F.lit(0))
+#: All keywords of the rules, each once.
+KEYWORDS = list(dict.fromkeys(k for table in (rules.NICHES, rules.TOPICS, rules.AUDIENCES, rules.PRODUCTS, rules.INTENTS) for row in table for k in row[1]))
 
 
-def niche_of(text: Column, table=rules.NICHES) -> Column:
-    """Struct of niche, score, topics and audiences: the rule with the largest share of its keywords in text (lower-cased); of equals the first."""
-    rated = F.array_max(F.array(*[F.struct((_hits(text, words) / len(words)).alias("score"), F.lit(-i).alias("i")) for i, (_, words, _, _) in enumerate(table)]))
+def found_keywords(text: Column) -> Column:
+    """The rules' keywords in a text (lower-cased)."""
+    return keywords_in(text, KEYWORDS)
+
+
+def niche_of(found: Column, table=rules.NICHES) -> Column:
+    """Struct of niche, score, topics and audiences: the rule with the largest share of its keywords found; of equals the first."""
+    share = lambda words: F.size(F.array_intersect(found, strings(*words))) / len(words)
+    rated = F.array_max(F.array(*[F.struct(share(words).alias("score"), F.lit(-i).alias("i")) for i, (_, words, _, _) in enumerate(table)]))
     default = next(i for i, r in enumerate(table) if r[0] == rules.DEFAULT_NICHE)
 
     def named(best):
@@ -27,9 +35,9 @@ def niche_of(text: Column, table=rules.NICHES) -> Column:
     return let(rated, named)
 
 
-def signals(text: Column, table) -> Column:
-    """The values whose rules have a keyword in text (lower-cased), in order."""
-    return F.array_compact(F.array(*[F.when(_hits(text, words) > 0, F.lit(value)) for value, words in table]))
+def signals(found: Column, table) -> Column:
+    """The values whose rules have a keyword found, in order."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(found, strings(*words)), F.lit(value)) for value, words in table]))
 
 
 def selling_style(cta: Column, intents: Column) -> Column:
@@ -48,12 +56,14 @@ def content_style(style: Column, topics: Column) -> Column:
     )
 
 
-def compatibility(df: DataFrame, text: str, cta: str, has_price: Column | None = None, has_social: Column | None = None) -> DataFrame:
-    """df with niche, niche_confidence, topics, audiences, products, intents, selling_style, content_style and buying_intent, read from text."""
-    no = F.lit(False)
-    price, social = has_price if has_price is not None else no, has_social if has_social is not None else no
-    t = F.col("__t")
-    out = df.withColumn("__t", F.lower(text)).withColumns({
+def compatibility(df: DataFrame, text: str, cta: str, has_price: Column | None = None, has_social: Column | None = None, has_primary: Column | None = None) -> DataFrame:
+    """df with niche, niche_confidence, topics, audiences, products, intents, selling_style, content_style and buying_intent, read from text.
+
+    has_price, has_social, has_primary: whether prices, platform metrics and a primary platform are known besides.
+    """
+    price, social, primary = (F.lit(False) if x is None else F.coalesce(x, F.lit(False)) for x in (has_price, has_social, has_primary))
+    t = F.col("__f")
+    out = df.withColumn("__t", F.lower(F.coalesce(text, F.lit("")))).withColumn("__f", found_keywords(F.col("__t"))).withColumns({
         "__n": niche_of(t), "__topics": signals(t, rules.TOPICS), "__aud": signals(t, rules.AUDIENCES), "products": signals(t, rules.PRODUCTS), "intents": signals(t, rules.INTENTS),
     })
     has = lambda v: F.array_contains("intents", v)
@@ -65,8 +75,8 @@ def compatibility(df: DataFrame, text: str, cta: str, has_price: Column | None =
     })
     n = F.size("products")
     bought = 0.3 + yes(price, 0.15) + yes(n >= 1, 0.1) + yes(n >= 3, 0.06) + yes(has("direct_purchase"), 0.14) + yes(has("lead_generation"), 0.1) + yes(has("affiliate"), 0.08)
-    bought = bought + yes(F.col("selling_style").isin("direct_response", "consultative"), 0.08) + yes(social, 0.11)
-    return out.withColumns({"content_style": content_style(F.col("selling_style"), F.col("__topics")), "buying_intent": round_half_up(clamp(bought, 0.1, 0.98), 3)}).drop("__t", "__n", "__topics", "__aud")
+    bought = bought + yes(F.col("selling_style").isin("direct_response", "consultative"), 0.08) + yes(social, 0.07) + yes(primary, 0.04)
+    return out.withColumns({"content_style": content_style(F.col("selling_style"), F.col("__topics")), "buying_intent": round_half_up(clamp(bought, 0.1, 0.98), 3)}).drop("__t", "__f", "__n", "__topics", "__aud")
 
 
 def profile_confidence(store: Column, social: Column, niche: Column, topics: Column, audiences: Column, products: Column, has_social: Column) -> Column:
@@ -89,7 +99,7 @@ def platform_metrics(rows: DataFrame, key: str, platform: str, fields: list[str]
 
 def display_name(handle: Column, slug: Column, identity: Column) -> Column:
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return F.coalesce(title_case(blank(handle)), title_case(blank(slug)), F.concat(F.lit("Creator "), F.substring(identity, -8, 8)))
+    return F.coalesce(title_case(blank(handle)), title_case(blank(slug)), F.concat(F.lit("Creator "), F.substring(F.regexp_replace(identity, "^ci_", ""), 1, 8)))
 
 
 def store_confidence(variant: str, **has: Column) -> Column:
@@ -106,3 +116,66 @@ def store_confidence(variant: str, **has: Column) -> Column:
 def extraction_confidence(slug, followers, profile, handle, ig_url, ig_handle) -> Column:
     parts = ((slug, 0.38), (followers, 0.2), (profile, 0.16), (handle, 0.1), (ig_url, 0.04), (ig_handle, 0.02))
     return round_half_up(clamp(sum((F.when(c, F.lit(v)).otherwise(0.0) for c, v in parts), F.lit(0.1))), 3)
+
+
+def sane_metrics(raw: Column) -> Column:
+    """A map of platform metrics with normal names and sane numbers: counts rounded and not below 0, rates within 0 and 1.
+
+    Platforms without a name or a number are dropped; of two entries of a platform the later counts.
+    """
+    whole = lambda x: F.when(finite(x).isNotNull(), F.greatest(F.lit(0.0), round_half_up(finite(x))))
+    share = lambda x: F.when(finite(x).isNotNull(), clamp(finite(x)))
+
+    def cleaned(e):
+        v = e["value"]
+        value = F.struct(whole(v["followers"]).alias("followers"), whole(v["avg_views"]).alias("avg_views"), share(v["engagement_rate"]).alias("engagement_rate"), share(v["confidence"]).alias("confidence"), whole(v["sample_size"]).alias("sample_size"))
+        return F.struct(normal_platform(e["key"], "unknown").alias("key"), value.alias("value"))
+
+    entries = F.transform(F.map_entries(raw), cleaned)
+    known = F.filter(entries, lambda e: e["key"].isNotNull() & F.coalesce(*[e["value"][n] for n in ("followers", "avg_views", "engagement_rate", "confidence", "sample_size")]).isNotNull())
+    return let(known, lambda es: F.map_from_entries(F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"]))))
+
+
+def sample_links(*links: Column, most: int = 24) -> Column:
+    """Arrays of links as one, each once whatever its case, the first casing kept."""
+    none = F.array().cast("array<string>")
+    return F.slice(distinct_texts(F.concat(*[F.coalesce(x, none) for x in links]), fold=False), 1, most)
+
+
+def creator_id(identity: Column) -> Column:
+    return F.concat(F.lit("cr_real_"), F.regexp_replace(identity, "^ci_", ""))
+
+
+def assemble(rows: DataFrame, require_store: bool = True) -> DataFrame:
+    """Identities as creators: creator_id, status (imported, updated, skipped), reason, name, links, and what compatibility reads.
+
+    rows: identity_id, handles, slug, store_url, profile_urls, source_urls, outbound, platforms (arrays), metrics (map), prices,
+    cta, corpus (all their texts), store_confidence, social_confidence and already_imported.
+    """
+    metrics = sane_metrics(F.col("metrics"))
+    out = rows.withColumn("platform_metrics", metrics)
+    has_social = F.coalesce(F.size("platform_metrics") > 0, F.lit(False))
+    out = out.withColumn("primary_platform", primary_of(F.col("platform_metrics"), F.col("platforms")))
+    out = compatibility(out, "corpus", "cta", F.size("prices") > 0, has_social, F.col("primary_platform").isNotNull())
+    missing = F.coalesce(F.col("store_url") == "", F.lit(True)) if require_store else F.lit(False)
+    first = F.get(F.filter(F.coalesce("handles", F.array().cast("array<string>")), lambda h: F.trim(h) != ""), F.lit(0))
+    return out.withColumns({
+        "creator_id": creator_id(F.col("identity_id")), "status": F.when(missing, "skipped").when(F.col("already_imported"), "updated").otherwise("imported"), "reason": F.when(missing, "missing stan profile"),
+        "name": display_name(first, F.col("slug"), F.col("identity_id")), "links": sample_links(F.array("store_url"), F.col("profile_urls"), F.col("source_urls"), F.col("outbound")),
+        "confidence": profile_confidence(F.col("store_confidence"), F.col("social_confidence"), F.col("niche_confidence"), F.size("topics"), F.size("audiences"), F.size("products"), has_social),
+        "social_confidence": round_half_up("social_confidence", 4),
+    })
+
+
+def primary_of(metrics: Column, platforms: Column) -> Column:
+    """The platform whose metrics weigh most, of equals the first by name; without metrics the first platform known."""
+    rated = F.transform(F.map_entries(metrics), lambda e: F.struct((-round_half_up(primary_score(e["value"]["avg_views"], e["value"]["followers"], e["value"]["confidence"]), 9)).alias("s"), e["key"].alias("p")))
+    named = F.filter(rated, lambda r: r["p"] != "unknown")
+    return F.coalesce(F.array_min(named)["p"], F.get(F.filter(platforms, lambda p: p != "unknown"), F.lit(0)))
+
+
+def import_stats(rows: DataFrame) -> DataFrame:
+    """One row: selected, skipped_missing_profile, skipped_low_confidence, imported and updated."""
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    status = F.col("status")
+    return rows.agg(F.count("*").alias("selected"), n((status == "skipped") & (F.col("reason") == "missing stan profile"), "skipped_missing_profile"), n((status == "skipped") & (F.col("reason") == "low confidence"), "skipped_low_confidence"), n(status == "imported", "imported"), n(status == "updated", "updated"))

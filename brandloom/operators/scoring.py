@@ -201,6 +201,24 @@ def prepare_creators(creators: DataFrame) -> DataFrame:
     )
 
 
+def match_spec(brands: DataFrame) -> DataFrame:
+    """brands with topics, audiences, platforms, priorities, evidence_confidence and specificity."""
+    n = lambda c: F.size(some(c))
+    named = [n(c) > 0 for c in ("match_topics", "campaign_angles", "goals", "target_audience", "preferred_platforms")] + [F.coalesce(F.col("category") != "", F.lit(False))]
+    breadth = n("match_topics") + n("campaign_angles") + n("goals") + n("target_audience")
+    return brands.withColumns({
+        "topics": _phrases("match_topics", "campaign_angles", "goals"), "audiences": _phrases("target_audience"), "platforms": _phrases("preferred_platforms"), "priorities": _phrases("priority_niches", "priority_topics"),
+        "evidence_confidence": clamp(0.35 + 0.1 * sum((x.cast("int") for x in named), F.lit(0))),
+        "specificity": F.when(breadth <= 1, 0.2).when(breadth <= 4, 0.5).when(breadth <= 8, 0.68).otherwise(0.82),
+    })
+
+
+def breakdown(scored: DataFrame) -> DataFrame:
+    """scored pairs with a struct of what a match shows: four scores, the best platform and the boost, at 4 places."""
+    parts = [round_half_up(f"modules.{m}.score", 4).alias(f"{m}_score") for m in ("niche", "topic", "platform", "engagement")]
+    return scored.withColumn("breakdown", F.struct(*parts, "best_platform", round_half_up("boost", 4).alias("priority_boost")))
+
+
 def score_prepared(pairs: DataFrame) -> DataFrame:
     """Prepared pairs with modules, weights, boost, total, best_platform and reasons."""
     c, conf = F.col, F.coalesce(F.col("signal_confidence"), F.lit(0.0))

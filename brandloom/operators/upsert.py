@@ -11,9 +11,9 @@ from .ranking import latest
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """existing with the rows of new put in by key; columns in keep stay as they were for rows that existed.
 
-    order: which of several new rows with one key counts (the first).
+    order: which of several new rows with one key counts (the first); without it, the least by all columns.
     """
-    fresh = latest(new, keys, order) if order else new.dropDuplicates(keys)
+    fresh = first_of_each(new, keys, order)
     untouched = existing.join(fresh.select(*keys), keys, "left_anti")
     if keep:
         old = existing.select(*keys, *[F.col(c).alias(f"__{c}") for c in keep], F.lit(True).alias("__was"))
@@ -21,8 +21,13 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Col
     return untouched.unionByName(fresh.select(*existing.columns))
 
 
-def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """The first row of each key by order; without it, the least by all columns as JSON, so that the same rows give the same result."""
+    return latest(df, keys, order or [F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))])
+
+
+def insert_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    return existing.unionByName(first_of_each(new, keys, order).join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
 
 
 def update_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -46,5 +51,7 @@ def cascade(child: DataFrame, parent: DataFrame, on: str, parent_key: str) -> Da
 
 
 def stable_id(prefix: str, *natural: Column | str) -> Column:
-    """An id from a natural key, the same in every run."""
-    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("\x1f", *natural), 256), 1, 10))
+    """An id from a natural key, the same in every run: the whole digest over its parts, of which nulls are marked and lengths given."""
+    parts = [F.col(x) if isinstance(x, str) else x for x in natural]
+    told = [F.when(x.isNull(), F.lit("-")).otherwise(F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string"))) for x in parts]
+    return F.concat(F.lit(f"{prefix}_"), F.sha2(F.concat(*told), 256))

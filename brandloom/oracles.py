@@ -38,7 +38,7 @@ def word(x: str, words: str) -> str:
 
 
 def has(x: str, keyword: str) -> str:
-    return word(x, keyword) if keyword.replace("_", "").isalnum() else f"contains({x}, {q(keyword)})"
+    return f"contains({x}, {q(keyword)})" if " " in keyword else word(x, keyword)
 
 
 def case(*parts: tuple[str, str], otherwise: str = "NULL") -> str:
@@ -155,9 +155,10 @@ ORACLES = {
     "intent_vector": f"""WITH c AS (SELECT conv_id, turn, list_distinct([{phrase("'community lead sales ' || role || ' ' || substring(text, 1, 40)")}, 'brand awareness', {phrase('text')}]) AS texts FROM conversations),
       h AS (SELECT *, {', '.join(f"{intent_hits('texts', ks)} + {int(k == 'product_sale')} AS h_{k}" for k, ks in rules.INTENT_KEYWORDS.items())} FROM c)
       SELECT conv_id, turn, {', '.join(rnd(f"h_{k}::DOUBLE / ({' + '.join(f'h_{j}' for j in rules.INTENT_KEYWORDS)})") + f' AS {k}' for k in rules.INTENT_KEYWORDS)} FROM h""",
-    "match_upsert_keeps_status": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS score, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE 'new' END AS status
-      FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
-    "pool_cascade": "SELECT 'identity' AS pool, s_suppkey AS id, s_acctbal AS at FROM supplier ORDER BY 3 DESC NULLS LAST, 2 LIMIT 50",
+    "match_upsert_keeps_status": """SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN o_totalprice * 2 ELSE o_totalprice END AS score, CASE WHEN o_totalprice < 200000 THEN o_orderstatus ELSE 'new' END AS status FROM orders""",
+    "pool_cascade": """WITH c AS (SELECT c_custkey AS id, c_acctbal AS at FROM customer), s AS (SELECT s_suppkey AS id, s_acctbal AS at FROM supplier), top AS (SELECT max("at") AS m FROM c),
+      a AS (SELECT 'pipeline' AS pool, id, "at" FROM c, top WHERE "at" > m UNION ALL SELECT 'identity', id, "at" FROM s WHERE "at" < 0 AND NOT EXISTS (FROM c, top WHERE "at" > m) UNION ALL SELECT 'all', id, "at" FROM c WHERE NOT EXISTS (FROM s WHERE "at" < 0)),
+      r AS (SELECT 'fallen' AS run, * FROM a ORDER BY "at" DESC NULLS LAST, id LIMIT 500), b AS (SELECT 'asked' AS run, 'all' AS pool, * FROM c ORDER BY "at" DESC NULLS LAST, id LIMIT 500) SELECT * FROM r UNION ALL SELECT * FROM b""",
     "unlinked_anti_join": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey)",
     "not_exists_import": "SELECT c_custkey, c_acctbal FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_totalprice > 100000) AND coalesce(c_acctbal, 0) >= 0.35",
     "exists_semi": "SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
@@ -171,7 +172,6 @@ ORACLES = {
     "group_platform_signals": f"WITH {SIGNALS} SELECT creator, platform, max(followers) AS followers, count(*) AS signal_count FROM signals GROUP BY ALL",
     "coverage_report": f"""WITH p AS (SELECT CASE page_id % 4 WHEN 0 THEN 'tiktok' WHEN 1 THEN 'youtube' WHEN 2 THEN 'x' ELSE 'unknown' END AS platform, contains(url, 'utm') AS s FROM pages)
       SELECT count(*) AS total, count(*) FILTER (s) AS with_slug, {', '.join(f"count(*) FILTER (platform = '{p}') AS n_{p}" for p in rules.PLATFORMS)}, {rnd('100.0 * count(*) FILTER (s) / count(*)', 2)}::DOUBLE AS pct FROM p""",
-    "extraction_stats": "SELECT count(*) AS processed, count(*) AS with_slug, count(*) AS with_followers, 0::BIGINT AS with_profile, 0::BIGINT AS with_handle, count(*) AS unknown_platform, count(*) AS confident, 0::BIGINT AS failed FROM pages",
     "page_stats_global": "SELECT count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM events",
     "explorer_union_priority": """SELECT * FROM (SELECT 'synthetic' AS source, s_suppkey AS id, s_acctbal AS at, 'supplier' AS label, 0 AS priority FROM supplier
       UNION ALL SELECT 'real', c_custkey, c_acctbal, coalesce(nullif(c_mktsegment, ''), 'none'), 1 FROM customer) ORDER BY priority, "at" DESC NULLS LAST, id LIMIT 500""",
@@ -188,8 +188,8 @@ ORACLES = {
     "first_wins_dedup": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1",
     "move_rows_between_tables": """SELECT 'source' AS side, c_custkey AS id, c_acctbal AS balance, NULL::VARCHAR AS origin FROM customer WHERE NOT coalesce(c_acctbal < 0, FALSE)
       UNION ALL SELECT 'target', c_custkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE 'migrated_from_creators' END FROM customer WHERE c_custkey % 4 = 0 OR c_acctbal < 0""",
-    "brand_page_bundle": """WITH d AS (SELECT source, substring(text, 1, 200) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
-      b AS (SELECT source, substring(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r), 1, 900) AS bundle FROM d WHERE r <= 6 GROUP BY source) SELECT source, md5(bundle) AS bundle_md5, length(bundle) AS n FROM b""",
+    "brand_page_bundle": """WITH d AS (SELECT source, substring(text, 1, 8000) AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+      b AS (SELECT source, substring(string_agg(t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r), 1, 13000) AS bundle FROM d WHERE r <= 6 GROUP BY source) SELECT source, md5(bundle) AS bundle_md5, length(bundle) AS n FROM b""",
     "brand_dossier_merge": """SELECT s_suppkey AS id, array_to_string(list_concat(['Sales', s_name], CASE WHEN s_suppkey % 2 = 0 THEN ['reach'] ELSE [] END), '|') AS goals,
       CASE WHEN contains(s_name, 'Supplier#000000001') THEN 'About ' || s_name ELSE 'About ' || s_name || ' Supplier#000000001' END AS summary FROM supplier""",
     "coalesce_order_limit": """WITH l AS (SELECT o_custkey, max(o_totalprice) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
@@ -298,10 +298,11 @@ ORACLES |= {
     "url_brand_name": f"""SELECT page_id, array_to_string(list_transform(list_filter(regexp_split_to_array(regexp_extract(regexp_replace(lower({part('url', 2)}), '^www\\.', ''), '^[^.]*'), '[-_]'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') AS brand, TRUE AS is_page, FALSE AS is_search FROM pages""",
     "serp_dedup_caps": f"""WITH p AS (SELECT page_id, 'a' || page_id % 3 AS agent, 'q' || page_id % 7 AS query, {bare('url', 'utm_|fbclid|gclid|si')} AS c FROM pages WHERE {on(f"lower({part('url', 2)})", 'example.com', 'example.org')}),
       o AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY agent, c ORDER BY page_id) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY agent, query ORDER BY page_id) AS rank FROM o)
-      SELECT page_id, agent, query, rank FROM r WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY agent ORDER BY query, rank) <= 12""",
+      SELECT page_id, agent, query, rank FROM r WHERE rank <= 10 QUALIFY row_number() OVER (PARTITION BY agent ORDER BY query, rank) <= 20""",
     "html_title": "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages",
     "html_to_text": f"SELECT page_id, md5({PLAIN}) AS text_md5, length({PLAIN}) AS n FROM pages",
-    "html_links_interesting": f"SELECT page_id, 'http://' || lower({part('url', 2)}) || '/pricing|http://' || lower({part('url', 2)}) || '/blog' AS links FROM pages",
+    "html_links_interesting": f"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, regexp_replace(regexp_extract(url, '^[^?#]*'), '[^/]*$', '') AS folder, page_id % 3 AS k FROM pages)
+      SELECT page_id, CASE WHEN k <> 2 THEN site || '/pricing|' ELSE '' END || CASE WHEN k = 1 THEN folder || 'about-' || page_id || '|' ELSE '' END || site || '/blog#x' || CASE WHEN k = 0 THEN '|' || site || '/company?p=' || page_id ELSE '' END AS links FROM p""",
     "bot_challenge_flag": f"WITH p AS (SELECT page_id, lower(html || CASE WHEN page_id % 3 = 0 THEN 'Attention Required! | Cloudflare' ELSE '' END) AS h FROM pages) SELECT page_id, ({' + '.join(f'contains(h, {q(m)})::INT' for m in rules.CHALLENGE_MARKS)}) >= 2 AS challenged FROM p",
     "text_emails": f"SELECT doc_id, {pipe(f'list_sort(list_distinct(regexp_extract_all(text, {EMAIL})))')} AS emails FROM documents",
     "text_money": f"SELECT doc_id, {pipe(f"list_sort({uniq(f"list_transform(regexp_extract_all(text || ' $ 1,200.50 or $1,200.50 and $9', {MONEY}), lambda p: replace(p, ' ', ''))")}[1:30])")} AS prices FROM documents",
@@ -318,7 +319,7 @@ ORACLES |= {
         {pipe('p1')} AS products, {pipe('i1')} AS intents, style AS selling_style,
         CASE style WHEN 'consultative' THEN 'consultative coaching-style content' WHEN 'direct_response' THEN 'direct response offer-led content' WHEN 'community_led' THEN 'community and newsletter-led content' WHEN 'dm_conversion' THEN 'personal brand and DM-led conversion content'
           ELSE CASE WHEN list_contains(t1, 'ugc content') THEN 'ugc demonstration content' ELSE 'educational creator content' END END AS content_style,
-        {rnd(clamp("0.3::DOUBLE + CASE WHEN len(p1) >= 1 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(p1) >= 3 THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'direct_purchase') THEN 0.14::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'lead_generation') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'affiliate') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN style IN ('direct_response', 'consultative') THEN 0.08::DOUBLE ELSE 0 END", '0.1', '0.98'), 3)}::DOUBLE AS buying_intent FROM styled""",
+        {rnd(clamp("0.3::DOUBLE + CASE WHEN len(p1) >= 1 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(p1) >= 3 THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'direct_purchase') THEN 0.14::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'lead_generation') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'affiliate') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN style IN ('direct_response', 'consultative') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN contains(text, '$') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN conv_id % 2 = 0 THEN 0.07::DOUBLE ELSE 0 END + CASE WHEN conv_id % 3 = 0 THEN 0.04::DOUBLE ELSE 0 END", '0.1', '0.98'), 3)}::DOUBLE AS buying_intent FROM styled""",
     "store_confidence": f"""WITH {TALK}, h AS (SELECT conv_id, turn, len(list_filter(list_filter({LINES}, lambda s: length(s) BETWEEN 5 AND 90), lambda o: {OFFER_TEST})) > 0 AS offers, len(regexp_extract_all(text, {MONEY})) > 0 AS prices, len({types('baseline')}) > 0 AS types, len(regexp_extract_all(text, {EMAIL})) > 0 AS email, contains(text, 'tiktok') AS socials FROM talk)
       SELECT conv_id, turn, {rnd("0.25::DOUBLE + offers::INT * 0.2::DOUBLE + prices::INT * 0.2::DOUBLE + types::INT * 0.15::DOUBLE + email::INT * 0.1::DOUBLE + socials::INT * 0.1::DOUBLE", 2)} AS baseline,
         {rnd("0.25::DOUBLE + offers::INT * 0.16::DOUBLE + prices::INT * 0.14::DOUBLE + types::INT * 0.13::DOUBLE + socials::INT * 0.1::DOUBLE + email::INT * 0.07::DOUBLE", 3)} AS page FROM h""",
@@ -331,11 +332,16 @@ ORACLES |= {
       {rnd('sum(engagement_rate * greatest(0.2, confidence) * greatest(1.0, log10(followers + 10))) / sum(greatest(0.2, confidence) * greatest(1.0, log10(followers + 10)))', 4)} AS imported FROM measured GROUP BY 1""",
     "primary_platform_argmax": f"""WITH {MEASURED}, s AS (SELECT *, {rnd('log10(greatest(1.0, avg_views + 1)) * 0.5 + log10(greatest(1.0, followers + 1)) * 0.35 + confidence * 0.15', 9)} AS s FROM measured)
       SELECT creator, platform AS primary_platform FROM s QUALIFY row_number() OVER (PARTITION BY creator ORDER BY s DESC, platform) = 1""",
-    "identity_resolve_fast": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN regexp_replace(lower({part('url', 2)}), '^www\\.', '') END AS anchor FROM pages), f AS (SELECT anchor, min(page_id) AS first_account FROM a WHERE anchor IS NOT NULL GROUP BY 1)
-      SELECT page_id, anchor, first_account FROM a LEFT JOIN f USING (anchor)""",
-    "intent_parse_free_text": f"""WITH {TALK}, low AS (SELECT *, lower(text) AS t, replace(text, ',', '') AS b FROM talk), u AS (SELECT *, CASE WHEN regexp_matches(t, '(per|/)\\s*(1k|1000)(\\s*views?)?') THEN 'per_1k_views' WHEN regexp_matches(t, 'per\\s*post') THEN 'per_post' WHEN regexp_matches(t, 'per\\s*video') THEN 'per_video' END AS per,
+    "identity_resolve_fast": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 's' || page_id // 2 WHEN page_id % 5 <> 0 THEN regexp_replace(lower({part('url', 2)}), '^www\\.', '') END AS anchor FROM pages), f AS (SELECT anchor, min(page_id) AS first_account FROM a WHERE anchor IS NOT NULL GROUP BY 1)
+      SELECT page_id, anchor, first_account FROM a LEFT JOIN f USING (anchor)""",    "intent_parse_free_text": f"""WITH {TALK}, low AS (SELECT *, lower(text) AS t, replace(text, ',', '') AS b FROM talk), u AS (SELECT *, CASE WHEN regexp_matches(t, '(per|/)\\s*(1k|1000)(\\s*views?)?') THEN 'per_1k_views' WHEN regexp_matches(t, 'per\\s*post') THEN 'per_post' WHEN regexp_matches(t, 'per\\s*video') THEN 'per_video' END AS per,
         {case((word('t', 'hybrid'), "'hybrid'"), (word('t', 'rev(enue)?\\s*share|commission'), "'rev_share'"), ("regexp_matches(t, '(^|[^a-z0-9_])cpm|per\\s*(1k|1000|thousand)|/\\s*(1k|1000)(\\s*views?)?')", "'cpm'"), (word('t', 'flat\\s*fee|fixed\\s*fee'), "'flat_fee'"))} AS compensation, regexp_matches(t, 'no fixed budget|no budget|open budget|flexible budget|budget tbd') AS open_budget FROM low)
       SELECT conv_id, turn, {case(*[(word('t', w), q(v)) for w, v in rules.PARTNERSHIP_WORDS])} AS partnership, compensation, coalesce(per, CASE WHEN compensation = 'cpm' THEN 'per_1k_views' END) AS unit,
         CASE WHEN NOT open_budget THEN coalesce(floor(TRY_CAST(nullif(regexp_extract(b, '\\$\\s*([0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) + 0.5)::BIGINT, CASE WHEN regexp_matches(lower(b), '(budget|pay|price|cost|spend|fee|per\\s*(video|post|1k|1000)|cpm)') THEN TRY_CAST(nullif(regexp_extract(b, '(?:^|[^A-Za-z0-9_])([0-9]{{2,6}})(?:\\.[0-9]+)?(?:[^A-Za-z0-9_]|$)', 1), '') AS BIGINT) END) END AS amount,
         open_budget, {pipe(picked(*[(word('t', w), g) for w, g in rules.GOAL_WORDS]))} AS goals, {pipe(picked(*[(word('t', w), p) for p, w in rules.PLATFORM_WORDS]))} AS platforms FROM u""",
 }
+
+ORACLES["extraction_stats"] = f"""WITH {SPLIT}, x AS (SELECT page_id, platform, profile, page_id % 4 AS k FROM profiles WHERE page_id % 11 <> 0),
+  y AS (SELECT *, k IN (0, 3) AS slug, k IN (1, 3) AS followers, profile IS NOT NULL AS p FROM x),
+  z AS (SELECT *, {rnd("0.1::DOUBLE + CASE WHEN slug THEN 0.38::DOUBLE ELSE 0 END + CASE WHEN followers THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN p THEN 0.26::DOUBLE ELSE 0 END + CASE WHEN p AND platform = 'instagram' THEN 0.06::DOUBLE ELSE 0 END", 3)} AS c FROM y)
+  SELECT (SELECT count(*) FROM pages) AS processed, count(*) FILTER (slug) AS with_slug, count(*) FILTER (followers) AS with_followers, count(*) FILTER (p) AS with_profile, count(*) FILTER (p) AS with_handle, count(*) FILTER (platform = 'unknown') AS unknown_platform,
+    count(*) FILTER (c >= 0.5) AS confident, (SELECT count(*) FROM pages WHERE page_id % 11 = 0) AS failed FROM z"""

@@ -98,3 +98,34 @@ GOAL_WORDS = (
     ("app installs?|installs?|downloads?|sign[- ]?ups?|activations?", "app installs and signups"), ("traffic|site visits?|landing page clicks?", "qualified traffic"), ("leads?|pipeline|demo requests?|booked demos?", "lead generation"),
 )
 PLATFORM_WORDS = (("instagram", "instagram|insta|ig"), ("tiktok", "tiktok|tt"), ("youtube", "youtube|yt|youtu\\.be"), ("x", "x\\.com|twitter|x"), ("linkedin", "linkedin|li"))
+
+# Profile links in texts, as platform: (pattern, host of the normal form); first path parts that are no profiles.
+PROFILE_LINKS = {
+    "instagram": (r"(?i)https?://(?:www\.)?instagram\.com/[a-zA-Z0-9._]+/?", "instagram.com"), "x": (r"(?i)https?://(?:www\.)?(?:x\.com|twitter\.com)/[a-zA-Z0-9_]+/?", "x.com"),
+    "linkedin": (r"(?i)https?://(?:[A-Za-z0-9_-]+\.)?linkedin\.com/(?:in|company)/[a-zA-Z0-9_%-]+/?", "linkedin.com"), "tiktok": (r"(?i)https?://(?:www\.)?tiktok\.com/@[a-zA-Z0-9._]+/?", "tiktok.com"),
+    "youtube": (r"(?i)https?://(?:www\.)?youtube\.com/(?:@[A-Za-z0-9_.-]+|channel/[A-Za-z0-9_-]+|c/[A-Za-z0-9_.-]+|user/[A-Za-z0-9_.-]+)/?", "youtube.com"),
+}
+RESERVED_IN_TEXTS = {"instagram": ("p", "reel", "reels", "explore", "stories", "accounts", "about"), "x": ("home", "search", "explore", "i", "intent", "settings")}
+
+# How texts give a platform's handles, the surest way first.
+TEXT_HANDLES = {
+    "x": (r"\(\s*@([A-Za-z0-9_]{1,15})\s*\)", r"(?i)(?<![A-Za-z0-9_])(?:x|twitter)\s*·\s*([A-Za-z0-9_]{1,15})(?![A-Za-z0-9_])", "@([A-Za-z0-9_]{1,15})"),
+    "instagram": (r"\(\s*@([A-Za-z0-9._]{2,30})\s*\)", r"(?i)(?<![A-Za-z0-9_])instagram\s*·\s*([A-Za-z0-9._]{2,30})(?![A-Za-z0-9_])", "@([A-Za-z0-9._]{2,30})"),
+    "linkedin": ("(?i)linkedin\\.com/in/([A-Za-z0-9_%-]{2,120})", "(?i)linkedin\\.com/company/([A-Za-z0-9_%-]{2,120})"),
+    "tiktok": ("(?i)tiktok\\.com/@([A-Za-z0-9._]{2,24})", r"\(\s*@([A-Za-z0-9._]{2,24})\s*\)", "@([A-Za-z0-9._]{2,24})"), "youtube": ("(?i)youtube\\.com/@([A-Za-z0-9._-]{2,60})", "@([A-Za-z0-9._-]{2,60})"),
+}
+
+# Hosts that a store page links to for its own ends, and social hosts.
+OWN_HOSTS = ("google.", "gstatic.com", "clarity.ms", "googletagmanager.com", "googleapis.com", "stanwith.me")
+SOCIAL_LINKS = r"(?i)(x\.com|twitter\.com|instagram\.com|linkedin\.com|tiktok\.com|youtube\.com|youtu\.be|facebook\.com)"
+#: Marks of a challenge page that the site reader looks for.
+SITE_CHALLENGE_MARKS = ("captcha", "verify you are human", "attention required", "cloudflare", "cf-chl", "/cdn-cgi/challenge-platform", "perimeterx", "bot protection", "access denied", "request blocked")
+
+# Words that are no priorities, and words that show that a phrase is none.
+PRIORITY_STOP = ("any", "best", "better", "content", "creator", "creators", "influencer", "influencers", "more", "someone", "strong", "stronger", "top")
+PRIORITY_NOISE = ("around", "explain", "find", "fit", "fits", "give", "match", "matches", "recommend", "send", "show", "top", "why", "who")
+
+# Searches over a brand's site, as (label, words); the brand's name goes first where it is known.
+SITE_SEARCHES = (("about", '"about"'), ("products", '"products" OR "shop"'), ("company", '"company" OR "mission"'), ("press", '"press" OR "news"'), ("careers", '"careers" OR "team"'))
+#: Searches on the open web for a brand.
+WEB_SEARCHES = ("brand overview", "company mission values", "products and target audience", "wikipedia", "press release")

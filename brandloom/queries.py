@@ -160,8 +160,8 @@ def match_total_top12(spark, d):
 @query
 def match_upsert_keeps_status(spark, d):
     o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_totalprice").alias("score"), F.col("o_orderstatus").alias("status"))
-    new = o.where("o_orderkey % 2 = 0").select("o_orderkey", (F.col("o_totalprice") * 2).alias("score"), F.lit("new").alias("status"))
+    old = o.where("o_totalprice < 200000").select("o_orderkey", F.col("o_totalprice").alias("score"), F.col("o_orderstatus").alias("status"))
+    new = o.where("o_totalprice >= 100000").select("o_orderkey", (F.col("o_totalprice") * 2).alias("score"), F.lit("new").alias("status"))
     return upsert.upsert(old, new, ["o_orderkey"], keep=("status",))
 
 
@@ -169,7 +169,11 @@ def match_upsert_keeps_status(spark, d):
 def pool_cascade(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("at"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("at"))
-    return ranking.pool_cascade([("pipeline", c.where("at > 1e9")), ("identity", s), ("all", c)], [F.desc_nulls_last("at"), F.col("id")], 50).select("pool", "id", "at")
+    best = c.agg(F.max("at").alias("m"))  # one row
+    pools = [("pipeline", c.join(F.broadcast(best), F.col("at") > F.col("m")).drop("m")), ("identity", s.where("at < 0")), ("all", c)]
+    order = [F.desc_nulls_last("at"), F.col("id")]
+    fallen, asked = ranking.pool_cascade(pools, order), ranking.pool_cascade(pools, order, scope="all")
+    return fallen.withColumn("run", F.lit("fallen")).unionByName(asked.withColumn("run", F.lit("asked"))).select("run", "pool", "id", "at")
 
 
 @query
@@ -227,9 +231,11 @@ def coverage_report(spark, d):
 
 @query
 def extraction_stats(spark, d):
-    p = table(spark, d, "pages")
-    rows = discovery.normalize(p, "url", text.html_title("html"), F.lit("see https://stan.store/Some.Page. 1,200 followers"))
-    return discovery.extraction_stats(discovery.extract(rows, F.concat_ws(" ", "url", F.lit("12.5k subs"))))
+    k = F.col("page_id")
+    found = F.when(k % 4 == 0, F.concat(F.lit("see https://stan.store/Some.Page."), k)).when(k % 4 == 1, F.concat(F.lit("1,20"), k % 10, F.lit(" followers"))).when(k % 4 == 2, "nothing").otherwise("stan.store/Both, 12.5k subs")
+    p = odd_urls(spark, d).withColumn("url", F.when(k % 11 == 0, F.lit("no url")).otherwise(F.col("url")))
+    rows = discovery.normalize(p, "url", F.lit("t"), F.lit(None).cast("string"))
+    return discovery.extraction_stats(p, discovery.extract(rows, found))
 
 
 @query
@@ -318,7 +324,7 @@ def url_brand_name(spark, d):
 def serp_dedup_caps(spark, d):
     p = table(spark, d, "pages").withColumns({"agent": F.concat(F.lit("a"), F.col("page_id") % 3), "query": F.concat(F.lit("q"), F.col("page_id") % 7)})
     keep = discovery.fits_plan(F.col("url"), F.lower("url"), ("example.com", "example.org"), "", ("e",))
-    kept = discovery.accept(p, "url", "agent", "query", "page_id", keep & urls.is_page("url"), 5, 12)
+    kept = discovery.accept(p, "url", "agent", "query", "page_id", keep & urls.is_page("url"), 10, 20)
     return kept.select("page_id", "agent", "query", F.col("rank").cast("long").alias("rank"))
 
 
@@ -334,8 +340,11 @@ def html_to_text(spark, d):
 
 @query
 def html_links_interesting(spark, d):
-    page = F.concat(F.lit('<a href="/pricing">p</a><a href="/legal/about">l</a><a href="http://other.example.com/blog">o</a><a href="/blog#x">b</a>'), F.col("html"))
-    return table(spark, d, "pages").select("page_id", joined(discovery.interesting_links(page, urls.host("url"))).alias("links"))
+    k = F.col("page_id")
+    own = F.when(k % 3 == 0, F.concat(F.lit('<a class=c href=\'/company?p='), k, F.lit("'>c</a>"))).when(k % 3 == 1, F.concat(F.lit('<a href="/pricing">again</a>'))).otherwise("")
+    first = F.when(k % 3 != 2, F.lit("<a href='/pricing'>p</a>")).otherwise("")
+    page = F.concat(first, F.when(k % 3 == 1, F.concat(F.lit('<a href="about-'), k, F.lit('">a</a>'))).otherwise(""), F.lit('<a href="/legal/about">l</a><a href="http://other.example.com/blog">o</a><a href="/blog#x">b</a>'), own, F.col("html"))
+    return table(spark, d, "pages").select("page_id", joined(discovery.interesting_links(page, F.col("url"))).alias("links"))
 
 
 @query
@@ -392,7 +401,8 @@ def follower_count_parse(spark, d):
 
 @query
 def keyword_rules_niche(spark, d):
-    n = importer.compatibility(talk(spark, d).withColumn("cta", text.cta_style("text")), "text", "cta")
+    known = (F.size(text.prices("text")) > 0, F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0)
+    n = importer.compatibility(talk(spark, d).withColumn("cta", text.cta_style("text")), "text", "cta", *known)
     return n.select("conv_id", "turn", "niche", "niche_confidence", joined("topics").alias("topics"), joined("audiences").alias("audiences"), joined("products").alias("products"), joined("intents").alias("intents"), "selling_style", "content_style", "buying_intent")
 
 
@@ -432,7 +442,8 @@ def accounts(spark, d) -> DataFrame:
 
 @query
 def identity_resolve_fast(spark, d):
-    a = accounts(spark, d).select("page_id", F.lit(None).cast("string").alias("slug"), "domain")
+    slug = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("s"), F.floor(F.col("page_id") / 2)))
+    a = accounts(spark, d).select("page_id", slug.alias("slug"), "domain")
     return identity.resolve_fast(a, "page_id").select("page_id", "anchor", "first_account")
 
 
@@ -461,7 +472,7 @@ def move_rows_between_tables(spark, d):
 
 @query
 def brand_page_bundle(spark, d):
-    b = brand.page_bundle(table(spark, d, "documents"), "source", "doc_id", "text", 200, 6, 900)
+    b = brand.page_bundle(table(spark, d, "documents"), "source", "doc_id", "text", 8_000, 6)
     return b.select("source", F.md5("bundle").alias("bundle_md5"), F.length("bundle").cast("long").alias("n"))
 
 
@@ -491,6 +502,3 @@ def coalesce_order_limit(spark, d):
 def session_events(spark, d):
     return ingest.windowed_counts(table(spark, d, "events"), "ts", "event_type").select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", coerce.round_half_up("total", 4).alias("total"))
 
-
-def entry(spark: SparkSession) -> DataFrame:
-    return match_total_top12(spark, "/root/testdata/sf0.001")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.upsert import upsert
+from .shared import drop_stored, file_system, stored
+
 SEED = (
     "id string, name string, niche string, platforms array<string>, audience_types array<string>, content_style string, products_sold array<string>, sample_links array<string>, estimated_engagement double, "
     "metrics struct<top_topics:array<string>,post_frequency_per_week:int,content_formats:array<string>,platform_metrics:map<string,struct<followers:double,avg_views:double,engagement_rate:double>>>"
@@ -33,14 +36,33 @@ def seeds(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.join(first, "id").where((F.col("file") == F.col("f.file")) & (F.col("place") == F.col("f.place"))).drop("file", "place", "f")
 
 
+def target_table(target: str | None) -> str:
+    """The table that a seed target names; synthetic creators without one."""
+    name = (target or "synthetic").strip().lower()
+    if name not in TARGETS:
+        raise ValueError(f"seed target {target!r}: one of {', '.join(TARGETS)}")
+    return TARGETS[name]
+
+
+def seed_sink(spark: SparkSession, folder: str, rows: DataFrame, target: str | None = None) -> str:
+    """Puts seed rows into their target's table below folder, by id, and gives its name. The table is read before it is replaced."""
+    name = target_table(target)
+    path = f"{folder}/{name}.parquet"
+    system, place = file_system(spark, path)
+    existing = spark.read.schema(rows.schema).parquet(path) if system.exists(place) else rows.limit(0)
+    merged = stored(upsert(existing, rows, ["id"]), "seeds")
+    merged.write.mode("overwrite").parquet(path)
+    drop_stored(merged)
+    return name
+
+
 def invented_creators(spark: SparkSession, n: int = 200, seed: int = 1337) -> DataFrame:
-    """Made-up creators; a row depends on seed and number alone."""
+    """Made-up creators; a row depends on seed and number alone. Earlier niches are met more often: the k-th of n weighs n - k."""
     number = lambda salt, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(m))
-    # Niches by weight.
     niches = ("fitness coaching", "personal finance", "beauty & skincare", "ecommerce & marketing", "ai productivity", "real estate investing", "business coaching", "wellness & nutrition", "life coaching", "study productivity")
     rows = spark.range(n)
     return rows.select(
-        F.concat(F.lit("syn_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.concat(F.lit("Creator "), F.col("id")).alias("name"), F.element_at(F.lit(list(niches)), (number("niche", len(niches)) + 1).cast("int")).alias("niche"),
+        F.concat(F.lit("syn_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("id"), F.concat(F.lit("Creator "), F.col("id")).alias("name"), F.element_at(F.lit([x for k, x in enumerate(niches) for _ in range(len(niches) - k)]), (number("niche", len(niches) * (len(niches) + 1) // 2) + 1).cast("int")).alias("niche"),
         F.slice(F.lit(["instagram", "tiktok", "youtube", "x", "linkedin"]), (number("first", 4) + 1).cast("int"), (number("count", 2) + 1).cast("int")).alias("platforms"), (number("followers", 500_000) + 1000).alias("followers"), ((number("rate", 90) + 10) / 1000.0).alias("estimated_engagement"),
     )
 

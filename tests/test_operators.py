@@ -67,7 +67,7 @@ def test_text_functions(spark):
     assert one(spark, lambda a, b: text.phrase_similarity(a, b), "gym", "gym routines") == 0.84
     assert one(spark, text.first_json_object, 'x {"a": 1} y') == '{"a": 1}' and one(spark, text.first_json_object, "{x") is None
     assert one(spark, text.json_strings, '{"k": ["a", {"z": "b"}], "n": 1}') == ["a", "b"]
-    assert [one(spark, text.compact_count, n) for n in (812, 12_500, 2_000_000)] == ["812", "12.5k", "2M"]
+    assert [one(spark, text.compact_count, n) for n in (812, 12_500, 2_000_000)] == ["812", "12.5K", "2.0M"]
     assert [one(spark, text.follower_band, n) for n in (0, 1_600, 25_000, 3_400_000)] == ["~1k", "~2k", "25k+", "3M+"]
     assert one(spark, text.links, "see https://a.com/x. and https://a.com/x") == ["https://a.com/x"]
 
@@ -89,7 +89,9 @@ def test_ranking(spark):
     assert ranking.top_k(df, ["k"], [F.desc_nulls_last("v")], 2).count() == 3
     empty, full = df.limit(0), df
     assert {r.pool for r in ranking.pool_cascade([("one", empty), ("two", full)], [F.col("k")], 9).collect()} == {"two"}
-    assert [ranking.deck_size(*x) for x in (("budget", True), ("budget", False), ("why", True), ("hm", True))] == [6, 3, 3, 0]
+    assert ranking.pool_cascade([("one", empty), ("two", full)], [F.col("k")], 9, scope="one").count() == 0
+    asked = spark.createDataFrame([("a", "Best?", None), ("a", "why", 1.0), ("b", "hello", 1.0)], "k string, said string, budget double")
+    assert ranking.decks(asked, df, "k", "said", "budget", [F.desc("v")], "v").count() == 4
 
 
 def test_social_signal(spark):
@@ -109,7 +111,7 @@ def test_rules(spark):
     r = importer.compatibility(df, "t", "cta").collect()
     assert r[0].niche == "fitness coaching" and r[0].intents == ["direct_purchase", "digital_product"] and r[0].selling_style == "direct_response"
     assert r[1].niche == rules.DEFAULT_NICHE
-    assert one(spark, importer.display_name, "jo_b", None, "ci_12345678") == "Jo B" and one(spark, importer.display_name, " ", None, "ci_12345678") == "Creator 12345678"
+    assert one(spark, importer.display_name, "jo_b", None, "ci_12345678") == "Jo B" and one(spark, importer.display_name, " ", None, "ci_abcdefghij") == "Creator abcdefgh"
     assert abs(sum(sum(p) for p in rules.POLICIES.values()) - 4) < 1e-9
 
 
@@ -145,18 +147,57 @@ def fold(accounts):
     return out
 
 
-def test_identities_follow_the_order_of_accounts(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_identities_follow_the_order_of_accounts(spark):
     r = random.Random(8)
     accounts = [(r.choice([None, *[f"s{k}" for k in range(9)]]), r.choice([None, *[f"d{k}.com" for k in range(9)]])) for _ in range(60)]
     df = spark.createDataFrame([(i, s, d) for i, (s, d) in enumerate(accounts)], "n long, slug string, domain string").repartition(3)
     got = {x.n: x.identity_id for x in identity.resolve(df, "n").collect()}
     want = fold(accounts)
+    # In three runs, each given what those before it opened.
+    known, parts = None, {}
+    for low in (0, 20, 40):
+        rows, known = identity._resolved(df.where(f"n between {low} and {low + 19}"), "n", known)
+        parts |= {x.n: x.identity_id for x in rows.collect()}
+    assert parts == got
     pairs = {(got[i], want[i]) for i in range(60)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
     assert all((got[i] is None) == (want[i] is None) for i in range(60))
 
 
+def test_a_run_queues_what_has_no_anchor(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(0, "a", "jo", "x", "s1", None, "stan_slug"), (1, "b", "jo", "tiktok", None, None, "queued"), (2, "c", "al", "x", None, "d.com", "cross_link_personal_domain"), (3, "d", None, None, None, None, "queued")]
+    accounts = spark.createDataFrame(rows, "n long, account string, handle string, platform string, slug string, domain string, reason string")
+    linked = spark.createDataFrame([("jo", "x", "ci_1", at), ("jo", "tiktok", "ci_2", at + datetime.timedelta(days=1)), ("jo", "x", "ci_0", at - datetime.timedelta(days=1))], "handle string, platform string, identity_id string, created_at timestamp")
+    run = identity.resolve_run(accounts, "n", None, linked)
+    assert sorted((r.account, r.linkage_reason) for r in run["links"].collect()) == [("a", "stan_slug"), ("c", "cross_link_personal_domain")]
+    assert sorted((r.account, r.candidate, r.confidence) for r in run["queue"].collect()) == [("b", "ci_1", 0.55), ("d", None, 0.3)]
+    s = run["stats"].first()
+    assert (s.processed, s.merged_by_slug, s.merged_by_domain, s.merged_by_cross_link, s.queued, s.created) == (4, 1, 0, 1, 2, 2)
+
+
+def test_ids_are_lossless(spark):
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None), (None, "a", "b"), ("a", "", "b"), ("1:a", None, "b"), ("a-", None, "b")], "x string, y string, z string")
+    ids = [r[0] for r in df.select(upsert.stable_id("t", "x", "y", "z")).collect()]
+    assert len(set(ids)) == len(ids) and all(len(i) == 66 for i in ids)
+
+
+def test_links_are_resolved(spark):
+    page = """<a href="/pricing">p</a><a class=x href='about/us'>a</a><a href=blog/>b</a><a href="//shop.co/product">h</a><a href="../stories">s</a><a href="/legal/about">l</a><a href="mailto:a@b.co">m</a><a href="https://shop.co/case#top">c</a><link href="/company">"""
+    assert one(spark, lambda p, b: discovery.interesting_links(p, b), page, "https://www.shop.co/en/home?x=1") == [
+        "https://www.shop.co/pricing", "https://www.shop.co/en/about/us", "https://www.shop.co/en/blog/", "https://shop.co/product", "https://www.shop.co/stories", "https://shop.co/case#top",
+    ]
+    assert [one(spark, urls.resolved, h, "http://a.b") for h in ("x", "?q=1", "#t", "https://c.d/e")] == ["http://a.b/x", "http://a.b?q=1", "http://a.b#t", "https://c.d/e"]
+
+
+def test_keywords(spark):
+    words = ["9-5", "ai", "real estate", "c_d"]
+    assert one(spark, lambda t: text.keywords_in(t, words), "the 9-5 of ai") == ["ai", "9-5"]
+    assert one(spark, lambda t: text.keywords_in(t, words), "19-50 aid unreal estates c_de") == ["real estate"]
+    assert [one(spark, lambda t: text.has_keyword(t, k), "a 9-5, ai real estates c_d") for k in words] == [True] * 4
+    assert one(spark, text.title_case, "@jo_b.c") == "Jo B C"
+
+
 def test_anchors(spark):
     df = spark.createDataFrame([("https://www.jo.com/a", "t"), ("https://m.youtube.com/@a", "at https://stan.store/Jo"), ("https://x.com/a", "see jo.dev now"), ("https://x.com/a", "nothing")], "url string, t string")
     r = identity.anchors(df, F.lit(None).cast("string"), F.col("url"), F.col("t")).collect()
@@ -190,10 +231,17 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, ingest.windowed_counts(events, "ts", "kind").collect()))
-    versions: list = []
-    sink = ingest.upsert_sink(str(tmp_path / "out"), ["id"], lambda: [F.desc("ts")], versions)
+    sink = ingest.upsert_sink(str(tmp_path / "out"), ["id"], lambda: [F.desc("ts")], buckets=4)
     sink(events, 0)
-    sink(events.where("id < 5").withColumn("value", F.lit(9.0)), 1)
-    sink(events.where("id < 5").withColumn("value", F.lit(9.0)), 1)
-    out = spark.read.parquet(versions[-1])
+    again = ingest.upsert_sink(str(tmp_path / "out"), ["id"], lambda: [F.desc("ts")], buckets=4)  # as after a restart
+    for _ in range(2):
+        again(events.where("id < 5").withColumn("value", F.lit(9.0)), 1)
+    out = ingest.read_upserted(spark, str(tmp_path / "out"))
     assert out.count() == 20 and out.where("value = 9").count() == 5
+    for epoch in range(2, 6):
+        again(events.where("id = 7").withColumn("value", F.lit(epoch * 1.0)), epoch)
+    out = ingest.read_upserted(spark, str(tmp_path / "out"))
+    assert out.count() == 20 and out.where("id = 7").first().value == 5.0
+    assert len(list((tmp_path / "out").glob("v*/bucket=*"))) < 4 + 4 + 4
+    seen = ingest.first_seen(events.unionByName(events.withColumn("ts", F.col("ts") - F.expr("interval 1 day"))), ["id"], "ts")
+    assert seen.count() == 20 and seen.agg(F.max("ts")).first()[0] < at + datetime.timedelta(hours=1)
