@@ -7,9 +7,9 @@ Frames and hops are as long in seconds at every sampling rate.
 
 Recordings are found by an inverted index and aligned by histograms of offsets. Recordings of equal integers are one class
 from the start. Each integer of a class that holds a query is looked up as it is, and with every one or two of its bits
-changed that a move to a neighbouring level of one or two filters changes; the join with the integers of all classes is
-Spark's. A meeting must hold for the integers NEXT positions before and after as well (NEAR bits each), and then votes for
-the offset between its two positions. The votes are counted, and at each offset that has one the differing bits of all
+changed that a move to a neighbouring level of one or two filters changes; the join with the integers of all classes, at
+every STEP-th position of each, is Spark's. A meeting must hold around it as well (a share of NEAR differing bits over the integers at the steps in AROUND, in
+the join itself), and then votes for the offset between its two positions. The votes are counted, and at each offset that has one the differing bits of all
 positions decide: a pair matches at the offset with the least share of them, if OVERLAP positions or more overlap there and
 the share is ERROR or less. The work follows the recordings and the meetings, not the pairs.
 
@@ -26,6 +26,7 @@ import io
 import itertools
 import struct
 import wave
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ SPAN = 8
 QUIET = 1e-4
 LEVEL = 0.1
 OVERLAP, ERROR = 16, 0.2
-NEXT, NEAR = 8, 14
+AROUND, NEAR = (-16, -12, -8, -4, 4, 8, 12, 16), 0.25
+STEP = 3
 RATES = (1_000, 400_000)
 
 GRAY = (0, 1, 3, 2)
@@ -125,18 +127,28 @@ def integers(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole.astype(np.int32), out[whole]
 
 
+PRINTS = "at array<int>, prints array<int>"
+
+
+def _prints(rows, kind, id_col: str) -> pa.RecordBatch:
+    """A batch of id, positions and integers of rows (id, recording)."""
+    ids, at, prints = [], [], []
+    for i, wav in rows:
+        places, found = integers(chroma(*read_recording(wav)))
+        ids.append(i)
+        at.append(places)
+        prints.append(found.view(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(at, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int32()))], [id_col, "at", "prints"])
+
+
 def fingerprints(media: DataFrame, id_col: str, wav_col: str) -> DataFrame:
     """id_col, at (positions) and prints (32-bit integers, signed) of every row."""
 
     def run(batches):
         for batch in batches:
-            found = [integers(chroma(*read_recording(w))) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([a.tolist() for a, _ in found], pa.list_(pa.int32())), pa.array([p.view(np.int32).tolist() for _, p in found], pa.list_(pa.int32()))],
-                [id_col, "at", "prints"],
-            )
+            yield _prints(((i.as_py(), w.as_py()) for i, w in zip(batch.column(0), batch.column(1), strict=True)), batch.schema.field(0).type, id_col)
 
-    return media.select(id_col, wav_col).mapInArrow(run, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, at array<int>, prints array<int>")
+    return media.select(id_col, wav_col).mapInArrow(run, f"`{id_col}` {media.schema[id_col].dataType.simpleString()}, {PRINTS}")
 
 
 def bit_error(a_at, a, b_at, b, offset: int) -> tuple[int, float]:
@@ -170,14 +182,13 @@ def neighbours(print_: int) -> np.ndarray:
 
 
 def _probe(batches):
-    """key, q, at, before, after: an entry of a query's class for each of its integer's neighbours."""
+    """key and the other columns: an entry of a query's class (whose first column is its integer) for each of the integer's neighbours."""
     for batch in batches:
-        names = ["q", "at", "before", "after"]
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            keys = [neighbours(x) for x in part.column(4).to_numpy().view(np.uint32)]
+            keys = [neighbours(x) for x in part.column(0).to_numpy().view(np.uint32)]
             rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), *(part.column(k).take(rows) for k in range(4))], ["key", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), *(c.take(rows) for c in part.columns[1:])], batch.schema.names)
 
 
 def _judge(batches):
@@ -210,13 +221,15 @@ def aligned(found: DataFrame) -> DataFrame:
     def entry(k):
         place = F.get("at", k)
         side = lambda step: F.when(F.get("at", k + step) == place + step, F.get("prints", k + step))
-        return F.struct(place.alias("at"), side(-NEXT).alias("before"), side(NEXT).alias("after"), F.get("prints", k).alias("key"))
+        return F.struct(F.get("prints", k).alias("key"), place.alias("at"), *[side(step).alias(f"c{i}") for i, step in enumerate(AROUND)])
 
     entries = found.select("n", "asked", F.explode(F.transform(i, entry)).alias("e")).select("n", "asked", "e.*")
-    asked = entries.where("asked").select(F.col("n").alias("q"), F.col("at").alias("q_at"), F.col("before").alias("q_before"), F.col("after").alias("q_after"), "key")
-    probes = asked.mapInArrow(_probe, "key int, q long, q_at int, q_before int, q_after int")
-    near = lambda a, b: F.coalesce(F.bit_count(F.col(a).bitwiseXOR(F.col(b)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) <= NEAR, F.lit(True))
-    met = probes.join(entries.select("n", "at", "before", "after", "key"), "key").where(near("q_before", "before") & near("q_after", "after"))
+    sides = [f"c{i}" for i in range(len(AROUND))]
+    asked = entries.where("asked").select("key", F.col("n").alias("q"), F.col("at").alias("q_at"), *[F.col(c).alias(f"q_{c}") for c in sides])
+    probes = asked.mapInArrow(_probe, f"key int, q long, q_at int, {', '.join(f'q_{c} int' for c in sides)}")
+    both = [F.bit_count(F.col(f"q_{c}").bitwiseXOR(F.col(c)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for c in sides]
+    near = sum((F.coalesce(b, F.lit(0)) for b in both), F.lit(0)) <= sum((b.isNotNull().cast("int") for b in both), F.lit(0)) * F.lit(32 * NEAR)
+    met = probes.join(entries.where(F.col("at") % STEP == 0).select("key", "n", "at", *sides), "key").where(near)
     votes = met.where("q <> n").groupBy("q", "n", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
     offsets = votes.groupBy("q", "n").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))  # two recordings have as many as they have positions
     a, b = (found.select(F.col("n").alias(k), F.col("at").alias(f"{k}_at"), F.col("prints").alias(f"{k}_prints")) for k in ("q", "n"))
@@ -255,11 +268,15 @@ def play(vector: list[float] | None, rests: int) -> bytes | None:
     return out.getvalue()
 
 
-def altered(vector: list[float] | None, rests: int, parts: float, rate: int, seed: int) -> bytes | None:
-    """A copy that a search has to find: the vector with noise of 1 / parts in its numbers, played at another rate with noise in the sound."""
+def altered(vector: list[float] | None, rests: int) -> bytes | None:
+    """A copy that a search has to find: the vector with noise in its numbers, played at another rate with noise in the sound.
+
+    What is done depends on the vector alone, so that equal vectors have equal copies.
+    """
     if not vector:
         return None
-    r = np.random.default_rng(seed)
+    seed = zlib.crc32(np.array([x or 0 for x in vector], dtype="<f8").tobytes())
+    parts, rate, r = COPY_PARTS[seed % len(COPY_PARTS)], COPY_RATES[seed // 7 % len(COPY_RATES)], np.random.default_rng(seed)
     samples, own = read_recording(play([(x or 0) + n for x, n in zip(vector, r.normal(0, 1 / parts, len(vector)), strict=True)], rests))
     sound = np.interp(np.arange(len(samples) * rate // own) * (own / rate), np.arange(len(samples)), samples)
     out = io.BytesIO()
@@ -271,31 +288,47 @@ def altered(vector: list[float] | None, rests: int, parts: float, rate: int, see
     return out.getvalue()
 
 
+def _played(rows):
+    """(id, whether it is an altered copy, recording) of rows (id, vector, whether a query)."""
+    for i, v, asked in rows:
+        yield i, False, play(v, (i or 0) % 4)
+        if asked and i is not None:
+            yield -1 - i, True, altered(v, (i + 1) % 4)
+
+
+def _dealt(vectors: DataFrame, is_query, id_col: str, vector_col: str) -> DataFrame:
+    """id, vector and whether a query, dealt to all cores, as a recording is much more work than its row is long."""
+    spark = vectors.sparkSession
+    rows = vectors.select(id_col, vector_col, F.coalesce(is_query, F.lit(False)).alias("asked"))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def recordings(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding") -> DataFrame:
     """id_col, copy and wav: a recording of each vector, begun a little later for some ids than for others.
 
     For each vector of a query there is an altered copy besides (copy is true, the id -1 - id): later, noisy, at another rate.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(id_col, vector_col, F.coalesce(is_query, F.lit(False)).alias("asked"))
-    # A recording is much more work than its row is long, so rows are dealt to all cores first.
-    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 100):  # a recording is some 70 kB
-                ids, copies, wavs = [], [], []
-                for i, v, asked in zip(*(batch.column(k).slice(at, 100).to_pylist() for k in range(3)), strict=True):
-                    ids.append(i)
-                    copies.append(False)
-                    wavs.append(play(v, (i or 0) % 4))
-                    if asked and i is not None:
-                        ids.append(-1 - i)
-                        copies.append(True)
-                        wavs.append(altered(v, (i + 1) % 4, COPY_PARTS[i // 50 % len(COPY_PARTS)], COPY_RATES[i // 50 % len(COPY_RATES)], i))
+                made = list(_played(zip(*(batch.column(k).slice(at, 100).to_pylist() for k in range(3)), strict=True)))
+                ids, copies, wavs = zip(*made, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(copies, pa.bool_()), pa.array(wavs, pa.binary())], [id_col, "copy", "wav"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, copy boolean, wav binary")
+    return _dealt(vectors, is_query, id_col, vector_col).mapInArrow(run, f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, copy boolean, wav binary")
+
+
+def played_fingerprints(vectors: DataFrame, is_query, id_col="vec_id", vector_col="embedding") -> DataFrame:
+    """fingerprints of recordings, in one pass, so that no recording leaves the task that plays it."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                made = _played(zip(*(batch.column(k).slice(at, 500).to_pylist() for k in range(3)), strict=True))
+                yield _prints(((i, wav) for i, _, wav in made), batch.schema.field(0).type, id_col)
+
+    return _dealt(vectors, is_query, id_col, vector_col).mapInArrow(run, f"`{id_col}` {vectors.schema[id_col].dataType.simpleString()}, {PRINTS}")
 
 
 def summary(prints: DataFrame, is_query, id_col: str) -> DataFrame:

@@ -43,7 +43,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds recordings: each vector of embeddings is played as one, and those of queries (ids divisible by 50) once more, altered."""
     vectors, asked = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0
-    prints = stored(audio.fingerprints(audio.recordings(vectors, asked), "vec_id", "wav"), "prints")
+    prints = stored(audio.played_fingerprints(vectors, asked), "prints")
     return audio.summary(prints, (F.col("vec_id") >= 0) & asked, "vec_id")
 
 

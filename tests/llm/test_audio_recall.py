@@ -58,6 +58,9 @@ def test_edge_cases(spark):
 def test_every_query_of_the_table_finds_its_copy(spark):
     rows = queries.op8_audio(spark, "/root/testdata/sf0.01").where("is_query").collect()
     assert len(rows) == 10 and all(x.n_matches >= 1 for x in rows)
+    vectors, asked = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet"), F.col("vec_id") % 50 == 0
+    apart = audio.fingerprints(audio.recordings(vectors, asked), "vec_id", "wav")
+    assert sorted(map(repr, audio.played_fingerprints(vectors, asked).collect())) == sorted(map(repr, apart.collect()))
 
 
 def wav_of(samples, rate=8_000, channels=1):
