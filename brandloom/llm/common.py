@@ -2,52 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "/tmp/checkpoints"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
-
-    The table goes when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brandloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session has ended; what is left belongs to the folder's owner
-            return
-
-
-atexit.register(_sweep)
+from ..sources.shared import drop_stored, shared_dir, stored
+from ..sources.tables import table
 
 
 def blobs(column: pa.Array) -> list[bytes]:
@@ -61,3 +21,6 @@ def texts(column: pa.Array) -> list[str]:
 
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
+
+
+__all__ = ["blobs", "drop_stored", "sha256", "shared_dir", "stored", "table", "texts"]

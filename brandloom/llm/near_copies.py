@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.graph import components
 from .common import blobs, stored
-from .simhash import LOWER, anchors, components
+from .simhash import LOWER, anchors
 
 SHINGLE = 5
 LEAST = 0.8

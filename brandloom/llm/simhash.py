@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import blobs, stored
 
 SHINGLE = 3
@@ -149,24 +150,6 @@ def linked(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "u long, v long").where("u <> v").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of links (u, v); root is the least node of its component."""
-    edges = stored(links.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct(), "links")
-    seen = None
-    while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen or not state[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        seen = state
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "star")
-
-
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", threshold: int = THRESHOLD) -> DataFrame:
     """id_col, fingerprint (16 hex digits) and component_id (the least id reachable over links) for every row."""
     prints = stored(fingerprints(docs, id_col, text_col), "fingerprints")

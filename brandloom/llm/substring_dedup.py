@@ -8,18 +8,22 @@ that follow each other and share a k-mer form a path of the graph, written once
 one over the words themselves (64 bits each); a path that a document repeats is one row. Paths are alike if both agree.
 
 1. Paths are grouped by k-mer in Spark. A k-mer met in one document only is dropped.
-2. Where all paths through a k-mer are alike it does not branch: the path is compacted to its smallest document, and
-   every later document loses the whole path.
-3. Where they differ, one source of each distinct path is looked up at its coordinates, and each of its windows is
-   digested (128 bits, over the words themselves); windows meet by digest, which gives the smallest document of each.
-   All sources of a path then lose the windows whose smallest document comes before them.
+2. The others are the edges of the graph. Where all paths through a k-mer are alike, its ends are nodes with an in-degree and
+   an out-degree: how many k-mers come before it, and after it, in the documents that have it (the ends of documents count).
+   Where one k-mer always leads to one other, and this always comes from it, both become one path: runs of such k-mers are
+   compacted by pointer-doubling joins, each to its first k-mer and a distance from there. A compacted path has one source,
+   its smallest document; the words at the source's coordinates go to every later document, which loses the path if it has
+   the same words at its own.
+3. Where the paths through a k-mer differ, one source of each distinct path is looked up at its coordinates, and each of its
+   windows is digested (128 bits, over the words themselves); windows meet by digest, which gives the smallest document of
+   each. All sources of a path then lose the windows whose smallest document comes before them.
 
 Windows are judged on the input, so the order of removal plays no part. No step gathers a k-mer's or a digest's rows in
 one task: they are aggregated before the shuffle, and joined by joins that AQE can split.
 
 Edge cases: null and empty texts, and texts of fewer than `span` words, lose nothing. Rows with a null id are returned
 unchanged and remove nothing elsewhere. Rows that share an id don't remove each other's words. Repeated rows are each
-returned. Other columns play no part.
+returned. Texts and words of any length are read whole. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blobs, stored
+from .common import blobs, drop_stored, stored
 
 SPAN = 50
 EDGE = 12
@@ -182,7 +186,24 @@ def _digest_windows(span: int):
     return run
 
 
+def _words_at(span: int):
+    """path and its words, for the paths (path, first, windows) whose source a document is."""
+
+    def run(batches):
+        for batch in batches:
+            names, said = [], []
+            for text, sources in zip(blobs(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words = text.split()
+                names += [s["path"] for s in sources]
+                said += [b" ".join(words[s["first"] : s["first"] + s["windows"] + span - 1]) for s in sources]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(said, pa.binary())], ["path", "said"])
+
+    return run
+
+
 def _cut(span: int):
+    """The documents without the spans; a span that tells its words is cut only where the document has them."""
+
     def run(batches):
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -191,9 +212,12 @@ def _cut(span: int):
                 total = len(words)
                 if spans:
                     edge = np.zeros(total + 1, dtype=np.int32)
-                    at = np.array([(f, f + s["windows"] + span - 1) for s in spans for f in (s["first"], *(s["others"] or ()))])
-                    np.add.at(edge, at[:, 0], 1)
-                    np.add.at(edge, at[:, 1], -1)
+                    for s in spans:
+                        n, said = s["windows"] + span - 1, s["said"]
+                        for f in (s["first"], *(s["others"] or ())):
+                            if said is None or b" ".join(words[f : f + n]) == said:
+                                edge[f] += 1
+                                edge[f + n] -= 1
                     words = list(compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
                 n_words.append(total)
                 n_removed.append(total - len(words))
@@ -203,6 +227,39 @@ def _cut(span: int):
     return run
 
 
+def degrees(straight: DataFrame) -> DataFrame:
+    """edge, windows, and the one k-mer that always follows it (next) or precedes it (prev), null if the end of the edge branches.
+
+    straight: the paths of k-mers all of whose paths are alike. A k-mer that a document has more than once branches.
+    """
+    place = Window.partitionBy("id", "body").orderBy("first", "edge")
+    once = F.col("others").isNull()
+    rows = straight.select("id", "body", "edge", "first", "windows", once.alias("once"))
+    for name, step in (("next", F.lead), ("prev", F.lag)):
+        there = F.struct(*[step(c).over(place).alias(c) for c in ("edge", "first", "windows", "once")])
+        rows = rows.withColumn(f"__{name}", there)
+    follows = F.col("once") & F.col("__next.once") & (F.col("__next.first") == F.col("first") + F.col("windows"))
+    preceded = F.col("once") & F.col("__prev.once") & (F.col("first") == F.col("__prev.first") + F.col("__prev.windows"))
+    rows = rows.select("edge", "windows", F.when(follows, F.col("__next.edge")).alias("next"), F.when(preceded, F.col("__prev.edge")).alias("prev"))
+    only = lambda c: F.when((F.min(c) == F.max(c)) & (F.count(c) == F.count("*")), F.min(c)).alias(c)  # noqa: E731  degree one
+    return rows.groupBy("edge").agg(F.max("windows").alias("windows"), only("next"), only("prev"))
+
+
+def compacted(nodes: DataFrame) -> DataFrame:
+    """edge and path for every k-mer of degrees: the first k-mer of the nonbranching run that it is in."""
+    before = nodes.select(F.col("edge").alias("prev"), F.col("next").alias("__next"))
+    linked = nodes.where("prev is not null").join(before, "prev").where(F.col("__next") == F.col("edge")).select("edge", F.col("prev").alias("path"))
+    state = stored(nodes.select("edge").join(linked, "edge", "left").select("edge", F.coalesce("path", "edge").alias("path")), "compacted")
+    while True:  # as often as the longest run's length can be halved
+        far = state.select(F.col("edge").alias("path"), F.col("path").alias("__far"))
+        new = stored(state.join(far, "path").select("edge", F.col("__far").alias("path"), (F.col("__far") != F.col("path")).alias("moved")), "compacted")
+        moved = new.where("moved").limit(1).count()
+        drop_stored(state)
+        state = new
+        if not moved:
+            return state.select("edge", "path")
+
+
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int = SPAN) -> DataFrame:
     """One row per document: id_col, n_words, n_removed, and kept: the words that stay, joined by one space."""
     body = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -216,7 +273,14 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
     met = stored(met.where("least < most").select("edge", "least", ((F.col("p0") != F.col("p1")) | (F.col("q0") != F.col("q1"))).alias("branches")), "met")
     repeated = stored(found.join(met, "edge"), "repeated")
 
-    straight = repeated.where(~F.col("branches") & (F.col("id") > F.col("least"))).select("id", "body", F.struct("first", "windows", "others").alias("at"))
+    straight = repeated.where(~F.col("branches"))
+    paths_of = compacted(stored(degrees(straight), "nodes"))
+    # A document has every k-mer of a compacted path, one after the other; repeated rows have them twice.
+    held = stored(straight.drop("path").join(paths_of, "edge").groupBy("id", "body", "path").agg(F.min("first").alias("first"), (F.max(F.col("first") + F.col("windows")) - F.min("first")).alias("windows"), F.min("least").alias("least"), F.max("others").alias("others")), "held")
+    source = held.where("id = least").groupBy("path").agg(F.min(F.struct("id", "body", "first", "windows")).alias("s"))
+    source = source.groupBy(F.col("s.id").alias("id"), F.col("s.body").alias("body")).agg(F.collect_list(F.struct("path", "s.first", "s.windows")).alias("sources"))
+    said = named.join(source, ["id", "body"]).select("id", "text", "sources").mapInArrow(_words_at(span), "path long, said binary")
+    whole = held.where("id > least").join(said, "path").select("id", "body", F.struct("first", "windows", "others", "said").alias("at"))
     branching = repeated.where("branches")
     sources = branching.groupBy("edge", "path", "proof").agg(F.min(F.struct("id", "body", "first", "windows")).alias("s"))
     sources = sources.groupBy(F.col("s.id").alias("id"), F.col("s.body").alias("body")).agg(F.collect_list(F.struct("edge", "path", "proof", "s.first", "s.windows")).alias("sources"))
@@ -226,13 +290,13 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
     bent = (
         branching.select("edge", "path", "proof", "id", "body", "first", "others")
         .join(judged, ["edge", "path", "proof"])
-        .select("id", "body", F.explode(F.expr("transform(filter(judged, j -> j.least < id), j -> struct(first + j.offset as first, 1 as windows, transform(others, o -> o + j.offset) as others))")).alias("at"))
+        .select("id", "body", F.explode(F.expr("transform(filter(judged, j -> j.least < id), j -> struct(first + j.offset as first, 1 as windows, transform(others, o -> o + j.offset) as others, cast(null as binary) as said))")).alias("at"))
     )
-    spans = straight.unionByName(bent).groupBy("id", "body").agg(F.collect_set("at").alias("spans"))
+    spans = whole.unionByName(bent).groupBy("id", "body").agg(F.collect_set("at").alias("spans"))
     out = f"id {kind}, n_words long, n_removed long, kept string"
     cut = named.join(spans, ["id", "body"], "left").select("id", "text", "spans").mapInArrow(_cut(span), out)
-    whole = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<struct<first:int,windows:int,others:array<int>>>").alias("spans")).mapInArrow(_cut(span), out)
-    return cut.unionByName(whole).withColumnRenamed("id", id_col)
+    unnamed = rows.where(F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<struct<first:int,windows:int,others:array<int>,said:binary>>").alias("spans")).mapInArrow(_cut(span), out)
+    return cut.unionByName(unnamed).withColumnRenamed("id", id_col)
 
 
 def digest(kept: DataFrame, id_col="doc_id") -> DataFrame:
