@@ -48,6 +48,7 @@ ORACLES: dict[str, str] = {
     "seed_upsert": "SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_acctbal < 5000 THEN 'new ' || s_name ELSE s_name END AS s_name, s_acctbal, 'creators' AS target FROM supplier WHERE s_acctbal > 0 OR s_acctbal < 5000",
     "query_groups": """WITH p AS (SELECT 'q' || page_id % 6 AS query, string_split(url, '/')[3] AS u, page_id FROM pages WHERE page_id % 6 > 0)
       SELECT query, count(*) AS n, count(DISTINCT u) AS n_urls, arg_min(u, page_id) AS first_url, min(page_id) AS place FROM p GROUP BY query""",
+    "crawl_summary": "SELECT count(*) AS n, count(DISTINCT string_split(url, '/')[3]) AS n_urls, count(DISTINCT page_id % 5) AS n_agents, count(DISTINCT CASE WHEN page_id % 7 = 0 THEN (page_id % 5, page_id % 12) END) AS n_blocked FROM pages",
     "json_text_leaves": f"""SELECT event_id, array_to_string({uniq(f"list_concat(['t', event_type], CASE WHEN event_id % 5 > 0 THEN ['x \"q\"', '5', 'true', {K}] ELSE [] END)")}, '|') AS texts FROM events""",
     "site_challenge": "WITH p AS (SELECT page_id, page_id % 4 AS k FROM pages) SELECT page_id, k IN (0, 3) AS site, k IN (0, 2, 3) AS route FROM p",
     "quick_replies": f"""SELECT conv_id, turn, {pick('conv_id', ['NULL', "'first ' || conv_id || '|second|third|fourth'", 'NULL', "'first ' || conv_id || '|two'"])} AS options FROM conversations""",

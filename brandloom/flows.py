@@ -225,6 +225,12 @@ def query_groups(spark, d):
     return discovery.grouped_by_query(p.withColumn("u", F.get(F.split("url", "/"), F.lit(2))), "q", "u", "page_id")
 
 
+@query
+def crawl_summary(spark, d):
+    p = table(spark, d, "pages").select(F.get(F.split("url", "/"), F.lit(2)).alias("u"), (F.col("page_id") % 5).alias("agent"), (F.col("page_id") % 12).alias("query"), (F.col("page_id") % 7 == 0).alias("blocked"))
+    return discovery.crawl_summary(p, "u", "agent", "query", "blocked")
+
+
 def said(number: Column) -> Column:
     """Texts of an account, of several kinds."""
     return arrays(

@@ -85,6 +85,11 @@ def grouped_by_query(rows: DataFrame, query: str, url: str, position: str) -> Da
     return named.groupBy("query").agg(F.count("*").alias("n"), F.count_distinct(url).alias("n_urls"), F.min_by(url, position).alias("first_url"), F.min(position).alias("place"))
 
 
+def crawl_summary(rows: DataFrame, url: str, agent: str, query: str, blocked: str) -> DataFrame:
+    """One row: rows, different URLs, agents, and queries that were blocked."""
+    return rows.agg(F.count("*").alias("n"), F.count_distinct(url).alias("n_urls"), F.count_distinct(agent).alias("n_agents"), F.count_distinct(F.when(F.col(blocked), F.struct(agent, query))).alias("n_blocked"))
+
+
 def looks_challenged(page: Column | str, least: int = 2, marks: tuple[str, ...] = rules.CHALLENGE_MARKS) -> Column:
     low = F.lower(F.col(page) if isinstance(page, str) else page)
     return sum((F.contains(low, F.lit(m)).cast("int") for m in marks), F.lit(0)) >= least

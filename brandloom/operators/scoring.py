@@ -244,12 +244,13 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return score_prepared(prepare_creators(prepare_brands(pairs)))
 
 
-def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000) -> DataFrame:
-    """Every brand with every creator. Brands are counted: up to most_brands are broadcast, more go in rounds of as many."""
+def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Every brand with every creator. Brands are measured: up to most_brands of them and most_bytes are broadcast, more go in rounds of as much."""
     spark = creators.sparkSession
     brands, creators = prepare_brands(brands), prepare_creators(creators)
     # A creator costs a score for every brand, so creators are dealt to all cores before they are paired.
     creators = creators.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), creators.columns[0])
-    rounds = max(1, -(-brands.count() // most_brands))
+    n, held = brands.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*brands.columns)))), F.lit(0))).first()
+    rounds = max(1, -(-n // most_brands), -(-held // most_bytes))
     parts = [brands] if rounds == 1 else [brands.where(F.pmod(F.hash(*brands.columns[:1]), F.lit(rounds)) == k) for k in range(rounds)]
     return reduce(DataFrame.unionByName, [score_prepared(creators.crossJoin(F.broadcast(part))) for part in parts])

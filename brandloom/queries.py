@@ -253,7 +253,7 @@ def explorer_union_priority(spark, d):
 @query
 def explorer_search_filter(spark, d):
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
-    rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"])
+    rows = c.join(n, c["c_nationkey"] == n["n_nationkey"])
     return rows.where(explorer.matches_search("BUILD", F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment"), F.col("n_name"))).select("c_custkey", "c_name", "n_name")
 
 
