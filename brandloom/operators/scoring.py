@@ -33,8 +33,16 @@ def mean(xs: Column) -> Column:
 
 
 def best_of(wanted: Column, offered: Column, likeness) -> Column:
-    """Mean over wanted of the best likeness among offered."""
-    return mean(F.transform(wanted, lambda w: F.array_max(F.transform(offered, lambda o: likeness(w, o)))))
+    """For each of wanted the best likeness among offered, 0 if there are none; both are terms."""
+    return F.transform(wanted, lambda w: F.coalesce(F.array_max(F.transform(offered, lambda o: likeness(w, o))), F.lit(0.0)))
+
+
+def topic_likeness(w: Column, o: Column) -> Column:
+    return F.when(w["p"] == o["p"], F.lit(1.0)).otherwise(jaccard(w["t"], o["t"]))
+
+
+def audience_likeness(w: Column, o: Column) -> Column:
+    return F.when(w["p"] == o["p"], F.lit(1.0)).otherwise(overlap(w["t"], o["t"]))
 
 
 def term(p: Column) -> Column:
@@ -56,19 +64,19 @@ def niche_affinity(category: Column, niche: Column) -> Column:
     )
 
 
-def topic_similarity(wanted: Column, offered: Column, signal_confidence: Column) -> Column:
-    """wanted, offered: terms."""
-    nb, nc = F.size(wanted), F.size(offered)
-    score = best_of(wanted, offered, lambda w, o: F.when(w["p"] == o["p"], F.lit(1.0)).otherwise(jaccard(w["t"], o["t"])))
+def topic_similarity(likes: Column, offered: Column, signal_confidence: Column) -> Column:
+    """likes: what best_of gives for the topics wanted; offered: terms."""
+    nb, nc = F.size(likes), F.size(offered)
+    score = mean(likes)
     confidence = clamp(0.4 + 0.35 * F.least(F.lit(1.0), nb / 4) + F.least(F.lit(0.18), 0.02 * nc) + 0.15 * clamp(signal_confidence))
     return F.when((nb == 0) | (nc == 0), result(F.lit(0), F.lit(0.2))).otherwise(result(score, confidence))
 
 
-def audience_fit(wanted: Column, offered: Column, signal_confidence: Column) -> Column:
-    """wanted, offered: terms."""
-    score = best_of(wanted, offered, lambda w, o: F.when(w["p"] == o["p"], F.lit(1.0)).otherwise(overlap(w["t"], o["t"])))
-    confidence = clamp(0.45 + 0.08 * F.least(F.lit(4), F.size(wanted)) + 0.15 * clamp(signal_confidence))
-    return F.when((F.size(wanted) == 0) | (F.size(offered) == 0), result(F.lit(0), F.lit(0.2))).otherwise(result(score, confidence))
+def audience_fit(likes: Column, offered: Column, signal_confidence: Column) -> Column:
+    """likes: what best_of gives for the audiences wanted; offered: terms."""
+    score = mean(likes)
+    confidence = clamp(0.45 + 0.08 * F.least(F.lit(4), F.size(likes)) + 0.15 * clamp(signal_confidence))
+    return F.when((F.size(likes) == 0) | (F.size(offered) == 0), result(F.lit(0), F.lit(0.2))).otherwise(result(score, confidence))
 
 
 def _part(x: Column, low: float = 0.0) -> Column:
@@ -156,12 +164,11 @@ def trusted_weights(base: Column, modules: Column) -> Column:
     return F.when(total <= 1e-9, base).otherwise(F.struct(*[(w / total).alias(m) for m, w in trusted.items()]))
 
 
-def priority_boost(priorities: Column, signals: Column) -> Column:
-    """boost and the (up to three) priorities, of likeness 0.34 or more, that earn it; both lists are terms."""
+def priority_boost(priorities: Column, likes: Column) -> Column:
+    """boost and the (up to three) priorities, of likeness 0.34 or more, that earn it. priorities: terms; likes: what best_of gives for them."""
 
     def rate(p, i):
-        likeness = F.coalesce(F.array_max(F.transform(signals, lambda s: term_similarity(p, s))), F.lit(0.0))
-        return F.struct(likeness.alias("likeness"), (-i).alias("rank"), p["p"].alias("priority"))
+        return F.struct(F.get(likes, i).alias("likeness"), (-i).alias("rank"), p["p"].alias("priority"))
 
     def boost(top):
         return F.struct(F.when(F.size(top) > 0, F.least(F.lit(0.16), 0.04 * F.size(top) + 0.07 * mean(F.transform(top, lambda r: r["likeness"])))).otherwise(0.0).alias("boost"), F.transform(top, lambda r: r["priority"]).alias("matched"))
@@ -219,16 +226,20 @@ def breakdown(scored: DataFrame) -> DataFrame:
     return scored.withColumn("breakdown", F.struct(*parts, "best_platform", round_half_up("boost", 4).alias("priority_boost")))
 
 
+#: What is compared by phrases: brand's column, creator's column, likeness.
+COMPARED = {"topics": ("__topics", "__offered", topic_likeness), "audience": ("__audience", "__offered_audience", audience_likeness), "priorities": ("__priorities", "__signals", term_similarity)}
+
+
 def score_prepared(pairs: DataFrame) -> DataFrame:
-    """Prepared pairs with modules, weights, boost, total, best_platform and reasons."""
+    """Prepared pairs, with the likenesses of COMPARED as __like_..., with modules, weights, boost, total, best_platform and reasons."""
     c, conf = F.col, F.coalesce(F.col("signal_confidence"), F.lit(0.0))
     staged = pairs.withColumns({
         "modules": F.struct(
-            niche_affinity(c("__category"), c("__niche")).alias("niche"), topic_similarity(c("__topics"), c("__offered"), conf).alias("topic"),
+            niche_affinity(c("__category"), c("__niche")).alias("niche"), topic_similarity(c("__like_topics"), c("__offered"), conf).alias("topic"),
             platform_alignment(c("__platforms"), c("__presence"), c("metrics")).alias("platform"),
-            audience_fit(c("__audience"), c("__offered_audience"), conf).alias("audience"), c("__fit").alias("engagement"),
+            audience_fit(c("__like_audience"), c("__offered_audience"), conf).alias("audience"), c("__fit").alias("engagement"),
         ),
-        "__boost": priority_boost(c("__priorities"), c("__signals")),
+        "__boost": priority_boost(c("__priorities"), c("__like_priorities")),
     })
     staged = staged.withColumn("weights", trusted_weights(c("__base"), c("modules")))
     total = sum((clamp(c(f"modules.{m}.score")) * c(f"weights.{m}") for m in MODULES), F.lit(0.0))
@@ -241,7 +252,8 @@ def score_prepared(pairs: DataFrame) -> DataFrame:
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Rows that hold a brand's and a creator's columns, scored."""
-    return score_prepared(prepare_creators(prepare_brands(pairs)))
+    rows = prepare_creators(prepare_brands(pairs))
+    return score_prepared(rows.withColumns({f"__like_{name}": best_of(F.col(b), F.col(c), like) for name, (b, c, like) in COMPARED.items()}))
 
 
 def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
@@ -253,4 +265,20 @@ def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000,
     n, held = brands.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*brands.columns)))), F.lit(0))).first()
     rounds = max(1, -(-n // most_brands), -(-held // most_bytes))
     parts = [brands] if rounds == 1 else [brands.where(F.pmod(F.hash(*brands.columns[:1]), F.lit(rounds)) == k) for k in range(rounds)]
-    return reduce(DataFrame.unionByName, [score_prepared(creators.crossJoin(F.broadcast(part))) for part in parts])
+    return reduce(DataFrame.unionByName, [score_prepared(_paired(part, creators)) for part in parts])
+
+
+def _paired(brands: DataFrame, creators: DataFrame) -> DataFrame:
+    """Every brand (few enough to be broadcast) with every creator, and the likenesses of COMPARED.
+
+    Brands share phrases: each creator is held against each different phrase of the brands once, and pairs look that up.
+    """
+    phrases = lambda column: F.array_distinct(F.flatten(F.collect_list(F.transform(column, lambda x: x["p"]))))
+    known = brands.agg(*[terms(F.array_sort(phrases(F.col(b)))).alias(f"__all_{name}") for name, (b, _, _) in COMPARED.items()])  # one row, no larger than the brands
+    places = {f"__at_{name}": F.transform(b, lambda w: F.array_position(F.transform(f"__all_{name}", lambda x: x["p"]), w["p"]).cast("int")) for name, (b, _, _) in COMPARED.items()}  # noqa: B023
+    found = {f"__best_{name}": best_of(F.col(f"__all_{name}"), F.col(c), like) for name, (_, c, like) in COMPARED.items()}
+    spoken = [f"__all_{name}" for name in COMPARED]
+    left = creators.crossJoin(F.broadcast(known)).withColumns(found).drop(*spoken)
+    right = brands.crossJoin(F.broadcast(known)).withColumns(places).drop(*spoken)
+    pairs = left.crossJoin(F.broadcast(right))
+    return pairs.withColumns({f"__like_{name}": F.transform(f"__at_{name}", lambda i: F.element_at(f"__best_{name}", i)) for name in COMPARED})  # noqa: B023

@@ -144,7 +144,7 @@ def policy_blend_reweight(spark, d):
 def priority_boost_top3(spark, d):
     p = table(spark, d, "part").select("p_partkey", text.phrase("p_name").alias("name"), text.phrase("p_type").alias("type"))
     wanted = F.lit(["small ring", "ring", "large bolt", "economy", "promo gear"])
-    b = p.withColumn("b", scoring.priority_boost(scoring.terms(wanted), scoring.terms(F.array("name", "type"))))
+    b = p.withColumn("b", scoring.priority_boost(scoring.terms(wanted), scoring.best_of(scoring.terms(wanted), scoring.terms(F.array("name", "type")), scoring.term_similarity)))
     return b.select("p_partkey", coerce.round_half_up("b.boost", 6).alias("boost"), joined(F.col("b.matched")).alias("matched"))
 
 
