@@ -291,3 +291,18 @@ def test_pipeline_edge_cases(spark, tmp_path):
         out = sorted((x.doc_id or 0, x.n_tokens) for x in corpus_pipeline.run(spark, str(d)).collect())
         # Texts of equal words are one group (1 and 2 have none); of near ones the least id stays; rows without an id stay.
         assert [x[0] for x in out] == ([0, 0, 1, 3, 3, 4] if own else [])
+
+
+def test_long_texts_and_runs(spark):
+    """A text of 300,000 words, and one run of a million characters, through every operator on documents."""
+    words, run = " ".join(f"w{i * 7919 % 5000}" for i in range(300_000)), "y" * 1_000_000
+    docs = spark.createDataFrame([(1, words), (2, words + " end"), (3, run), (4, "idiot " + run)], DOCS.split(",")[0] + ", text string")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    assert {x.doc_id: x.n_tokens for x in bpe.encode(docs, path).collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in ((x.doc_id, x.text) for x in docs.collect())}
+    prints = {x.doc_id: x.fingerprint for x in simhash.near_duplicates(docs).collect()}
+    assert prints == {x.doc_id: f"{brute_print(x.text):016x}" for x in docs.collect()}
+    assert {x.doc_id: x.size for x in sharding.shard_documents(docs, shards=2).collect()} == {x.doc_id: len(x.text) + 16 for x in docs.collect()}
+    labels = spark.createDataFrame([(i, 1, int(i == 4)) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 4
+    assert pii.find(docs).where("size(spans) > 0").count() == 0
