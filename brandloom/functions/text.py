@@ -38,11 +38,12 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(F.arrays_overlap(a, b), F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))).otherwise(0.0)
 
 
-def phrase_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0.84 if one contains the other, else the token overlap; a and b are phrases."""
+def phrase_similarity(a: Column, b: Column, a_tokens: Column | None = None, b_tokens: Column | None = None) -> Column:
+    """1 if equal, 0.84 if one contains the other, else the token overlap; a and b are phrases, whose tokens may be known."""
+    ta, tb = tokens(a) if a_tokens is None else a_tokens, tokens(b) if b_tokens is None else b_tokens
     return (
         F.when((a == "") | (b == ""), F.lit(0.0)).when(a == b, F.lit(1.0))
-        .when(F.contains(a, b) | F.contains(b, a), F.lit(0.84)).otherwise(overlap(tokens(a), tokens(b)))
+        .when(F.contains(a, b) | F.contains(b, a), F.lit(0.84)).otherwise(overlap(ta, tb))
     )
 
 

@@ -30,11 +30,11 @@ def partnership(text: Column) -> Column:
 
 
 def compensation(text: Column) -> Column:
-    return _first(text, [(_words("hybrid"), "hybrid"), (_words(r"rev(enue)?\s*share|commission"), "rev_share"), (_like(r"(^|[^a-z0-9_])cpm|per\s*(1k|1000|thousand)|/\s*(1k|1000)(\s*views?)?"), "cpm"), (_words(r"flat\s*fee|fixed\s*fee"), "flat_fee")])
+    return _first(text, [(_like(pattern), label) for label, pattern in rules.COMPENSATION_WORDS])
 
 
 def unit(text: Column) -> Column:
-    return _first(text, [(_like(r"(per|/)\s*(1k|1000)(\s*views?)?"), "per_1k_views"), (_like(r"per\s*post"), "per_post"), (_like(r"per\s*video"), "per_video")])
+    return _first(text, [(_like(pattern), label) for label, pattern in rules.UNIT_WORDS])
 
 
 def budget(text: Column, strict: bool = False) -> Column:
@@ -44,7 +44,7 @@ def budget(text: Column, strict: bool = False) -> Column:
     amount = round_half_up(dollars.try_cast("double")).cast("long")
     if strict:
         return amount
-    spoken = F.regexp_like(F.lower(bare), F.lit(r"(budget|pay|price|cost|spend|fee|per\s*(video|post|1k|1000)|cpm)"))
+    spoken = F.regexp_like(F.lower(bare), F.lit(rules.SPEND_WORDS))
     number = F.nullif(F.regexp_extract(bare, r"(?:^|[^A-Za-z0-9_])(\d{2,6})(?:\.\d+)?(?:[^A-Za-z0-9_]|$)", 1), F.lit(""))
     return F.coalesce(amount, F.when(spoken, number.try_cast("long")))
 
@@ -52,7 +52,7 @@ def budget(text: Column, strict: bool = False) -> Column:
 def intent(df: DataFrame, text: str) -> DataFrame:
     """df with partnership, compensation, unit, amount, open_budget, goals and platforms, read from free text."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    is_open = F.regexp_like(low, F.lit("no fixed budget|no budget|open budget|flexible budget|budget tbd"))
+    is_open = F.regexp_like(low, F.lit(rules.NO_BUDGET))
     per = unit(low)
     return df.withColumns({
         "partnership": partnership(low), "compensation": compensation(low), "unit": F.coalesce(per, F.when(compensation(low) == "cpm", "per_1k_views")),

@@ -40,20 +40,21 @@ def signals(found: Column, table) -> Column:
     return F.array_compact(F.array(*[F.when(F.arrays_overlap(found, strings(*words)), F.lit(value)) for value, words in table]))
 
 
+def _by_value(value: Column, table: dict[str, str]) -> Column:
+    """The table's entry for a value, null if it has none."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
+
+
 def selling_style(cta: Column, intents: Column) -> Column:
-    has = lambda v: F.array_contains(intents, v)
-    return (
-        F.when(cta == "consultative", "consultative").when(cta == "transactional", "direct_response").when(cta == "community", "community_led").when(cta == "inbound_dm", "dm_conversion")
-        .when(has("direct_purchase"), "direct_response").when(has("lead_generation"), "consultative").when(has("community"), "community_led").otherwise("educational")
-    )
+    out = F.when(cta.isin(*rules.STYLE_OF_CTA), _by_value(cta, rules.STYLE_OF_CTA))
+    for intent, style in rules.STYLE_OF_INTENT:
+        out = out.when(F.array_contains(intents, intent), style)
+    return out.otherwise(rules.STYLE_OTHERWISE)
 
 
 def content_style(style: Column, topics: Column) -> Column:
-    return (
-        F.when(style == "consultative", "consultative coaching-style content").when(style == "direct_response", "direct response offer-led content")
-        .when(style == "community_led", "community and newsletter-led content").when(style == "dm_conversion", "personal brand and DM-led conversion content")
-        .when(F.array_contains(topics, "ugc content"), "ugc demonstration content").otherwise("educational creator content")
-    )
+    told = _by_value(style, rules.CONTENT_OF_STYLE)
+    return F.coalesce(told, F.when(F.array_contains(topics, rules.CONTENT_OF_TOPIC[0]), rules.CONTENT_OF_TOPIC[1]).otherwise(rules.CONTENT_OTHERWISE))
 
 
 def compatibility(df: DataFrame, text: str, cta: str, has_price: Column | None = None, has_social: Column | None = None, has_primary: Column | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp, distinct_texts, round_half_up
-from ..functions.text import jaccard, keyword_hits, let, overlap, phrase, tokens
+from ..functions.text import jaccard, keyword_hits, let, overlap, phrase, phrase_similarity, tokens
 from ..plans.rules import INTENT_KEYWORDS, MODULES, POLICIES
 
 NONE = "array<string>"
@@ -177,12 +177,8 @@ def priority_boost(priorities: Column, likes: Column) -> Column:
 
 
 def term_similarity(a: Column, b: Column) -> Column:
-    """1 if equal, 0.84 if one contains the other, else the token overlap; a and b are terms."""
-    x, y = a["p"], b["p"]
-    return (
-        F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0))
-        .when(F.contains(x, y) | F.contains(y, x), F.lit(0.84)).otherwise(overlap(a["t"], b["t"]))
-    )
+    """phrase_similarity of two terms."""
+    return phrase_similarity(a["p"], b["p"], a["t"], b["t"])
 
 
 def _phrases(*names: str) -> Column:

@@ -152,7 +152,7 @@ ORACLES = {
       SELECT p_partkey, {rnd("CASE WHEN len(top) > 0 THEN least(0.16, 0.04 * len(top) + 0.07 * list_avg(list_transform(top, lambda r: r.a))) ELSE 0.0 END")} AS boost, {pipe('list_transform(top, lambda r: r.c)')} AS matched FROM p""",
     "policy_blend_reweight": f"""WITH {SOLD}, {BRANDS}, {INTENT}, t AS (SELECT *, base_niche * 0.95 + base_topic * 0.4 + base_platform * 0.675 + base_audience * 0.61 AS w FROM based)
       SELECT brand_id, {', '.join(f"{rnd(f'base_{m}')} AS base_{m}" for m in rules.MODULES)}, {', '.join(f"{rnd(f'base_{m} * {c} / w')} AS weight_{m}" for m, c in zip(rules.MODULES, (0.95, 0.4, 0.675, 0.61, 0.0), strict=True))} FROM t""",
-    "intent_vector": f"""WITH c AS (SELECT conv_id, turn, list_distinct([{phrase("'community lead sales ' || role || ' ' || substring(text, 1, 40)")}, 'brand awareness', {phrase('text')}]) AS texts FROM conversations),
+    "intent_vector": f"""WITH c AS (SELECT conv_id, turn, list_distinct([{phrase("concat_ws(' ', 'community lead sales', role, text)")}, 'brand awareness', {phrase('text')}]) AS texts FROM conversations),
       h AS (SELECT *, {', '.join(f"{intent_hits('texts', ks)} + {int(k == 'product_sale')} AS h_{k}" for k, ks in rules.INTENT_KEYWORDS.items())} FROM c)
       SELECT conv_id, turn, {', '.join(rnd(f"h_{k}::DOUBLE / ({' + '.join(f'h_{j}' for j in rules.INTENT_KEYWORDS)})") + f' AS {k}' for k in rules.INTENT_KEYWORDS)} FROM h""",
     "match_upsert_keeps_status": """SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN o_totalprice * 2 ELSE o_totalprice END AS score, CASE WHEN o_totalprice < 200000 THEN o_orderstatus ELSE 'new' END AS status FROM orders""",

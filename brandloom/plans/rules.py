@@ -129,3 +129,23 @@ PRIORITY_NOISE = ("around", "explain", "find", "fit", "fits", "give", "match", "
 SITE_SEARCHES = (("about", '"about"'), ("products", '"products" OR "shop"'), ("company", '"company" OR "mission"'), ("press", '"press" OR "news"'), ("careers", '"careers" OR "team"'))
 #: Searches on the open web for a brand.
 WEB_SEARCHES = ("brand overview", "company mission values", "products and target audience", "wikipedia", "press release")
+
+# Selling style by call to action, else by intent; content style by selling style, else by topic.
+STYLE_OF_CTA = {"consultative": "consultative", "transactional": "direct_response", "community": "community_led", "inbound_dm": "dm_conversion"}
+STYLE_OF_INTENT = (("direct_purchase", "direct_response"), ("lead_generation", "consultative"), ("community", "community_led"))
+STYLE_OTHERWISE = "educational"
+CONTENT_OF_STYLE = {
+    "consultative": "consultative coaching-style content", "direct_response": "direct response offer-led content", "community_led": "community and newsletter-led content",
+    "dm_conversion": "personal brand and DM-led conversion content",
+}
+CONTENT_OF_TOPIC = ("ugc content", "ugc demonstration content")
+CONTENT_OTHERWISE = "educational creator content"
+
+# Patterns of pay in free text, in order.
+COMPENSATION_WORDS = (
+    ("hybrid", r"(^|[^A-Za-z0-9_])hybrid([^A-Za-z0-9_]|$)"), ("rev_share", r"(^|[^A-Za-z0-9_])(rev(enue)?\s*share|commission)([^A-Za-z0-9_]|$)"), ("cpm", r"(^|[^a-z0-9_])cpm|per\s*(1k|1000|thousand)|/\s*(1k|1000)(\s*views?)?"),
+    ("flat_fee", r"(^|[^A-Za-z0-9_])(flat\s*fee|fixed\s*fee)([^A-Za-z0-9_]|$)"),
+)
+UNIT_WORDS = (("per_1k_views", r"(per|/)\s*(1k|1000)(\s*views?)?"), ("per_post", r"per\s*post"), ("per_video", r"per\s*video"))
+SPEND_WORDS = r"(budget|pay|price|cost|spend|fee|per\s*(video|post|1k|1000)|cpm)"
+NO_BUDGET = "no fixed budget|no budget|open budget|flexible budget|budget tbd"

@@ -126,7 +126,7 @@ def score_engagement_fit(spark, d):
 @query
 def intent_vector(spark, d):
     docs = table(spark, d, "conversations")
-    texts = coerce.distinct_texts(F.array(text.phrase(F.concat_ws(" ", F.lit("community lead sales"), "role", F.substring("text", 1, 40))), F.lit("brand awareness"), text.phrase(F.coalesce("text", F.lit("")))))
+    texts = coerce.distinct_texts(F.array(text.phrase(F.concat_ws(" ", F.lit("community lead sales"), "role", "text")), F.lit("brand awareness"), text.phrase(F.coalesce("text", F.lit("")))))
     v = docs.select("conv_id", "turn", scoring.intent_vector(texts).alias("v"))
     return v.select("conv_id", "turn", *[coerce.round_half_up(f"v.{k}", 6).alias(k) for k in rules.INTENT_KEYWORDS])
 
