@@ -1,7 +1,11 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents, whatever others there are besides.
+
+Edge cases, the same in all stages: a null text is as an empty one and stays null; empty and very long texts are read whole;
+rows with a null id stay; rows that share an id are judged by their own texts; repeated rows are one group of copies; null
+labels and items, and empty tables, judge nothing, so that documents pass.
 """
 
 from __future__ import annotations
@@ -15,22 +19,25 @@ from brandloom.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.7 or above go."""
+    """Documents scored 0.7 or above go; without labels none does. A null or empty text has the base rate's score."""
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (Jaccard 0.8 or more over 5-word shingles) the document with the least id stays."""
+    """Of each component of near copies (Jaccard 0.8 or more over 5-word shingles) the document with the least id stays.
+
+    Texts without words are one component. Rows with a null id stay.
+    """
     return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    """Documents of which benchmark windows cover a twentieth of the words or more go; those without words stay."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; n_chars follows the text."""
+    """Personal data in texts is replaced by its kind; n_chars follows the text, and is null where that is."""
     masked = pii.mask(docs)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -38,7 +45,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded; a null or empty text has no tokens."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
