@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import clamp, distinct_texts, round_half_up
 from ..functions.text import jaccard, keyword_hits, let, overlap, phrase, phrase_similarity, tokens
 from ..plans.rules import INTENT_KEYWORDS, MODULES, POLICIES
+from ..sources.shared import stored
 
 NONE = "array<string>"
 
@@ -255,7 +256,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Every brand with every creator. Brands are measured: up to most_brands of them and most_bytes are broadcast, more go in rounds of as much."""
     spark = creators.sparkSession
-    brands, creators = prepare_brands(brands), prepare_creators(creators)
+    brands, creators = stored(prepare_brands(brands), "brands"), prepare_creators(creators)  # brands are read three times
     # A creator costs a score for every brand, so creators are dealt to all cores before they are paired.
     creators = creators.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), creators.columns[0])
     n, held = brands.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*brands.columns)))), F.lit(0))).first()
