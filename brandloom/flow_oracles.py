@@ -46,6 +46,7 @@ ORACLES: dict[str, str] = {
     "point_lookup": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey = 17 OR c_name = 'Customer#000000023'",
     "table_writes": "SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END::DOUBLE AS c_acctbal, CASE WHEN c_acctbal < 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey < 20 AND (c_mktsegment <> 'BUILDING' OR c_acctbal < 0)",
     "seed_upsert": "SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_acctbal < 5000 THEN 'new ' || s_name ELSE s_name END AS s_name, s_acctbal, 'creators' AS target FROM supplier WHERE s_acctbal > 0 OR s_acctbal < 5000",
+    "seed_scan": "SELECT s_suppkey::VARCHAR AS id, CASE WHEN s_acctbal > 3000 THEN s_name ELSE 'b ' || s_name END AS name, 'pets' AS niche FROM supplier WHERE s_suppkey % 7 > 0",
     "query_groups": """WITH p AS (SELECT 'q' || page_id % 6 AS query, string_split(url, '/')[3] AS u, page_id FROM pages WHERE page_id % 6 > 0)
       SELECT query, count(*) AS n, count(DISTINCT u) AS n_urls, arg_min(u, page_id) AS first_url, min(page_id) AS place FROM p GROUP BY query""",
     "crawl_summary": "SELECT count(*) AS n, count(DISTINCT string_split(url, '/')[3]) AS n_urls, count(DISTINCT page_id % 5) AS n_agents, count(DISTINCT CASE WHEN page_id % 7 = 0 THEN (page_id % 5, page_id % 12) END) AS n_blocked FROM pages",

@@ -15,7 +15,7 @@ from .operators import brand, crawl, discovery, enrich, explorer, harvest, ident
 from .plans import rules
 from .queries import accounts, brands, creators, joined, measured, odd_urls, pairs, signals
 from .sources import tables
-from .sources.shared import shared_dir
+from .sources.shared import file_system, shared_dir
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -197,6 +197,20 @@ def seed_upsert(spark, d):
     return spark.read.parquet(f"{folder}/{name}.parquet").withColumn("target", F.lit(name))
 
 
+@query
+def seed_scan(spark, d):
+    """Two files of seeds, whose arrays nest, in the shared folder: the first file's row of an id counts, rows without a niche go."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 7 > 0, F.lit("pets")).alias("niche"), "s_acctbal")
+    folder = f"{shared_dir(spark)}/brandloom-seed-files-{uuid.uuid4().hex}"
+    paths = []
+    for name, rows, form in (("a", s.where("s_acctbal > 3000"), "[[%s]]"), ("b", s.withColumn("name", F.concat(F.lit("b "), "name")), "[%s, []]")):
+        held = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "name", "niche")))).alias("j"))
+        held.select(F.format_string(form, F.col("j")).alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+        system, place = file_system(spark, f"{folder}/{name}")
+        paths += [x.getPath().toString() for x in system.listStatus(place) if x.getPath().getName().startswith("part-")]
+    return tables.seeds(spark, paths).select("id", "name", "niche")
+
+
 # Discovery and extraction.
 
 

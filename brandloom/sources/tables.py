@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +28,32 @@ def query(spark: SparkSession, statement: str, **values) -> DataFrame:
     return spark.sql(statement, args=values)
 
 
+def _objects(text: str):
+    """The objects that JSON text holds, each as JSON, out of arrays however deep; none if it doesn't parse. A file is one row, and its depth is open, so Python walks it."""
+
+    def walk(value):
+        try:
+            left, out = [json.loads(value or "null")], []
+        except ValueError:
+            return []
+        while left:
+            x = left.pop()
+            if isinstance(x, list):
+                left += reversed(x)
+            elif isinstance(x, dict):
+                out.append(json.dumps(x))
+        return out
+
+    return F.udf(walk, "array<string>", useArrow=True)(text)
+
+
 def seeds(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Creators of JSON files, in which arrays may nest to any depth; rows without id, name or niche go, and of equal ids the first file's first counts."""
     text = spark.read.text(paths, wholetext=True).select("value", "_metadata.file_path")
-    position = F.array_position(F.lit(list(paths)), F.col("file_path"))
-    flat = F.regexp_replace("value", r"(?<=[\[,])\s*\[(?=\s*[\[{])|(?<=[\]}])\s*\](?=\s*[,\]])", "")
-    rows = text.select(F.coalesce(position, F.lit(0)).alias("file"), F.posexplode(F.from_json(flat, f"array<struct<{SEED.replace(' string', ':string').replace(' array', ':array').replace(' double', ':double').replace(' struct', ':struct').replace(', ', ',')}>>")).alias("place", "r"))
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"  # a scheme may be followed by one slash or three
+    position = F.array_position(F.lit([re.sub(bare, "/", p) for p in paths]), F.regexp_replace("file_path", bare, "/"))
+    one = F.from_json("r", SEED)
+    rows = text.select(F.coalesce(position, F.lit(0)).alias("file"), F.posexplode(_objects("value")).alias("place", "r")).select("file", "place", one.alias("r"))
     rows = rows.select("file", "place", "r.*").where("id IS NOT NULL AND name IS NOT NULL AND niche IS NOT NULL")
     first = rows.groupBy("id").agg(F.min(F.struct("file", "place")).alias("f"))
     return rows.join(first, "id").where((F.col("file") == F.col("f.file")) & (F.col("place") == F.col("f.place"))).drop("file", "place", "f")
