@@ -272,6 +272,7 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", span: int
     # As a table of its own, so that the join deals both sides anew and AQE can split a k-mer that is met very often.
     met = stored(met.where("least < most").select("edge", "least", ((F.col("p0") != F.col("p1")) | (F.col("q0") != F.col("q1"))).alias("branches")), "met")
     repeated = stored(found.join(met, "edge"), "repeated")
+    drop_stored(found, met)
 
     straight = repeated.where(~F.col("branches"))
     paths_of = compacted(stored(degrees(straight), "nodes"))
