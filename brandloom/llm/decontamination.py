@@ -120,26 +120,26 @@ class Windows:
         self.table = spark.sparkContext.broadcast(BitTable(bits, words["k"].to_numpy(), words["b"].to_numpy().view(np.uint64), sorted(r["size"] for r in measured)))
 
 
-def _scan(shared, schema):
-    """The rows, whose last column is the text, with it replaced by its word count and what the bit table nominates."""
+def _scanned(rows: DataFrame, windows: Windows, text_col: str, keep_text: bool) -> tuple[DataFrame, str, str]:
+    """rows with two columns more, and their names: the text's word count, and what the bit table nominates in it."""
+    at, shared = rows.columns.index(text_col), windows.table
+    mark = "_" * (1 + max(len(c) for c in rows.columns))  # no column has this name
+    kept = [f for i, f in enumerate(rows.schema) if keep_text or i != at]
+    schema = StructType(kept).add(f"{mark}n", "long").add(f"{mark}w", _type(NOMINEES))
+    names = schema.names
 
     def run(batches):
         table = shared.value
         for batch in batches:
             n_words, nominees = [], []
-            for text in blobs(batch.column(batch.num_columns - 1)):
+            for text in blobs(batch.column(at)):
                 words = words_of(text)
                 n_words.append(len(words))
                 nominees.append([{"window": w, "size": size, "starts": starts} for (size, w), starts in table.nominate(words).items()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(nominees, _nominees)], schema.names)
+            columns = [c for i, c in enumerate(batch.columns) if keep_text or i != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(nominees, _nominees)], names)
 
-    return run
-
-
-def _scanned(rows: DataFrame, windows: Windows) -> DataFrame:
-    """rows (one column, then the text): the column, n_words and nominees."""
-    schema = StructType([rows.schema[0]]).add("n_words", "long").add("nominees", _type(NOMINEES))
-    return rows.mapInArrow(_scan(windows.table, schema), schema)
+    return rows.mapInArrow(run, schema), names[-2], names[-1]
 
 
 def _type(ddl: str):
@@ -161,7 +161,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     """One row per document: its id, word count, positions of hit words, ids of the items found, and the verdict."""
     windows = Windows(benchmark, item_col, item_text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scanned = stored(_scanned(rows, windows).withColumn("row", F.monotonically_increasing_id()), "scanned")
+    scanned, n, w = _scanned(rows, windows, "text", False)
+    scanned = stored(scanned.select("id", F.col(n).alias("n_words"), F.col(w).alias("nominees"), F.monotonically_increasing_id().alias("row")), "scanned")
     judged = _judged(scanned, windows)
     none = lambda kind: F.array().cast(f"array<{kind}>")
     return scanned.select("row", "id", "n_words").join(judged, "row", "left").select(
@@ -194,10 +195,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove!r}")
     windows = Windows(benchmark, item_col, item_text_col)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    scanned = _scanned(docs.select(whole, F.col(text_col).alias("text")), windows)
-    clean = scanned.where(F.size("nominees") == 0).select("whole.*")
-    suspects = stored(scanned.where(F.size("nominees") > 0).withColumn("row", F.monotonically_increasing_id()), "suspects")
+    scanned, n, w = _scanned(docs, windows, text_col, True)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    clean = scanned.where(F.size(w) == 0).select(*columns)
+    suspects = scanned.where(F.size(w) > 0).select(F.struct(*columns).alias("whole"), F.col(n).alias("n_words"), F.col(w).alias("nominees"), F.monotonically_increasing_id().alias("row"))
+    suspects = stored(suspects, "suspects")
     judged = _judged(suspects, windows)
     if remove == "documents":
         return clean.unionByName(suspects.join(judged.where("contaminated"), "row", "left_anti").select("whole.*"))
