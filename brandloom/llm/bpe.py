@@ -34,11 +34,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import give_back, texts
 
 END = "</w>"
 KEPT = 250_000
 LONGEST = 64
+#: Rows that are given out at a time.
+ROWS = 100
 
 #: The splitting pattern and white space of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -252,6 +254,10 @@ class Bpe:
             return self._plain(text)
         return b"".join(np.array([self.special[p]], dtype="<u4").tobytes() if p in self.special else self._plain(p) for p in self.marks.split(text))
 
+    def forget(self) -> None:
+        """Drops the words and runs met."""
+        self.known, self.older = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         return b" ".join(map(self.strings.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -285,16 +291,17 @@ def encode(docs: DataFrame, vocabulary: str, id_col="doc_id", text_col="text") -
 
     def run(batches):
         bpe = _bpe_for(tables)
-        for batch in batches:
-            at, column = 0, batch.column(1)
-            while at < batch.num_rows:  # ids and decoded texts are several times the input
-                part = texts(column.slice(at, 500))
-                ids = [bpe.encode(t) for t in part]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 500), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())],
-                    [id_col, "n_tokens", "ids", "decoded"],
-                )
-                at += 500
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, ROWS):  # ids and decoded texts are several times the input
+                    ids = [bpe.encode(t) for t in texts(batch.column(1).slice(at, ROWS))]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(at, ROWS), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary()).cast(pa.string())],
+                        [id_col, "n_tokens", "ids", "decoded"],
+                    )
+        finally:
+            bpe.forget()
+            give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids binary, decoded string")
 

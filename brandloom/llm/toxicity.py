@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import give_back, stored, texts
 
 BITS = 20
 STEMS = (4, 5, 6)
@@ -124,6 +124,8 @@ def _count_terms(batches):
             found = np.fromiter(buckets(text, terms), dtype=np.int64)
             n[found] += 1
             toxic[found] += label
+    del terms
+    give_back()
     seen = np.flatnonzero(n)
     for at in range(0, len(seen), 50_000):
         part = seen[at : at + 50_000]
