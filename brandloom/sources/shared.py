@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,12 @@ def drop_stored(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Asks both garbage collectors to run: Spark removes a shuffle's files once nothing refers to it, and not before they do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _sweep() -> None:
     for path, spark in _written.items():
         try:
