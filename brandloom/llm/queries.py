@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, chat, decontamination, html_text, pii, sharding, simhash, substring_dedup, toxicity
+from . import audio, bpe, chat, decontamination, fill_middle, html_text, packing, pii, sharding, simhash, spelling, substring_dedup, toxicity
 from .common import stored, table
 
 
@@ -56,4 +56,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op3_substring_dedup, op4_html_text, op5_simhash, op6_chat, op7_pii, op8_audio, op9_bpe, op10_toxicity)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(spelling.variants(table(spark, sf_dir, "documents")))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.transform(table(spark, sf_dir, "documents")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    return packing.digest(packing.pack(table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json")))
+
+
+_ALL = (
+    op1_decontamination, op2_sharding, op3_substring_dedup, op4_html_text, op5_simhash, op6_chat, op7_pii, op8_audio, op9_bpe, op10_toxicity,
+    op11_spelling, op12_fill_middle, op13_packing,
+)
+
+QUERIES = {f.__name__: f for f in _ALL}
