@@ -3,8 +3,9 @@
 An account with a known slug gets that identity. A new slug opens an identity, unless its account's domain has one already:
 then it gets that one, and the slug is not recorded. An account without slug gets or opens its domain's identity, and one
 without either is queued. Only the first account of each (slug, domain) pair can change anything, so pairs are reduced to
-their first account. Pairs that share neither slug nor domain with another are settled as they are; the others are split by
-the components of the graph of slugs and domains, and folded in order in each component. All accounts are then resolved by joins.
+their first account. Of these, an account opens an identity if no earlier one that opens has its slug or its domain. So the
+openers are the greedy matching of slugs and domains in the order of the accounts, and are found by rounds of joins over all
+pairs at once, with no task for a component and nothing folded row by row. All accounts are then resolved by joins.
 """
 
 from __future__ import annotations
@@ -14,8 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host, on_host, store_slug, without_www
 from ..plans.rules import SEARCH_HOSTS, SOCIAL_HOSTS
-from ..sources.shared import stored
-from .graph import components
+from ..sources.shared import drop_stored, stored
 from .upsert import stable_id
 
 
@@ -46,46 +46,56 @@ def anchors(accounts: DataFrame, slug: Column, url: Column, text: Column) -> Dat
     })
 
 
-def _components(pairs: DataFrame) -> DataFrame:
-    """(slug, domain, order, component) over the graph of slugs and domains."""
-    slug, domain = F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain")
-    found = components(pairs.where("slug is not null and domain is not null").select(slug.alias("u"), domain.alias("v")))
-    key = F.coalesce(slug, domain)
-    return pairs.join(found, key == found["node"], "left").select("slug", "domain", "order", F.coalesce("root", key).alias("component"))
+def _least(rows: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.groupBy(F.col(key).alias(f"__{name}")).agg(F.min("order").alias(name))
 
 
-def _split(first: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs whose slug and domain are met in no other pair, and the others."""
-    counted = first
-    for name in ("slug", "domain"):
-        held = first.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias(f"__{name}"))
-        counted = counted.join(held, name, "left")
-    alone = F.coalesce(F.greatest("__slug", "__domain"), F.lit(1)) == 1
-    counted = stored(counted.select("slug", "domain", "order", alone.alias("alone")), "pairs")
-    return counted.where("alone").drop("alone"), counted.where("not alone").drop("alone")
+def _openers(pairs: DataFrame) -> DataFrame:
+    """The pairs (slug, domain, order) that open an identity; pairs: a stored table, an order occurs once.
 
-
-def _fold(rows):
-    slugs, domains, out = {}, {}, []
-    for r in rows.sort_values("order", kind="stable").itertuples(index=False):
-        slug, domain = r.slug if isinstance(r.slug, str) else None, r.domain if isinstance(r.domain, str) else None
-        if slug is not None and slug not in slugs:
-            if domain is not None and domain in domains:
-                continue  # the account joins its domain's identity, and the slug stays unrecorded
-            slugs[slug] = f"s:{slug}"
-            out.append(("slug", slug, slugs[slug], r.order))
-            if domain is not None:
-                domains[domain] = slugs[slug]
-                out.append(("domain", domain, slugs[slug], r.order))
-        elif slug is None and domain is not None and domain not in domains:
-            domains[domain] = f"d:{domain}"
-            out.append(("domain", domain, domains[domain], r.order))
-    import pandas as pd
-
-    return pd.DataFrame(out, columns=["kind", "name", "anchor", "since"])
-
-
-KNOWN = "kind string, name string, anchor string, since long"
+    Rounds: a pair that is the first of its slug and of its domain, among those left, opens; what shares a slug or domain with
+    it goes. Where most pairs wait for one other pair each (accounts that name a slug and a domain by turns), a round decides
+    few of them; then such chains are followed as well, by pointer doubling, since every other pair of a chain opens.
+    """
+    one = lambda c, other: F.coalesce(F.concat(F.lit("="), c), F.concat(F.lit(other), "order"))  # noqa: E731  without a slug: a key of its own
+    left = stored(pairs.withColumns({"by_slug": one("slug", "s"), "by_domain": one("domain", "d")}), "left")
+    found, n, chained = None, left.count(), False
+    while n:
+        marked = left.join(_least(left, "by_slug", "slug_first"), F.col("by_slug") == F.col("__slug_first")).join(_least(left, "by_domain", "domain_first"), F.col("by_domain") == F.col("__domain_first"))
+        marked = marked.select(*left.columns, "slug_first", "domain_first")
+        if chained:
+            marked = stored(marked, "marked")
+            opens = stored(_chained(marked), "opens")
+        else:
+            opens = stored(marked.where("order = slug_first and order = domain_first").select(*left.columns), "opens")
+        found = opens if found is None else found.unionByName(opens)
+        rest = stored(left.join(opens.select("by_slug"), "by_slug", "left_anti").join(opens.select("by_domain"), "by_domain", "left_anti").select(*left.columns), "left")
+        drop_stored(left, marked)
+        before, left, n = n, rest, rest.count()
+        chained = 2 * n > before
+    return pairs.limit(0) if found is None else found.select("slug", "domain", "order")
+
+
+def _chained(marked: DataFrame) -> DataFrame:
+    """The pairs that open by themselves, and those that open or not as one other pair does not or does."""
+    later = lambda key, name: _least(marked.where(F.col("order") > F.col(f"{name}_first")), key, f"{name}_second")
+    both = marked.join(later("by_slug", "slug"), F.col("by_slug") == F.col("__slug_second"), "left").join(later("by_domain", "domain"), F.col("by_domain") == F.col("__domain_second"), "left")
+    waits = F.when((F.col("order") == F.col("slug_first")) & (F.col("order") == F.col("domain_second")), F.col("domain_first")).when((F.col("order") == F.col("domain_first")) & (F.col("order") == F.col("slug_second")), F.col("slug_first"))
+    opens = (F.col("order") == F.col("slug_first")) & (F.col("order") == F.col("domain_first"))
+    chains = stored(both.select("by_slug", "by_domain", "slug", "domain", "order", waits.alias("at"), opens.alias("opens")).where("opens or at is not null"), "chains")
+    steps = stored(chains.where("not opens").select("order", "at", F.lit(1).alias("steps")), "steps")
+    while True:
+        ahead = steps.select(F.col("order").alias("__order"), F.col("at").alias("__at"), F.col("steps").alias("__steps"))
+        joined = steps.join(ahead, F.col("at") == F.col("__order"), "left")
+        further = stored(joined.select("order", F.coalesce("__at", "at").alias("at"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.col("__at").isNotNull().alias("moved")), "steps")
+        moved = further.where("moved").limit(1).count()
+        drop_stored(steps)
+        steps = further.drop("moved")
+        if not moved:
+            break
+    roots = chains.where("opens").select(F.col("order").alias("at"))
+    even = steps.where("steps % 2 = 0").join(roots, "at", "left_semi").select("order")
+    return chains.join(even.unionByName(roots.withColumnRenamed("at", "order")), "order", "left_semi").select("slug", "domain", "order", "by_slug", "by_domain")
 
 
 def resolve(accounts: DataFrame, order: str, known: DataFrame | None = None) -> DataFrame:
@@ -106,11 +116,10 @@ def _resolved(accounts: DataFrame, order: str, known: DataFrame | None) -> tuple
     # A known slug or domain opens nothing; only the rest is folded.
     open_rows = rows.where(F.coalesce("__known_slug", "__known_domain").isNull() & F.coalesce("slug", "domain").isNotNull())
     first = open_rows.groupBy("slug", "domain").agg(F.min(order).alias("order"))
-    alone, shared = _split(first)
+    openers = _openers(stored(first, "pairs"))
     anchor = F.coalesce(F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain"))
     entry = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"), anchor.alias("anchor"), F.col("order").alias("since"))
-    plain = alone.select(F.explode(F.array(entry("slug"), entry("domain"))).alias("e")).select("e.*").where("name is not null")
-    opened = stored(_components(shared).groupBy("component").applyInPandas(_fold, KNOWN).unionByName(plain), "identities")
+    opened = openers.select(F.explode(F.array(entry("slug"), entry("domain"))).alias("e")).select("e.*").where("name is not null")
     by_slug = opened.where("kind = 'slug'").select(F.col("name").alias("slug"), F.col("anchor").alias("__s"), F.col("since").alias("__s_since"))
     by_domain = opened.where("kind = 'domain'").select(F.col("name").alias("domain"), F.col("anchor").alias("__d"))
     joined = rows.join(by_slug, "slug", "left").join(by_domain, "domain", "left")

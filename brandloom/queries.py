@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, text, urls
-from .operators import brand, discovery, explorer, identity, importer, ranking, scoring, social, upsert
+from .operators import brand, discovery, explorer, identity, importer, matching, ranking, scoring, social, upsert
 from .plans import rules
 from .sources.tables import table
 from .streaming import ingest
@@ -150,7 +150,7 @@ def priority_boost_top3(spark, d):
 
 @query
 def match_total_top12(spark, d):
-    p = ranking.top_k(pairs(spark, d).select("brand_id", "creator_id", "total", "boost", "reasons", "best_platform"), ["brand_id"], [F.desc("total"), F.col("creator_id")], 12)
+    p = matching.top_matches(brands(spark, d), creators(spark, d), "brand_id", "creator_id", 12)
     return p.select("brand_id", "creator_id", F.col("rank").cast("long").alias("rank"), "total", joined(F.col("reasons")).alias("reasons"), "best_platform")
 
 
