@@ -14,7 +14,7 @@ The tables are of distinct phrases, so that what travels follows the vocabulary
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, overlap, phrase_similarity, tokens
@@ -34,51 +34,50 @@ def _phrases(df: DataFrame, by: str, column: str, name: str) -> DataFrame:
     return df.select(F.col(by).alias("by"), F.col(column).alias(name)).where(F.col(name).isNotNull()).distinct().withColumn(f"{name}_tokens", tokens(name))
 
 
-def _ranked(phrases: DataFrame, name: str, rarity: DataFrame) -> DataFrame:
-    """by, name, token, place (from 1, the rarest first) and size."""
-    own = Window.partitionBy("by", name)
-    each = phrases.select("by", name, F.explode(f"{name}_tokens").alias("token")).join(rarity, ["by", "token"])
-    return each.select("by", name, "token", F.row_number().over(own.orderBy("often", "token")).alias(f"{name}_place"), F.count("*").over(own).alias(f"{name}_size"))
-
+def _grams(text: Column, size: int) -> Column:
+    n = F.length(text) - size + 1
+    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(size))))
 
-def _share(least: float, size: Column) -> Column:
-    """Tokens of `size` that must be shared for a part of at least `least` of them."""
-    return F.greatest(F.ceil(size * least - 1e-9), F.lit(1))
 
+def _features(phrases: DataFrame, name: str, contains: Column, own: str, other: str) -> DataFrame:
+    """by, name, role and feature: what a phrase can be met by. own, other: marks of the grams by which it is contained, and contains.
 
-def _token_candidates(left: DataFrame, right: DataFrame, by_jaccard: Column, least: float) -> DataFrame:
-    every = left.select("by", F.explode("a_tokens").alias("token")).unionByName(right.select("by", F.explode("b_tokens").alias("token")))
-    rarity = every.groupBy("by", "token").agg(F.count("*").alias("often"))
-    pairs = _ranked(left, "a", rarity).join(_ranked(right, "b", rarity), ["by", "token"])
-    first = lambda side: F.col(f"{side}_place") <= F.col(f"{side}_size") - _share(least, F.col(f"{side}_size")) + 1
-    sizes = (F.col("a_size") >= least * F.col("b_size") - 1e-9) & (F.col("b_size") >= least * F.col("a_size") - 1e-9)
-    smaller = F.when(F.col("a_size") <= F.col("b_size"), first("a")).otherwise(first("b"))
-    return pairs.where(F.when(by_jaccard, first("a") & first("b") & sizes).otherwise(smaller)).select("by", "a", "b")
+    Roles: `t` a token, `i` a gram of a phrase that may be contained (one is enough), `c` a gram of a phrase that may contain.
+    """
+    text = F.col(name)
+    marked = lambda role, mark, xs: F.transform(xs, lambda x: F.struct(F.lit(role).alias("role"), F.concat(F.lit(mark), x).alias("feature")))
+    inner = F.when(F.length(text) >= GRAM, _grams(text, GRAM)).otherwise(F.array(text))
+    outer = F.flatten(F.array(*[_grams(text, n) for n in range(1, GRAM + 1)]))
+    grams = F.when(contains & (text != ""), F.concat(marked("i", own, inner), marked("c", other, outer)))
+    none = F.when(F.size(f"{name}_tokens") == 0, marked("t", "e:", F.array(text)))  # equal phrases without tokens
+    found = F.concat(marked("t", "t:", F.col(f"{name}_tokens")), *[F.coalesce(x, F.array().cast("array<struct<role:string,feature:string>>")) for x in (grams, none)])
+    return phrases.select("by", name, F.explode(found).alias("x")).select("by", name, "x.*")
 
 
-def _grams(text: Column, size: int) -> Column:
-    n = F.length(text) - size + 1
-    return F.array_distinct(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(size))))
+def _share(least: float, size: Column) -> Column:
+    """Tokens of `size` that must be shared for a part of at least `least` of them."""
+    return F.greatest(F.ceil(size * least - 1e-9), F.lit(1))
 
 
-def _contained(inner: DataFrame, x: str, outer: DataFrame, y: str) -> DataFrame:
-    """(by, x, y) where y contains x."""
-    sizes = range(1, GRAM + 1)
-    held = outer.select("by", y, F.explode(F.flatten(F.array(*[_grams(F.col(y), n) for n in sizes]))).alias("gram"))
-    often = held.groupBy("by", "gram").agg(F.count("*").alias("often"))
-    own = F.when(F.length(x) == 1, _grams(F.col(x), 1)).when(F.length(x) == 2, _grams(F.col(x), 2)).otherwise(_grams(F.col(x), GRAM))
-    asked = inner.where(F.col(x) != "").select("by", x, F.explode(own).alias("gram")).join(often, ["by", "gram"], "left")
-    rarest = asked.groupBy("by", x).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("g")).where("g.often > 0").select("by", x, F.col("g.gram").alias("gram"))
-    return rarest.join(held, ["by", "gram"]).where(F.contains(F.col(y), F.col(x))).select("by", x, y)
+def _placed(features: DataFrame, name: str, rarity: DataFrame) -> DataFrame:
+    """Features with their place (from 1, the rarest first) among those of a role, and their number; of role `i` the rarest alone."""
+    ordered = features.join(rarity, ["by", "feature"]).groupBy("by", name, "role").agg(F.array_sort(F.collect_list(F.struct("often", "feature"))).alias("fs"))
+    chosen = F.when(F.col("role") == "i", F.slice("fs", 1, 1)).otherwise(F.col("fs"))
+    each = ordered.select("by", name, F.size("fs").alias(f"{name}_size"), F.posexplode(chosen).alias("place", "f"))
+    return each.select("by", name, F.col("f.feature").alias("feature"), (F.col("place") + 1).alias(f"{name}_place"), f"{name}_size")
 
 
 def _candidates(left: DataFrame, right: DataFrame, measures: dict[str, str], least: float) -> DataFrame:
     named = lambda kind: F.col("by").isin([by for by, m in measures.items() if m == kind])
-    found = _token_candidates(left, right, named("jaccard"), least).unionByName(left.join(right, (left["by"] == right["by"]) & (F.col("a") == F.col("b"))).select(left["by"], "a", "b"))
-    if "phrase" in measures.values():
-        here, there = left.where(named("phrase")), right.where(named("phrase"))
-        found = found.unionByName(_contained(here, "a", there, "b")).unionByName(_contained(there, "b", here, "a").select("by", "a", "b"))
-    return found.distinct()
+    a, b = _features(left, "a", named("phrase"), "l:", "r:"), _features(right, "b", named("phrase"), "r:", "l:")
+    rarity = a.select("by", "feature").unionByName(b.select("by", "feature")).groupBy("by", "feature").agg(F.count("*").alias("often"))
+    pairs = _placed(a, "a", rarity).join(_placed(b, "b", rarity), ["by", "feature"])
+    first = lambda side: F.col(f"{side}_place") <= F.col(f"{side}_size") - _share(least, F.col(f"{side}_size")) + 1
+    sizes = (F.col("a_size") >= least * F.col("b_size") - 1e-9) & (F.col("b_size") >= least * F.col("a_size") - 1e-9)
+    smaller = F.when(F.col("a_size") <= F.col("b_size"), first("a")).otherwise(first("b"))
+    by_tokens = F.when(named("jaccard"), first("a") & first("b") & sizes).otherwise(smaller)
+    held = F.when(F.col("feature").startswith("l:"), F.contains("b", F.col("a"))).when(F.col("feature").startswith("r:"), F.contains("a", F.col("b"))).otherwise(by_tokens)
+    return pairs.where(held).select("by", "a", "b").distinct()
 
 
 def alike_by(left: DataFrame, right: DataFrame, by: str, measures: dict[str, str], least: float = 0.0, left_col="phrase", right_col="phrase") -> DataFrame:

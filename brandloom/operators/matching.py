@@ -14,12 +14,12 @@ that reaches the threshold (a brand that wants nothing, a pool smaller than k),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp
 from ..plans.rules import MODULES
-from ..sources.shared import drop_stored, stored
+from ..sources.shared import stored
 from . import likeness, scoring
 from .ranking import top_k
 
@@ -71,8 +71,8 @@ def _reaches(parts: dict[str, tuple[Column, Column, Column]], boost: Column, thr
     return total >= -1e-9
 
 
-def _brand_bounds(brands: DataFrame, wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """What is known of a brand whoever the creator is: sizes of its lists, and what weaker phrases could give."""
+def _brand_bounds(brands: DataFrame, wanted: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is known of a brand whoever the creator is: sizes of its lists, and what weaker phrases could give, in all and by phrase."""
     weak = vocabulary.where(F.col("likeness") < STRONG).groupBy("kind", "a").agg(F.max("likeness").alias("weak"))
     rest = F.when(F.col("kind") == "priority", F.coalesce("weak", F.lit(0.0))).otherwise(F.coalesce("weak", F.lit(WEAK)))  # below WEAK there is no boost
     each = wanted.join(weak.withColumnRenamed("a", "phrase"), ["kind", "phrase"], "left").select("__b", "kind", "at", rest.alias("rest"))
@@ -145,21 +145,20 @@ def top_matches(brands: DataFrame, creators: DataFrame, brand_id: str, creator_i
     creators = stored(scoring.prepare_creators(creators).withColumn("__c", F.monotonically_increasing_id()), "creators")
     pairs, thresholds = _candidates(brands, creators, k)
     order = [F.desc("total"), F.col(creator_id)]
-    found = top_k(_scored(pairs.select("__b", "__c"), brands, creators), ["b_"], order, k).drop("b_", "c_")
-    still_open = stored(thresholds.where("reached").join(brands, "__b").select(*[c for c in brands.columns if not c.startswith("__")]), "open")
-    if not still_open.limit(1).count():
+    found = top_k(_scored(pairs, brands, creators), ["b_"], order, k).drop("b_", "c_")
+    if not thresholds.where("reached").limit(1).count():
         return found
+    still_open = stored(thresholds.where("reached").join(brands, "__b").select(*[c for c in brands.columns if not c.startswith("__")]), "open")
     rest = top_k(scoring.score_all(still_open, raw), [brand_id], order, k)
     return found.join(still_open.select(brand_id), brand_id, "left_anti").unionByName(rest.select(*found.columns))
 
 
 def _candidates(brands: DataFrame, creators: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """The pairs that can be among the k best, and for each brand whether a creator beyond them might."""
-    wanted, offered = stored(_exploded(brands, "__b", 0), "wanted"), _exploded(creators, "__c", 1)
+    wanted, offered = _exploded(brands, "__b", 0), _exploded(creators, "__c", 1)
     words = stored(offered.select("kind", "phrase").distinct(), "phrases")
     vocabulary = stored(_vocabulary(wanted, words), "vocabulary")
     bounds, rests = _brand_bounds(brands, wanted, vocabulary)
-    bounds = stored(bounds, "bounds")
     strong = vocabulary.where((F.col("likeness") >= STRONG) | (F.col("kind") == "niche"))
     lists = wanted.join(rests, ["__b", "kind", "at"]).join(strong.withColumnRenamed("a", "phrase"), ["kind", "phrase"]).select("__b", "kind", "at", "rest", "likeness", "sure", F.col("b").alias("phrase"))
     postings = offered.drop("at").join(lists, ["kind", "phrase"])
@@ -181,4 +180,4 @@ def _candidates(brands: DataFrame, creators: DataFrame, k: int) -> tuple[DataFra
     reached = _reaches(_unmatched_parts(), _boost(F.col("weak_n"), F.col("weak_most")), F.col("threshold"))
     thresholds = stored(threshold.select("__b", "threshold", reached.alias("reached")), "thresholds")
     kept = seen.join(thresholds, "__b").where(~F.col("reached") & _reaches(parts, F.col("boost_most"), F.col("threshold")))
-    return kept, thresholds
+    return stored(kept.select("__b", "__c"), "kept"), thresholds

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,20 +27,53 @@ def file_system(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends; else they stay until the driver collects its garbage.
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession):
+    """Within it, what is executed leaves no shuffle files behind."""
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLES_GO, before) if before is not None else spark.conf.unset(_SHUFFLES_GO)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and a lost executor costs no recomputation.
+    """df as a table in the shared folder: its lineage ends there, a lost executor costs no recomputation, and its shuffles' files are gone.
 
     The table goes with drop_stored, or when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brandloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def kept(spark: SparkSession, name: str, make) -> DataFrame:
+    """The table of that name in the shared folder; if it isn't there, make() is written beside it and renamed, so that readers find it whole or not at all.
+
+    It stays. A name should hold a digest of what the table follows from.
+    """
+    path = f"{shared_dir(spark)}/brandloom-{name}"
+    system, place = file_system(spark, path)
+    if not system.exists(place):
+        new = f"{shared_dir(spark)}/_brandloom-{name}-{uuid.uuid4().hex}"
+        with shuffles_go(spark):
+            make().write.parquet(new)
+        # Where another session has been faster, the rename fails, or puts this one under its hidden name into that table.
+        if system.exists(place) or not system.rename(file_system(spark, new)[1], place):
+            _delete(spark, new)
+    return spark.read.parquet(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     system, place = file_system(spark, path)
     system.delete(place, True)
@@ -54,12 +87,6 @@ def drop_stored(*tables: DataFrame) -> None:
             _delete(_written.pop(path), path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Asks both garbage collectors to run: Spark removes a shuffle's files once nothing refers to it, and not before they do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _sweep() -> None:
     for path, spark in _written.items():
         try:
