@@ -31,10 +31,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, texts
+from .common import give_back, kept, sha256, texts
 
 END = "</w>"
 KEPT = 250_000
@@ -82,27 +82,49 @@ def library_words(rules: str, text: str) -> list[str]:
     return [word for word, _ in split(normalize(text))]
 
 
-@functools.lru_cache(maxsize=2)
-def odd_points(rules: str) -> frozenset[str]:
-    """The characters on which this module and the library differ: by class, by case, by order among marks, or by composition."""
-    letters, split, spaces = _byte_letters(), regex.compile(SPLIT).findall, regex.compile(SPACE + "+")
-
-    def differ(text: str) -> bool:
-        return ["".join(map(letters.__getitem__, w.encode())) for r in runs_of(text, spaces) for w in split(r)] != library_words(rules, text)
-
-    def probe(c: str) -> str:  # what has no name has no place among marks either
-        return f"a{c}b {c}! " if unicodedata.category(c) == "Cn" else f"a{c}b {c}! a\u0301{c}\u0323b a{c}\u0301b "
-
-    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+def _odd_among(points: list[str], differ, probe) -> set[str]:
+    """Of some characters those on which this module and the library differ, and those that compose differently."""
     found: set[str] = set()
-    for at in range(0, len(points), 256):
-        part = points[at : at + 256]
-        if differ("".join(map(probe, part))):
-            found.update(c for c in part if differ(probe(c)))
+    if differ("".join(map(probe, points))):
+        found.update(c for c in points if differ(probe(c)))
     for c in points:
         if unicodedata.decomposition(c) and (parts := unicodedata.normalize("NFD", c)) != c and differ(parts):
             found.update(parts)
-    return frozenset(found)
+    return found
+
+
+def _odd_blocks(rules: str):
+    """The odd characters of blocks of 256 code points."""
+
+    def run(batches):
+        letters, split, spaces = _byte_letters(), regex.compile(SPLIT).findall, regex.compile(SPACE + "+")
+
+        def differ(text: str) -> bool:
+            return ["".join(map(letters.__getitem__, w.encode())) for r in runs_of(text, spaces) for w in split(r)] != library_words(rules, text)
+
+        def probe(c: str) -> str:  # what has no name has no place among marks either
+            return f"a{c}b {c}! " if unicodedata.category(c) == "Cn" else f"a{c}b {c}! a\u0301{c}\u0323b a{c}\u0301b "
+
+        for batch in batches:
+            found: set[str] = set()
+            for block in batch.column(0).to_pylist():
+                if points := [chr(c) for c in range(block << 8, block + 1 << 8) if not 0xD800 <= c < 0xE000]:
+                    found |= _odd_among(points, differ, probe)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["c"])
+
+    return run
+
+
+def odd_points(spark: SparkSession, rules: str) -> frozenset[str]:
+    """The characters on which this module and the library differ: by class, by case, by order among marks, or by composition.
+
+    Every code point is compared, by tasks, once for the rules and versions; the result stays in the shared folder.
+    """
+    import tokenizers
+
+    name = sha256("|".join([rules, SPLIT, SPACE, tokenizers.__version__, unicodedata.unidata_version, regex.__version__, "1"]).encode())[:24]
+    blocks = lambda: spark.range(0, 0x110000 >> 8, 1, 68).mapInArrow(_odd_blocks(rules), "c string").distinct()
+    return frozenset(r.c for r in kept(spark, f"odd-{name}", blocks).collect())  # code points at most
 
 
 class Bpe:
@@ -273,13 +295,13 @@ def _bpe_for(tables) -> Bpe:
     return _built[name]
 
 
-def read_vocabulary(path: str) -> tuple[dict[str, int], list[list[str]], dict[str, int], frozenset[str], str]:
+def read_vocabulary(spark: SparkSession, path: str) -> tuple[dict[str, int], list[list[str]], dict[str, int], frozenset[str], str]:
     """What Bpe takes: tokens, merges, special tokens, odd characters, and the file's rules without its tokens."""
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     rules = json.dumps({**file, "model": {**file["model"], "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None})
     merges = [list(m) if not isinstance(m, str) else m.split(" ") for m in file["model"]["merges"]]
-    return file["model"]["vocab"], merges, {t["content"]: t["id"] for t in file["added_tokens"]}, odd_points(rules), rules
+    return file["model"]["vocab"], merges, {t["content"]: t["id"] for t in file["added_tokens"]}, odd_points(spark, rules), rules
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col="doc_id", text_col="text") -> DataFrame:
@@ -287,7 +309,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col="doc_id", text_col="text") -
 
     vocabulary: path of the vocabulary file on the driver; its tables, whose size the file fixes, are broadcast.
     """
-    tables = docs.sparkSession.sparkContext.broadcast((vocabulary, *read_vocabulary(vocabulary)))
+    tables = docs.sparkSession.sparkContext.broadcast((vocabulary, *read_vocabulary(docs.sparkSession, vocabulary)))
 
     def run(batches):
         bpe = _bpe_for(tables)

@@ -7,7 +7,7 @@ import hashlib
 
 import pyarrow as pa
 
-from ..sources.shared import drop_stored, let_go, shared_dir, stored
+from ..sources.shared import drop_stored, kept, shared_dir, stored
 from ..sources.tables import table
 
 
@@ -32,4 +32,4 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-__all__ = ["blobs", "drop_stored", "give_back", "let_go", "sha256", "shared_dir", "stored", "table", "texts"]
+__all__ = ["blobs", "drop_stored", "give_back", "kept", "sha256", "shared_dir", "stored", "table", "texts"]

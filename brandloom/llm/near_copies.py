@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.graph import components
-from .common import blobs, let_go, stored
+from .common import blobs, drop_stored, stored
 from .simhash import LOWER, anchors
 
 SHINGLE = 5
@@ -251,16 +251,16 @@ def links_of(texts: DataFrame, least: float = LEAST, weight: int | None = None)
     weight = weight or WEIGHT
     spread = texts.select("n", "text").mapInArrow(_replicate, "anchor long, n long, signature long")
     near = spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "u long, v long").distinct()
-    groups = components(near)
-    del spread, near
-    let_go(texts.sparkSession)  # the anchors' shuffle is as large as the documents
+    groups = components(near)  # stores the links first: the anchors' shuffle, as large as the documents, goes with that
     # Words bound shingles from above.
     members = stored(texts.join(groups, texts["n"] == groups["node"]).select("n", "text", "root", (F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"\S", "")) + 1).alias("w")), "members")
     heavy = members.groupBy("root").agg(F.ceil(F.sum("w") * 2 / weight).cast("int").alias("blocks")).where("blocks > 2")
     dealt = members.join(heavy, "root", "left").withColumn("own", F.pmod(F.xxhash64("n"), F.coalesce("blocks", F.lit(1))).cast("int"))
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
     units = dealt.select("root", "n", "text", "own", other.alias("other")).select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "n", "text")
-    return units.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(_decide(least), "u long, v long").distinct()
+    found = stored(units.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(_decide(least), "u long, v long").distinct(), "alike")
+    drop_stored(members)
+    return found
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
@@ -272,10 +272,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataF
     digested = rows.mapInArrow(_digests, f"id {kind}, text string, key binary")
     chosen = digested.join(distinct.withColumnRenamed("key", "k"), (F.col("id") == F.col("first")) & (F.col("key") == F.col("k")))
     texts = stored(chosen.groupBy("n").agg(F.min("text").alias("text")), "texts")
-    del digested, chosen
-    let_go(docs.sparkSession)
     found = components(links_of(texts, least))
-    let_go(docs.sparkSession)
+    drop_stored(texts)
     rooted = distinct.join(found, distinct["n"] == found["node"], "left").select("key", F.struct(F.col("first").alias("id"), F.col("key").alias("key")).alias("first"), F.coalesce("root", "n").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("least")), "root").select("key", "least")
     return keys.join(named, "key")

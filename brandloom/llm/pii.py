@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import kept
 
 KINDS = ("email", "ip", "card", "phone")
 WIDTH = 96
@@ -339,14 +339,10 @@ def network(spark: SparkSession) -> Network:
     """The trained network: from the shared folder, or else trained here and put there."""
     with open(__file__, "rb") as f:
         name = hashlib.sha256(f.read() + f"{KINDS}{WIDTH}{HIDDEN}{SAMPLES}{EPOCHS}{BATCH}{RATE}".encode()).hexdigest()[:24]
-    path = f"{shared_dir(spark)}/brandloom-pii-{name}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    rows = lambda: [(k, list(v.shape), bytearray(v.astype(np.float32).tobytes())) for k, v in trained().p.items()]
+    stored = kept(spark, f"pii-{name}", lambda: spark.createDataFrame(rows(), "name string, shape array<int>, numbers binary").coalesce(1))
     out = Network()
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        out.p = {r.name: np.frombuffer(r.numbers, dtype=np.float32).reshape(r.shape) for r in spark.read.parquet(path).collect()}  # a dozen rows
-        return out
-    out = trained()
-    spark.createDataFrame([(k, list(v.shape), bytearray(v.astype(np.float32).tobytes())) for k, v in out.p.items()], "name string, shape array<int>, numbers binary").coalesce(1).write.mode("overwrite").parquet(path)
+    out.p = {r.name: np.frombuffer(r.numbers, dtype=np.float32).reshape(r.shape) for r in stored.collect()}  # a dozen rows
     return out
 
 

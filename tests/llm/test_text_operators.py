@@ -256,8 +256,8 @@ def test_gradients_of_the_network():
 
 
 @pytest.fixture(scope="module")
-def coder():
-    return bpe.Bpe(*bpe.read_vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+def coder(spark):
+    return bpe.Bpe(*bpe.read_vocabulary(spark, public_tokenizers.path("word_bpe_49k.json")))
 
 
 @pytest.fixture(scope="module")
