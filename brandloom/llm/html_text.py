@@ -5,15 +5,18 @@ decoded. What the elements hold that are never main text (menus, page headers, f
 reader comments, scripts, styles) becomes lines without text. Such elements are known by their tags, or by a class, id or
 role that is one of the words of HINTS as a whole, or is made of them and of words of place (NEUTRAL) only.
 
-A line weighs the characters that it has outside links; a paragraph or heading weighs a full surge more, however short and
-linked or not, as no menu is made of them. Weights are summed in sliding windows of BLOCK lines. The surge that begins text is
-half of the page's densest window of characters, SURGE at most: text begins at a line that has a quarter of it itself and
-whose window reaches it, and ends where the window's sum dives under half of it. What lies between is kept, whole and in
-order, linked lines and short ones included, but for headings at the very end, which head nothing, and stretches that have
-no more characters than a surge.
-
-Where a page marks its main part (article or main) and this has text, the lines in it weigh a full surge each and the others
-nothing, so that the stretches are the marked part. Other pages go by their distribution alone.
+A line weighs the characters that it has outside links. A paragraph or heading weighs a full surge more, however short and
+linked or not, as no menu is made of them; an unlinked list item weighs half of one more once text has begun, so that a list
+goes on with a text but begins none. Where a page marks its main part (article or main), the mark counts in their stead: a line in it weighs
+a full surge more, whatever its tag, and a line outside of it weighs an eighth of its characters (OUTSIDE). Weights are summed
+in sliding windows of BLOCK lines, and the windows decide on every page. The surge that begins text is half of the page's
+densest window of characters, SURGE at most: text begins at a line that has a quarter of it itself and whose window reaches
+it, and ends where the window's sum dives under half of it. What lies between is kept, whole and in order, linked lines and
+short ones included, but for unmarked headings at the very end, which head nothing, and unmarked stretches that have no more
+characters than a surge.
+
+Classes and roles are read of all elements, ids only of those outside a marked main part and of no heading, since sites make
+ids of a heading's words.
 
 Edge cases: a null or empty page gives an empty text. Unclosed and stray tags, unclosed comments and scripts, and tags
 cut off at the end are read as browsers do, more or less; nothing raises. Very long pages take time in proportion. Repeated
@@ -33,6 +36,8 @@ from .common import texts
 
 BLOCK = 3
 SURGE = 80
+#: A line outside a marked main part weighs its characters over so many.
+OUTSIDE = 8
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -61,8 +66,10 @@ NEUTRAL = _words(
 )
 
 
-def _is_hint(attributes: str) -> bool:
-    for _, a, b, c in _attribute.findall(attributes):
+def _is_hint(attributes: str, ids: bool = True) -> bool:
+    for named, a, b, c in _attribute.findall(attributes):
+        if not ids and named.lower() == "id":
+            continue
         for name in (a or b or c).lower().split():
             parts = [x for x in re.split(r"[_-]+", name) if x and not x.isdigit()]
             if not HINTS.isdisjoint(parts) and all(x in HINTS or x in NEUTRAL for x in parts):
@@ -127,7 +134,7 @@ class Lines:
             self.links = 0 if closes else 1
             return
         if name not in BLOCKS and name not in SKIPPED:
-            if not closes and name == "span" and _is_hint(attributes):
+            if not closes and name == "span" and _is_hint(attributes, ids=not self.main):
                 self.skip, self.depth = name, 1
             return
         self._end_line()
@@ -136,7 +143,7 @@ class Lines:
         if closes:
             if name in ("article", "main"):
                 self.main = max(0, self.main - 1)
-        elif name in SKIPPED or (name == "header" and not self.main) or (name not in ("html", "body", "main") and _is_hint(attributes)):
+        elif name in SKIPPED or (name == "header" and not self.main) or (name not in ("html", "body", "main") and _is_hint(attributes, ids=not self.main and name not in HEADINGS)):
             self.skip, self.depth = name, 1
         elif name in ("article", "main"):
             self.main += 1
@@ -147,15 +154,16 @@ def surge_of(plain: list[int]) -> int:
     return max(1, min(SURGE, max((sum(plain[i : i + BLOCK]) for i in range(len(plain))), default=0) // 2))
 
 
-def between(weights: list[int], surge: int) -> list[tuple[int, int]]:
-    """(first, end) of the stretches from a surge of the windows' sums to their dive."""
-    upto = [0, *accumulate(weights)]
+def between(weights: list[int], surge: int, begins: list[int] | None = None) -> list[tuple[int, int]]:
+    """(first, end) of the stretches from a surge of the windows' sums to their dive. begins: the weights that a surge is made of, if others."""
+    begins = weights if begins is None else begins
+    upto, rising = [0, *accumulate(weights)], [0, *accumulate(begins)]
     n, found, begin = len(weights), [], None
     for i in range(n):
-        total = upto[min(i + BLOCK, n)] - upto[i]
-        if begin is None and total >= surge and 4 * weights[i] >= surge:
+        end = min(i + BLOCK, n)
+        if begin is None and rising[end] - rising[i] >= surge and 4 * begins[i] >= surge:
             begin = i
-        elif begin is not None and 2 * total < surge:
+        elif begin is not None and 2 * (upto[end] - upto[i]) < surge:
             found.append((begin, i))
             begin = None
     return found if begin is None else [*found, (begin, n)]
@@ -164,15 +172,19 @@ def between(weights: list[int], surge: int) -> list[tuple[int, int]]:
 def main_text(page: str) -> str:
     lines = Lines(page).lines
     plain = [n for _, n, _, _ in lines]
-    if any(main and n for _, n, _, main in lines) or not any(plain):
-        found = between([int(main) for *_, main in lines], 1)
-        return "\n\n".join(text for first, end in found for text, _, _, main in lines[first:end] if text and main)
     surge = surge_of(plain)
+    marked = [bool(main and text) for text, _, _, main in lines]
+    if any(m and n for m, n in zip(marked, plain, strict=True)) or not any(plain):
+        weights = begins = [n + surge if m else n // OUTSIDE for m, n in zip(marked, plain, strict=True)]
+    else:
+        marked = [False] * len(lines)
+        begins = [n + surge * (tag in FULL) for _, n, tag, _ in lines]
+        weights = [w + (surge + 1) // 2 if tag == "li" and n else w for w, (_, n, tag, _) in zip(begins, lines, strict=True)]
     kept = []
-    for first, end in between([n + surge * (tag in FULL) for _, n, tag, _ in lines], surge):
-        while end > first and (lines[end - 1][0] is None or lines[end - 1][2] in HEADINGS):
+    for first, end in between(weights, surge, begins):
+        while end > first and not marked[end - 1] and (lines[end - 1][0] is None or lines[end - 1][2] in HEADINGS):
             end -= 1
-        if sum(plain[first:end]) >= surge:
+        if any(marked[first:end]) or sum(plain[first:end]) >= surge:
             kept += [text for text, *_ in lines[first:end] if text]
     return "\n\n".join(kept)
 

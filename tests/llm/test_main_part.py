@@ -59,13 +59,14 @@ def test_windows_decide_on_unmarked_pages():
     assert lines_of("<div>Only this</div>") == ["Only this"]
 
 
-def brute_between(weights, surge):
+def brute_between(weights, surge, begins=None):
     """Line by line, by the text of the module."""
+    begins = begins or weights
     sums = [sum(weights[i : i + html_text.BLOCK]) for i in range(len(weights))]
     inside, found = False, []
     for i, s in enumerate(sums):
         if not inside:
-            inside = s >= surge and weights[i] >= surge / 4
+            inside = sum(begins[i : i + html_text.BLOCK]) >= surge and begins[i] >= surge / 4
         elif s < surge / 2:
             inside = False
         found.append(inside)
@@ -89,7 +90,8 @@ def test_pages_against_brute_force(blocks):
         assert html_text.main_text(page) == ""
         return
     surge = max(1, min(80, max(sum(plain[i : i + 3]) for i in range(len(plain))) // 2))
-    kept = brute_between([n + surge * (tag != "div" and tag != "li") for n, (tag, _, _) in zip(plain, blocks, strict=True)], surge)
+    begins = [n + surge * (tag in ("p", "h2")) for n, (tag, _, _) in zip(plain, blocks, strict=True)]
+    kept = brute_between([w + (surge + 1) // 2 * (tag == "li" and n > 0) for w, n, (tag, _, _) in zip(begins, plain, blocks, strict=True)], surge, begins)
     stretches, want = [], []
     for i in kept:
         if stretches and stretches[-1][-1] == i - 1:
@@ -102,3 +104,21 @@ def test_pages_against_brute_force(blocks):
         if sum(plain[i] for i in stretch) >= surge:
             want += [texts[i] for i in stretch]
     assert html_text.main_text(page) == "\n\n".join(want)
+
+
+def test_ids_of_headings_and_sections_of_the_article_are_no_hints():
+    page = f'<article><h2 id="search">Search</h2><p>{LONG}</p><section id="related"><h3>Related work</h3><p>{LONG}</p></section></article><div id="related">Others</div>'
+    assert lines_of(page) == ["Search", LONG.strip(), "Related work", LONG.strip()]
+    assert lines_of(f'<h2 id="search">Search</h2><p>{LONG}</p><div id="search">Not this</div>') == ["Search", LONG.strip()]
+
+
+def test_a_list_goes_on_with_a_text():
+    items = [f"Item {k}" for k in range(8)]
+    assert lines_of(f"<div>{LONG}</div><ul>{''.join(f'<li>{i}' for i in items)}</ul><div>Imprint</div>")[1:9] == items
+    assert lines_of(f"<ul>{''.join(f'<li>{i}' for i in items)}</ul>{'<hr><div>x</div>' * 3}<div>{LONG}</div>")[-1] == LONG.strip()
+
+
+def test_the_windows_decide_on_marked_pages_too():
+    far = "<div>Teaser</div>" * 4
+    assert lines_of(f"<div>Short note</div><article><p>a</p></article>{far}") == ["a"]
+    assert lines_of(f"<article><p>{LONG}</p></article>{far}<div>{LONG * 12}</div>") == [LONG.strip(), (LONG * 12).strip()]
