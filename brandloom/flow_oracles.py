@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ALL_AUDIENCES, ALL_TOPICS, BRANDS, CREATORS, MEASURED, NICHES, PAIRS, SIGNALS, SOLD, SPLIT, WORDS, clamp, part, pipe, prior, q, rnd, uniq
+from .oracles import ALL_AUDIENCES, ALL_TOPICS, BRANDS, CREATORS, FOLD, MEASURED, NICHES, PAIRS, SIGNALS, SOLD, SPLIT, WORDS, clamp, part, pipe, prior, q, rnd, uniq
 from .plans import rules
 
 
@@ -34,6 +34,9 @@ ORACLES: dict[str, str] = {
         CASE WHEN len(match_topics) + 3 <= 1 THEN 0.2 WHEN len(match_topics) + 3 <= 4 THEN 0.5 WHEN len(match_topics) + 3 <= 8 THEN 0.68 ELSE 0.82 END::DOUBLE AS specificity FROM brands JOIN nation ON n_nationkey = brand_id""",
     "explorer_search": "SELECT p_partkey, 'ai tools' AS niche FROM part WHERE p_partkey % 8 = 1 AND p_partkey % 3 < 2 AND contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'small')",
     "explorer_page": "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 12 OFFSET 24",
+    "explorer_pages_by_range": """SELECT c_custkey, c_acctbal, ((r - 1) // 12 + 1)::BIGINT AS page FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE (r - 1) // 12 IN (2, 99)""",
+    "published_move": """SELECT 'source' AS side, c_custkey AS id, c_acctbal AS balance, NULL::VARCHAR AS origin FROM customer WHERE NOT coalesce(c_acctbal < 0, FALSE)
+      UNION ALL SELECT 'target', c_custkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE 'migrated_from_creators' END FROM customer WHERE c_custkey % 4 = 0 OR c_acctbal < 0""",
     "budget_ranked": "SELECT p_partkey, p_size AS score, p_retailprice FROM part WHERE p_retailprice <= 950.0::DOUBLE * 1.1::DOUBLE ORDER BY score DESC, p_partkey LIMIT 60",
     "deck_selection": f"""WITH r AS (SELECT n_nationkey, {pick('n_nationkey', ["'budget'", "'best'", "'why'", 'NULL', "'budget'"])} AS kind, {pick('n_nationkey', ['1000.0', 'NULL', '-2000.0'])}::DOUBLE AS b FROM nation),
       x AS (SELECT n_nationkey, kind, c_custkey, c_acctbal AS price, coalesce(b > 0 AND c_acctbal <= b * 1.1::DOUBLE, FALSE) AS fits FROM r JOIN customer ON c_nationkey = n_nationkey WHERE kind IS NOT NULL),
@@ -149,20 +152,22 @@ ORACLES |= {
       SELECT id AS identity_id, {pipe(uniq("list_concat(['x', 'youtube'], coalesce(ps, []))"))} AS platforms, {pipe('ps')} AS measured, engagement, avg_confidence, n_signals FROM g JOIN customer ON c_custkey = id""",
     "metric_sanitation": f"""WITH {MEASURED} SELECT creator, platform, CASE WHEN n % 2 = 0 THEN 0.0 ELSE floor(followers + 0.5 + 0.5) END::DOUBLE AS followers, {rnd(clamp('engagement_rate * 20'))} AS engagement_rate, {rnd('confidence')} AS confidence, NULL::DOUBLE AS sample_size
       FROM (SELECT *, sample_size::BIGINT AS n FROM measured) WHERE platform <> 'unknown'""",
-    "identity_run": f"""WITH {ACCOUNTS}, {SIGNALS}, r AS (SELECT *, slug IS NOT NULL OR domain IS NOT NULL AS linked FROM a),
-      l AS (SELECT 'h' || user_id % 7 AS handle, CASE event_id % 2 WHEN 0 THEN 'x' ELSE 'youtube' END AS platform, 'ci_' || event_id AS i, ts FROM events),
-      qd AS (SELECT page_id, 'h' || page_id % 9 AS handle, CASE page_id % 2 WHEN 0 THEN 'x' ELSE 'tiktok' END AS platform FROM r WHERE NOT linked),
-      c AS (SELECT page_id, arg_max(i, (ts, i)) AS candidate FROM qd JOIN l ON qd.handle = l.handle AND qd.platform <> l.platform GROUP BY page_id)
-      SELECT page_id::VARCHAR AS account, candidate, CASE WHEN candidate IS NULL THEN 0.3 ELSE 0.55 END::DOUBLE AS confidence, NULL::BIGINT AS n FROM qd LEFT JOIN c USING (page_id)
-      UNION ALL SELECT 'processed', NULL, NULL, count(*) FROM r UNION ALL SELECT 'merged_by_slug', NULL, NULL, count(*) FROM r WHERE slug IS NOT NULL UNION ALL SELECT 'merged_by_domain', NULL, NULL, count(*) FROM r WHERE slug IS NULL AND domain IS NOT NULL
-      UNION ALL SELECT 'merged_by_cross_link', NULL, NULL, 0 UNION ALL SELECT 'queued', NULL, NULL, count(*) FROM r WHERE NOT linked""",
+    "identity_run": f"""WITH RECURSIVE {FOLD}, l AS (SELECT 'h' || user_id % 7 AS handle, CASE event_id % 2 WHEN 0 THEN 'x' ELSE 'youtube' END AS platform, 'ci_' || event_id AS i, ts FROM events),
+      r AS (SELECT *, CASE WHEN page_id <= 100 THEN 'first' ELSE 'second' END AS run, 'ci_' || sha256(length(anchor) || ':' || anchor) AS identity_id, 'h' || page_id % 9 AS handle, CASE page_id % 2 WHEN 0 THEN 'x' ELSE 'tiktok' END AS platform,
+        CASE WHEN slug IS NOT NULL THEN CASE WHEN page_id % 4 = 1 THEN 'merged_by_cross_link' ELSE 'merged_by_slug' END WHEN domain IS NOT NULL THEN CASE WHEN page_id % 4 = 2 THEN 'merged_by_cross_link' ELSE 'merged_by_domain' END ELSE 'queued' END AS counted FROM f WHERE i > 0),
+      c AS (SELECT page_id, arg_max(l.i, (ts, l.i)) AS candidate FROM r JOIN l ON r.handle = l.handle AND r.platform <> l.platform WHERE anchor IS NULL GROUP BY page_id),
+      born AS (SELECT anchor, arg_min(run, page_id) AS run FROM r WHERE anchor IS NOT NULL GROUP BY anchor),
+      names AS (SELECT run, account FROM (SELECT DISTINCT run FROM r), (SELECT unnest(['processed', 'merged_by_slug', 'merged_by_domain', 'merged_by_cross_link', 'queued', 'created']) AS account)),
+      counts AS (SELECT run, counted AS account, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT run, 'processed', count(*) FROM r GROUP BY run UNION ALL SELECT run, 'created', count(*) FROM born GROUP BY run)
+      SELECT run, page_id::VARCHAR AS account, coalesce(identity_id, candidate) AS found, CASE WHEN anchor IS NOT NULL THEN 1.0 WHEN candidate IS NULL THEN 0.3 ELSE 0.55 END::DOUBLE AS confidence, NULL::BIGINT AS n FROM r LEFT JOIN c USING (page_id)
+      UNION ALL SELECT run, account, NULL, NULL, coalesce(n, 0) FROM names LEFT JOIN counts USING (run, account)""",
     "import_assembly": f"""WITH {IMPORT} SELECT 'cr_real_' || lpad(k::VARCHAR, 12, '0') AS creator_id, CASE WHEN k % 5 = 0 THEN 'skipped' WHEN k % 7 = 0 THEN 'updated' ELSE 'imported' END AS status, CASE WHEN k % 5 = 0 THEN 'missing stan profile' END AS reason,
         CASE WHEN k % 3 = 0 THEN 'Jo B' || k WHEN k % 4 = 0 THEN 'Store ' || k ELSE 'Creator ' || lpad(k::VARCHAR, 12, '0')[1:8] END AS name,
         CASE WHEN k % 5 <> 0 THEN 'https://stan.store/' || k || '|' ELSE '' END || 'https://x.com/u' || k || '|https://a.com/' || k AS links, [{', '.join(q(r[0]) for r in rules.NICHES)}][i] AS niche,
         {rnd(clamp("0.3::DOUBLE + CASE WHEN k % 2 = 0 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN len(p1) >= 1 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(p1) >= 3 THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'direct_purchase') THEN 0.14::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'lead_generation') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN list_contains(i1, 'affiliate') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN style IN ('direct_response', 'consultative') THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN social THEN 0.07::DOUBLE ELSE 0 END + CASE WHEN best IS NOT NULL THEN 0.04::DOUBLE ELSE 0 END", '0.1', '0.98'), 3)}::DOUBLE AS buying_intent, best AS primary_platform,
         {rnd(clamp("0.26::DOUBLE + 0.23::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE * ((k % 10) / 10.0::DOUBLE) + 0.12::DOUBLE * n_conf + 0.07::DOUBLE * least(1.0::DOUBLE, n_topics / 8.0::DOUBLE) + 0.05::DOUBLE * least(1.0::DOUBLE, n_aud / 5.0::DOUBLE) + 0.04::DOUBLE * least(1.0::DOUBLE, len(p1) / 4.0::DOUBLE) + CASE WHEN social THEN 0.08::DOUBLE ELSE 0 END", '0.2', '0.98'), 3)}::DOUBLE AS confidence FROM ready""",
     "import_stats": "SELECT count(*) AS selected, count(*) FILTER (c_custkey % 5 = 0) AS skipped_missing_profile, 0::BIGINT AS skipped_low_confidence, count(*) FILTER (c_custkey % 5 <> 0 AND c_custkey % 7 <> 0) AS imported, count(*) FILTER (c_custkey % 5 <> 0 AND c_custkey % 7 = 0) AS updated FROM customer",
-    "chat_priorities": """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k FROM conversations)
-      SELECT conv_id, turn, ['ai tools|pets ' || conv_id || '|looking for ai tools', 'best fitness|travel|yoga|want the best fitness', '', ''][k + 1] AS niches,
-        ['ai tools|pets ' || conv_id || '|looking for ai tools', 'best fitness|travel|yoga|want the best fitness|money habits', '', 'home decor|item ' || turn][k + 1] AS topics FROM c WHERE k < 4""",
+    "chat_priorities": """WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 5 AS k, regexp_matches(coalesce(text, ''), '(?i)influencers|creators|content about|topics around|focus on topics|covering') AS asks FROM conversations)
+      SELECT conv_id, turn, CASE WHEN asks THEN 'its own' ELSE ['ai tools|pets ' || conv_id || '|looking for ai tools', 'best fitness|travel|yoga|want the best fitness', '', '', ''][k + 1] END AS niches,
+        CASE WHEN asks THEN 'its own' ELSE ['ai tools|pets ' || conv_id || '|looking for ai tools', 'best fitness|travel|yoga|want the best fitness|money habits', '', 'home decor|item ' || turn, ''][k + 1] END AS topics FROM c""",
 }

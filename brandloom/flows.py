@@ -5,17 +5,17 @@ The bindings stand in for the engine's own tables, as in queries.py.
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import coerce, text, urls
-from .operators import brand, crawl, discovery, enrich, explorer, harvest, identity, importer, ranking, scoring, serving, upsert
+from .operators import brand, crawl, discovery, enrich, explorer, harvest, identity, importer, paging, ranking, scoring, serving, upsert
 from .plans import rules
 from .queries import accounts, brands, creators, joined, measured, odd_urls, pairs, signals
-from .sources import tables
-from .sources.shared import file_system, shared_dir
+from .sources import snapshots, tables
+from .sources.shared import file_system, scratch
 from .sources.tables import table
 
 QUERIES: dict = {}
@@ -140,6 +140,28 @@ def explorer_page(spark, d):
     return ranking.page_of(c, [F.desc("c_acctbal"), F.col("c_custkey")], page=3)
 
 
+@query
+def explorer_pages_by_range(spark, d):
+    """The third page and the hundredth, from a table that is stored in ranges of its order."""
+    c, order = table(spark, d, "customer").select("c_custkey", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")]
+    path = scratch(spark, "ranges")
+    paging.store_ranges(c, order, path, 8)
+    pages = [paging.page_of_ranges(spark, path, order, n).withColumn("page", F.lit(n).cast("long")) for n in (3, 100)]
+    return pages[0].unionByName(pages[1])
+
+
+@query
+def published_move(spark, d):
+    """Both tables of a move, published at one point in time and read back."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    root = scratch(spark, "published")
+    snapshots.publish(spark, root, {"source": c.withColumn("origin", F.lit(None).cast("string")), "target": c.where("id % 4 = 0").withColumn("origin", F.lit("old"))})
+    left, right = upsert.move(snapshots.read(spark, root, "source"), snapshots.read(spark, root, "target"), F.col("balance") < 0, "id", "origin", "migrated_from_creators")
+    snapshots.publish(spark, root, {"source": left, "target": right})
+    sides = [snapshots.read(spark, root, side).select(F.lit(side).alias("side"), "id", "balance", "origin") for side in ("source", "target")]
+    return sides[0].unionByName(sides[1])
+
+
 @query
 def budget_ranked(spark, d):
     p = table(spark, d, "part").where(explorer.within_budget(F.col("p_retailprice"), 950.0))
@@ -191,17 +213,17 @@ def table_writes(spark, d):
 def seed_upsert(spark, d):
     """Seeds of two files put into their target's table in the shared folder, and read back."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), "s_name", "s_acctbal")
-    folder = f"{shared_dir(spark)}/brandloom-seeds-{uuid.uuid4().hex}"
+    folder = scratch(spark, "seeds")
     tables.seed_sink(spark, folder, s.where("s_acctbal > 0"), "real")
     name = tables.seed_sink(spark, folder, s.where("s_acctbal < 5000").withColumn("s_name", F.concat(F.lit("new "), "s_name")), " Creators")
-    return spark.read.parquet(f"{folder}/{name}.parquet").withColumn("target", F.lit(name))
+    return snapshots.read(spark, folder, name).withColumn("target", F.lit(name))
 
 
 @query
 def seed_scan(spark, d):
     """Two files of seeds, whose arrays nest, in the shared folder: the first file's row of an id counts, rows without a niche go."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 7 > 0, F.lit("pets")).alias("niche"), "s_acctbal")
-    folder = f"{shared_dir(spark)}/brandloom-seed-files-{uuid.uuid4().hex}"
+    folder = scratch(spark, "seed-files")
     paths = []
     for name, rows, form in (("a", s.where("s_acctbal > 3000"), "[[%s]]"), ("b", s.withColumn("name", F.concat(F.lit("b "), "name")), "[%s, []]")):
         held = rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "name", "niche")))).alias("j"))
@@ -322,14 +344,20 @@ def store_pages(spark, d):
 
 @query
 def identity_run(spark, d):
-    """A second run, which knows the anchors of accounts up to page 100 and links them; the rest is resolved or queued."""
-    a = accounts(spark, d).withColumns({"account": F.col("page_id").cast("string"), "handle": F.concat(F.lit("h"), F.col("page_id") % 9), "platform": pick(F.col("page_id"), ["x", "tiktok"]), "reason": F.when(F.col("slug").isNotNull(), "stan_slug").when(F.col("domain").isNotNull(), "personal_domain").otherwise("queued")})
+    """Two runs: accounts up to page 100, then the others, which know the anchors that the first has opened."""
+    k = F.col("page_id")
+    reason = F.when(F.col("slug").isNotNull(), F.when(k % 4 == 1, "cross_link_stan_slug").otherwise("stan_slug")).when(F.col("domain").isNotNull(), F.when(k % 4 == 2, "cross_link_personal_domain").otherwise("personal_domain")).otherwise("queued")
+    a = accounts(spark, d).withColumns({"account": k.cast("string"), "handle": F.concat(F.lit("h"), k % 9), "platform": pick(k, ["x", "tiktok"]), "reason": reason})
     linked = table(spark, d, "events").select(F.concat(F.lit("h"), F.col("user_id") % 7).alias("handle"), pick(F.col("event_id"), ["x", "youtube"]).alias("platform"), F.concat(F.lit("ci_"), "event_id").alias("identity_id"), F.col("ts").alias("created_at"))
-    run = identity.resolve_run(a, "page_id", None, linked)
-    queue = run["queue"].select("account", "candidate", "confidence", F.lit(None).cast("long").alias("n"))
-    s = run["stats"]
-    counts = s.select(F.explode(F.array(*[F.struct(F.lit(c).alias("account"), F.col(c).alias("n")) for c in ("processed", "merged_by_slug", "merged_by_domain", "merged_by_cross_link", "queued")])).alias("e")).select("e.account", F.lit(None).cast("string").alias("candidate"), F.lit(None).cast("double").alias("confidence"), "e.n")
-    return queue.unionByName(counts)
+    first = identity.resolve_run(a.where("page_id <= 100"), "page_id", None, linked)
+    runs = {"first": first, "second": identity.resolve_run(a.where("page_id > 100"), "page_id", first["known"], linked)}
+    parts = []
+    for name, run in runs.items():
+        parts.append(run["links"].select(F.lit(name).alias("run"), "account", F.col("identity_id").alias("found"), F.lit(1.0).alias("confidence"), F.lit(None).cast("long").alias("n")))
+        parts.append(run["queue"].select(F.lit(name).alias("run"), "account", F.col("candidate").alias("found"), "confidence", F.lit(None).cast("long").alias("n")))
+        counts = F.array(*[F.struct(F.lit(c).alias("account"), F.col(c).alias("n")) for c in ("processed", "merged_by_slug", "merged_by_domain", "merged_by_cross_link", "queued", "created")])
+        parts.append(run["stats"].select(F.explode(counts).alias("e")).select(F.lit(name).alias("run"), "e.account", F.lit(None).cast("string").alias("found"), F.lit(None).cast("double").alias("confidence"), "e.n"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def social_accounts(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -400,10 +428,12 @@ def import_stats(spark, d):
 
 @query
 def chat_priorities(spark, d):
+    """What each turn's whole text asks for; four in five turns end with a sentence that asks."""
     k = F.col("conv_id") + F.col("turn")
-    t = arrays(k, F.concat(F.lit("Looking for AI tools and pets "), "conv_id", F.lit(" creators.")), F.lit("we want the best fitness, travel / yoga influencers, covering money habits and travel."), F.lit("show me gaming creators"), F.concat(F.lit("topics around home decor audiences, item "), "turn"), F.col("text"))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", brand.priority_niches(F.coalesce(t, F.lit(""))).alias("n"), F.coalesce(t, F.lit("")).alias("t"))
-    return rows.where((F.col("conv_id") + F.col("turn")) % 5 < 4).select("conv_id", "turn", joined("n").alias("niches"), joined(brand.priority_topics(F.col("t"), F.col("n"))).alias("topics"))
+    asks = arrays(k, F.concat(F.lit("Looking for AI tools and pets "), "conv_id", F.lit(" creators.")), F.lit("we want the best fitness, travel / yoga influencers, covering money habits and travel."), F.lit("show me gaming creators"), F.concat(F.lit("topics around home decor audiences, item "), "turn"), F.lit(""))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(". "), asks).alias("t"))
+    rows = rows.withColumn("n", brand.priority_niches("t"))
+    return rows.select("conv_id", "turn", joined(F.col("n")).alias("niches"), joined(brand.priority_topics(F.col("t"), F.col("n"))).alias("topics"))
 
 
 @query

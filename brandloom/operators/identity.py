@@ -105,10 +105,11 @@ def resolve(accounts: DataFrame, order: str, known: DataFrame | None = None) ->
     before the first account, so that runs over parts of the accounts, each given what the runs before it opened, give the
     identities of one run over all of them.
     """
-    return _resolved(accounts, order, known)[0]
+    return resolve_known(accounts, order, known)[0]
 
 
-def _resolved(accounts: DataFrame, order: str, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def resolve_known(accounts: DataFrame, order: str, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """What resolve gives, and the anchors (kind, name, identity_id) that these accounts open."""
     spark = accounts.sparkSession
     held = known if known is not None else spark.createDataFrame([], "kind string, name string, identity_id string")
     slugs, domains = (held.where(F.col("kind") == k).select(F.col("name").alias(k), F.col("identity_id").alias(f"__known_{k}")) for k in ("slug", "domain"))
@@ -127,7 +128,7 @@ def _resolved(accounts: DataFrame, order: str, known: DataFrame | None) -> tuple
     own = F.when(F.col("__s_since") <= F.col(order), F.col("__s"))
     identity = F.coalesce("__known_slug", named(own), "__known_domain", named(F.col("__d")))
     out = joined.withColumn("identity_id", identity).drop("__s", "__s_since", "__d", "__known_slug", "__known_domain")
-    return out, opened.select("kind", "name", stable_id("ci", F.col("anchor")).alias("identity_id")).unionByName(held)
+    return out, opened.select("kind", "name", stable_id("ci", F.col("anchor")).alias("identity_id"))
 
 
 def resolve_run(accounts: DataFrame, order: str, known: DataFrame | None = None, linked: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -137,14 +138,14 @@ def resolve_run(accounts: DataFrame, order: str, known: DataFrame | None = None,
     identity_id and created_at of accounts linked before.
     """
     spark = accounts.sparkSession
-    rows, opened = _resolved(accounts, order, known)
-    rows = stored(rows, "resolved")
+    rows, opened = resolve_known(accounts, order, known)
+    rows, opened = stored(rows, "resolved"), stored(opened, "opened")
     links = rows.where("identity_id is not null").withColumnRenamed("reason", "linkage_reason")
     held = linked if linked is not None else spark.createDataFrame([], "handle string, platform string, identity_id string, created_at timestamp")
     queue = candidate_identity(rows.where("identity_id is null").select("account", "handle", "platform"), held)
     queue = queue.withColumn("reason", F.lit("no slug, personal domain or cross link"))
-    created = opened.agg(F.count_distinct("identity_id").alias("n")) if known is None else opened.join(known.select("identity_id").distinct(), "identity_id", "left_anti").agg(F.count_distinct("identity_id").alias("n"))
-    return {"links": links, "queue": queue, "known": opened, "stats": identity_stats(rows).crossJoin(created.withColumnRenamed("n", "created"))}
+    created = opened.agg(F.count_distinct("identity_id").alias("n"))
+    return {"links": links, "queue": queue, "known": opened if known is None else opened.unionByName(known), "stats": identity_stats(rows).crossJoin(created.withColumnRenamed("n", "created"))}
 
 
 def identity_stats(rows: DataFrame) -> DataFrame:

@@ -64,10 +64,15 @@ def _boost(n: Column, most: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(0.16), 0.04 * F.least(F.lit(3), n) + 0.07 * F.least(F.lit(1.0), most))).otherwise(0.0)
 
 
-def _reaches(parts: dict[str, tuple[Column, Column, Column]], boost: Column, threshold: Column) -> Column:
-    """Whether a pair can reach the threshold; parts: module -> (score at most, confidence at least, at most)."""
+#: What is known of a module's score (at most) and confidence (at least, at most); of several, any may hold.
+Part = tuple[Column, Column, Column]
+
+
+def _reaches(parts: dict[str, list[Part]], boost: Column, threshold: Column) -> Column:
+    """Whether a pair can reach the threshold."""
     level = threshold - boost - SLACK
-    total = sum((F.col(f"__base.{m}") * _gain(*parts[m], level) for m in MODULES), F.lit(0.0))
+    most = lambda options: F.greatest(*options) if len(options) > 1 else options[0]
+    total = sum((F.col(f"__base.{m}") * most([_gain(*part, level) for part in parts[m]]) for m in MODULES), F.lit(0.0))
     return total >= -1e-9
 
 
@@ -86,17 +91,17 @@ def _brand_bounds(brands: DataFrame, wanted: DataFrame, vocabulary: DataFrame) -
     return bounds, each
 
 
-def _platform(n: Column) -> tuple[Column, Column, Column]:
+def _platform(n: Column) -> Part:
     """Bounds of platform_alignment."""
     none = n == 0
     return F.when(none, 0.5).otherwise(1.0), F.when(none, 0.2).otherwise(0.35), F.when(none, 0.2).otherwise(clamp(0.93 + 0.05 * F.least(F.lit(1.0), n / 4)))
 
 
-def _exactly(score: Column, confidence: Column) -> tuple[Column, Column, Column]:
+def _exactly(score: Column, confidence: Column) -> Part:
     return score, confidence, confidence
 
 
-def _pair_parts() -> dict[str, tuple[Column, Column, Column]]:
+def _pair_parts() -> dict[str, Part]:
     """Of rows that hold a brand's bounds, a creator's summary and the gains of their strong likenesses."""
     c = F.col
     topic, audience = (c("nt") == 0) | (c("offers") == 0), (c("na") == 0) | (c("audiences") == 0)
@@ -112,17 +117,19 @@ def _pair_parts() -> dict[str, tuple[Column, Column, Column]]:
     }
 
 
-def _unmatched_parts() -> dict[str, tuple[Column, Column, Column]]:
+def _unmatched_parts() -> dict[str, list[Part]]:
     """Of a brand's bounds, for any creator that no posting leads to."""
     c = F.col
+    none = _exactly(F.lit(0.0), F.lit(0.2))  # a side has no phrases
     likes = lambda rest, n: F.when(c(n) == 0, 0.0).otherwise(c(rest) / F.greatest(c(n), F.lit(1)))
+    trust = lambda n, least, more: (F.when(c(n) == 0, 0.2).otherwise(least), F.when(c(n) == 0, 0.2).otherwise(clamp(least + more)))
     return {
-        "niche": (F.lit(0.0), F.lit(0.1), F.lit(0.85)), "topic": (likes("topic_rest", "nt"), F.lit(0.2), F.lit(1.0)), "audience": (likes("audience_rest", "na"), F.lit(0.2), F.lit(1.0)),
-        "platform": _platform(c("np")), "engagement": (F.lit(1.0), F.lit(0.0), F.lit(1.0)),
+        "niche": [_exactly(F.lit(0.0), F.lit(0.85)), _exactly(F.lit(0.0), F.lit(0.1))], "topic": [(likes("topic_rest", "nt"), *trust("nt", 0.4 + 0.35 * F.least(F.lit(1.0), c("nt") / 4), 0.33)), none],
+        "audience": [(likes("audience_rest", "na"), *trust("na", 0.45 + 0.08 * F.least(F.lit(4), c("na")), 0.15)), none], "platform": [_platform(c("np"))], "engagement": [(F.lit(1.0), F.lit(0.0), F.lit(1.0))],
     }
 
 
-def _estimate(parts: dict[str, tuple[Column, Column, Column]], boost: Column) -> Column:
+def _estimate(parts: dict[str, Part], boost: Column) -> Column:
     """What a pair looks like; only the choice of seeds depends on it."""
     weight = {m: F.col(f"__base.{m}") * parts[m][2] for m in MODULES}
     return sum((weight[m] * parts[m][0] for m in MODULES), F.lit(0.0)) / sum(weight.values(), F.lit(1e-9)) + boost
@@ -179,5 +186,5 @@ def _candidates(brands: DataFrame, creators: DataFrame, k: int) -> tuple[DataFra
     threshold = bounds.join(kth, "__b", "left").withColumn("threshold", F.coalesce("least", F.lit(-1.0)))
     reached = _reaches(_unmatched_parts(), _boost(F.col("weak_n"), F.col("weak_most")), F.col("threshold"))
     thresholds = stored(threshold.select("__b", "threshold", reached.alias("reached")), "thresholds")
-    kept = seen.join(thresholds, "__b").where(~F.col("reached") & _reaches(parts, F.col("boost_most"), F.col("threshold")))
+    kept = seen.join(thresholds, "__b").where(~F.col("reached") & _reaches({m: [part] for m, part in parts.items()}, F.col("boost_most"), F.col("threshold")))
     return stored(kept.select("__b", "__c"), "kept"), thresholds

@@ -207,6 +207,14 @@ def part(u: str, n: int) -> str:
     return f"regexp_extract({u}, {HOST_PARTS}, {n})"
 
 
+#: f: accounts one after the other (i from 1), with what has been opened so far.
+FOLD = f"""a AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, CASE WHEN page_id % 3 <> 0 THEN list_filter(string_split({part('url', 3)}, '/'), lambda x: x <> '')[2] END AS slug, CASE WHEN page_id % 5 <> 0 THEN regexp_replace(lower({part('url', 2)}), '^www\\.', '') END AS domain FROM pages),
+      f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS page_id, NULL::VARCHAR AS slug, NULL::VARCHAR AS domain, NULL::VARCHAR AS anchor, []::VARCHAR[] AS slugs, []::VARCHAR[] AS domains, []::VARCHAR[] AS held
+        UNION ALL SELECT i, page_id, slug, domain, anchor, CASE WHEN opens AND slug IS NOT NULL THEN list_append(slugs, slug) ELSE slugs END, CASE WHEN opens AND domain IS NOT NULL THEN list_append(domains, domain) ELSE domains END, CASE WHEN opens AND domain IS NOT NULL THEN list_append(held, anchor) ELSE held END
+        FROM (SELECT *, CASE WHEN s THEN 's:' || slug WHEN d THEN held[list_position(domains, domain)] WHEN slug IS NOT NULL THEN 's:' || slug ELSE 'd:' || domain END AS anchor, NOT s AND NOT d AND (slug IS NOT NULL OR domain IS NOT NULL) AS opens
+          FROM (SELECT a.*, f.slugs, f.domains, f.held, coalesce(list_contains(f.slugs, a.slug), FALSE) AS s, coalesce(list_contains(f.domains, a.domain), FALSE) AS d FROM f JOIN a ON a.i = f.i + 1)))"""
+
+
 def on(h: str, *names: str) -> str:
     return "(" + " OR ".join(f"{h} = {q(n)} OR ends_with({h}, {q('.' + n)})" for n in names) + ")"
 
@@ -332,12 +340,7 @@ ORACLES |= {
       {rnd('sum(engagement_rate * greatest(0.2, confidence) * greatest(1.0, log10(followers + 10))) / sum(greatest(0.2, confidence) * greatest(1.0, log10(followers + 10)))', 4)} AS imported FROM measured GROUP BY 1""",
     "primary_platform_argmax": f"""WITH {MEASURED}, s AS (SELECT *, {rnd('log10(greatest(1.0, avg_views + 1)) * 0.5 + log10(greatest(1.0, followers + 1)) * 0.35 + confidence * 0.15', 9)} AS s FROM measured)
       SELECT creator, platform AS primary_platform FROM s QUALIFY row_number() OVER (PARTITION BY creator ORDER BY s DESC, platform) = 1""",
-    "identity_resolve_fold": f"""WITH RECURSIVE a AS (SELECT row_number() OVER (ORDER BY page_id) AS i, page_id, CASE WHEN page_id % 3 <> 0 THEN list_filter(string_split({part('url', 3)}, '/'), lambda x: x <> '')[2] END AS slug, CASE WHEN page_id % 5 <> 0 THEN regexp_replace(lower({part('url', 2)}), '^www\\.', '') END AS domain FROM pages),
-      f AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS page_id, NULL::VARCHAR AS slug, NULL::VARCHAR AS domain, NULL::VARCHAR AS anchor, []::VARCHAR[] AS slugs, []::VARCHAR[] AS domains, []::VARCHAR[] AS held
-        UNION ALL SELECT i, page_id, slug, domain, anchor, CASE WHEN opens AND slug IS NOT NULL THEN list_append(slugs, slug) ELSE slugs END, CASE WHEN opens AND domain IS NOT NULL THEN list_append(domains, domain) ELSE domains END, CASE WHEN opens AND domain IS NOT NULL THEN list_append(held, anchor) ELSE held END
-        FROM (SELECT *, CASE WHEN s THEN 's:' || slug WHEN d THEN held[list_position(domains, domain)] WHEN slug IS NOT NULL THEN 's:' || slug ELSE 'd:' || domain END AS anchor, NOT s AND NOT d AND (slug IS NOT NULL OR domain IS NOT NULL) AS opens
-          FROM (SELECT a.*, f.slugs, f.domains, f.held, coalesce(list_contains(f.slugs, a.slug), FALSE) AS s, coalesce(list_contains(f.domains, a.domain), FALSE) AS d FROM f JOIN a ON a.i = f.i + 1)))
-      SELECT page_id, slug, domain, 'ci_' || sha256(length(anchor) || ':' || anchor) AS identity_id FROM f WHERE i > 0""",
+    "identity_resolve_fold": f"""WITH RECURSIVE {FOLD} SELECT page_id, slug, domain, 'ci_' || sha256(length(anchor) || ':' || anchor) AS identity_id FROM f WHERE i > 0""",
     "identity_resolve_fast": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 's' || page_id // 2 WHEN page_id % 5 <> 0 THEN regexp_replace(lower({part('url', 2)}), '^www\\.', '') END AS anchor FROM pages), f AS (SELECT anchor, min(page_id) AS first_account FROM a WHERE anchor IS NOT NULL GROUP BY 1)
       SELECT page_id, anchor, first_account FROM a LEFT JOIN f USING (anchor)""",    "intent_parse_free_text": f"""WITH {TALK}, low AS (SELECT *, lower(text) AS t, replace(text, ',', '') AS b FROM talk), u AS (SELECT *, CASE WHEN regexp_matches(t, '(per|/)\\s*(1k|1000)(\\s*views?)?') THEN 'per_1k_views' WHEN regexp_matches(t, 'per\\s*post') THEN 'per_post' WHEN regexp_matches(t, 'per\\s*video') THEN 'per_video' END AS per,
         {case((word('t', 'hybrid'), "'hybrid'"), (word('t', 'rev(enue)?\\s*share|commission'), "'rev_share'"), ("regexp_matches(t, '(^|[^a-z0-9_])cpm|per\\s*(1k|1000|thousand)|/\\s*(1k|1000)(\\s*views?)?')", "'cpm'"), (word('t', 'flat\\s*fee|fixed\\s*fee'), "'flat_fee'"))} AS compensation, regexp_matches(t, 'no fixed budget|no budget|open budget|flexible budget|budget tbd') AS open_budget FROM low)

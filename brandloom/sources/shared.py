@@ -48,15 +48,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     The table goes with drop_stored, or when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brandloom-{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     with shuffles_go(spark):
         df.write.parquet(path)
-    _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """The path of a folder in the shared folder, not yet made, that goes when the Python process ends."""
+    path = f"{shared_dir(spark)}/brandloom-{label}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def kept(spark: SparkSession, name: str, make) -> DataFrame:
     """The table of that name in the shared folder; if it isn't there, make() is written beside it and renamed, so that readers find it whole or not at all.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import upsert
-from .shared import drop_stored, file_system, stored
+from . import snapshots
 
 SEED = (
     "id string, name string, niche string, platforms array<string>, audience_types array<string>, content_style string, products_sold array<string>, sample_links array<string>, estimated_engagement double, "
@@ -67,15 +67,11 @@ def target_table(target: str | None) -> str:
     return TARGETS[name]
 
 
-def seed_sink(spark: SparkSession, folder: str, rows: DataFrame, target: str | None = None) -> str:
-    """Puts seed rows into their target's table below folder, by id, and gives its name. The table is read before it is replaced."""
+def seed_sink(spark: SparkSession, root: str, rows: DataFrame, target: str | None = None) -> str:
+    """Puts seed rows into their target's table below root, by id, and gives its name. Readers (snapshots.read) see the old table or the new."""
     name = target_table(target)
-    path = f"{folder}/{name}.parquet"
-    system, place = file_system(spark, path)
-    existing = spark.read.schema(rows.schema).parquet(path) if system.exists(place) else rows.limit(0)
-    merged = stored(upsert(existing, rows, ["id"]), "seeds")
-    merged.write.mode("overwrite").parquet(path)
-    drop_stored(merged)
+    existing = snapshots.read(spark, root, name)
+    snapshots.publish(spark, root, {name: upsert(rows.limit(0) if existing is None else existing, rows, ["id"])})
     return name
 
 

@@ -156,7 +156,8 @@ def test_identities_follow_the_order_of_accounts(spark):
     # In three runs, each given what those before it opened.
     known, parts = None, {}
     for low in (0, 20, 40):
-        rows, known = identity._resolved(df.where(f"n between {low} and {low + 19}"), "n", known)
+        rows, opened = identity.resolve_known(df.where(f"n between {low} and {low + 19}"), "n", known)
+        known = opened if known is None else known.unionByName(opened)
         parts |= {x.n: x.identity_id for x in rows.collect()}
     assert parts == got
     pairs = {(got[i], want[i]) for i in range(60)}
