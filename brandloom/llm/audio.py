@@ -8,10 +8,11 @@ Frames and hops are as long in seconds at every sampling rate.
 Recordings are found by an inverted index and aligned by histograms of offsets. Recordings of equal integers are one class
 from the start. Each integer of a class that holds a query is looked up as it is, and with every one or two of its bits
 changed that a move to a neighbouring level of one or two filters changes; the join with the integers of all classes, at
-every STEP-th position of each, is Spark's. A meeting must hold around it as well (a share of NEAR differing bits over the integers at the steps in AROUND, in
-the join itself), and then votes for the offset between its two positions. The votes are counted, and at each offset that has one the differing bits of all
-positions decide: a pair matches at the offset with the least share of them, if OVERLAP positions or more overlap there and
-the share is ERROR or less. The work follows the recordings and the meetings, not the pairs.
+every STEP-th position of each, is Spark's. A meeting must hold around it as well (a share of NEAR differing bits over the
+integers at the steps in AROUND, in the join itself), and then votes for the offset between its two positions. The votes are
+counted, and at each offset that has one the differing bits of all positions decide: a pair matches at the offset with the
+least share of them, if OVERLAP positions or more overlap there and the share is ERROR or less. The work follows the
+recordings and the meetings, not the pairs.
 
 Edge cases: a null, empty, unreadable, cut-off or silent recording has the integers of what can be read of it, and without
 any matches nothing. Channels are averaged. Sampling rates outside RATES count as unreadable. Repeated rows are recordings
@@ -40,7 +41,8 @@ FRAME, HOP = 2_048, 500
 SPAN = 8
 QUIET = 1e-4
 LEVEL = 0.1
-OVERLAP, ERROR = 16, 0.2
+#: Positions that must overlap, and the share of differing bits up to which recordings are alike: as far as the index finds nine in ten.
+OVERLAP, ERROR = 16, 0.17
 AROUND, NEAR = (-16, -12, -8, -4, 4, 8, 12, 16), 0.25
 STEP = 3
 RATES = (1_000, 400_000)

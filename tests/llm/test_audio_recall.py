@@ -38,7 +38,7 @@ def test_search_against_brute_force(spark):
     parts = [(x.n, x.asked, np.array(x["at"], dtype=np.int32), np.array(x.prints, dtype=np.int32).view(np.uint32)) for x in found.collect()]
     errors = {(q, n): brute_error(a_at, a, b_at, b) for q, is_asked, a_at, a in parts if is_asked for n, _, b_at, b in parts if n != q}
     true = {k for k, e in errors.items() if e <= audio.ERROR}
-    assert got <= true and len(true) > 25 and sum(errors[k] > 0.12 for k in true) >= 5
+    assert got <= true and len(true) > 25 and sum(errors[k] > 0.11 for k in true) >= 5
     assert len(got) >= 0.9 * len(true)
 
 
@@ -119,3 +119,13 @@ def test_neighbours_move_one_or_two_filters_by_a_level():
             assert moved in ([], [1], [1, 1])
         ways = [len([1 for b in (a - 1, a + 1) if 0 <= b < 4]) for a in level(x)]
         assert len(got) == 1 + sum(ways) + sum(ways[i] * ways[j] for i in range(16) for j in range(i))
+
+
+def test_a_steady_tone_is_found(spark):
+    """All positions of a steady tone have one integer: they meet at every offset, of which the least error counts."""
+    t = np.arange(6 * audio.RATE) / audio.RATE
+    tone = lambda n, f: sum(np.sin(2 * np.pi * f * k * t[: n * audio.RATE]) for k in (1, 1.26, 1.5)) * 0.2
+    rows = [(0, bytearray(wav_of(tone(4, 440), audio.RATE))), (1, bytearray(wav_of(tone(6, 440), audio.RATE))), (2, bytearray(wav_of(tone(5, 311), audio.RATE)))]
+    held = stored(audio.fingerprints(spark.createDataFrame(rows, "vec_id long, wav binary"), "vec_id", "wav"), "prints")
+    got = {x.vec_id: x for x in audio.summary(held, F.col("vec_id") == 0, "vec_id").collect()}
+    assert (got[0].n_matches, got[0].best_match) == (1, 1)
