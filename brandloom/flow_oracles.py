@@ -14,6 +14,8 @@ def pick(number: str, values) -> str:
 K = "json_extract_string(props, '$.k')"
 MATCHES = "m AS (SELECT o_custkey % 25 AS brand_id, o_custkey AS creator_id, o_totalprice AS score, o_orderstatus AS status, o_orderkey AS match_id FROM orders)"
 
+STORES = "stores AS (SELECT page_id AS identity_id, page_id AS k, CASE WHEN page_id % 9 <> 4 THEN 'store-' || page_id END AS slug, CASE WHEN page_id % 9 = 4 THEN 'skipped' WHEN page_id % 11 = 0 OR page_id % 7 = 0 THEN 'failed' ELSE 'enriched' END AS status FROM pages)"
+
 ORACLES: dict[str, str] = {
     "filtered_accounts": f"WITH {SIGNALS} SELECT event_id, creator, value FROM signals WHERE platform = 'instagram' AND creator BETWEEN 0 AND 39 AND coalesce(value, 0) >= 12.35",
     "pending_or_forced": "SELECT c_custkey, 'plain' AS run FROM customer WHERE NOT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') UNION ALL SELECT c_custkey, 'forced' FROM customer",
@@ -37,6 +39,10 @@ ORACLES: dict[str, str] = {
     "explorer_pages_by_range": """SELECT c_custkey, c_acctbal, ((r - 1) // 12 + 1)::BIGINT AS page FROM (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE (r - 1) // 12 IN (2, 99)""",
     "published_move": """SELECT 'source' AS side, c_custkey AS id, c_acctbal AS balance, NULL::VARCHAR AS origin FROM customer WHERE NOT coalesce(c_acctbal < 0, FALSE)
       UNION ALL SELECT 'target', c_custkey, c_acctbal, CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE 'migrated_from_creators' END FROM customer WHERE c_custkey % 4 = 0 OR c_acctbal < 0""",
+    "filtered_by_many_ids": f"WITH {SIGNALS} SELECT event_id, creator, value FROM signals WHERE platform = 'youtube' AND event_id < 900 AND event_id % 2 = 0",
+    "exists_either": "SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') OR EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase')",
+    "store_enrich_results": f"WITH {STORES} SELECT identity_id, slug, status, CASE status WHEN 'skipped' THEN 'identity missing canonical_stan_slug' WHEN 'failed' THEN CASE WHEN k % 11 = 0 THEN 'unknown error' ELSE 'HTTP 404' END END AS reason FROM stores",
+    "store_enrich_stats": f"WITH {STORES} SELECT count(*) AS selected, count(*) AS processed, count(*) FILTER (status = 'enriched') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped_no_slug FROM stores",
     "budget_ranked": "SELECT p_partkey, p_size AS score, p_retailprice FROM part WHERE p_retailprice <= 950.0::DOUBLE * 1.1::DOUBLE ORDER BY score DESC, p_partkey LIMIT 60",
     "deck_selection": f"""WITH r AS (SELECT n_nationkey, {pick('n_nationkey', ["'budget'", "'best'", "'why'", 'NULL', "'budget'"])} AS kind, {pick('n_nationkey', ['1000.0', 'NULL', '-2000.0'])}::DOUBLE AS b FROM nation),
       x AS (SELECT n_nationkey, kind, c_custkey, c_acctbal AS price, coalesce(b > 0 AND c_acctbal <= b * 1.1::DOUBLE, FALSE) AS fits FROM r JOIN customer ON c_nationkey = n_nationkey WHERE kind IS NOT NULL),
@@ -148,8 +154,10 @@ ORACLES |= {
     "enrich_stats": f"""WITH {RESULTS} SELECT count(*) AS selected, count(*) AS processed, count(*) FILTER (status = 'enriched') AS enriched, count(*) FILTER (status = 'updated') AS updated, count(*) FILTER (reason LIKE 'no social%') AS skipped_no_signals,
       count(*) FILTER (status = 'skipped' AND reason NOT LIKE 'no social%') AS skipped_low_followers, 0::BIGINT AS failed FROM final""",
     "metric_sync": f"""WITH {SOCIAL}, s AS (SELECT *, coalesce(f > 0, FALSE) AS has FROM cand), v AS (SELECT id, platform, CASE WHEN has THEN floor(f + 0.5) END AS f, {rnd(RATE, 4)} AS rate, {SURE}::DOUBLE AS c FROM s),
-      g AS (SELECT id, count(*) AS n_signals, {rnd('avg(c)', 4)} AS avg_confidence, {rnd('sum(rate * greatest(0.2, c) * CASE WHEN f IS NULL THEN 1.0 ELSE log10(f + 10) END) / sum(greatest(0.2, c) * CASE WHEN f IS NULL THEN 1.0 ELSE log10(f + 10) END)', 4)} AS engagement, list_sort(list(platform) FILTER (platform <> 'unknown')) AS ps FROM v GROUP BY id)
-      SELECT id AS identity_id, {pipe(uniq("list_concat(['x', 'youtube'], coalesce(ps, []))"))} AS platforms, {pipe('ps')} AS measured, engagement, avg_confidence, n_signals FROM g JOIN customer ON c_custkey = id""",
+      g AS (SELECT id, count(*) AS n_signals, {rnd('avg(c)', 4)} AS avg_confidence, {rnd('sum(rate * greatest(0.2, c) * CASE WHEN f IS NULL THEN 1.0 ELSE log10(f + 10) END) / sum(greatest(0.2, c) * CASE WHEN f IS NULL THEN 1.0 ELSE log10(f + 10) END)', 4)} AS engagement, list_sort(list(platform) FILTER (platform <> 'unknown')) AS ps, list(concat_ws(':', platform, f::BIGINT)) FILTER (platform <> 'unknown') AS ms FROM v GROUP BY id)
+      SELECT id AS identity_id, {pipe(uniq("list_concat(['x', 'youtube'], coalesce(ps, []))"))} AS platforms,
+        array_to_string(list_sort(list_concat(coalesce(ms, []), CASE WHEN id % 2 = 0 THEN list_concat(['x:7'], CASE WHEN list_contains(coalesce(ps, []), 'instagram') THEN [] ELSE ['instagram:9'] END) ELSE [] END)), '|') AS measured,
+        engagement, avg_confidence, n_signals FROM g JOIN customer ON c_custkey = id""",
     "metric_sanitation": f"""WITH {MEASURED} SELECT creator, platform, CASE WHEN n % 2 = 0 THEN 0.0 ELSE floor(followers + 0.5 + 0.5) END::DOUBLE AS followers, {rnd(clamp('engagement_rate * 20'))} AS engagement_rate, {rnd('confidence')} AS confidence, NULL::DOUBLE AS sample_size
       FROM (SELECT *, sample_size::BIGINT AS n FROM measured) WHERE platform <> 'unknown'""",
     "identity_run": f"""WITH RECURSIVE {FOLD}, l AS (SELECT 'h' || user_id % 7 AS handle, CASE event_id % 2 WHEN 0 THEN 'x' ELSE 'youtube' END AS platform, 'ci_' || event_id AS i, ts FROM events),

@@ -56,6 +56,41 @@ def filtered_accounts(spark, d):
     return serving.filtered(signals(spark, d), {"platform": "instagram", "creator": None}, {"creator": ids, "event_id": None}, {"value": 12.349}).select("event_id", "creator", "value")
 
 
+@query
+def filtered_by_many_ids(spark, d):
+    """More ids than a list in the filter should hold: they become a semi join."""
+    ids = [f" {i}" for i in range(0, 900, 2)] + ["", "x", "4"]
+    return serving.filtered(signals(spark, d), {"platform": "youtube"}, {"event_id": ids}).select("event_id", "creator", "value")
+
+
+@query
+def exists_either(spark, d):
+    """Customers that one of two correlated subqueries knows."""
+    c, o, e = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "events")
+    urgent = o.where((F.col("o_custkey") == F.col("c_custkey").outer()) & (F.col("o_orderpriority") == "1-URGENT"))
+    bought = e.where((F.col("user_id") == F.col("c_custkey").outer()) & (F.col("event_type") == "purchase"))
+    return c.where(urgent.exists() | bought.exists()).select("c_custkey", "c_mktsegment")
+
+
+def store_fetches(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Identities with slugs as people write them, and the fetches of their store pages, some of which have failed."""
+    p, k = table(spark, d, "pages"), F.col("page_id")
+    ids = p.select(k.alias("identity_id"), F.when(k % 9 == 4, F.lit(" / ")).when(k % 2 == 0, F.concat(F.lit(" /Store-"), k, F.lit("/ "))).otherwise(F.concat(F.lit("store-"), k)).alias("slug"))
+    failed = F.when(k % 7 == 0, F.lit("HTTP 404"))
+    fetched = p.where(k % 11 > 0).select(F.concat(F.lit("store-"), k).alias("slug"), F.concat(F.lit("https://stan.store/store-"), k).alias("url"), F.when(failed.isNull(), F.coalesce("html", F.lit(""))).alias("html"), failed.alias("error"))
+    return ids, fetched
+
+
+@query
+def store_enrich_results(spark, d):
+    return enrich.store_results(*store_fetches(spark, d)).select("identity_id", "slug", "status", "reason")
+
+
+@query
+def store_enrich_stats(spark, d):
+    return enrich.store_stats(enrich.store_results(*store_fetches(spark, d)))
+
+
 @query
 def pending_or_forced(spark, d):
     c, done = table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
@@ -385,9 +420,12 @@ def metric_sync(spark, d):
     ids, rows = social_accounts(spark, d)
     kept = enrich.signals(enrich.candidates(ids, rows), 0)
     kind = "map<string,struct<followers:double,avg_views:double,engagement_rate:double,confidence:double,sample_size:double>>"
-    old = table(spark, d, "customer").select(F.col("c_custkey").alias("identity_id"), listed("Twitter", "unknown", "yt").alias("platforms"), F.lit(None).cast(kind).alias("metrics"))
+    numbers = lambda n: F.struct(*[F.lit(float(n)).alias(x) for x in ("followers", "avg_views", "engagement_rate", "confidence", "sample_size")])
+    before = F.create_map(F.lit("instagram"), numbers(9), F.lit("x"), numbers(7))  # new ones win over these
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("identity_id"), listed("Twitter", "unknown", "yt").alias("platforms"), F.when(F.col("c_custkey") % 2 == 0, before).cast(kind).alias("metrics"))
     s = enrich.sync(old, kept)
-    return s.select("identity_id", joined("platforms").alias("platforms"), joined(F.array_sort(F.map_keys("metrics"))).alias("measured"), F.col("engagement"), "avg_confidence", "n_signals")
+    shown = F.transform(F.map_entries("metrics"), lambda e: F.concat_ws(":", e["key"], e["value"]["followers"].cast("long")))
+    return s.select("identity_id", joined("platforms").alias("platforms"), joined(F.array_sort(shown)).alias("measured"), F.col("engagement"), "avg_confidence", "n_signals")
 
 
 @query

@@ -1,17 +1,22 @@
-"""Social enrichment: each identity's platforms from its accounts and links, what is skipped and why, and the sync to creators."""
+"""Social enrichment: each identity's platforms from its accounts and links, what is skipped and why, and the sync to creators.
+
+Store enrichment: each identity's store page, read if its fetch has given one; a failed fetch fails its identity alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import distinct_texts, round_half_up
 from ..functions.urls import host, normal_platform
+from .crawl import store_pages
 from .social import enough_followers, merged_metrics, social_signal, weighted_rate
 
 NO_SIGNALS = "no social account signals found"
 ALL_LOW = "all signals filtered by minFollowerEstimate"
 TOO_FEW = "insufficient social signals after filtering"
+NO_SLUG = "identity missing canonical_stan_slug"
 
 
 def candidates(identities: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -67,3 +72,28 @@ def sync(creators: DataFrame, kept: DataFrame) -> DataFrame:
     old = F.filter(F.transform("platforms", lambda p: normal_platform(p)), lambda p: p.isNotNull())
     named = F.filter(F.array_sort(F.map_keys("__new")), lambda p: p != "unknown")
     return out.withColumns({"platforms": distinct_texts(F.concat(old, named)), "metrics": merged_metrics(F.coalesce("metrics", F.col("__new")), F.col("__new"))}).drop("__new")
+
+
+def plain_slug(slug: Column) -> Column:
+    """Trimmed, lower-cased, without slashes around; null if nothing is left."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(slug)), "^/+|/+$", ""), F.lit(""))
+
+
+def store_results(identities: DataFrame, fetched: DataFrame) -> DataFrame:
+    """identity_id, slug, status (enriched, skipped, failed), reason, and what store_pages reads of an enriched identity's page.
+
+    identities: identity_id and slug. fetched: slug (plain, each once), url, html and error of the fetches; without one, or
+    without a page, an identity has failed.
+    """
+    rows = identities.select("identity_id", plain_slug(F.col("slug")).alias("slug"))
+    pages = store_pages(fetched.where("error is null and html is not null")).drop("html", "error", "offers")
+    tried = rows.join(fetched.select("slug", F.col("error").alias("__error")), "slug", "left").join(pages.withColumn("__read", F.lit(True)), "slug", "left")
+    status = F.when(F.col("slug").isNull(), "skipped").when(F.col("__read"), "enriched").otherwise("failed")
+    reason = F.when(F.col("slug").isNull(), NO_SLUG).when(F.col("__read").isNull(), F.coalesce("__error", F.lit("unknown error")))
+    return tried.withColumns({"status": status, "reason": reason}).drop("__error", "__read")
+
+
+def store_stats(rows: DataFrame) -> DataFrame:
+    """One row: selected, processed, succeeded, failed and skipped_no_slug."""
+    n = lambda status, name: F.count_if(F.col("status") == status).alias(name)
+    return rows.agg(F.count("*").alias("selected"), F.count("*").alias("processed"), n("enriched", "succeeded"), n("failed", "failed"), n("skipped", "skipped_no_slug"))
