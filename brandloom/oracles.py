@@ -340,6 +340,12 @@ ORACLES |= {
       {rnd('sum(engagement_rate * greatest(0.2, confidence) * greatest(1.0, log10(followers + 10))) / sum(greatest(0.2, confidence) * greatest(1.0, log10(followers + 10)))', 4)} AS imported FROM measured GROUP BY 1""",
     "primary_platform_argmax": f"""WITH {MEASURED}, s AS (SELECT *, {rnd('log10(greatest(1.0, avg_views + 1)) * 0.5 + log10(greatest(1.0, followers + 1)) * 0.35 + confidence * 0.15', 9)} AS s FROM measured)
       SELECT creator, platform AS primary_platform FROM s QUALIFY row_number() OVER (PARTITION BY creator ORDER BY s DESC, platform) = 1""",
+    "phrase_likeness": """WITH a AS (SELECT DISTINCT lower(p_name) AS a FROM part), b AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1) || ' ' || p_type) AS b FROM part),
+      t AS (SELECT a, b, list_distinct(list_filter(regexp_split_to_array(a, '[^a-z0-9]+'), lambda x: x <> '')) AS ta, list_distinct(list_filter(regexp_split_to_array(b, '[^a-z0-9]+'), lambda x: x <> '')) AS tb FROM a, b),
+      n AS (SELECT *, len(list_intersect(ta, tb)) AS n FROM t),
+      m AS (SELECT unnest(['jaccard', 'overlap', 'phrase']) AS kind, a, b, unnest([CASE WHEN a = b THEN 1.0 ELSE n / (len(ta) + len(tb) - n) END, CASE WHEN a = b THEN 1.0 ELSE n / least(len(ta), len(tb)) END,
+        CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.84 ELSE n / least(len(ta), len(tb)) END]) AS v FROM n)
+      SELECT kind, a, b, floor(v * 1000000 + 0.5) / 1000000 AS likeness FROM m WHERE v >= 0.34""",
     "identity_resolve_fold": f"""WITH RECURSIVE {FOLD} SELECT page_id, slug, domain, 'ci_' || sha256(length(anchor) || ':' || anchor) AS identity_id FROM f WHERE i > 0""",
     "identity_resolve_fast": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 3 <> 0 THEN 's' || page_id // 2 WHEN page_id % 5 <> 0 THEN regexp_replace(lower({part('url', 2)}), '^www\\.', '') END AS anchor FROM pages), f AS (SELECT anchor, min(page_id) AS first_account FROM a WHERE anchor IS NOT NULL GROUP BY 1)
       SELECT page_id, anchor, first_account FROM a LEFT JOIN f USING (anchor)""",    "intent_parse_free_text": f"""WITH {TALK}, low AS (SELECT *, lower(text) AS t, replace(text, ',', '') AS b FROM talk), u AS (SELECT *, CASE WHEN regexp_matches(t, '(per|/)\\s*(1k|1000)(\\s*views?)?') THEN 'per_1k_views' WHEN regexp_matches(t, 'per\\s*post') THEN 'per_post' WHEN regexp_matches(t, 'per\\s*video') THEN 'per_video' END AS per,

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, text, urls
-from .operators import brand, discovery, explorer, identity, importer, matching, ranking, scoring, social, upsert
+from .operators import brand, discovery, explorer, identity, importer, likeness, matching, ranking, scoring, social, upsert
 from .plans import rules
 from .sources.tables import table
 from .streaming import ingest
@@ -148,6 +148,16 @@ def priority_boost_top3(spark, d):
     return b.select("p_partkey", coerce.round_half_up("b.boost", 6).alias("boost"), joined(F.col("b.matched")).alias("matched"))
 
 
+@query
+def phrase_likeness(spark, d):
+    """Part names against types with a name's first word, by all three measures: the pairs alike by 0.34 or more, out of joins."""
+    p = table(spark, d, "part")
+    kinds = F.explode(F.lit(list(likeness.MEASURES))).alias("kind")
+    left, right = p.select(kinds, text.phrase("p_name").alias("phrase")), p.select(kinds, text.phrase(F.concat_ws(" ", F.split("p_name", " ")[0], "p_type")).alias("phrase"))
+    found = likeness.alike_by(left, right, "kind", {m: m for m in likeness.MEASURES}, 0.34)
+    return found.select("kind", "a", "b", coerce.round_half_up("likeness", 6).alias("likeness"))
+
+
 @query
 def match_total_top12(spark, d):
     p = matching.top_matches(brands(spark, d), creators(spark, d), "brand_id", "creator_id", 12)
