@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brandloom.functions.text import tokens
 from brandloom.operators import identity, likeness, matching, paging, ranking, scoring
 from brandloom.sources import shared, snapshots
-from brandloom.streaming import identities
+from brandloom.streaming import decks, identities
 from tests.test_operators import fold
 
 WORDS = ["art", "smart", "a", "ai", "ring", "red", "b2b", "é", "ringer", "in", "starting"]
@@ -163,3 +163,28 @@ def test_stored_tables_leave_no_shuffle_files(spark):
         assert shared.kept(spark, f"kept-{id(made)}", lambda: made.append(1) or spark.range(3)).count() == 3
     assert made == [1]
     shared._delete(spark, f"{shared.shared_dir(spark)}/brandloom-kept-{id(made)}")
+
+
+def test_decks_as_state_are_those_of_a_batch(spark, tmp_path):
+    r = random.Random(13)
+    rows = [(r.randrange(6), r.choice([None, *"abcdefghij"]), r.randrange(400)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "user_id long, deck string, at long")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", decks.PROVIDER)
+    seen = {}
+
+    def run(k, low, high):  # a stream that is started anew on the same checkpoint
+        spark.createDataFrame(rows[low:high], df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in/*")
+        out = decks.deck_stream(stream, "user_id", "deck", "at", most=4)
+        out.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: seen.update({x.user_id: list(zip(x.decks, x["at"], strict=True)) for x in b.collect()})).trigger(availableNow=True).start().awaitTermination()
+
+    try:
+        cuts = [0, *sorted(r.sample(range(1, 300), 3)), 300]
+        for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            run(k, low, high)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {}
+    for x in sorted(ranking.deck_history(df.where("deck is not null"), "user_id", "deck", "at", 4).collect(), key=lambda x: x.place):
+        want.setdefault(x.user_id, []).append((x.deck, x["at"]))
+    assert seen == want
