@@ -165,7 +165,7 @@ ORACLES |= {
         CASE WHEN slug IS NOT NULL THEN CASE WHEN page_id % 4 = 1 THEN 'merged_by_cross_link' ELSE 'merged_by_slug' END WHEN domain IS NOT NULL THEN CASE WHEN page_id % 4 = 2 THEN 'merged_by_cross_link' ELSE 'merged_by_domain' END ELSE 'queued' END AS counted FROM f WHERE i > 0),
       c AS (SELECT page_id, arg_max(l.i, (ts, l.i)) AS candidate FROM r JOIN l ON r.handle = l.handle AND r.platform <> l.platform WHERE anchor IS NULL GROUP BY page_id),
       born AS (SELECT anchor, arg_min(run, page_id) AS run FROM r WHERE anchor IS NOT NULL GROUP BY anchor),
-      names AS (SELECT run, account FROM (SELECT DISTINCT run FROM r), (SELECT unnest(['processed', 'merged_by_slug', 'merged_by_domain', 'merged_by_cross_link', 'queued', 'created']) AS account)),
+      names AS (SELECT run, account FROM (SELECT unnest(['first', 'second']) AS run), (SELECT unnest(['processed', 'merged_by_slug', 'merged_by_domain', 'merged_by_cross_link', 'queued', 'created']) AS account)),
       counts AS (SELECT run, counted AS account, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT run, 'processed', count(*) FROM r GROUP BY run UNION ALL SELECT run, 'created', count(*) FROM born GROUP BY run)
       SELECT run, page_id::VARCHAR AS account, coalesce(identity_id, candidate) AS found, CASE WHEN anchor IS NOT NULL THEN 1.0 WHEN candidate IS NULL THEN 0.3 ELSE 0.55 END::DOUBLE AS confidence, NULL::BIGINT AS n FROM r LEFT JOIN c USING (page_id)
       UNION ALL SELECT run, account, NULL, NULL, coalesce(n, 0) FROM names LEFT JOIN counts USING (run, account)""",
