@@ -51,7 +51,7 @@ def _least(rows: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def _openers(pairs: DataFrame) -> DataFrame:
-    """The pairs (slug, domain, order) that open an identity; pairs: a stored table, an order occurs once.
+    """The pairs (slug, domain, order) that open an identity; an order occurs once.
 
     Rounds: a pair that is the first of its slug and of its domain, among those left, opens; what shares a slug or domain with
     it goes. Where most pairs wait for one other pair each (accounts that name a slug and a domain by turns), a round decides
@@ -117,7 +117,7 @@ def resolve_known(accounts: DataFrame, order: str, known: DataFrame | None) -> t
     # A known slug or domain opens nothing; only the rest is folded.
     open_rows = rows.where(F.coalesce("__known_slug", "__known_domain").isNull() & F.coalesce("slug", "domain").isNotNull())
     first = open_rows.groupBy("slug", "domain").agg(F.min(order).alias("order"))
-    openers = _openers(stored(first, "pairs"))
+    openers = _openers(first)
     anchor = F.coalesce(F.concat(F.lit("s:"), "slug"), F.concat(F.lit("d:"), "domain"))
     entry = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("name"), anchor.alias("anchor"), F.col("order").alias("since"))
     opened = openers.select(F.explode(F.array(entry("slug"), entry("domain"))).alias("e")).select("e.*").where("name is not null")
