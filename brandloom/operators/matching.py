@@ -135,14 +135,19 @@ def _estimate(parts: dict[str, Part], boost: Column) -> Column:
     return sum((weight[m] * parts[m][0] for m in MODULES), F.lit(0.0)) / sum(weight.values(), F.lit(1e-9)) + boost
 
 
-def _scored(pairs: DataFrame, brands: DataFrame, creators: DataFrame) -> DataFrame:
+def _score_columns() -> tuple:
+    """The likenesses and what follows from them, for both tables of pairs that are scored."""
+    likes = {f"__like_{name}": scoring.best_of(F.col(b), F.col(c), like) for name, (b, c, like) in scoring.COMPARED.items()}
+    return {"b_": F.col("__b"), "c_": F.col("__c"), **likes}, scoring.score_columns()
+
+
+def _scored(pairs: DataFrame, brands: DataFrame, creators: DataFrame, columns: tuple) -> DataFrame:
     """Pairs (__b, __c), scored in full."""
     spark = pairs.sparkSession
     # A pair costs far more than its bytes say, so pairs are dealt to all cores.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = creators.join(pairs, "__c").join(brands, "__b").repartition(tasks, "__b", "__c")
-    likes = {f"__like_{name}": scoring.best_of(F.col(b), F.col(c), like) for name, (b, c, like) in scoring.COMPARED.items()}
-    return scoring.score_prepared(rows.withColumns({"b_": F.col("__b"), "c_": F.col("__c"), **likes}))
+    return scoring.score_prepared(rows.withColumns(columns[0]), columns[1])
 
 
 def top_matches(brands: DataFrame, creators: DataFrame, brand_id: str, creator_id: str, k: int = 12) -> DataFrame:
@@ -150,9 +155,10 @@ def top_matches(brands: DataFrame, creators: DataFrame, brand_id: str, creator_i
     raw = creators
     brands = stored(scoring.prepare_brands(brands).withColumn("__b", F.monotonically_increasing_id()), "brands")
     creators = stored(scoring.prepare_creators(creators).withColumn("__c", F.monotonically_increasing_id()), "creators")
-    pairs, thresholds = _candidates(brands, creators, k)
+    columns = _score_columns()
+    pairs, thresholds = _candidates(brands, creators, k, columns)
     order = [F.desc("total"), F.col(creator_id)]
-    found = top_k(_scored(pairs, brands, creators), ["b_"], order, k).drop("b_", "c_")
+    found = top_k(_scored(pairs, brands, creators, columns), ["b_"], order, k).drop("b_", "c_")
     if not thresholds.where("reached").limit(1).count():
         return found
     still_open = stored(thresholds.where("reached").join(brands, "__b").select(*[c for c in brands.columns if not c.startswith("__")]), "open")
@@ -160,7 +166,7 @@ def top_matches(brands: DataFrame, creators: DataFrame, brand_id: str, creator_i
     return found.join(still_open.select(brand_id), brand_id, "left_anti").unionByName(rest.select(*found.columns))
 
 
-def _candidates(brands: DataFrame, creators: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _candidates(brands: DataFrame, creators: DataFrame, k: int, columns: tuple) -> tuple[DataFrame, DataFrame]:
     """The pairs that can be among the k best, and for each brand whether a creator beyond them might."""
     wanted, offered = _exploded(brands, "__b", 0), _exploded(creators, "__c", 1)
     words = stored(offered.select("kind", "phrase").distinct(), "phrases")
@@ -181,7 +187,7 @@ def _candidates(brands: DataFrame, creators: DataFrame, k: int) -> tuple[DataFra
     parts, boost = _pair_parts(), _boost(F.col("strong_n") + F.col("weak_n"), F.greatest("strong_most", "weak_most"))
     seen = stored(gains.join(own, "__c").join(bounds, "__b").withColumn("boost_most", boost).withColumn("looks", _estimate(parts, boost)), "candidates")
     seeds = top_k(seen.select("__b", "__c", "looks"), ["__b"], [F.desc("looks"), F.col("__c")], SEEDS * k)
-    totals = _scored(seeds.select("__b", "__c"), brands, creators).select(F.col("b_").alias("__b"), "total")
+    totals = _scored(seeds.select("__b", "__c"), brands, creators, columns).select(F.col("b_").alias("__b"), "total")
     kth = top_k(totals, ["__b"], [F.desc("total")], k).groupBy("__b").agg(F.min("total").alias("least"), F.count("*").alias("n")).where(F.col("n") == k)
     threshold = bounds.join(kth, "__b", "left").withColumn("threshold", F.coalesce("least", F.lit(-1.0)))
     reached = _reaches(_unmatched_parts(), _boost(F.col("weak_n"), F.col("weak_most")), F.col("threshold"))

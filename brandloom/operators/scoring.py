@@ -227,23 +227,27 @@ def breakdown(scored: DataFrame) -> DataFrame:
 COMPARED = {"topics": ("__topics", "__offered", topic_likeness), "audience": ("__audience", "__offered_audience", audience_likeness), "priorities": ("__priorities", "__signals", term_similarity)}
 
 
-def score_prepared(pairs: DataFrame) -> DataFrame:
-    """Prepared pairs, with the likenesses of COMPARED as __like_..., with modules, weights, boost, total, best_platform and reasons."""
+def score_columns() -> tuple[dict[str, Column], Column, dict[str, Column]]:
+    """The columns of score_prepared, step by step; they are large, and can be used for several tables."""
     c, conf = F.col, F.coalesce(F.col("signal_confidence"), F.lit(0.0))
-    staged = pairs.withColumns({
+    staged = {
         "modules": F.struct(
             niche_affinity(c("__category"), c("__niche")).alias("niche"), topic_similarity(c("__like_topics"), c("__offered"), conf).alias("topic"),
             platform_alignment(c("__platforms"), c("__presence"), c("metrics")).alias("platform"),
             audience_fit(c("__like_audience"), c("__offered_audience"), conf).alias("audience"), c("__fit").alias("engagement"),
         ),
         "__boost": priority_boost(c("__priorities"), c("__like_priorities")),
-    })
-    staged = staged.withColumn("weights", trusted_weights(c("__base"), c("modules")))
+    }
     total = sum((clamp(c(f"modules.{m}.score")) * c(f"weights.{m}") for m in MODULES), F.lit(0.0))
     reasons = F.array_compact(F.array(*[F.when(c(f"modules.{m}.score") * c(f"modules.{m}.confidence") >= 0.15, F.lit(m)) for m in MODULES], F.when(c("__boost.boost") > 0, F.lit("priority"))))
-    out = staged.withColumns({
-        "boost": c("__boost.boost"), "total": round_half_up(clamp(clamp(total) + c("__boost.boost")), 4), "reasons": reasons, "best_platform": F.lower(F.get(some("platforms"), F.lit(0))),
-    })
+    out = {"boost": c("__boost.boost"), "total": round_half_up(clamp(clamp(total) + c("__boost.boost")), 4), "reasons": reasons, "best_platform": F.lower(F.get(some("platforms"), F.lit(0)))}
+    return staged, trusted_weights(c("__base"), c("modules")), out
+
+
+def score_prepared(pairs: DataFrame, columns: tuple | None = None) -> DataFrame:
+    """Prepared pairs, with the likenesses of COMPARED as __like_..., with modules, weights, boost, total, best_platform and reasons."""
+    staged, weights, scores = score_columns() if columns is None else columns
+    out = pairs.withColumns(staged).withColumn("weights", weights).withColumns(scores)
     return out.drop(*[n for n in out.columns if n.startswith("__")])
 
 

@@ -72,7 +72,7 @@ def test_few_pairs_are_scored(spark):
     brands = spark.createDataFrame([(i, f"n{i}", [f"ta{i}", f"tb{i}"], [f"p{i}"], None, None, ["x"], [f"n{i}"], None) for i in range(10)], BRAND)
     b = scoring.prepare_brands(brands).withColumn("__b", F.col("brand_id"))
     c = scoring.prepare_creators(creators).withColumn("__c", F.col("creator_id"))
-    pairs, thresholds = matching._candidates(shared.stored(b, "b"), shared.stored(c, "c"), 12)
+    pairs, thresholds = matching._candidates(shared.stored(b, "b"), shared.stored(c, "c"), 12, matching._score_columns())
     assert thresholds.where("reached").count() == 0 and 120 <= pairs.count() < 1_500
     plan = matching.top_matches(brands, creators, "brand_id", "creator_id", 12)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
