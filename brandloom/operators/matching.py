@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.coerce import clamp
 from ..plans.rules import MODULES
-from ..sources.shared import stored
+from ..sources.shared import dealt, stored
 from . import likeness, scoring
 from .ranking import top_k
 
@@ -143,10 +143,7 @@ def _score_columns() -> tuple:
 
 def _scored(pairs: DataFrame, brands: DataFrame, creators: DataFrame, columns: tuple) -> DataFrame:
     """Pairs (__b, __c), scored in full."""
-    spark = pairs.sparkSession
-    # A pair costs far more than its bytes say, so pairs are dealt to all cores.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = creators.join(pairs, "__c").join(brands, "__b").repartition(tasks, "__b", "__c")
+    rows = dealt(creators.join(pairs, "__c").join(brands, "__b"), "__b", "__c")
     return scoring.score_prepared(rows.withColumns(columns[0]), columns[1])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import clamp, distinct_texts, round_half_up
 from ..functions.text import jaccard, keyword_hits, let, overlap, phrase, phrase_similarity, tokens
 from ..plans.rules import INTENT_KEYWORDS, MODULES, POLICIES
-from ..sources.shared import stored
+from ..sources.shared import dealt, stored
 
 NONE = "array<string>"
 
@@ -35,7 +35,7 @@ def mean(xs: Column) -> Column:
 
 def best_of(wanted: Column, offered: Column, likeness) -> Column:
     """For each of wanted the best likeness among offered, 0 if there are none; both are terms."""
-    return F.transform(wanted, lambda w: F.coalesce(F.array_max(F.transform(offered, lambda o: likeness(w, o))), F.lit(0.0)))
+    return let(offered, lambda os: F.transform(wanted, lambda w: F.coalesce(F.array_max(F.transform(os, lambda o: likeness(w, o))), F.lit(0.0))))
 
 
 def topic_likeness(w: Column, o: Column) -> Column:
@@ -167,14 +167,16 @@ def trusted_weights(base: Column, modules: Column) -> Column:
 
 def priority_boost(priorities: Column, likes: Column) -> Column:
     """boost and the (up to three) priorities, of likeness 0.34 or more, that earn it. priorities: terms; likes: what best_of gives for them."""
+    # likes stands outside all lambdas: Spark writes an expression in where its column is used once, and would work it out for each priority.
+    paired = F.zip_with(priorities, likes, lambda p, like: F.struct(like.alias("likeness"), p["p"].alias("priority")))
 
-    def rate(p, i):
-        return F.struct(F.get(likes, i).alias("likeness"), (-i).alias("rank"), p["p"].alias("priority"))
+    def rate(r, i):
+        return F.struct(r["likeness"], (-i).alias("rank"), r["priority"])
 
     def boost(top):
         return F.struct(F.when(F.size(top) > 0, F.least(F.lit(0.16), 0.04 * F.size(top) + 0.07 * mean(F.transform(top, lambda r: r["likeness"])))).otherwise(0.0).alias("boost"), F.transform(top, lambda r: r["priority"]).alias("matched"))
 
-    return let(F.slice(F.reverse(F.array_sort(F.filter(F.transform(priorities, rate), lambda r: r["likeness"] >= 0.34))), 1, 3), boost)
+    return let(F.slice(F.reverse(F.array_sort(F.filter(F.transform(paired, rate), lambda r: r["likeness"] >= 0.34))), 1, 3), boost)
 
 
 def term_similarity(a: Column, b: Column) -> Column:
@@ -259,10 +261,9 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Every brand with every creator. Brands are measured: up to most_brands of them and most_bytes are broadcast, more go in rounds of as much."""
-    spark = creators.sparkSession
     brands, creators = stored(prepare_brands(brands), "brands"), prepare_creators(creators)  # brands are read three times
     # A creator costs a score for every brand, so creators are dealt to all cores before they are paired.
-    creators = creators.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), creators.columns[0])
+    creators = dealt(creators, creators.columns[0])
     n, held = brands.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*brands.columns)))), F.lit(0))).first()
     rounds = max(1, -(-n // most_brands), -(-held // most_bytes))
     parts = [brands] if rounds == 1 else [brands.where(F.pmod(F.hash(*brands.columns[:1]), F.lit(rounds)) == k) for k in range(rounds)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import coerce, text, urls
 from .operators import brand, discovery, explorer, identity, importer, likeness, matching, ranking, scoring, social, upsert
 from .plans import rules
+from .sources.shared import dealt
 from .sources.tables import table
 from .streaming import ingest
 
@@ -142,9 +143,10 @@ def policy_blend_reweight(spark, d):
 
 @query
 def priority_boost_top3(spark, d):
-    p = table(spark, d, "part").select("p_partkey", text.phrase("p_name").alias("name"), text.phrase("p_type").alias("type"))
-    wanted = F.lit(["small ring", "ring", "large bolt", "economy", "promo gear"])
-    b = p.withColumn("b", scoring.priority_boost(scoring.terms(wanted), scoring.best_of(scoring.terms(wanted), scoring.terms(F.array("name", "type")), scoring.term_similarity)))
+    p = dealt(table(spark, d, "part").select("p_partkey", text.phrase("p_name").alias("name"), text.phrase("p_type").alias("type")))
+    wanted = spark.range(1).select(scoring.terms(F.lit(["small ring", "ring", "large bolt", "economy", "promo gear"])).alias("wanted"))  # one row
+    likes = scoring.best_of(F.col("wanted"), scoring.terms(F.array("name", "type")), scoring.term_similarity)
+    b = p.crossJoin(F.broadcast(wanted)).withColumn("b", scoring.priority_boost(F.col("wanted"), likes))
     return b.select("p_partkey", coerce.round_half_up("b.boost", 6).alias("boost"), joined(F.col("b.matched")).alias("matched"))
 
 

@@ -42,6 +42,12 @@ def shuffles_go(spark: SparkSession):
         spark.conf.set(_SHUFFLES_GO, before) if before is not None else spark.conf.unset(_SHUFFLES_GO)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt to all cores, by keys if there are any: for rows that cost far more than their bytes say."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, a lost executor costs no recomputation, and its shuffles' files are gone.
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from brandloom import queries
 from brandloom.operators import scoring
 
 LISTS = ("target_audience", "goals", "campaign_angles", "match_topics", "preferred_platforms", "priority_niches", "priority_topics", "platforms", "audience_types", "topics")
@@ -36,3 +37,14 @@ def test_invariants(scored):
         assert 0 <= row["total"] <= 1
         assert sum(row["weights"].asDict().values()) == pytest.approx(1)
         assert all(0 <= m["score"] <= 1 and 0 <= m["confidence"] <= 1 for m in row["modules"])
+
+
+def test_parts_are_boosted_on_all_cores(spark):
+    """A part costs far more than its bytes say; a small file would be one task."""
+    assert queries.priority_boost_top3(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_boost_of_known_likenesses(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "d", "e"], [0.2, 0.5, 1.0, 0.5, 0.5]), ([], []), (["a"], [0.1])], "p array<string>, likes array<double>")
+    got = df.select(scoring.priority_boost(scoring.terms(F.col("p")), F.col("likes")).alias("b")).collect()
+    assert [(round(x.b.boost, 9), x.b.matched) for x in got] == [(0.16, ["c", "b", "d"]), (0.0, []), (0.0, [])]
