@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -74,6 +75,33 @@ def any_word(text: Column, words: str) -> Column:
     return F.regexp_like(text, F.lit(f"(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)"))
 
 
+def contains_any(text: Column, *literals: str) -> Column:
+    return functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in literals])
+
+
+def spaced(text: Column) -> Column:
+    """Lower-cased text with a space for what is no word's, and one at either end, for held_word."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9_]+", " "), F.lit(" "))
+
+
+def held_word(text: Column, spaced_text: Column, words: str) -> Column:
+    """any_word of a lower-cased text (alternatives without groups), of which spaced is known.
+
+    Plain words are looked up there; the expression of any other alternative is tried only where a word begins as it does.
+    """
+    plain, others, begun = [], [], []
+    for word in words.split("|"):
+        start, rest = re.fullmatch(r"([a-z0-9_]*)(.*)", word).groups()
+        if rest in ("", "?"):
+            plain += [f" {start} "] + ([f" {start[:-1]} "] if rest else [])
+        else:
+            others.append(word)
+            begun.append(" " + (start[:-1] if rest[0] in "?*{" else start))
+    found = [contains_any(spaced_text, *plain)] if plain else []
+    found += [contains_any(spaced_text, *begun) & any_word(text, "|".join(others))] if others else []
+    return functools.reduce(Column.__or__, found)
+
+
 def labels(*cases: tuple[Column, str]) -> Column:
     """The labels whose conditions hold, in order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(label)) for c, label in cases]))

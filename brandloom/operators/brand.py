@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import distinct_texts, round_half_up
-from ..functions.text import any_word, bundle, labels, phrase
+from ..functions.text import bundle, contains_any, held_word, labels, phrase, spaced
 from ..plans import rules
 
 
@@ -17,48 +17,47 @@ def _first(text: Column, cases) -> Column:
     return out
 
 
-def _like(pattern: str):
-    return lambda x: F.regexp_like(x, F.lit(pattern))
+def _like(pattern: str, marks: tuple[str, ...]):
+    """Whether a pattern is met, tried only where one of its marks stands."""
+    return lambda x: contains_any(x, *marks) & F.regexp_like(x, F.lit(pattern))
 
 
-def _words(words: str):
-    return lambda x: any_word(x, words)
-
-
-def partnership(text: Column) -> Column:
-    return _first(text, [(_words(w), label) for w, label in rules.PARTNERSHIP_WORDS])
+def partnership(text: Column, words: Column | None = None) -> Column:
+    """words: spaced(text), if it is known."""
+    words = spaced(text) if words is None else words
+    return _first(text, [((lambda w: lambda x: held_word(x, words, w))(w), label) for w, label in rules.PARTNERSHIP_WORDS])
 
 
 def compensation(text: Column) -> Column:
-    return _first(text, [(_like(pattern), label) for label, pattern in rules.COMPENSATION_WORDS])
+    return _first(text, [(_like(pattern, marks), label) for label, pattern, marks in rules.COMPENSATION_WORDS])
 
 
 def unit(text: Column) -> Column:
-    return _first(text, [(_like(pattern), label) for label, pattern in rules.UNIT_WORDS])
+    return _first(text, [(_like(pattern, marks), label) for label, pattern, marks in rules.UNIT_WORDS])
 
 
 def budget(text: Column, strict: bool = False) -> Column:
     """An amount after a dollar sign, else, where money is spoken of, the first number of two to six digits."""
     bare = F.replace(text, F.lit(","), F.lit(""))
-    dollars = F.nullif(F.regexp_extract(bare, r"\$\s*(\d+(?:\.\d+)?)", 1), F.lit(""))
+    dollars = F.when(F.contains(text, F.lit("$")), F.nullif(F.regexp_extract(bare, r"\$\s*(\d+(?:\.\d+)?)", 1), F.lit("")))
     amount = round_half_up(dollars.try_cast("double")).cast("long")
     if strict:
         return amount
-    spoken = F.regexp_like(F.lower(bare), F.lit(rules.SPEND_WORDS))
+    spoken = contains_any(F.lower(bare), *rules.SPEND_WORDS) | _like(*rules.SPEND_PER)(F.lower(bare))
     number = F.nullif(F.regexp_extract(bare, r"(?:^|[^A-Za-z0-9_])(\d{2,6})(?:\.\d+)?(?:[^A-Za-z0-9_]|$)", 1), F.lit(""))
     return F.coalesce(amount, F.when(spoken, number.try_cast("long")))
 
 
 def intent(df: DataFrame, text: str) -> DataFrame:
     """df with partnership, compensation, unit, amount, open_budget, goals and platforms, read from free text."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    is_open = F.regexp_like(low, F.lit(rules.NO_BUDGET))
-    per = unit(low)
-    return df.withColumns({
-        "partnership": partnership(low), "compensation": compensation(low), "unit": F.coalesce(per, F.when(compensation(low) == "cpm", "per_1k_views")),
+    low, words = F.col("__low"), F.col("__words")
+    staged = df.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("__words", spaced(low)).withColumn("compensation", compensation(low))
+    is_open = contains_any(low, *rules.NO_BUDGET)
+    return staged.withColumns({
+        "partnership": partnership(low, words), "compensation": F.col("compensation"), "unit": F.coalesce(unit(low), F.when(F.col("compensation") == "cpm", "per_1k_views")),
         "amount": F.when(~is_open, budget(F.coalesce(F.col(text), F.lit("")))), "open_budget": is_open,
-        "goals": labels(*[(any_word(low, w), g) for w, g in rules.GOAL_WORDS]), "platforms": labels(*[(any_word(low, w), p) for p, w in rules.PLATFORM_WORDS]),
-    })
+        "goals": labels(*[(held_word(low, words, w), g) for w, g in rules.GOAL_WORDS]), "platforms": labels(*[(held_word(low, words, w), p) for p, w in rules.PLATFORM_WORDS]),
+    }).drop("__low", "__words")
 
 
 def intake_signals(df: DataFrame) -> DataFrame:
