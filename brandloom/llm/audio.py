@@ -9,10 +9,11 @@ Recordings are found by an inverted index and aligned by histograms of offsets.
 from the start. Each integer of a class that holds a query is looked up as it is, and with every one or two of its bits
 changed that a move to a neighbouring level of one or two filters changes; the join with the integers of all classes, at
 every STEP-th position of each, is Spark's. A meeting must hold around it as well (a share of NEAR differing bits over the
-integers at the steps in AROUND, in the join itself), and then votes for the offset between its two positions. The votes are
-counted, and at each offset that has one the differing bits of all positions decide: a pair matches at the offset with the
-least share of them, if OVERLAP positions or more overlap there and the share is ERROR or less. The work follows the
-recordings and the meetings, not the pairs.
+integers at the steps in AROUND, in the join itself), and then stands for the offset between its two positions. The join gives
+a meeting only if the two recordings don't meet at the same offset LAGS positions before, as then it tells nothing new. At each
+offset that has a meeting the differing bits of all positions decide: a pair matches at the offset with the least share of them,
+if OVERLAP positions or more overlap there and the share is ERROR or less. The work follows the recordings and the pairs that
+meet. A query in a group of near copies meets all of the group, mostly once an offset, however many positions they share.
 
 Edge cases: a null, empty, unreadable, cut-off or silent recording has the integers of what can be read of it, and without
 any matches nothing. Channels are averaged. Sampling rates outside RATES count as unreadable. Repeated rows are recordings
@@ -31,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -45,6 +46,9 @@ LEVEL = 0.1
 OVERLAP, ERROR = 16, 0.17
 AROUND, NEAR = (-16, -12, -8, -4, 4, 8, 12, 16), 0.25
 STEP = 3
+#: How much earlier a meeting makes a later one needless: multiples of STEP, as positions are indexed so. SIDES is what that is judged by.
+LAGS = (3, 6, 9, 12)
+SIDES = tuple(s for s in range(min(AROUND) - max(LAGS), max(AROUND) + 1) if s)
 RATES = (1_000, 400_000)
 
 GRAY = (0, 1, 3, 2)
@@ -216,24 +220,58 @@ def classes(prints: DataFrame, id_col: str, is_query) -> DataFrame:
     return stored(held.withColumn("n", F.monotonically_increasing_id()), "classes")
 
 
+def _side(step: int) -> str:
+    return f"c{step}".replace("-", "_")
+
+
+def _with_sides(rows: DataFrame, found: DataFrame, prefix: str = "") -> DataFrame:
+    """rows (key, n and k, the place in its lists) with the position, its own integer and those at SIDES."""
+    k = F.col("k")
+    place = F.get("at", k)
+    side = lambda step: F.when(F.get("at", k + step) == place + step, F.get("prints", k + step))
+    both = rows.join(found.select("n", "at", "prints"), "n")
+    return both.select("key", F.col("n").alias(prefix or "n"), place.alias(f"{prefix}_at"), F.get("prints", k).alias(f"{prefix}_own"), *[side(step).alias(f"{prefix}_{_side(step)}") for step in SIDES])
+
+
+def _meetings(found: DataFrame) -> DataFrame:
+    """q, q_at, n, _at and so on of positions of different classes that meet; what is looked up travels bare as far as a key is known."""
+    entries = found.select("n", "asked", "at", F.posexplode("prints").alias("k", "key"))
+    index = entries.where(F.get("at", F.col("k")) % STEP == 0).select("key", "n", "k")
+    probes = entries.where("asked").select("key", "n", "k").mapInArrow(_probe, "key int, n long, k int")
+    hits = stored(probes.join(index.select("key").distinct(), "key", "left_semi"), "hits")
+    known = index.join(hits.select("key").distinct(), "key", "left_semi")
+    return _with_sides(hits, found, "q").join(_with_sides(known, found), "key").where(F.col("q") != F.col("n"))
+
+
+def _sides(step: int) -> tuple[Column, Column]:
+    """The integers of a meeting's two recordings so many positions on, null where there are none."""
+    name = f"_{_side(step)}" if step else "_own"
+    return F.col(f"q{name}"), F.col(name)
+
+
+def _near(shift: int = 0) -> Column:
+    """Whether the meeting so many positions on holds around it."""
+    differ = [F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for a, b in (_sides(step + shift) for step in AROUND)]
+    return sum((F.coalesce(x, F.lit(0)) for x in differ), F.lit(0)) <= sum((x.isNotNull().cast("int") for x in differ), F.lit(0)) * F.lit(32 * NEAR)
+
+
+def _neighbouring(a: Column, b: Column) -> Column:
+    """Whether b is among neighbours(a); of a filter's two bits the higher moves by a level only beside a lower one."""
+    low = 0x55555555
+    a, change = a.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)), a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    high = F.shiftright(change, 1).bitwiseAND(F.lit(low))
+    return (F.bit_count(change) <= 2) & (high.bitwiseAND(change) == 0) & (high.bitwiseAND(F.bitwise_not(a)) == 0)
+
+
+def _met_before() -> Column:
+    """Whether the two recordings meet at one of LAGS before, at the same offset."""
+    return functools.reduce(Column.__or__, [F.coalesce(_neighbouring(*_sides(-lag)) & _near(-lag), F.lit(False)) for lag in LAGS])
+
+
 def aligned(found: DataFrame) -> DataFrame:
     """q, n, offset, overlap, error for each class q with a query and each class n that it matches; q itself is one, if it is long enough."""
-    i = F.sequence(F.lit(0), F.size("at") - 1)
-
-    def entry(k):
-        place = F.get("at", k)
-        side = lambda step: F.when(F.get("at", k + step) == place + step, F.get("prints", k + step))
-        return F.struct(F.get("prints", k).alias("key"), place.alias("at"), *[side(step).alias(f"c{i}") for i, step in enumerate(AROUND)])
-
-    entries = found.select("n", "asked", F.explode(F.transform(i, entry)).alias("e")).select("n", "asked", "e.*")
-    sides = [f"c{i}" for i in range(len(AROUND))]
-    asked = entries.where("asked").select("key", F.col("n").alias("q"), F.col("at").alias("q_at"), *[F.col(c).alias(f"q_{c}") for c in sides])
-    probes = asked.mapInArrow(_probe, f"key int, q long, q_at int, {', '.join(f'q_{c} int' for c in sides)}")
-    both = [F.bit_count(F.col(f"q_{c}").bitwiseXOR(F.col(c)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))) for c in sides]
-    near = sum((F.coalesce(b, F.lit(0)) for b in both), F.lit(0)) <= sum((b.isNotNull().cast("int") for b in both), F.lit(0)) * F.lit(32 * NEAR)
-    met = probes.join(entries.where(F.col("at") % STEP == 0).select("key", "n", "at", *sides), "key").where(near)
-    votes = met.where("q <> n").groupBy("q", "n", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    offsets = votes.groupBy("q", "n").agg(F.array_sort(F.collect_set("offset")).alias("offsets"))  # two recordings have as many as they have positions
+    met = _meetings(found).where(_near() & ~_met_before())
+    offsets = met.groupBy("q", "n").agg(F.array_sort(F.collect_set(F.col("_at") - F.col("q_at"))).alias("offsets"))  # two recordings have as many as they have positions
     a, b = (found.select(F.col("n").alias(k), F.col("at").alias(f"{k}_at"), F.col("prints").alias(f"{k}_prints")) for k in ("q", "n"))
     judged = offsets.join(a, "q").join(b, "n").select("q", "n", "offsets", "q_at", "q_prints", "n_at", "n_prints").mapInArrow(_judge, "q long, n long, offset int, overlap int, error double")
     best = judged.groupBy("q", "n").agg(F.min(F.struct("error", (-F.col("overlap")).alias("o"), "offset")).alias("b")).select("q", "n", "b.offset", (-F.col("b.o")).alias("overlap"), "b.error")
