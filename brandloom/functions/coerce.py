@@ -17,9 +17,9 @@ def round_half_up(x: Column | str, places: int = 0) -> Column:
 
 
 def clamp(x: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
-    """x within low and high; NaN and null are low."""
-    x = col(x)
-    return F.when(x.isNull() | F.isnan(x), F.lit(float(low))).otherwise(F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
+    """x within low and high; NaN and null are low. x stands here once, as lambdas work out all that is written."""
+    low = F.lit(float(low))
+    return F.greatest(low, F.least(F.lit(float(high)), F.coalesce(F.nanvl(col(x).cast("double"), low), low)))
 
 
 def finite(x: Column | str) -> Column:

@@ -136,9 +136,8 @@ def _estimate(parts: dict[str, Part], boost: Column) -> Column:
 
 
 def _score_columns() -> tuple:
-    """The likenesses and what follows from them, for both tables of pairs that are scored."""
-    likes = {f"__like_{name}": scoring.best_of(F.col(b), F.col(c), like) for name, (b, c, like) in scoring.COMPARED.items()}
-    return {"b_": F.col("__b"), "c_": F.col("__c"), **likes}, scoring.score_columns()
+    """What pairs are compared by and what follows from it, for both tables of pairs that are scored."""
+    return {"b_": F.col("__b"), "c_": F.col("__c"), **scoring.pair_columns()}, scoring.score_columns()
 
 
 def _scored(pairs: DataFrame, brands: DataFrame, creators: DataFrame, columns: tuple) -> DataFrame:

@@ -229,13 +229,26 @@ def breakdown(scored: DataFrame) -> DataFrame:
 COMPARED = {"topics": ("__topics", "__offered", topic_likeness), "audience": ("__audience", "__offered_audience", audience_likeness), "priorities": ("__priorities", "__signals", term_similarity)}
 
 
+#: What pairs need of one column of the brand alone, besides the creator: brand's column, result of its value.
+BY_VALUE = {
+    "niche": ("__category", lambda category: niche_affinity(category, F.col("__niche"))),
+    "platform": ("__platforms", lambda wanted: platform_alignment(wanted, F.col("__presence"), F.col("metrics"))),
+}
+
+
+def pair_columns() -> dict[str, Column]:
+    """The likenesses of COMPARED and the results of BY_VALUE, of rows that hold both sides."""
+    likes = {f"__like_{name}": best_of(F.col(b), F.col(c), like) for name, (b, c, like) in COMPARED.items()}
+    return likes | {f"__fit_{name}": fit(F.col(b)) for name, (b, fit) in BY_VALUE.items()}
+
+
 def score_columns() -> tuple[dict[str, Column], Column, dict[str, Column]]:
     """The columns of score_prepared, step by step; they are large, and can be used for several tables."""
     c, conf = F.col, F.coalesce(F.col("signal_confidence"), F.lit(0.0))
     staged = {
         "modules": F.struct(
-            niche_affinity(c("__category"), c("__niche")).alias("niche"), topic_similarity(c("__like_topics"), c("__offered"), conf).alias("topic"),
-            platform_alignment(c("__platforms"), c("__presence"), c("metrics")).alias("platform"),
+            c("__fit_niche").alias("niche"), topic_similarity(c("__like_topics"), c("__offered"), conf).alias("topic"),
+            c("__fit_platform").alias("platform"),
             audience_fit(c("__like_audience"), c("__offered_audience"), conf).alias("audience"), c("__fit").alias("engagement"),
         ),
         "__boost": priority_boost(c("__priorities"), c("__like_priorities")),
@@ -247,7 +260,7 @@ def score_columns() -> tuple[dict[str, Column], Column, dict[str, Column]]:
 
 
 def score_prepared(pairs: DataFrame, columns: tuple | None = None) -> DataFrame:
-    """Prepared pairs, with the likenesses of COMPARED as __like_..., with modules, weights, boost, total, best_platform and reasons."""
+    """Prepared pairs, with what pair_columns gives, with modules, weights, boost, total, best_platform and reasons."""
     staged, weights, scores = score_columns() if columns is None else columns
     out = pairs.withColumns(staged).withColumn("weights", weights).withColumns(scores)
     return out.drop(*[n for n in out.columns if n.startswith("__")])
@@ -256,7 +269,7 @@ def score_prepared(pairs: DataFrame, columns: tuple | None = None) -> DataFrame:
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Rows that hold a brand's and a creator's columns, scored."""
     rows = prepare_creators(prepare_brands(pairs))
-    return score_prepared(rows.withColumns({f"__like_{name}": best_of(F.col(b), F.col(c), like) for name, (b, c, like) in COMPARED.items()}))
+    return score_prepared(rows.withColumns(pair_columns()))
 
 
 def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000, most_bytes: int = 64 << 20) -> DataFrame:
@@ -271,16 +284,20 @@ def score_all(brands: DataFrame, creators: DataFrame, most_brands: int = 10_000,
 
 
 def _paired(brands: DataFrame, creators: DataFrame) -> DataFrame:
-    """Every brand (few enough to be broadcast) with every creator, and the likenesses of COMPARED.
+    """Every brand (few enough to be broadcast) with every creator, and what pair_columns gives.
 
-    Brands share phrases: each creator is held against each different phrase of the brands once, and pairs look that up.
+    Brands share phrases, categories and lists of platforms: each creator is held against each different one once, and pairs look that up.
     """
     phrases = lambda column: F.array_distinct(F.flatten(F.collect_list(F.transform(column, lambda x: x["p"]))))
-    known = brands.agg(*[terms(F.array_sort(phrases(F.col(b)))).alias(f"__all_{name}") for name, (b, _, _) in COMPARED.items()])  # one row, no larger than the brands
+    values = {f"__all_{name}": F.array_sort(F.collect_set(F.col(b))) for name, (b, _) in BY_VALUE.items()}
+    known = brands.agg(*[terms(F.array_sort(phrases(F.col(b)))).alias(f"__all_{name}") for name, (b, _, _) in COMPARED.items()], *[v.alias(n) for n, v in values.items()])  # one row, no larger than the brands
     places = {f"__at_{name}": F.transform(b, lambda w: F.array_position(F.transform(f"__all_{name}", lambda x: x["p"]), w["p"]).cast("int")) for name, (b, _, _) in COMPARED.items()}  # noqa: B023
+    places |= {f"__at_{name}": F.array_position(f"__all_{name}", F.col(b)).cast("int") for name, (b, _) in BY_VALUE.items()}
     found = {f"__best_{name}": best_of(F.col(f"__all_{name}"), F.col(c), like) for name, (_, c, like) in COMPARED.items()}
-    spoken = [f"__all_{name}" for name in COMPARED]
+    found |= {f"__best_{name}": F.transform(f"__all_{name}", fit) for name, (_, fit) in BY_VALUE.items()}
+    spoken = [f"__all_{name}" for name in (*COMPARED, *BY_VALUE)]
     left = creators.crossJoin(F.broadcast(known)).withColumns(found).drop(*spoken)
     right = brands.crossJoin(F.broadcast(known)).withColumns(places).drop(*spoken)
-    pairs = left.crossJoin(F.broadcast(right))
-    return pairs.withColumns({f"__like_{name}": F.transform(f"__at_{name}", lambda i: F.element_at(f"__best_{name}", i)) for name in COMPARED})  # noqa: B023
+    looked_up = {f"__like_{name}": F.transform(f"__at_{name}", lambda i: F.element_at(f"__best_{name}", i)) for name in COMPARED}  # noqa: B023
+    looked_up |= {f"__fit_{name}": F.element_at(f"__best_{name}", F.col(f"__at_{name}")) for name in BY_VALUE}
+    return left.crossJoin(F.broadcast(right)).withColumns(looked_up)

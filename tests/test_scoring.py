@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brandloom import queries
+from brandloom.functions import coerce
 from brandloom.operators import scoring
 
 LISTS = ("target_audience", "goals", "campaign_angles", "match_topics", "preferred_platforms", "priority_niches", "priority_topics", "platforms", "audience_types", "topics")
@@ -48,3 +49,10 @@ def test_boost_of_known_likenesses(spark):
     df = spark.createDataFrame([(["a", "b", "c", "d", "e"], [0.2, 0.5, 1.0, 0.5, 0.5]), ([], []), (["a"], [0.1])], "p array<string>, likes array<double>")
     got = df.select(scoring.priority_boost(scoring.terms(F.col("p")), F.col("likes")).alias("b")).collect()
     assert [(round(x.b.boost, 9), x.b.matched) for x in got] == [(0.16, ["c", "b", "d"]), (0.0, []), (0.0, [])]
+
+
+def test_clamp_names_its_argument_once(spark):
+    """Lambdas work out all that is written: clamps within clamps did three times as much at each level."""
+    assert str(coerce.clamp(F.col("argument"))._jc.toString()).count("argument") == 1
+    rows = spark.createDataFrame([(None,), (float("nan"),), (-2.0,), (0.25,), (7.0,), (float("inf"),), (float("-inf"),)], "x double")
+    assert [r[0] for r in rows.select(coerce.clamp("x")).collect()] == [0.0, 0.0, 0.0, 0.25, 1.0, 1.0, 0.0]
