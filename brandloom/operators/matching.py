@@ -142,7 +142,8 @@ def _score_columns() -> tuple:
 
 def _scored(pairs: DataFrame, brands: DataFrame, creators: DataFrame, columns: tuple) -> DataFrame:
     """Pairs (__b, __c), scored in full."""
-    rows = dealt(creators.join(pairs, "__c").join(brands, "__b"), "__b", "__c")
+    paired = scoring.with_terms(creators.join(pairs, "__c", "left_semi"))
+    rows = dealt(paired.join(pairs, "__c").join(brands, "__b"), "__b", "__c")
     return scoring.score_prepared(rows.withColumns(columns[0]), columns[1])
 
 
@@ -150,7 +151,7 @@ def top_matches(brands: DataFrame, creators: DataFrame, brand_id: str, creator_i
     """The scored pairs of the k best creators of each brand, with their rank: by total, then by creator_id."""
     raw = creators
     brands = stored(scoring.prepare_brands(brands).withColumn("__b", F.monotonically_increasing_id()), "brands")
-    creators = stored(scoring.prepare_creators(creators).withColumn("__c", F.monotonically_increasing_id()), "creators")
+    creators = stored(scoring.prepare_phrases(creators).withColumn("__c", F.monotonically_increasing_id()), "creators")
     columns = _score_columns()
     pairs, thresholds = _candidates(brands, creators, k, columns)
     order = [F.desc("total"), F.col(creator_id)]
@@ -164,15 +165,15 @@ def top_matches(brands: DataFrame, creators: DataFrame, brand_id: str, creator_i
 
 def _candidates(brands: DataFrame, creators: DataFrame, k: int, columns: tuple) -> tuple[DataFrame, DataFrame]:
     """The pairs that can be among the k best, and for each brand whether a creator beyond them might."""
-    wanted, offered = _exploded(brands, "__b", 0), _exploded(creators, "__c", 1)
-    words = stored(offered.select("kind", "phrase").distinct(), "phrases")
+    wanted = _exploded(brands, "__b", 0)
+    words = stored(_exploded(creators, "__c", 1).select("kind", "phrase").distinct(), "phrases")
     vocabulary = stored(_vocabulary(wanted, words), "vocabulary")
     bounds, rests = _brand_bounds(brands, wanted, vocabulary)
     strong = vocabulary.where((F.col("likeness") >= STRONG) | (F.col("kind") == "niche"))
     lists = wanted.join(rests, ["__b", "kind", "at"]).join(strong.withColumnRenamed("a", "phrase"), ["kind", "phrase"]).select("__b", "kind", "at", "rest", "likeness", "sure", F.col("b").alias("phrase"))
-    postings = offered.drop("at").join(lists, ["kind", "phrase"])
-    # Partitioned by pair once: both sums need no other exchange.
-    best = postings.repartition("__b", "__c").groupBy("__b", "__c", "kind", "at").agg(F.max("likeness").alias("likeness"), F.max("rest").alias("rest"), F.max("sure").alias("sure"))
+    # Creators are moved, once, not their pairs: where the lists are broadcast (they are stored, so that their size is known), all of a pair is where its creator is.
+    postings = _exploded(creators.repartition("__c"), "__c", 1).drop("at").join(stored(lists, "lists"), ["kind", "phrase"])
+    best = postings.groupBy("__b", "__c", "kind", "at").agg(F.max("likeness").alias("likeness"), F.max("rest").alias("rest"), F.max("sure").alias("sure"))
     of = lambda kind, value: F.when(F.col("kind") == kind, value)
     more = F.greatest(F.col("likeness") - F.col("rest"), F.lit(0.0))
     gains = best.groupBy("__b", "__c").agg(

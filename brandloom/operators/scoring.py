@@ -199,14 +199,25 @@ def prepare_brands(brands: DataFrame) -> DataFrame:
 
 def prepare_creators(creators: DataFrame) -> DataFrame:
     """What the pairs need of a creator, worked out once: __offered, __offered_audience, __presence, __signals, __niche, __fit."""
-    staged = creators.withColumn("__derived", derived_engagement(F.col("metrics")))
-    signals = distinct_texts(F.transform(F.concat(F.array(F.coalesce("niche", F.lit(""))), some("topics"), some("audience_types")), phrase))
+    return with_terms(prepare_phrases(creators))
+
+
+def prepare_phrases(creators: DataFrame) -> DataFrame:
+    """prepare_creators, with terms that have no tokens yet."""
+    staged = creators.withColumns({"__derived": derived_engagement(F.col("metrics")), "__offered": _phrases("topics"), "__offered_audience": _phrases("audience_types"), "__niche": phrase(F.coalesce("niche", F.lit("")))})
+    signals = F.array_distinct(F.concat(F.filter(F.array("__niche"), lambda p: p != ""), "__offered", "__offered_audience"))
+    bare = lambda phrases: F.transform(phrases, lambda p: F.struct(p.alias("p")))
     return staged.select(
-        *creators.columns, terms(_phrases("topics")).alias("__offered"), terms(_phrases("audience_types")).alias("__offered_audience"), presence_of(_phrases("platforms"), F.col("metrics"), F.col("primary_platform")).alias("__presence"),
-        terms(signals).alias("__signals"), term(phrase(F.coalesce("niche", F.lit("")))).alias("__niche"), engagement_fit(F.col("estimated_engagement"), F.col("__derived")).alias("__fit"),
+        *creators.columns, bare("__offered").alias("__offered"), bare("__offered_audience").alias("__offered_audience"), presence_of(_phrases("platforms"), F.col("metrics"), F.col("primary_platform")).alias("__presence"),
+        bare(signals).alias("__signals"), F.struct(F.col("__niche").alias("p")).alias("__niche"), engagement_fit(F.col("estimated_engagement"), F.col("__derived")).alias("__fit"),
     )
 
 
+def with_terms(prepared: DataFrame) -> DataFrame:
+    """What prepare_phrases gives, with the tokens of its phrases."""
+    return prepared.withColumns({name: F.transform(name, lambda x: term(x["p"])) for name in ("__offered", "__offered_audience", "__signals")} | {"__niche": term(F.col("__niche.p"))})
+
+
 def match_spec(brands: DataFrame) -> DataFrame:
     """brands with topics, audiences, platforms, priorities, evidence_confidence and specificity."""
     n = lambda c: F.size(some(c))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .functions import coerce, text, urls
 from .operators import brand, discovery, explorer, identity, importer, likeness, matching, ranking, scoring, social, upsert
 from .plans import rules
-from .sources.shared import dealt
+from .sources.shared import dealt, stored
 from .sources.tables import table
 from .streaming import ingest
 
@@ -43,27 +43,27 @@ def measured(spark, d) -> DataFrame:
     return g.select("creator", "platform", F.col("followers").cast("double").alias("followers"), F.floor(F.col("followers") * 0.1 + F.col("n")).cast("double").alias("avg_views"), (F.col("n") * 0.003).alias("engagement_rate"), F.least(F.lit(0.95), 0.2 + F.col("n") * 0.05).alias("confidence"), F.col("n").cast("double").alias("sample_size"))
 
 
-def bought(spark, d, key: str) -> DataFrame:
-    """key, p_name, n: how often each part name was bought by a customer or nation."""
+def bought(spark, d, key: str, known: DataFrame | None = None) -> DataFrame:
+    """key, p_name, n: how often each part name was bought by a customer or nation. known: what customers bought, where that is stored."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    if known is not None:
+        return known if key == "c_custkey" else known.join(c, "c_custkey").groupBy(key, "p_name").agg(F.sum("n").alias("n"))
     o, li, p = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "part")
-    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
-    if key == "n_nationkey":
-        c = table(spark, d, "customer")
-        rows = rows.join(c, rows["o_custkey"] == c["c_custkey"]).withColumnRenamed("c_nationkey", "n_nationkey")
-    else:
-        rows = rows.withColumnRenamed("o_custkey", "c_custkey")
+    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"]).select(F.col("o_custkey").alias("c_custkey"), "p_name")
+    # A customer buys most names once: counting before rows are moved would spare none. Moved by customer, they are ranked where they are counted.
+    rows = rows.join(c, "c_custkey") if key == "n_nationkey" else rows.repartition(key)
     return rows.groupBy(key, "p_name").agg(F.count("*").alias("n"))
 
 
-def top_names(spark, d, key: str, k: int) -> DataFrame:
-    best = ranking.top_k(bought(spark, d, key), [key], [F.desc("n"), F.col("p_name")], k)
+def top_names(spark, d, key: str, k: int, known: DataFrame | None = None) -> DataFrame:
+    best = ranking.top_k(bought(spark, d, key, known), [key], [F.desc("n"), F.col("p_name")], k)
     return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "p_name"))), lambda x: x["p_name"]).alias("topics"))
 
 
-def creators(spark, d) -> DataFrame:
+def creators(spark, d, known: DataFrame | None = None) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     m = measured(spark, d).groupBy("creator").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("platform"), F.struct("followers", "avg_views", "engagement_rate", "confidence", "sample_size"))))).alias("metrics"))
-    rows = c.join(n, "c_nationkey").join(top_names(spark, d, "c_custkey", 6), "c_custkey", "left").join(m, c["c_custkey"] == m["creator"], "left")
+    rows = c.join(n, "c_nationkey").join(top_names(spark, d, "c_custkey", 6, known), "c_custkey", "left").join(m, c["c_custkey"] == m["creator"], "left")
     return rows.select(
         F.col("c_custkey").alias("creator_id"), F.lower("c_mktsegment").alias("niche"), "topics", F.array(F.lower("n_name"), F.lower("c_mktsegment")).alias("audience_types"),
         F.coalesce(F.array_sort(F.map_keys("metrics")), F.array().cast("array<string>")).alias("platforms"), "metrics", F.lit(None).cast("string").alias("primary_platform"), F.lit(0.5).alias("signal_confidence"),
@@ -71,10 +71,10 @@ def creators(spark, d) -> DataFrame:
     )
 
 
-def brands(spark, d) -> DataFrame:
+def brands(spark, d, known: DataFrame | None = None) -> DataFrame:
     c = table(spark, d, "customer")
     modal = ranking.latest(c.groupBy("c_nationkey", F.lower("c_mktsegment").alias("category")).agg(F.count("*").alias("n")), ["c_nationkey"], [F.desc("n"), F.col("category")]).select(F.col("c_nationkey").alias("n_nationkey"), "category")
-    rows = table(spark, d, "nation").join(modal, "n_nationkey", "left").join(top_names(spark, d, "n_nationkey", 4), "n_nationkey", "left")
+    rows = table(spark, d, "nation").join(modal, "n_nationkey", "left").join(top_names(spark, d, "n_nationkey", 4, known), "n_nationkey", "left")
     k = F.col("n_nationkey")
     return rows.select(
         k.alias("brand_id"), "category", F.col("topics").alias("match_topics"), F.array(F.lower("n_name"), F.coalesce("category", F.lit(""))).alias("target_audience"),
@@ -84,8 +84,14 @@ def brands(spark, d) -> DataFrame:
     )
 
 
+def sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """brands and creators, for which lineitem is joined once."""
+    known = stored(bought(spark, d, "c_custkey"), "bought")
+    return brands(spark, d, known), creators(spark, d, known)
+
+
 def pairs(spark, d) -> DataFrame:
-    return scoring.score_all(brands(spark, d), creators(spark, d))
+    return scoring.score_all(*sides(spark, d))
 
 
 # Scoring.
@@ -162,7 +168,7 @@ def phrase_likeness(spark, d):
 
 @query
 def match_total_top12(spark, d):
-    p = matching.top_matches(brands(spark, d), creators(spark, d), "brand_id", "creator_id", 12)
+    p = matching.top_matches(*sides(spark, d), "brand_id", "creator_id", 12)
     return p.select("brand_id", "creator_id", F.col("rank").cast("long").alias("rank"), "total", joined(F.col("reasons")).alias("reasons"), "best_platform")
 
 

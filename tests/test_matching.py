@@ -1,10 +1,12 @@
 """Likeness joins, top matches by bounds, identities by rounds and as a stream, published versions, pages by range."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from brandloom import queries
 from brandloom.functions.text import tokens
 from brandloom.operators import identity, likeness, matching, paging, ranking, scoring
 from brandloom.sources import shared, snapshots
@@ -125,6 +127,28 @@ def test_a_stream_of_accounts_gives_the_identities_of_one_run(spark, tmp_path):
     assert got == once and same_groups([got[i] for i in range(90)], fold(rows))
 
 
+def test_pairs_stay_with_their_creator(spark, monkeypatch):
+    """No exchange by pair while bounds are worked out; before, all postings were moved. Creators carry no tokens until a pair of theirs is scored."""
+    plans, columns = {}, {}
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        columns[label] = dict(df.dtypes)
+        return shared.stored(df, label)
+
+    monkeypatch.setattr(matching, "stored", seen)
+    matching.top_matches(*market(spark, 5, 4, 40), "brand_id", "creator_id", 3)
+    assert re.search(r"hashpartitioning\(__c#\d+L, \d", plans["candidates"]) and not re.search(r"hashpartitioning\(__b#\d+L, __c#", plans["candidates"])
+    assert columns["creators"]["__offered"] == "array<struct<p:string>>"
+
+
+def test_lineitem_is_joined_once(spark):
+    sides = queries.sides(spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in side._jdf.queryExecution().executedPlan().toString() for side in sides)
+    alone = queries.brands(spark, "/root/testdata/sf0.001"), queries.creators(spark, "/root/testdata/sf0.001")
+    assert all(sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) for a, b in zip(sides, alone, strict=True))
+
+
 def test_versions_are_published_whole(spark, tmp_path, monkeypatch):
     root, df = f"{tmp_path}/tables", spark.range(5)
     assert snapshots.read(spark, root, "a") is None
