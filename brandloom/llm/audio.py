@@ -50,6 +50,8 @@ STEP = 3
 LAGS = (3, 6, 9, 12)
 SIDES = tuple(s for s in range(min(AROUND) - max(LAGS), max(AROUND) + 1) if s)
 RATES = (1_000, 400_000)
+#: Of the bit table of the index's integers: bits for each, and the least and most in all (64 MB).
+SPARSE, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 29
 
 GRAY = (0, 1, 3, 2)
 #: (kind, lowest pitch class, pitch classes, frames) of each filter; kind 0 halves by pitch, 1 by time, 2 is a chequerboard.
@@ -187,14 +189,52 @@ def neighbours(print_: int) -> np.ndarray:
     return x ^ change[(x & suits[:, 1]) == suits[:, 0]]
 
 
-def _probe(batches):
-    """key and the other columns: an entry of a query's class (whose first column is its integer) for each of the integer's neighbours."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            keys = [neighbours(x) for x in part.column(0).to_numpy().view(np.uint32)]
-            rows = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int32)), *(c.take(rows) for c in part.columns[1:])], batch.schema.names)
+def _place(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where a bit table of so many bits (a power of two) has the keys."""
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (bits.bit_length() - 1))
+
+
+def _table(keys: DataFrame):
+    """A broadcast bit table of the different keys there are: SPARSE bits a key, MOST_BITS at most, so that its size is bounded.
+
+    What it holds by chance finds nothing in the join that follows; no key is missing.
+    """
+    spark = keys.sparkSession
+    bits, most = LEAST_BITS, SPARSE * keys.count()
+    while bits < min(MOST_BITS, most):
+        bits *= 2
+
+    def places(batches):
+        for batch in batches:
+            at = _place(batch.column(0).to_numpy().view(np.uint32), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "set"])
+
+    words = keys.mapInArrow(places, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set")).toArrow()  # bits / 64 rows at most
+    table = np.zeros(bits // 64, dtype=np.int64)
+    table[words["word"].to_numpy()] = words["set"].to_numpy()
+    return spark.sparkContext.broadcast(table.tobytes())
+
+
+def _held(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of the keys the bit table (as 64-bit words) has."""
+    at = _place(keys, 64 * len(table))
+    return (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _probe(known):
+    """key and the other columns: an entry of a query's class (whose first column is its integer) for each of the integer's neighbours that the bit table has."""
+
+    def run(batches):
+        table = np.frombuffer(known.value, dtype=np.uint64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [neighbours(x) for x in part.column(0).to_numpy().view(np.uint32)]
+                keys, rows = np.concatenate(found), np.repeat(np.arange(len(found)), [len(k) for k in found])
+                held = _held(keys, table)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[held].view(np.int32)), *(c.take(pa.array(rows[held])) for c in part.columns[1:])], batch.schema.names)
+
+    return run
 
 
 def _judge(batches):
@@ -234,11 +274,11 @@ def _with_sides(rows: DataFrame, found: DataFrame, prefix: str = "") -> DataFram
 
 
 def _meetings(found: DataFrame) -> DataFrame:
-    """q, q_at, n, _at and so on of positions of different classes that meet; what is looked up travels bare as far as a key is known."""
+    """q, q_at, n, _at and so on of positions of different classes that meet; what is looked up is held against a bit table of the index before it leaves its task."""
     entries = found.select("n", "asked", "at", F.posexplode("prints").alias("k", "key"))
     index = entries.where(F.get("at", F.col("k")) % STEP == 0).select("key", "n", "k")
-    probes = entries.where("asked").select("key", "n", "k").mapInArrow(_probe, "key int, n long, k int")
-    hits = stored(probes.join(index.select("key").distinct(), "key", "left_semi"), "hits")
+    table = _table(stored(index.select("key").distinct(), "keys"))
+    hits = stored(entries.where("asked").select("key", "n", "k").mapInArrow(_probe(table), "key int, n long, k int"), "hits")
     known = index.join(hits.select("key").distinct(), "key", "left_semi")
     return _with_sides(hits, found, "q").join(_with_sides(known, found), "key").where(F.col("q") != F.col("n"))
 

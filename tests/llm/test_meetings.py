@@ -32,3 +32,23 @@ def test_neighbouring_is_neighbours(spark):
     got = [x.v for x in spark.createDataFrame(signed, "a int, b int").coalesce(1).select(audio._neighbouring(F.col("a"), F.col("b")).alias("v")).collect()]
     want = [y in set(audio.neighbours(x).tolist()) for x, y in pairs]
     assert got == want and any(want) and not all(want)
+
+
+def test_only_known_integers_leave_their_task(spark, monkeypatch):
+    """Before, all some 300 neighbours of each integer were moved to a join that kept few; a table too full only lets more pass."""
+    found, looked_up = near_copies(spark), {}
+
+    def seen(df, label):
+        looked_up[label] = stored(df, label)
+        return looked_up[label]
+
+    monkeypatch.setattr(audio, "stored", seen)
+    met = [sorted(map(repr, audio.aligned(found).collect()))]
+    known = {x.key for x in looked_up["keys"].collect()}
+    hits = [x.key for x in looked_up["hits"].collect()]
+    asked = sum(len(x.prints) for x in found.where("asked").collect())
+    assert set(hits) & known and sum(x in known for x in hits) > 0.5 * len(hits) and len(hits) < 100 * asked
+    monkeypatch.setattr(audio, "LEAST_BITS", 64)
+    monkeypatch.setattr(audio, "MOST_BITS", 64)
+    met.append(sorted(map(repr, audio.aligned(found).collect())))
+    assert met[0] == met[1] and met[0] and looked_up["hits"].count() > 2 * len(hits)
